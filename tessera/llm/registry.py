@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, mixing, sharding
+from tessera.llm import exact_dedup, language_id, mixing, near_dedup, pii, secrets, sharding, url_filter
 
-_MODULES = (sharding, exact_dedup, mixing)
+_MODULES = (pii, secrets, sharding, exact_dedup, url_filter, mixing, near_dedup, language_id)
 
 
 def queries() -> dict:
