@@ -57,9 +57,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @functools.lru_cache(maxsize=2)
 def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
-    base, inverse = int(_ODD), pow(int(_ODD), -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        return tuple(np.multiply.accumulate(np.concatenate([[1], np.full(size - 1, b, np.uint64)]).astype(np.uint64)) for b in (base, inverse))
+    def table_of(base: int) -> np.ndarray:
+        factors = np.full(size, base, np.uint64)
+        factors[0] = 1
+        with np.errstate(over="ignore"):
+            return np.multiply.accumulate(factors)
+
+    return table_of(int(_ODD)), table_of(pow(int(_ODD), -1, 1 << 64))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
