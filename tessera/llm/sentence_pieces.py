@@ -23,10 +23,13 @@ whole, whatever their length; repeated rows are coded alike; an empty table give
 
 from __future__ import annotations
 
+import codecs
 import functools
 import hashlib
 import heapq
+import itertools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,17 +124,23 @@ class Model:
         if kind != 2 or suffix or USER in self.types or UNUSED in self.types:
             raise ValueError("only BPE models without user-defined or unused pieces, with white space as prefix, are supported")
         self.map = CharacterMap(charsmap)
-        self.rank = {p: (-s, i) for i, (p, s, t) in enumerate(zip(self.pieces, self.scores, self.types, strict=True)) if t == NORMAL}
+        normal = [(p, i) for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == NORMAL]
+        self.ids = {p.decode(): i for p, i in normal}
+        self.sizes = [len(p) for p in self.pieces]
+        order = {s: n for n, s in enumerate(sorted({self.scores[i] for _, i in normal}, reverse=True))}
+        self.rank = {p.decode(): order[self.scores[i]] for p, i in normal}
         self.byte_ids = {int(_BYTE_PIECE.fullmatch(p)[1], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == BYTE}
         self.unk = self.types.index(UNKNOWN)
         named = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == CONTROL}
         self.begin, self.end = named.get(b"<s>"), named.get(b"</s>")
-        self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.rank) if all(SPACE not in p or p.startswith(SPACE) for p in self.rank) else False
+        mark = SPACE.decode()
+        self.by_word = not any(mark in p.lstrip(mark) for p in self.rank)
         surface = [b"" if t == CONTROL else self.unk_surface if t == UNKNOWN else bytes([int(_BYTE_PIECE.fullmatch(p)[1], 16)]) if t == BYTE
                    else p.replace(SPACE, b" ") for p, t in zip(self.pieces, self.types, strict=True)]
         self.surface = surface
         self.is_byte = np.array([t == BYTE for t in self.types])
-        self.words: dict[bytes, tuple[bytes, bytes]] = {}
+        self.young: dict[bytes, tuple[bytes, bytes]] = {}
+        self.old: dict[bytes, tuple[bytes, bytes]] = {}
 
     def normalize(self, text: bytes) -> tuple[bytes, np.ndarray]:
         """The normalised text, and for each of its bytes, and its end, the place in ``text`` it stems from."""
@@ -190,66 +199,46 @@ class Model:
 
     def merge(self, word: bytes) -> tuple[list[int], list[int]]:
         """Ids and byte lengths of a word's pieces."""
-        rank, text = self.rank, word.decode("utf-8", "surrogatepass")
-        if word in rank and len(text) <= 1:
-            return [rank[word][1]], [len(word)]
-        parts: list[bytes | None] = [c.encode("utf-8", "surrogatepass") for c in text]
-        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-        heap: list[tuple[float, int, int, bytes]] = []
-
-        def offer(i: int, j: int) -> None:
-            both = parts[i] + parts[j]
-            if (found := rank.get(both)) is not None:
-                heapq.heappush(heap, (found[0], i, j, both))
-
-        for i in range(len(parts) - 1):
-            offer(i, i + 1)
-        n = len(parts)
-        while heap:
-            _, i, j, both = heapq.heappop(heap)
-            if parts[i] is None or parts[j] is None or len(parts[i]) + len(parts[j]) != len(both) or after[i] != j:
-                continue
-            parts[i], parts[j] = both, None
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                offer(i, after[i])
-            if before[i] >= 0:
-                offer(before[i], i)
+        parts = list(word.decode("utf-8", "surrogatepass"))
+        parts = _merged_short(parts, self.rank) if len(parts) <= 48 else _merged_long(parts, self.rank)
         ids, sizes = [], []
         for part in parts:
-            if part is None:
+            if (found := self.ids.get(part)) is not None:
+                ids.append(found)
+                sizes.append(self.sizes[found])
                 continue
-            if part in rank:
-                ids.append(rank[part][1])
-                sizes.append(len(part))
-            elif self.byte_ids:
+            raw = part.encode("utf-8", "surrogatepass")
+            if self.byte_ids:
                 # The bytes of one character share its place; the last one ends it.
-                ids += [self.byte_ids[b] for b in part]
-                sizes += [0] * (len(part) - 1) + [len(part)]
+                ids += [self.byte_ids[b] for b in raw]
+                sizes += [0] * (len(raw) - 1) + [len(raw)]
             else:
                 ids.append(self.unk)
-                sizes.append(len(part))
+                sizes.append(len(raw))
         return ids, sizes
 
-    def encode(self, text: bytes, remember: int = 300_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, text: bytes, remember: int = 500_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the pieces, and where each begins and ends in the bytes of ``text``."""
         norm, origin = self.normalize(text)
         ids, ends = self.encode_normalized(norm, remember)
         begins = np.concatenate([np.zeros(1, ends.dtype), ends[:-1]])[: len(ends)]
         return ids, origin[begins], origin[ends]
 
-    def encode_normalized(self, norm: bytes, remember: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
-        words, known = self.words, []
+    def encode_normalized(self, norm: bytes, remember: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and ends of the pieces of normalised text. Words are remembered in two generations of bounded size."""
+        young, old, known = self.young, self.old, []
         for word in _word_pieces(norm) if self.by_word else [norm] * bool(norm):
-            got = words.get(word)
+            got = young.get(word)
             if got is None:
-                ids, sizes = self.merge(word)
-                got = np.array(ids, "<u4").tobytes(), np.array(sizes, "<u4").tobytes()
+                got = old.get(word)
+                if got is None:
+                    ids, sizes = self.merge(word)
+                    got = array("I", ids).tobytes(), array("I", sizes).tobytes()
                 if len(word) <= 64:
-                    if len(words) >= remember:
-                        words.clear()
-                    words[word] = got
+                    if len(young) >= remember // 2:
+                        old = self.old = young
+                        young = self.young = {}
+                    young[word] = got
             known.append(got)
         ids = np.frombuffer(b"".join([g[0] for g in known]), "<u4")
         ends = np.cumsum(np.frombuffer(b"".join([g[1] for g in known]), "<u4"), dtype=np.int64)
@@ -257,26 +246,72 @@ class Model:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, control pieces included."""
-        out, run, begun = [], False, False
         surface, pieces, types = self.surface, self.pieces, self.types
-        head = 0
-        strip = self.dummy_prefix or self.remove_extra
+        runs = self.is_byte[ids].any()
         ids = ids.tolist()
+        strip = self.dummy_prefix or self.remove_extra
         # Until there is text, a leading space goes: once, or all of them where the model removes extra ones.
-        while head < len(ids) and not begun:
+        head, first = 0, b""
+        while head < len(ids) and not first:
             i = ids[head]
+            if types[i] == BYTE:
+                break
             head += 1
-            if types[i] == CONTROL:
-                continue
-            s = surface[i]
+            first = surface[i]
             if types[i] == NORMAL and strip and pieces[i].startswith(SPACE):
-                s = s[1:]
-                begun = not self.remove_extra or bool(s)
-            else:
-                begun = True
-            out.append(s)
-        run = [surface[i] for i in ids[head:]]
-        return _text_of(b"".join(out + run))
+                first = first[1:]
+                if not self.remove_extra:
+                    break
+        if not runs:
+            return (first + b"".join(map(surface.__getitem__, ids[head:]))).decode("utf-8", "surrogatepass")
+        # Bytes are read together where nothing, not even a silent piece, stands between them.
+        grouped = itertools.groupby(ids[head:], lambda i: types[i] == BYTE)
+        return first.decode() + "".join(_text_of(b"".join(map(surface.__getitem__, group))) for _, group in grouped)
+
+
+def _merged_short(parts: list[str], rank: dict[str, int]) -> list[str]:
+    """Merge the best-ranked neighbours, leftmost first, until none is a piece."""
+    get, none = rank.get, 1 << 60
+    pairs = [get(a + b, none) for a, b in itertools.pairwise(parts)]
+    while pairs:
+        best = min(pairs)
+        if best == none:
+            break
+        i = pairs.index(best)
+        parts[i] += parts.pop(i + 1)
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(parts[i] + parts[i + 1], none)
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+    return parts
+
+
+def _merged_long(parts: list[str | None], rank: dict[str, int]) -> list[str]:
+    """The same with a heap, for words of any length."""
+    n = len(parts)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap: list[tuple[int, int, int, str]] = []
+
+    def offer(i: int, j: int) -> None:
+        both = parts[i] + parts[j]
+        if (found := rank.get(both)) is not None:
+            heapq.heappush(heap, (found, i, j, both))
+
+    for i in range(n - 1):
+        offer(i, i + 1)
+    while heap:
+        _, i, j, both = heapq.heappop(heap)
+        if parts[i] is None or parts[j] is None or after[i] != j or len(parts[i]) + len(parts[j]) != len(both):
+            continue
+        parts[i], parts[j] = both, None
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+            offer(i, after[i])
+        if before[i] >= 0:
+            offer(before[i], i)
+    return [p for p in parts if p is not None]
 
 
 def _word_pieces(norm: bytes) -> list[bytes]:
@@ -307,8 +342,6 @@ def _one_for_each(e: UnicodeError):
     return "�" * (e.end - e.start), e.end
 
 
-import codecs  # noqa: E402
-
 codecs.register_error("one_for_each", _one_for_each)
 
 
@@ -323,8 +356,8 @@ def _code(blob: bytes, carry: list[str], spans: bool, tokens: bool):
         first, last = (np.array([i], "<u4") for i in (model.begin, model.end))
         for batch in batches:
             columns: dict[str, list] = {"n_tokens": [], "ids": [], "begins": [], "ends": [], "decoded": [], "ids_sha256": []}
-            for text in batch.column("text"):
-                ids, begins, ends = model.encode((text.as_py() or "").encode("utf-8", "surrogatepass"))
+            for text in batch.column("text").cast(pa.binary()):
+                ids, begins, ends = model.encode(text.as_py() or b"")
                 ids = np.concatenate([first, ids, last])
                 columns["n_tokens"].append(len(ids))
                 columns["ids_sha256"].append(hashlib.sha256(ids.tobytes()).hexdigest())
