@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, language_id, mixing, near_dedup, pii, secrets, sentence_pieces, sharding, url_filter
+from tessera.llm import (
+    exact_dedup,
+    language_id,
+    mixing,
+    multi_index_hashing,
+    near_dedup,
+    pii,
+    secrets,
+    sentence_pieces,
+    sharding,
+    url_filter,
+)
 
-_MODULES = (pii, secrets, sharding, sentence_pieces, exact_dedup, url_filter, mixing, near_dedup, language_id)
+_MODULES = (pii, secrets, sharding, sentence_pieces, multi_index_hashing, exact_dedup, url_filter, mixing, near_dedup, language_id)
 
 
 def queries() -> dict:
