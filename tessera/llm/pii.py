@@ -154,56 +154,57 @@ def vote_patterns(found: DataFrame) -> list:
     )
 
 
-def estimate(patterns: list, rounds: int = 50) -> tuple[dict, list[float]]:
-    """Expectation-maximisation: for each labeler and truth, how it votes; and each pattern's posterior.
+def estimate(patterns: list, rounds: int = 50, trust: float = 4.0) -> tuple[dict, list[float]]:
+    """Expectation-maximisation, kind by kind: how each labeler votes on true and false spans, and each pattern's posterior.
 
-    Smoothed by one pseudo-count for each cell, and by one that says labelers are right more often than not.
+    Every cell starts from one pseudo-count, and from ``trust`` more where a labeler is right: labelers are better
+    than chance until the corpus says otherwise.
     """
     votes = (-1, 0, 1)
     post = [1 / (1 + math.exp(-2.0 * sum(p[v] for v in LABELERS))) for p in patterns]
     rates: dict = {}
-    for _ in range(rounds):
-        rates = {}
-        for name in LABELERS:
-            for truth in (0, 1):
-                cells = {v: 1.0 + (v == 2 * truth - 1) for v in votes}
-                for p, y in zip(patterns, post, strict=True):
-                    cells[p[name]] += p["n"] * (y if truth else 1 - y)
-                total = sum(cells.values())
-                rates[name, truth] = {v: c / total for v, c in cells.items()}
-        prior = {}
-        for kind in KINDS:
-            own = [(p["n"], y) for p, y in zip(patterns, post, strict=True) if p["kind"] == kind]
-            prior[kind] = (1 + sum(n * y for n, y in own)) / (2 + sum(n for n, _ in own))
-        post = [_posterior(p, prior[p["kind"]], rates) for p in patterns]
+    for kind in KINDS:
+        own = [i for i, p in enumerate(patterns) if p["kind"] == kind]
+        for _ in range(rounds):
+            for name in LABELERS:
+                for truth in (0, 1):
+                    cells = {v: 1.0 + trust * (v == 2 * truth - 1) for v in votes}
+                    for i in own:
+                        cells[patterns[i][name]] += patterns[i]["n"] * (post[i] if truth else 1 - post[i])
+                    total = sum(cells.values())
+                    rates[kind, name, truth] = {v: c / total for v, c in cells.items()}
+            prior = (1 + sum(patterns[i]["n"] * post[i] for i in own)) / (2 + sum(patterns[i]["n"] for i in own))
+            for i in own:
+                post[i] = _posterior(patterns[i], prior, rates)
     return rates, post
 
 
 def _posterior(pattern, prior: float, rates: dict) -> float:
-    odds = math.log(prior / (1 - prior)) + sum(
-        math.log(rates[v, 1][pattern[v]] / rates[v, 0][pattern[v]]) for v in LABELERS
-    )
+    kind = pattern["kind"]
+    odds = math.log(prior / (1 - prior)) + sum(math.log(rates[kind, v, 1][pattern[v]] / rates[kind, v, 0][pattern[v]]) for v in LABELERS)
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
 
 
-def _features(row) -> dict[str, float]:
-    return {"one": 1.0, f"kind:{row['kind']}": 1.0, f"size:{row['size']}": 1.0} | {f"{v}:{row[v]}": 1.0 for v in LABELERS if row[v]}
+def _features(row) -> list[str]:
+    """Kind, length class, votes, and votes by kind."""
+    kind = row["kind"]
+    return ["one", f"kind:{kind}", f"size:{row['size']}", *[f"{v}:{row[v]}" for v in LABELERS], *[f"{kind}/{v}:{row[v]}" for v in LABELERS]]
 
 
-def train(patterns: list, post: list[float], ridge: float = 1.0, rounds: int = 200) -> dict[str, float]:
+def train(patterns: list, post: list[float], ridge: float = 1.0, rounds: int = 300) -> dict[str, float]:
     """Coefficients of the span classifier, by gradient steps on the bounded table of patterns."""
     if not patterns:
         return {}
-    rows = [(_features(p), min(p["n"], 1e12), y) for p, y in zip(patterns, post, strict=True)]
+    rows = [(_features(p), float(p["n"]), y) for p, y in zip(patterns, post, strict=True)]
     total = sum(n for _, n, _ in rows)
-    weights = {name: 0.0 for f, _, _ in rows for name in f}
-    step = 4.0 / max(len(f) for f, _, _ in rows)
+    weights = {name: 0.0 for names, _, _ in rows for name in names}
+    step = 4.0 / len(rows[0][0])
     for _ in range(rounds):
         slope = {name: ridge / total * w for name, w in weights.items()}
-        for f, n, y in rows:
-            z = sum(weights[name] for name in f)
+        for names, n, y in rows:
+            z = sum(weights[name] for name in names)
             gap = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - y) * n / total
-            for name in f:
+            for name in names:
                 slope[name] += gap
         weights = {name: w - step * slope[name] for name, w in weights.items()}
     return weights
@@ -223,6 +224,8 @@ def _score(span: Column, weights: dict[str, float]) -> Column:
     z = F.lit(weights["one"]) + of(span["kind"], "kind") + of(span["size"], "size")
     for v in LABELERS:
         z = z + of(span["votes"][v], v)
+        for kind in KINDS:
+            z = z + F.when(span["kind"] == kind, of(span["votes"][v], f"{kind}/{v}")).otherwise(0.0)
     return 1 / (1 + F.exp(-z))
 
 
