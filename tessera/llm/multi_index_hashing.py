@@ -15,7 +15,7 @@ number, queries into blocks of ``query_block``, and each pair of blocks is one p
 returns ``k`` rows for each query. A query that found too few within the radius is searched again with no radius.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose
-number of components isn't the most frequent one. Rows that repeat an id are candidates of each other. Equal scores
+number of components isn't the most frequent one, nor rows without an id. Rows that repeat an id are candidates of each other. Equal scores
 go to the smaller id. With fewer than ``k`` candidates all are returned. An empty table gives an empty result.
 """
 
@@ -45,7 +45,7 @@ def number_vectors(df: DataFrame, id_col: str, vector_col: str, query: Column) -
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"),
         F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(query, F.lit(False)).alias("is_query"),
     )
-    rows = materialize(rows.filter(takes_part(F.col("vector"))), "vectors")
+    rows = materialize(rows.filter(F.col("vec_id").isNotNull() & takes_part(F.col("vector"))), "vectors")
     usual = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.filter(F.size("vector") == (usual["n"] if usual else 0))
 
