@@ -2,10 +2,11 @@
 
 Texts are lower-cased (A-Z), cut at white space, and become sets of word 5-grams, each a 64-bit hash.
 
-1. Every set gets a signature of ``bands * rows`` minima. Texts with equal sets are one node from here on.
-2. Bands of ``rows`` minima are bucket keys. A pair at the threshold shares none of them with probability
+1. Every set gets ``HASHES`` minima, of which a byte each is kept as its signature. Texts with equal sets are one
+   node from here on.
+2. Bands of ``rows`` whole minima are bucket keys. A pair at the threshold shares none of them with probability
    ``(1 - threshold**rows) ** bands`` (4e-6 by default).
-3. Star step: every member of a bucket is a candidate against the bucket's first. Candidates are compared
+3. Star step: every member of a bucket is a candidate against the bucket's best connected member. Candidates are compared
    by batches of their signatures; after each batch the posterior (uniform prior) that the similarity
    reaches the threshold is bounded, and the pair is dropped once that is under ``miss``. Survivors are
    verified exactly, on full sets made from whole texts. Verified links give components.
@@ -40,8 +41,9 @@ from tessera.llm.components import components
 WORDS = 5
 PERCENT = 85
 BANDS, ROWS = 32, 7
+HASHES = 512
 BATCH = 32
-MISS = 1e-6
+MISS = 1e-5
 BLOCK = 512
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -120,9 +122,10 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def least_matches(k: int, batch: int, percent: int, miss: float) -> tuple[int, ...]:
     """Matches needed after each batch: with fewer, P(similarity >= threshold | matches) is under ``miss``.
 
-    With a uniform prior the posterior is Beta(m+1, n-m+1), whose upper tail is a binomial sum.
+    Bytes of different minima match by chance once in 256. With a uniform prior the posterior of the chance to match
+    is Beta(m+1, n-m+1), whose upper tail is a binomial sum.
     """
-    t, out = percent / 100, []
+    t, out = percent / 100 + (1 - percent / 100) / 256, []
     for n in range(batch, k + 1, batch):
         tail, m = 0.0, -1
         while tail < miss:
@@ -157,10 +160,10 @@ def _sign(bands: int, rows: int):
                 own = shingles(text.as_py())
                 numbers.append(len(own))
                 if len(own):
-                    sig = signature(own, bands * rows)
+                    minima = signature(own, max(HASHES, bands * rows))
                     digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                    sigs.append(sig.tobytes())
-                    keys.append(band_keys(sig, bands, rows))
+                    sigs.append(((minima * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes())
+                    keys.append(band_keys(minima[: bands * rows], bands, rows))
                 else:
                     digests.append(None)
                     sigs.append(None)
@@ -177,7 +180,7 @@ def _sign(bands: int, rows: int):
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), -1)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
 def _prune(percent: int, miss: float):
@@ -209,12 +212,13 @@ def _verify(percent: int):
     return run
 
 
-def _compare_blocks(rows: int, percent: int, miss: float):
+def _compare_blocks(percent: int, miss: float):
     """All pairs of different components of each run of equal (key, i, j): of block i with block j."""
     def pairs_of(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         row, comp, block = (group.column(c).to_numpy() for c in ("row", "comp", "block"))
         band, i, j = (group.column(c)[0].as_py() for c in ("band", "i", "j"))
         sig = _matrix(group.column("sig").combine_chunks())
+        keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(row), -1)
         left = np.flatnonzero(block == i)
         a, b = [], []
         for x in left:
@@ -222,8 +226,7 @@ def _compare_blocks(rows: int, percent: int, miss: float):
             if len(others):
                 near = others[likely(np.broadcast_to(sig[x], (len(others), sig.shape[1])), sig[others], percent, miss)]
                 # Only the first band that a pair shares reports it.
-                first = (sig[near, : band * rows].reshape(len(near), band, rows) == sig[x, : band * rows].reshape(band, rows)).all(axis=2)
-                near = near[~first.any(axis=1)] if band else near
+                near = near[~(keys[near, :band] == keys[x, :band]).any(axis=1)]
                 a.append(np.full(len(near), row[x]))
                 b.append(row[near])
         empty = np.empty(0, np.int64)
@@ -283,12 +286,17 @@ def near_duplicates(
     node_of = materialize(signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("node")), "nodes")
     nodes = signed.join(node_of.select(F.col("node").alias("row")), "row", "left_semi")
     keys = materialize(nodes.select("row", F.posexplode("keys").alias("band", "key")), "keys")
-    buckets = keys.groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    shared = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
+    # A bucket's first is the member that shares most buckets with most others: the text the copies were made from,
+    # where it is there, so that one star reaches what stars around a random copy would miss.
+    fame = shared.groupBy("row").agg(F.sum("n").alias("fame"))
+    shared = materialize(shared.join(fame, "row"), "shared")
+    buckets = shared.groupBy("key").agg(F.max_by("row", F.struct(F.col("fame"), -F.col("row"))).alias("first"))
     sigs = nodes.select("row", "sig")
 
     # Star step.
     star = (
-        keys.join(buckets, "key").filter("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b")).distinct()
+        shared.join(buckets, "key").filter("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b")).distinct()
         .join(sigs.select(F.col("row").alias("a"), F.col("sig").alias("sig_a")), "a")
         .join(sigs.select(F.col("row").alias("b"), F.col("sig").alias("sig_b")), "b")
         .select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(percent, miss), "a long, b long")
@@ -297,20 +305,20 @@ def near_duplicates(
     found = components(links)
 
     # Rest step.
-    placed = keys.join(buckets.select("key", "n"), "key").join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("root", "row"))
+    placed = shared.join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("root", "row"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
-    # A pair with the bucket's first has been tested; a bucket of two holds no other.
+    # Pairs with the bucket's centre have been tested; a bucket of two holds no other.
     blocked = (
         placed.filter("n > 2").join(open_keys, "key", "left_semi")
         .withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "row", "comp")
-        .join(sigs, "row")
+        .join(nodes.select("row", "sig", "keys"), "row")
         .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        .select("key", "i", "j", "block", "band", "row", "comp", "sig")
+        .select("key", "i", "j", "block", "band", "row", "comp", "sig", "keys")
     )
-    rest = blocked.mapInArrow(_compare_blocks(band_rows, percent, miss), "a long, b long")
+    rest = blocked.mapInArrow(_compare_blocks(percent, miss), "a long, b long")
     more = _verified(rest.distinct(), rows, percent)
     linked = components(more.union(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
