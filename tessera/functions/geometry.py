@@ -91,3 +91,14 @@ def rotation_angle(a: Column, b: Column) -> Column:
     dot = F.try_divide(a["x"] * b["x"] + a["y"] * b["y"], norm)
     angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))))
     return F.when(a["x"] * b["y"] - a["y"] * b["x"] > 0, angle).otherwise(-angle)
+
+
+def scale_to_box(donor: Column, host: Column) -> Column:
+    """Size of a donor scaled to the host's box, and the factors: struct (width, height, fx, fy). Sizes are one pixel at least."""
+    def side(box: Column, low: str, high: str) -> Column:
+        return box[high] - box[low]
+
+    w, h = side(host, "x1", "x2"), side(host, "y1", "y2")
+    return F.struct(
+        F.greatest(w, F.lit(1)).alias("width"), F.greatest(h, F.lit(1)).alias("height"),
+        F.try_divide(w.cast("double"), side(donor, "x1", "x2").cast("double")).alias("fx"), F.try_divide(h.cast("double"), side(donor, "y1", "y2").cast("double")).alias("fy"))

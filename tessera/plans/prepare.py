@@ -52,7 +52,7 @@ def _source_grid(row, height: int, width: int) -> tuple[np.ndarray, np.ndarray,
 
 def augment_geometry(rasters: DataFrame, params: DataFrame, *keys: str) -> DataFrame:
     """Rasters (``keys, kind, height, width, channels, data``) moved by their tile's parameters; nearest pixel, so masks keep their labels."""
-    joined = rasters.join(params, list(keys))
+    joined, columns = rasters.join(params, list(keys)), list(rasters.columns)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -61,14 +61,14 @@ def augment_geometry(rasters: DataFrame, params: DataFrame, *keys: str) -> DataF
                 pixels = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.channels)
                 sy, sx, inside = _source_grid(row, row.height, row.width)
                 data.append((pixels[sy, sx] * inside[:, :, None].astype(np.uint8)).tobytes())
-            yield part[list(rasters.columns)].assign(data=data)
+            yield part[columns].assign(data=data)
 
     return joined.mapInPandas(run, rasters.schema)
 
 
 def augment_color(rasters: DataFrame, params: DataFrame, *keys: str) -> DataFrame:
     """Brightness, contrast and saturation of images by their tile's parameters; masks pass unchanged."""
-    joined = rasters.join(params, list(keys))
+    joined, columns = rasters.join(params, list(keys)), list(rasters.columns)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -83,7 +83,7 @@ def augment_color(rasters: DataFrame, params: DataFrame, *keys: str) -> DataFram
                 grey = v[:, :3].mean(axis=1, keepdims=True)
                 v[:, :3] = _turned(grey + (v[:, :3] - grey) * row.saturation, row.hue)
                 data.append(np.clip(np.rint(v), 0, 255).astype(np.uint8).tobytes())
-            yield part[list(rasters.columns)].assign(data=data)
+            yield part[columns].assign(data=data)
 
     return joined.mapInPandas(run, rasters.schema)
 

@@ -192,6 +192,15 @@ def class_weights(spark, d):
     return T.class_weights(V.pixels(spark, d))
 
 
+@query(f"""WITH {PX}, c AS (SELECT gt, count(*) AS n FROM px GROUP BY gt), w AS (SELECT CAST(round(CAST((SELECT count(*) FROM px) AS DOUBLE) / n, 0) AS VARCHAR) AS v, gt FROM c)
+    SELECT 0 AS conf_id, unnest(['weight_0', 'weight_1', 'weight_2', 'weight_3', 'weight_4']) AS parameter,
+           unnest([{", ".join(f"(SELECT v FROM w WHERE gt = {c})" for c in range(5))}]) AS value""")
+def weights_as_parameters(spark, d):
+    weights = T.class_weights(V.pixels(spark, d), digits=0).filter("head = 'dmg'")
+    one = weights.agg(F.lit(0).alias("conf_id"), *[F.max(F.when(F.col("class") == c, F.col("weight"))).alias(f"weight_{c}") for c in range(5)])
+    return C.as_parameters(one)
+
+
 @query(f"""WITH ch AS ({V.CHANNELS_SQL}) SELECT tile_id, phase, channel, round(avg(v / 255e0), 6) AS mean, round(stddev_pop(v / 255e0), 6) AS stdv FROM ch GROUP BY ALL""")
 def channel_statistics(spark, d):
     return rounded(T.channel_stats(V.channels(spark, d)), "mean", "stdv")
@@ -451,6 +460,19 @@ def best_slices(spark, d):
     return rounded(B.best_slices(_hash_ordered(spark, d), 200, [0.3, 0.5, 0.7]), "score")
 
 
+def _sweep_sql(n: int) -> str:
+    body = SLICES.partition(", o AS")[2].replace("199 FOLLOWING", f"{n - 1} FOLLOWING").replace("k = 200", f"k = {n}")
+    return f"""SELECT beta, {n} AS n, start, round(score, 6) AS score FROM (WITH o AS{body}
+        SELECT *, row_number() OVER (PARTITION BY beta ORDER BY round(score, 9) DESC, start) AS r FROM b) WHERE r = 1"""
+
+
+@query(f"WITH {COUNTS} " + " UNION ALL ".join(_sweep_sql(n) for n in (100, 200, 400)))
+def slice_sizes_sweep(spark, d):
+    ordered = _hash_ordered(spark, d)
+    found = [B.best_slices(ordered, n, [0.3, 0.5, 0.7]) for n in (100, 200, 400)]
+    return rounded(found[0].unionByName(found[1]).unionByName(found[2]), "score")
+
+
 @query()
 def greedy_order(spark, d):
     """The greedy order of each disaster; tests hold it against the step-by-step definition."""
@@ -744,6 +766,28 @@ def evaluation(spark, d):
     return rounded(found["pixel"].select(F.lit("pixel").alias("level"), "class", "f1").unionByName(found["object"].select(F.lit("object").alias("level"), "class", "f1")), "f1")
 
 
+@query(f"""WITH {OBJECTS}, t AS (SELECT DISTINCT tile_id FROM poly ORDER BY {_hash(0, 'tile_id')}, tile_id LIMIT 40), mo AS (SELECT o.* FROM gmo o JOIN t USING (tile_id)), po AS (SELECT o.* FROM pmo o JOIN t USING (tile_id)),
+    ov AS (SELECT tile_id, g.obj AS gid, p.obj AS pid, count(*) AS inter FROM gmc g JOIN pmc p USING (tile_id, y, x) JOIN t USING (tile_id) GROUP BY 1, 2, 3),
+    ma AS (SELECT ov.tile_id, g.label AS glabel, p.label AS plabel FROM ov JOIN mo g ON g.tile_id = ov.tile_id AND g.obj = gid JOIN po p ON p.tile_id = ov.tile_id AND p.obj = pid
+           WHERE inter / CAST(g.area + p.area - inter AS DOUBLE) > 0.5e0)
+    SELECT class, m AS true_pos, p - m AS false_pos, g - m AS false_neg, CAST(0 AS BIGINT) AS true_neg, g AS true_total, p AS pred_total FROM
+    (SELECT class, (SELECT count(*) FROM mo WHERE label = class) AS g, (SELECT count(*) FROM po WHERE label = class) AS p, (SELECT count(*) FROM ma WHERE glabel = class AND plabel = class) AS m FROM {SPINE})""")
+def sampled_object_confusion(spark, d):
+    """A sampling operator: the object confusion of 40 tiles in hash order."""
+    tiles = sample_n(V.polygons(spark, d).select("tile_id").distinct(), 40, "tile_id")
+    g, p = (R.connected_components(m.join(tiles, "tile_id", "left_semi"), side=64) for m in _masks(spark, d))
+    return O.object_confusion(O.object_table(g), O.object_table(p), O.match_objects(O.object_iou(g, p)))
+
+
+@query(f"""WITH {POLY}, n AS (SELECT obj - 1 AS k, x1 - x0 AS w, y1 - y0 AS h FROM poly)
+    SELECT tile_id, obj, greatest(n.w, 1) AS width, greatest(n.h, 1) AS height, round(n.w / CAST(x1 - x0 AS DOUBLE), 6) AS fx, round(n.h / CAST(y1 - y0 AS DOUBLE), 6) AS fy FROM poly JOIN n ON k = obj""")
+def donor_scales(spark, d):
+    boxes = V.polygons(spark, d).select("tile_id", "obj", F.struct(F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2")).alias("box"))
+    hosts = boxes.select((F.col("obj") - 1).alias("obj"), F.col("box").alias("host"))
+    scaled = boxes.join(hosts, "obj").select("tile_id", "obj", G.scale_to_box(F.col("box"), F.col("host")).alias("s")).select("tile_id", "obj", "s.*")
+    return rounded(scaled, "fx", "fy")
+
+
 U01 = lambda name: f"CAST({_pick(0, '1000001', repr(name), 'tile_id')} AS DOUBLE) / 1000000"
 
 
