@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,23 @@ def workspace(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
 
 
+#: Rows that go to Python at a time in the steps that are run here: texts can be long, and memory is shared with the JVM.
+ROWS_PER_BATCH = 2_000
+
+
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Smaller Arrow batches while a step runs; the session's own setting comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` once to the shared workspace and read it back.
 
@@ -38,7 +57,8 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{workspace(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with arrow_batches(spark, ROWS_PER_BATCH):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import seeded_order, table, unit_of
+from tessera.llm._common import materialize, seeded_order, table, unit_of
 
 UNDETERMINED = "und"
 SCHEMA = "lang_pred string, score double, bits double"
@@ -241,10 +241,17 @@ def op10_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Documents whose language can be told, with the columns they came with; ``und`` goes."""
+    """Documents whose language can be told, with the columns they came with; ``und`` goes.
+
+    Only the keys (id, hash of the text) of what goes are kept; documents themselves never pass through Python. The keys
+    are written first, so that the planner knows their size and broadcasts them only where they are few.
+    """
     sample = training_sample(docs.filter(~held_out(id_col)), id_col, text_col, lang_col)
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(text_col).alias("text"))
-    return identify(whole, sample, carry=["doc"]).filter(F.col("lang_pred") != UNDETERMINED).select("doc.*")
+    key = [F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text")]
+    judged = identify(docs.select(*key, F.col(text_col).alias("text")), sample, carry=["_id", "_text"])
+    gone = materialize(judged.filter(F.col("lang_pred") == UNDETERMINED).select("_id", "_text").distinct(), "und")
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_text"))
+    return docs.join(gone, same, "left_anti")
 
 
 QUERIES = {"op10_cross_parsing_language": op10_cross_parsing_language}

@@ -339,7 +339,7 @@ def near_duplicates(
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each component, with the columns it came with."""
     rows = number_rows(docs, id_col, text_col, keep_whole=True)
-    dropped = near_duplicates(rows, **options).filter("row <> first_row").select("row")
+    dropped = materialize(near_duplicates(rows, **options).filter("row <> first_row").select("row"), "dropped")
     return rows.select("row", "doc").join(dropped, "row", "left_anti").select("doc.*")
 
 
