@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,6 +140,11 @@ class Model:
                    else p.replace(SPACE, b" ") for p, t in zip(self.pieces, self.types, strict=True)]
         self.surface = surface
         self.is_byte = np.array([t == BYTE for t in self.types])
+        self.is_unknown = np.array([t == UNKNOWN for t in self.types])
+        self.starts_word = np.array([t == NORMAL and p.startswith(SPACE) for p, t in zip(self.pieces, self.types, strict=True)])
+        self.surface_pool = np.frombuffer(b"".join(surface), np.uint8)
+        self.surface_sizes = np.array([len(x) for x in surface], np.int64)
+        self.surface_starts = np.cumsum(self.surface_sizes) - self.surface_sizes
         self.young: dict[bytes, tuple[bytes, bytes]] = {}
         self.old: dict[bytes, tuple[bytes, bytes]] = {}
 
@@ -217,33 +223,102 @@ class Model:
                 sizes.append(len(raw))
         return ids, sizes
 
-    def encode(self, text: bytes, remember: int = 500_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the pieces, and where each begins and ends in the bytes of ``text``."""
         norm, origin = self.normalize(text)
-        ids, ends = self.encode_normalized(norm, remember)
+        ids, ends = self.encode_normalized(norm)
         begins = np.concatenate([np.zeros(1, ends.dtype), ends[:-1]])[: len(ends)]
         return ids, origin[begins], origin[ends]
 
-    def encode_normalized(self, norm: bytes, remember: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and ends of the pieces of normalised text. Words are remembered in two generations of bounded size."""
-        young, old, known = self.young, self.old, []
-        for word in _word_pieces(norm) if self.by_word else [norm] * bool(norm):
-            got = young.get(word)
-            if got is None:
-                got = old.get(word)
-                if got is None:
-                    ids, sizes = self.merge(word)
-                    got = array("I", ids).tobytes(), array("I", sizes).tobytes()
-                if len(word) <= 64:
-                    if len(young) >= remember // 2:
-                        old = self.old = young
-                        young = self.young = {}
-                    young[word] = got
-            known.append(got)
+    def encode_normalized(self, norm: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and ends of the pieces of normalised text."""
+        known = [self.pieces_of(word) for word in (_word_pieces(norm) if self.by_word else [norm] * bool(norm))]
         ids = np.frombuffer(b"".join([g[0] for g in known]), "<u4")
         ends = np.cumsum(np.frombuffer(b"".join([g[1] for g in known]), "<u4"), dtype=np.int64)
         return ids, ends
 
+    def pieces_of(self, word: bytes, remember: int = 500_000) -> tuple[bytes, bytes]:
+        """Ids and byte lengths of a word's pieces, as packed 32-bit integers; remembered in two generations of bounded size."""
+        got = self.young.get(word)
+        if got is None:
+            got = self.old.get(word)
+            if got is None:
+                ids, sizes = self.merge(word)
+                got = array("I", ids).tobytes(), array("I", sizes).tobytes()
+            if len(word) <= 64:
+                if len(self.young) >= remember // 2:
+                    self.old, self.young = self.young, {}
+                self.young[word] = got
+        return got
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Many texts at once: ids, begins and ends of all pieces, and where each text's pieces start and stop.
+
+        Where the model leaves characters as they are, words between single spaces are looked up once for each
+        distinct word, and what they stand for is gathered with NumPy. Other texts are encoded one by one.
+        """
+        plain = self.by_word and self.dummy_prefix and self.escape and not self.map.units and not self.remove_extra
+        texts = pc.fill_null(texts, b"")
+        parts = pc.split_pattern(texts, b" ")
+        offsets, words = parts.offsets.to_numpy(), parts.flatten()
+        offsets = offsets - offsets[0]
+        # A text with an empty part has no words, spaces at an end, or several together.
+        odd = np.add.reduceat(np.append(pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False), False).astype(np.int64), offsets[:-1]) > 0
+        odd |= pc.match_substring(texts, SPACE).to_numpy(zero_copy_only=False)
+        if not plain:
+            odd[:] = True
+        coded = words.dictionary_encode()
+        which, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        used = np.zeros(len(distinct), bool)
+        used[which[~np.repeat(odd, np.diff(offsets))]] = True
+        known = [self.pieces_of(SPACE + w) if u else (b"", b"") for w, u in zip(distinct, used.tolist(), strict=True)]
+        pool = np.frombuffer(b"".join([k[0] for k in known]), "<u4")
+        pool_sizes = np.frombuffer(b"".join([k[1] for k in known]), "<u4").astype(np.int64)
+        number = np.fromiter((len(k[0]) // 4 for k in known), np.int64, len(known))
+        n = number[which]
+        stop = np.cumsum(n)
+        at = np.repeat((np.cumsum(number) - number)[which] - (stop - n), n) + np.arange(int(stop[-1]) if len(stop) else 0)
+        ids, sizes = pool[at], pool_sizes[at]
+        # A word's first piece holds U+2581: the space before it, or nothing before a text's first word.
+        heads = (stop - n)[n > 0]
+        sizes[heads] -= len(SPACE) - 1
+        firsts = np.append(stop - n, len(ids))[offsets[:-1]]
+        sizes[firsts[~odd]] -= 1
+        bounds = np.append(np.append(stop - n, len(ids))[offsets[:-1]], len(ids))
+        ends = np.cumsum(sizes)
+        ends = ends - np.repeat(np.append(0, ends)[bounds[:-1]], np.diff(bounds))
+        begins = np.append(0, ends)[:-1]
+        begins[bounds[:-1][np.diff(bounds) > 0]] = 0
+        if not odd.any():
+            return ids, begins, ends, bounds
+        pieces = [[x[lo:hi] for x in (ids, begins, ends)] for lo, hi in itertools.pairwise(bounds.tolist())]
+        for i in np.flatnonzero(odd).tolist():
+            pieces[i] = list(self.encode(texts[i].as_py()))
+        bounds = np.cumsum([0, *(len(x[0]) for x in pieces)])
+        ids, begins, ends = (np.concatenate([x[j] for x in pieces]) for j in range(3))
+        return ids.astype("<u4"), begins, ends, bounds
+
+    def surfaces(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all pieces in a row, and where each piece's end."""
+        size = self.surface_sizes[ids]
+        stop = np.cumsum(size)
+        at = np.repeat(self.surface_starts[ids] - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)
+        return self.surface_pool[at], stop
+
+    def decode_batch(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """Texts of many sequences of ids. Those that hold bytes, or begin otherwise than with a word, are decoded one by one."""
+        data, stop = self.surfaces(ids)
+        stop = np.append(0, stop)
+        raw, out = data.tobytes(), []
+        special = np.append(0, np.cumsum(self.is_byte[ids] | self.is_unknown[ids]))
+        simple = self.dummy_prefix and not self.remove_extra
+        for lo, hi in itertools.pairwise(bounds.tolist()):
+            if simple and hi > lo and special[hi] == special[lo] and self.starts_word[ids[lo]]:
+                out.append(raw[stop[lo] + 1 : stop[hi]].decode("utf-8", "surrogatepass"))
+            else:
+                out.append(self.decode(ids[lo:hi]))
+        return out
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, control pieces included."""
         surface, pieces, types = self.surface, self.pieces, self.types
@@ -350,34 +425,49 @@ def load(blob: bytes) -> Model:
     return Model(blob)
 
 
-def _code(blob: bytes, carry: list[str], spans: bool, tokens: bool):
+def _code(blob: bytes, carry: list[str], spans: bool, tokens: bool, bytes_per_batch: int = 3_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(blob)
+        for whole in batches:
+            for batch in _bounded(whole, "text", bytes_per_batch):
+                yield code(model, batch)
+
+    def code(model: Model, batch: pa.RecordBatch) -> pa.RecordBatch:
         first, last = (np.array([i], "<u4") for i in (model.begin, model.end))
-        for batch in batches:
-            columns: dict[str, list] = {"n_tokens": [], "ids": [], "begins": [], "ends": [], "decoded": [], "ids_sha256": []}
-            for text in batch.column("text").cast(pa.binary()):
-                ids, begins, ends = model.encode(text.as_py() or b"")
-                ids = np.concatenate([first, ids, last])
-                columns["n_tokens"].append(len(ids))
-                columns["ids_sha256"].append(hashlib.sha256(ids.tobytes()).hexdigest())
-                columns["decoded"].append(model.decode(ids))
-                if tokens:
-                    columns["ids"].append(ids)
-                if spans:
-                    columns["begins"].append(begins)
-                    columns["ends"].append(ends)
-            kept = [batch.column(c) for c in carry]
-            out = [pa.array(columns["n_tokens"], pa.int64()), pa.array(columns["ids_sha256"], pa.string()), pa.array(columns["decoded"], pa.string())]
-            names = [*carry, "n_tokens", "ids_sha256", "decoded"]
-            for c in ["ids"] * tokens + ["begins", "ends"] * spans:
-                out.append(pa.array(columns[c], pa.list_(pa.int32())))
-                names.append(c)
-            yield pa.RecordBatch.from_arrays([*kept, *out], names)
+        ids, begins, ends, bounds = model.encode_batch(batch.column("text").cast(pa.binary()))
+        sequences = [np.concatenate([first, ids[lo:hi], last]) for lo, hi in itertools.pairwise(bounds.tolist())]
+        lengths = np.diff(bounds)
+        covered = np.where(lengths > 0, np.append(ends, 0)[np.maximum(bounds[1:] - 1, 0)], 0)
+        out = {
+            "n_tokens": pa.array(lengths + 2, pa.int64()),
+            "n_bytes": pa.array(covered, pa.int64()),
+            "ids_sha256": pa.array([hashlib.sha256(s.tobytes()).hexdigest() for s in sequences], pa.string()),
+            "decoded": pa.array(model.decode_batch(ids, bounds), pa.string()),
+        }
+        if tokens:
+            out["ids"] = _lists(np.concatenate([np.empty(0, "<u4"), *sequences]), bounds + 2 * np.arange(len(bounds)))
+        if spans:
+            out |= {"begins": _lists(begins, bounds), "ends": _lists(ends, bounds)}
+        kept = {c: batch.column(c) for c in carry}
+        return pa.RecordBatch.from_arrays([*kept.values(), *out.values()], [*kept, *out])
 
     return run
 
 
+def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.astype(np.int32), pa.int32()))
+
+
+def _bounded(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold about ``most`` bytes of text; a longer text comes alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+    group = (np.cumsum(sizes) - sizes) // most
+    cuts = np.flatnonzero(np.diff(group)) + 1
+    for lo, hi in itertools.pairwise([0, *cuts.tolist(), len(batch)]):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+
+
 def model_bytes(spark: SparkSession, path: str) -> bytes:
     """A model from any file system that Spark reads; or from the driver's own disk where the path is plain."""
     if "://" in path:
@@ -387,17 +477,18 @@ def model_bytes(spark: SparkSession, path: str) -> bytes:
 
 
 def encode(docs: DataFrame, model: bytes, text_col: str = "text", carry: list[str] | None = None, spans: bool = True, tokens: bool = True) -> DataFrame:
-    """``carry`` columns (default ``doc_id``), ``n_tokens, ids_sha256, decoded`` and, where asked for, ``ids`` with begin
-    and end ids, and ``begins, ends``: the bytes of the original text that each piece between them stands for."""
+    """``carry`` columns (default ``doc_id``), ``n_tokens, n_bytes, ids_sha256, decoded`` and, where asked for, ``ids`` with begin
+    and end ids, and ``begins, ends``: the bytes of the original text that each piece between them stands for. ``n_bytes`` is where
+    the last piece ends."""
     carry = carry or ["doc_id"]
     rows = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text_col).cast("string").alias("text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["n_tokens long", "ids_sha256 string", "decoded string"]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["n_tokens long", "n_bytes long", "ids_sha256 string", "decoded string"]
     fields += ["ids array<int>"] * tokens + ["begins array<int>", "ends array<int>"] * spans
     return rows.mapInArrow(_code(model, carry, spans, tokens), ", ".join(fields))
 
 
 def digests(coded: DataFrame, *carry: str) -> DataFrame:
-    return coded.select(*carry, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select(*carry, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "n_bytes")
 
 
 def public_model() -> str:
@@ -408,7 +499,7 @@ def public_model() -> str:
 
 def op4_sentence_pieces(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     model = model_bytes(spark, model_path or public_model())
-    return digests(encode(table(spark, sf_dir, "documents"), model, spans=True, tokens=False).drop("begins", "ends"), "doc_id")
+    return digests(encode(table(spark, sf_dir, "documents"), model, spans=False, tokens=False), "doc_id")
 
 
 QUERIES = {"op4_sentence_pieces": op4_sentence_pieces}
