@@ -1,7 +1,8 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
-Each step points rows at the least neighbour it can see; both are grouped minima and joins, so hubs cost
-partial sums, not a task. The number of rounds grows with the logarithm of the longest path. Every round's
+Each step points rows at the least neighbour it can see: a grouped minimum, with partial results before its shuffle,
+and a join. Minima are written before they are joined, so that the join has a shuffle of its own, which adaptive
+execution splits where a hub holds many of the links. The number of rounds grows with the logarithm of the longest path. Every round's
 links are written to the shared workspace, which cuts lineage.
 """
 
@@ -14,7 +15,7 @@ from tessera.llm._common import materialize
 
 
 def _least(links: DataFrame) -> DataFrame:
-    return links.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("u"), F.least("a", "least").alias("least"))
+    return materialize(links.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("u"), F.least("a", "least").alias("least")), "least")
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -26,10 +27,11 @@ def _large_star(links: DataFrame) -> DataFrame:
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    joined = down.join(_least(down), F.col("a") == F.col("u"))
+    least = _least(down)
+    joined = down.join(least, F.col("a") == F.col("u"))
     return (
         joined.select(F.col("b").alias("a"), F.col("least").alias("b"))
-        .union(_least(down).select(F.col("u").alias("a"), F.col("least").alias("b")))
+        .union(least.select(F.col("u").alias("a"), F.col("least").alias("b")))
         .filter("a <> b").distinct()
     )
 
@@ -43,7 +45,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = _print(now)
     for _ in range(max_rounds if mark[0] else 0):
-        now = materialize(_small_star(_large_star(now)), "links")
+        now = materialize(_small_star(materialize(_large_star(now), "links")), "links")
         last, mark = mark, _print(now)
         if mark == last:
             break

@@ -330,8 +330,10 @@ def near_duplicates(
         .select("row", "doc_id", "n_shingles", "group")
     )
     groups = materialize(groups, "groups")
-    first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first"))
-    return groups.join(first, "group").select(
+    # Groups of several rows only, and written: then a group of any size can be split by the join.
+    ahead = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    first = materialize(groups.groupBy("group").agg(F.min(ahead).alias("first"), F.count("*").alias("n")).filter("n > 1").select("group", "first"), "first")
+    return groups.join(first, "group", "left").withColumn("first", F.coalesce("first", ahead)).select(
         "row", "doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row")
     )
 
