@@ -271,30 +271,30 @@ def average_precision(spark, d):
 
 # ---------------------------------------------------------------- epochs, configurations, reports
 
-HF = f"{EP}, hf AS (SELECT conf, fold, epoch, round(avg(val) / 500, 6) AS hf1 FROM ep GROUP BY conf, fold, epoch)"
+HF = f"{EP}, hf AS (SELECT conf, fold, epoch, round(avg(val) / 500, 12) AS hf1 FROM ep GROUP BY conf, fold, epoch)"
 
 
 def _hf(spark, d):
-    return V.epochs(spark, d).groupBy("conf", "fold", "epoch").agg(F.round(F.avg("val") / 500, 6).alias("hf1"))
+    return V.epochs(spark, d).groupBy("conf", "fold", "epoch").agg(F.round(F.avg("val") / 500, 12).alias("hf1"))
 
 
 def _seg(spark, d):
-    return V.epochs(spark, d).groupBy("conf", "fold", "epoch").agg(F.round(F.max("val") / 500, 6).alias("hf1"))
+    return V.epochs(spark, d).groupBy("conf", "fold", "epoch").agg(F.round(F.max("val") / 500, 12).alias("hf1"))
 
 
 def _loss(spark, d):
     return M.weighted_average(V.epochs(spark, d), "conf", "fold", "epoch").withColumnRenamed("mean", "loss")
 
 
-@query(f"WITH {EP} SELECT conf, fold, epoch, round(sum(val * n) / sum(n), 6) AS mean FROM ep GROUP BY ALL")
+@query(f"WITH {EP} SELECT conf, fold, epoch, round(sum(val * n) / sum(n), 10) AS mean FROM ep GROUP BY ALL")
 def weighted_means(spark, d):
-    return rounded(M.weighted_average(V.epochs(spark, d), "conf", "fold", "epoch"), "mean")
+    return rounded(M.weighted_average(V.epochs(spark, d), "conf", "fold", "epoch"), "mean", digits=10)
 
 
 @query(f"""WITH {EP}, s AS (SELECT conf, fold, epoch, sum(val * n) AS s, CAST(sum(n) AS BIGINT) AS w FROM ep GROUP BY ALL)
-    SELECT conf, fold, epoch, round(sum(s) OVER o / sum(w) OVER o, 5) AS running, round(s / w, 5) AS own FROM s WINDOW o AS (PARTITION BY conf, fold ORDER BY epoch)""")
+    SELECT conf, fold, epoch, round(sum(s) OVER o / sum(w) OVER o, 10) AS running, round(s / w, 10) AS own FROM s WINDOW o AS (PARTITION BY conf, fold ORDER BY epoch)""")
 def running_losses(spark, d):
-    return rounded(M.running_loss(V.epochs(spark, d), ["conf", "fold"]), "running", "own", digits=5)
+    return rounded(M.running_loss(V.epochs(spark, d), ["conf", "fold"]), "running", "own", digits=10)
 
 
 @query(f"""WITH {HF}, b AS (SELECT *, max(hf1) OVER (PARTITION BY conf, fold ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM hf)
@@ -308,13 +308,13 @@ def best_epochs(spark, d):
     return C.best_epochs(_hf(spark, d))
 
 
-FOLDS = f"""{HF}, se AS (SELECT conf, fold, epoch, round(max(val) / 500, 6) AS seg_hf1, sum(val * n) / sum(n) AS loss FROM ep GROUP BY ALL),
-    fo AS (SELECT conf, fold, epoch AS best_epoch, hf1 AS dmg_hf1, round(loss, 6) AS val_loss, seg_hf1
+FOLDS = f"""{HF}, se AS (SELECT conf, fold, epoch, round(max(val) / 500, 12) AS seg_hf1, sum(val * n) / sum(n) AS loss FROM ep GROUP BY ALL),
+    fo AS (SELECT conf, fold, epoch AS best_epoch, hf1 AS dmg_hf1, round(loss, 10) AS val_loss, seg_hf1
            FROM (SELECT *, row_number() OVER (PARTITION BY conf, fold ORDER BY hf1 DESC, epoch) AS r FROM hf) JOIN se USING (conf, fold, epoch) WHERE r = 1)"""
 
 
 def _folds(spark, d):
-    return rounded(C.fold_results(_hf(spark, d), _seg(spark, d), _loss(spark, d)), "val_loss")
+    return rounded(C.fold_results(_hf(spark, d), _seg(spark, d), _loss(spark, d)), "val_loss", digits=10)
 
 
 @query(f"WITH {FOLDS} SELECT * FROM fo")
@@ -332,19 +332,19 @@ def best_config_by_mean(spark, d):
     return C.best_config(_folds(spark, d), by="mean")
 
 
-@query(f"""WITH {EP}, a AS (SELECT epoch, round(avg(val), 6) AS train FROM ep WHERE epoch <> 3 GROUP BY epoch), b AS (SELECT epoch, round(max(val), 6) AS val FROM ep WHERE epoch <> 5 GROUP BY epoch)
+@query(f"""WITH {EP}, a AS (SELECT epoch, round(avg(val), 10) AS train FROM ep WHERE epoch <> 3 GROUP BY epoch), b AS (SELECT epoch, round(max(val), 10) AS val FROM ep WHERE epoch <> 5 GROUP BY epoch)
     SELECT coalesce(a.epoch, b.epoch) AS epoch, train, val FROM a FULL JOIN b ON a.epoch = b.epoch""")
 def aligned_series(spark, d):
     ep = V.epochs(spark, d)
-    return C.aligned_series(ep.filter("epoch <> 3").groupBy("epoch").agg(F.round(F.avg("val"), 6).alias("value")), ep.filter("epoch <> 5").groupBy("epoch").agg(F.round(F.max("val"), 6).alias("value")))
+    return C.aligned_series(ep.filter("epoch <> 3").groupBy("epoch").agg(F.round(F.avg("val"), 10).alias("value")), ep.filter("epoch <> 5").groupBy("epoch").agg(F.round(F.max("val"), 10).alias("value")))
 
 
-@query(f"""WITH {EP}, a AS (SELECT epoch, round(avg(val), 6) AS value, 0 AS r FROM ep WHERE fold < 2 AND epoch <= 8 GROUP BY epoch
-    UNION ALL SELECT epoch, round(avg(val), 6), 1 FROM ep WHERE fold >= 2 AND epoch >= 6 GROUP BY epoch)
+@query(f"""WITH {EP}, a AS (SELECT epoch, round(avg(val), 10) AS value, 0 AS r FROM ep WHERE fold < 2 AND epoch <= 8 GROUP BY epoch
+    UNION ALL SELECT epoch, round(avg(val), 10), 1 FROM ep WHERE fold >= 2 AND epoch >= 6 GROUP BY epoch)
     SELECT epoch, arg_max(value, r) AS value FROM a GROUP BY epoch""")
 def resumed_series(spark, d):
     ep = V.epochs(spark, d)
-    run = lambda cond: ep.filter(cond).groupBy("epoch").agg(F.round(F.avg("val"), 6).alias("value"))
+    run = lambda cond: ep.filter(cond).groupBy("epoch").agg(F.round(F.avg("val"), 10).alias("value"))
     return C.resumed(run("fold < 2 AND epoch <= 8"), run("fold >= 2 AND epoch >= 6"))
 
 
