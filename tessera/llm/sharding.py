@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from tessera.llm._common import materialize, seeded_order, table, text_or_empty, unit_of
 
 OVERHEAD_BYTES = 16
+#: A source's rows are dealt to so many cells at least, so that a hot source is spread on small tables too.
+LEAST_CELLS = 64
 
 
 def _offsets(counts: DataFrame, keys: list[str], cell: str) -> DataFrame:
@@ -37,7 +39,7 @@ def _offsets(counts: DataFrame, keys: list[str], cell: str) -> DataFrame:
 def interleave(rows: DataFrame, seed: int = 7, rows_per_cell: int = 50_000) -> DataFrame:
     """Add ``fraction, pos, total`` to rows of ``doc_id, source, size, crc`` (materialised)."""
     total = rows.count()
-    cells = max(1, math.ceil(total / rows_per_cell))
+    cells = max(LEAST_CELLS, math.ceil(total / rows_per_cell))
     ordered = rows.withColumn("h", seeded_order(seed, F.col("doc_id"))).withColumn(
         "cell", F.floor(unit_of(F.col("h")) * cells)
     )
