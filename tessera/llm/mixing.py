@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import materialize, seeded_order, table, text_or_empty, unit_of, word_count
 
+#: A source's rows are dealt to so many cells at least, so that a hot source is spread on small tables too.
+LEAST_CELLS = 64
+
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
     """``source, weight, source_size, target`` for rows of ``source, size``; one row per source."""
@@ -70,7 +73,7 @@ def fair_queue(
 ) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies`` for materialised ``doc_id, source, size, ...``."""
     n, budget = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    cells = max(1, math.ceil(n / rows_per_cell))
+    cells = max(LEAST_CELLS, math.ceil(n / rows_per_cell))
     targets = source_targets(sized, weights, max_epochs)
     ordered = sized.withColumn("h", seeded_order(seed, F.col("doc_id"))).withColumn("cell", F.floor(unit_of(F.col("h")) * cells))
     before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
