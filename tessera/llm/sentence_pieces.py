@@ -237,7 +237,7 @@ class Model:
         ends = np.cumsum(np.frombuffer(b"".join([g[1] for g in known]), "<u4"), dtype=np.int64)
         return ids, ends
 
-    def pieces_of(self, word: bytes, remember: int = 500_000) -> tuple[bytes, bytes]:
+    def pieces_of(self, word: bytes, remember: int = 200_000) -> tuple[bytes, bytes]:
         """Ids and byte lengths of a word's pieces, as packed 32-bit integers; remembered in two generations of bounded size."""
         got = self.young.get(word)
         if got is None:
