@@ -266,10 +266,12 @@ def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 
 
 def number_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_whole: bool = False) -> DataFrame:
-    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if keep_whole else []
-    return materialize(
-        docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *whole), "rows"
-    )
+    """``row, doc_id, text``, and the whole document as ``doc`` where asked for; each text is written once."""
+    row = F.monotonically_increasing_id().alias("row")
+    if not keep_whole:
+        return materialize(docs.select(row, F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), "rows")
+    whole = materialize(docs.select(row, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "rows")
+    return whole.select("row", F.col(f"doc.`{id_col}`").alias("doc_id"), F.col(f"doc.`{text_col}`").cast("string").alias("text"), "doc")
 
 
 def near_duplicates(
