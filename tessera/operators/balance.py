@@ -84,33 +84,36 @@ def replacement_plan(buildings: DataFrame, minority: str, seed: int = 0) -> Data
     )
 
 
-def clones_needed(totals: DataFrame, gains: DataFrame) -> DataFrame:
+def clones_needed(totals: DataFrame, gains: DataFrame, block: int = 4096) -> DataFrame:
     """Clones to add until a class reaches its disaster's largest: candidate clones whose earlier gains fall short.
 
     ``totals`` has ``dis_id, deficit``; ``gains`` has ``dis_id, clone, gain``, clone numbering candidates from 1.
     """
-    earlier = Window.partitionBy("dis_id").orderBy("clone").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        gains.withColumn("gained", F.coalesce(F.sum("gain").over(earlier), F.lit(0)))
+        with_prefix_sum(gains, "clone", ["gain"], block, group=["dis_id"]).withColumn("gained", F.col("gain_upto") - F.col("gain"))
         .join(totals, "dis_id").filter(F.col("gained") < F.col("deficit")).select("dis_id", "clone", "gain", "gained", "deficit")
     )
 
 
-def balance_step(counts: DataFrame, minority: str, seed: int = 0, max_clones: int = 10_000) -> DataFrame:
+def balance_step(counts: DataFrame, minority: str, seed: int = 0, block: int = 4096) -> DataFrame:
     """The clones that bring ``minority`` up to the largest class, by disaster: host tile, rate, gain.
 
-    The host is one tile, drawn by hash among those with buildings; each clone gains the host's own buildings of
-    the class and those replaced at the clone's rate.
+    The host is one tile, drawn by hash among those that hold the class; each clone gains the host's own buildings of
+    the class and those replaced at the clone's rate. A disaster without a building of the class has no host. Candidates
+    are made and summed ``block`` at a time, so that those of one disaster are spread over tasks.
     """
     others = sum((F.col(f"`{k}`") for k in DAMAGE_KEYS if k != minority), F.lit(0))
     totals = counts.groupBy("dis_id").agg(*[F.sum(f"`{k}`").alias(k) for k in DAMAGE_KEYS])
     deficit = totals.select("dis_id", (F.greatest(*[F.col(f"`{k}`") for k in DAMAGE_KEYS]) - F.col(f"`{minority}`")).alias("deficit")).filter("deficit > 0")
-    host = counts.filter(others > 0).groupBy("dis_id").agg(
+    host = counts.filter(F.col(f"`{minority}`") > 0).groupBy("dis_id").agg(
         F.min(F.struct(hash_rank(seed, "dis_id", "tile_id").alias("h"), F.col("tile_id"), F.col(f"`{minority}`").alias("own"), others.alias("others"))).alias("host"))
-    # Each clone gains one building at least, so the deficit bounds the clones; and so does max_clones.
-    candidates = host.join(deficit, "dis_id").select(
-        "dis_id", "host.tile_id", F.col("host.own").alias("own"), F.col("host.others").alias("others"),
-        F.explode(F.sequence(F.lit(1), F.least("deficit", F.lit(max_clones)).cast("int"))).alias("clone"))
+    # At the least rate a clone gains own + bround(others / 2), which is one building at least: so many clones always reach the deficit.
+    least = F.col("own") + F.bround(F.col("others") * F.lit(0.5)).cast("long")
+    needed = host.join(deficit, "dis_id").select("dis_id", F.col("host.own").alias("own"), F.col("host.others").alias("others"), "deficit").withColumn(
+        "most", F.ceil(F.col("deficit") / least))
+    blocks = needed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("most") - 1) / block)))).repartition("dis_id", "block")
+    candidates = blocks.select("dis_id", "own", "others", F.explode(F.sequence(
+        (F.col("block") * block + 1).cast("int"), F.least((F.col("block") + 1) * block, F.col("most")).cast("int"))).alias("clone"))
     rate = (5 + pick(seed, F.lit(5), F.lit("clone"), "dis_id", "clone")).cast("double") / 10
-    gains = candidates.withColumn("gain", F.col("own") + F.bround(F.col("others") * rate).cast("long"))
-    return clones_needed(deficit, gains).join(host.select("dis_id", "host.tile_id"), "dis_id")
+    gains = candidates.select("dis_id", "clone", (F.col("own") + F.bround(F.col("others") * rate).cast("long")).alias("gain"))
+    return clones_needed(deficit, gains, block).join(host.select("dis_id", "host.tile_id"), "dis_id")

@@ -36,15 +36,16 @@ def with_position(df: DataFrame, *order: Column | str, name: str = "pos") -> Dat
     )
 
 
-def with_prefix_sum(df: DataFrame, position: str, columns: list[str], block: int = 65_536) -> DataFrame:
-    """Add ``<column>_upto`` (sum of all rows up to and including this one, by position) for each column."""
+def with_prefix_sum(df: DataFrame, position: str, columns: list[str], block: int = 65_536, group: list[str] | None = None) -> DataFrame:
+    """Add ``<column>_upto`` (sum of all rows up to and including this one, by position) for each column, in each ``group``."""
+    group = group or []
     blocks = df.withColumn("_block", F.floor(F.col(position) / block))
-    earlier = Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = blocks.groupBy("_block").agg(*[F.sum(c).alias(c) for c in columns])
-    offsets = sums.select("_block", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in columns])
-    inside = Window.partitionBy("_block").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocks.groupBy(*group, "_block").agg(*[F.sum(c).alias(c) for c in columns])
+    offsets = sums.select(*group, "_block", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in columns])
+    inside = Window.partitionBy(*group, "_block").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        blocks.join(offsets, "_block")
+        blocks.join(offsets, [*group, "_block"])
         .withColumns({f"{c}_upto": F.col(f"_{c}") + F.sum(c).over(inside) for c in columns})
         .drop("_block", *[f"_{c}" for c in columns])
     )
