@@ -82,7 +82,7 @@ def luhn(digits: Column) -> Column:
 def valid(kind: str, value: Column) -> Column:
     """The arithmetic check of a base match."""
     if kind == "ip":
-        return F.forall(F.split(value, r"\."), lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3) & (F.right(p, F.lit(3)).cast("int") <= 255))
+        return F.forall(F.split(value, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.right(p, F.lit(3)).cast("int") <= 255))
     if kind == "card":
         return F.when(F.length(_digits(value)).between(13, 19), luhn(_digits(value))).otherwise(False)
     if kind == "phone":

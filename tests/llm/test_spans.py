@@ -73,6 +73,14 @@ def test_pii_edge_cases(spark, edge_docs, no_docs):
     assert pii.find_pii(no_docs).count() == 0
 
 
+def test_ip_parts_are_whole_numbers(spark):
+    texts = ["on 2024.10.1.5 we", "host 1000.1.1.1 up", "host 0001.0.0.255 up", "build 1.2.3.1100 out", "0.0.0.0 000.0256.1.1 10.0.00255.7"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.base if s.kind == "ip"] for r in pii.find_pii(docs).collect()}
+    assert got == {i: brute(t, {"ip": PII["ip"]}, is_pii) for i, t in enumerate(texts)}
+    assert [len(got[i]) for i in range(5)] == [0, 0, 1, 0, 2]
+
+
 def test_pii_classifier_learns_from_votes(spark):
     good = [f"please call me, phone: (212) 555-0{i:03d} today" for i in range(40)]
     base = [f"mail to user{i}@example.com now, or call +1 (212) 555-0{i:03d}" for i in range(40)]
