@@ -40,3 +40,17 @@ def test_run(spark, data_dir, edge_docs, tmp_path):
     assert len(rows) > 0
     edge_docs.filter("1 = 0").write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_near_stage_links_from_four_fifths(spark, data_dir):
+    docs, gone = [], set()
+    for family in range(40):
+        words = [f"f{family}w{i}" for i in range(94)]  # 90 shingles; k new last words share 90 - k of 90 + k
+        docs.append((10 * family, " ".join(words)))
+        for k in (7, 9, 10, 11):  # 0.86, 0.82, 0.80, 0.78
+            own = family * 10 + k - 6
+            docs.append((own, " ".join(words[:-k] + [f"f{family}k{k}n{i}" for i in range(k)])))
+            if k <= 10:
+                gone.add(own)
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string"), data_dir).collect()
+    assert {r.doc_id for r in kept} == {d for d, _ in docs} - gone
