@@ -40,9 +40,9 @@ BLOCKED_NAMES = (
     "pills-online", "win-cash", "bet-now", "ad-server", "track-pixel", "spam-links", "malware-drop", "phish-login",
 )
 ALLOWED_NAMES = (
-    "thonder", "therein", "library", "university", "recipes", "gardening", "weather", "news-daily", "science", "history",
+    "orchard", "kitchen", "library", "university", "recipes", "gardening", "weather", "news-daily", "science", "history",
     "museum", "cityhall", "football-club", "travelguide", "handwork", "astronomy", "chemistry", "bookshop", "railway", "theatre",
-    "ththing", "therand", "tionthe", "blethat", "erthion",
+    "pottery", "concert", "geology", "village", "harbour",
 )
 
 

@@ -97,3 +97,8 @@ def test_classifier_on_held_out_urls(spark):
     found = {r.page_id: r.verdict for r in U.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     want = {i: "block" if any(n in u for n in U.BLOCKED_NAMES) else "allow" for i, u in rows}
     assert sum(found[i] == want[i] for i in want) >= 0.95 * len(want)
+
+
+def test_labelled_names_are_words():
+    hosts = " ".join(url for url, _ in U.labelled_urls())
+    assert not [n for n in ("ththing", "therand", "tionthe", "blethat", "erthion", "thonder", "therein") if n in hosts]
