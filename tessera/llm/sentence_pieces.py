@@ -4,18 +4,18 @@ A piece model (``.model``) is read as it stands: its pieces, scores and normalis
 
 * Normalisation walks the compiled character map (a double-array trie over UTF-8) from each position to its
   longest prefix, replaces it, and records for every byte of the result which byte of the text it stems from.
-  White space rules of the model (dummy prefix, runs, escape by U+2581) are part of it. A model without a map
-  takes the text as it is.
+  All positions of a batch walk together, one byte at a time; a map that is empty matches nowhere. White space
+  rules of the model (dummy prefix, runs, escape by U+2581) are part of it.
 * Pieces are merged from characters by score, best first, then leftmost. What no piece covers becomes bytes.
   Pieces of the model never hold U+2581 after another character (checked when it is read), so merges never
-  cross word starts: words are merged by themselves and remembered.
+  cross word starts: the distinct words of a batch are merged together, those of one length in one matrix.
 * Every piece ends at a byte of the normalised text; the recorded alignment projects it to the original bytes.
 
 Decoding joins surfaces: U+2581 is a space, the dummy prefix goes, runs of byte pieces are UTF-8 with U+FFFD
 for each byte that doesn't fit, control pieces are silent.
 
-Each row is coded by itself in Arrow batches: nothing is shuffled. The model (half a megabyte) is read once by
-the driver and rides in the function; what a worker remembers of words is bounded.
+Each row is coded by itself in Arrow batches: nothing is shuffled, and a worker remembers nothing of texts. The
+model (half a megabyte) is read once by the driver and rides in the function.
 
 Defined cases: null text counts as empty, which has begin and end ids only and no spans; texts are coded
 whole, whatever their length; repeated rows are coded alike; an empty table gives an empty result.
@@ -42,6 +42,10 @@ from tessera.llm._common import table
 
 SPACE = "▁".encode()
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+#: Rank of neighbours that make no piece.
+_NONE = np.iinfo(np.int32).max
+#: More than there are ids and code points together.
+_SPREAD = 1 << 31
 _BYTE_PIECE = re.compile(rb"<0x([0-9A-F]{2})>")
 
 
@@ -74,29 +78,46 @@ class CharacterMap:
 
     def __init__(self, blob: bytes):
         size = int.from_bytes(blob[:4], "little") if blob else 0
-        self.units = np.frombuffer(blob[4 : 4 + size], "<u4").tolist()
+        self.units = np.frombuffer(blob[4 : 4 + size], "<u4")
         self.pool = blob[4 + size :]
 
-    def longest(self, text: bytes, at: int) -> tuple[bytes, int] | None:
-        """What replaces the longest prefix at ``at``, and the prefix's length; nothing where none is known."""
-        units, best = self.units, None
-        if not units:
-            return None
-        node = units[0]
-        pos = (node >> 10) << ((node & 512) >> 6)
-        for i in range(at, len(text)):
-            c = text[i]
-            pos ^= c
-            node = units[pos]
-            if node & 0x800000FF != c:
-                break
-            pos ^= (node >> 10) << ((node & 512) >> 6)
-            if node >> 8 & 1:
-                best = units[pos] & 0x7FFFFFFF, i + 1 - at
-        if best is None:
-            return None
-        start = best[0]
-        return self.pool[start : self.pool.index(b"\0", start)], best[1]
+    def replaced(self, at: int) -> bytes:
+        return self.pool[at : self.pool.index(b"\0", at)]
+
+    def longest(self, data: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where a known prefix starts, how long the longest one is, and where what replaces it stands in the pool.
+
+        ``limit`` says for each byte where its text ends. Positions inside a match that begins before them are left out.
+        """
+        none = np.empty(0, np.int64)
+        if not len(self.units) or not len(data):
+            return none, none, none
+        size, value = np.zeros(len(data), np.int64), np.zeros(len(data), np.int64)
+        alive = np.flatnonzero((data & 0xC0) != 0x80)
+        place = np.full(len(alive), _offset(self.units[:1])[0], np.uint32)
+        depth = 0
+        while len(alive):
+            place = place ^ data[alive + depth]
+            node = self.units[place]
+            on = (node & np.uint32(0x800000FF)) == data[alive + depth]
+            alive, place, node = alive[on], place[on], node[on]
+            place = place ^ _offset(node)
+            depth += 1
+            ends = (node >> np.uint32(8)) & np.uint32(1) == 1
+            size[alive[ends]], value[alive[ends]] = depth, self.units[place[ends]] & np.uint32(0x7FFFFFFF)
+            on = alive + depth < limit[alive]
+            alive, place = alive[on], place[on]
+        chosen, free = [], 0
+        for start in np.flatnonzero(size).tolist():
+            if start >= free:
+                chosen.append(start)
+                free = start + int(size[start])
+        starts = np.array(chosen, np.int64)
+        return starts, size[starts], value[starts]
+
+
+def _offset(node: np.ndarray) -> np.ndarray:
+    return (node >> np.uint32(10)) << ((node & np.uint32(512)) >> np.uint32(6))
 
 
 class Model:
@@ -140,163 +161,218 @@ class Model:
                    else p.replace(SPACE, b" ") for p, t in zip(self.pieces, self.types, strict=True)]
         self.surface = surface
         self.is_byte = np.array([t == BYTE for t in self.types])
-        self.is_unknown = np.array([t == UNKNOWN for t in self.types])
+        self.is_special = np.array([t in (UNKNOWN, CONTROL) for t in self.types])
         self.starts_word = np.array([t == NORMAL and p.startswith(SPACE) for p, t in zip(self.pieces, self.types, strict=True)])
         self.surface_pool = np.frombuffer(b"".join(surface), np.uint8)
         self.surface_sizes = np.array([len(x) for x in surface], np.int64)
         self.surface_starts = np.cumsum(self.surface_sizes) - self.surface_sizes
-        self.young: dict[bytes, tuple[bytes, bytes]] = {}
-        self.old: dict[bytes, tuple[bytes, bytes]] = {}
-
-    def normalize(self, text: bytes) -> tuple[bytes, np.ndarray]:
-        """The normalised text, and for each of its bytes, and its end, the place in ``text`` it stems from."""
-        if not self.map.units and not self.remove_extra and self.escape:
-            return self._normalize_plain(text)
-        space = SPACE if self.escape else b" "
-        parts: list[bytes] = []
-        origin: list[int] = []
-        at, size = 0, len(text)
-        chunks: list[tuple[bytes, int, int]] = []
-        while at < size:
-            found = self.map.longest(text, at)
-            if found is None:
-                width = 1 if text[at] < 0x80 else 2 if text[at] < 0xE0 else 3 if text[at] < 0xF0 else 4
-                found = text[at : at + width], width
-            chunks.append((found[0], at, found[1]))
-            at += found[1]
+        self._tabulate()
+
+    def _tabulate(self) -> None:
+        """For merging in matrices: ids of single characters, and for pairs of pieces that make a piece its rank and id."""
+        self.of_character = np.full(0x110000, -1, np.int32)
+        found: dict[int, tuple[int, int]] = {}
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.of_character[ord(piece)] = i
+            for cut in range(1, len(piece)):
+                a, b = self.ids.get(piece[:cut]), self.ids.get(piece[cut:])
+                if a is not None and b is not None:
+                    found[a * _SPREAD + b] = self.rank[piece], i
+        self.pair_keys = np.array(sorted(found), np.int64)
+        self.pair_rank, self.pair_id = (np.array([found[k][j] for k in self.pair_keys.tolist()] + [_NONE], np.int32) for j in range(2))
+        self.piece_sizes = np.array(self.sizes, np.int64)
+
+    def normalize(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Many texts, cut from ``data`` at ``bounds``: their normalised bytes, the byte of ``data`` that each stems from, the
+        bounds of the texts among them, and where in ``data`` what is left of each text ends."""
+        starts, widths, values = self.map.longest(data, np.repeat(bounds[1:], np.diff(bounds)))
+        # Each byte makes one byte; the first byte of a match makes all that replaces it, and its others none.
+        makes = np.ones(len(data), np.int64)
+        makes[np.repeat(starts - (np.cumsum(widths) - widths), widths) + np.arange(int(widths.sum()))] = 0
+        known = {v: np.frombuffer(self.map.replaced(v), np.uint8) for v in np.unique(values).tolist()}
+        put = [known[v] for v in values.tolist()]
+        makes[starts] = [len(x) for x in put]
+        origin = np.repeat(np.arange(len(data)), makes)
+        out, stop = data[origin], np.append(0, np.cumsum(makes))
+        if put:
+            n = makes[starts]
+            out[np.repeat(stop[starts] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] = np.concatenate(put)
+        stops, heads, tails = stop[bounds], bounds[:-1], bounds[1:]
         if self.remove_extra:
-            while chunks and chunks[0][0] == b" ":
-                chunks.pop(0)
-        if not chunks:
-            return b"", np.zeros(1, np.int64)
-        first = chunks[0][1]
+            whole = (makes > 0) | np.isin(np.arange(len(data)), starts)  # where a character or a match starts, or a byte of its own
+            blank = (makes == 1) & (np.append(out, 0)[np.minimum(stop[:-1], len(out))] == 32)
+            heads = np.append(np.flatnonzero(whole & ~blank), len(data))
+            heads = heads[np.searchsorted(heads, bounds[:-1])]
+            out, origin, stops, tails = self._without_extra(out, origin, stops, tails)
+        mark = np.frombuffer(SPACE if self.escape else b" ", np.uint8)
         if self.dummy_prefix:
-            parts.append(space)
-            origin += [first] * len(space)
-        after_space = self.remove_extra
-        end = first
-        for piece, start, width in chunks:
-            while after_space and piece.startswith(b" "):
-                piece = piece[1:]
-            if piece:
-                for c in (piece[i : i + 1] for i in range(len(piece))):
-                    out = space if c == b" " else c
-                    parts.append(out)
-                    origin += [start] * len(out)
-                after_space = piece.endswith(b" ") and self.remove_extra
-            end = start + width
-            if not self.remove_extra:
-                after_space = False
-        joined = b"".join(parts)
-        if self.remove_extra:
-            while joined.endswith(space):
-                end = origin[len(joined) - len(space)]
-                joined = joined[: -len(space)]
-        return joined, np.array([*origin[: len(joined)], end], np.int64)
-
-    def _normalize_plain(self, text: bytes) -> tuple[bytes, np.ndarray]:
-        """The same for a model whose map is empty: only spaces change."""
-        if not text:
-            return b"", np.zeros(1, np.int64)
-        widths = np.where(np.frombuffer(text, np.uint8) == 32, len(SPACE), 1)
-        origin = np.repeat(np.arange(len(text)), widths)
-        prefix = SPACE if self.dummy_prefix else b""
-        return prefix + text.replace(b" ", SPACE), np.concatenate([np.zeros(len(prefix), np.int64), origin, [len(text)]])
-
-    def merge(self, word: bytes) -> tuple[list[int], list[int]]:
-        """Ids and byte lengths of a word's pieces."""
-        parts = list(word.decode("utf-8", "surrogatepass"))
-        parts = _merged_short(parts, self.rank) if len(parts) <= 48 else _merged_long(parts, self.rank)
-        ids, sizes = [], []
-        for part in parts:
-            if (found := self.ids.get(part)) is not None:
-                ids.append(found)
-                sizes.append(self.sizes[found])
-                continue
-            raw = part.encode("utf-8", "surrogatepass")
-            if self.byte_ids:
-                # The bytes of one character share its place; the last one ends it.
-                ids += [self.byte_ids[b] for b in raw]
-                sizes += [0] * (len(raw) - 1) + [len(raw)]
-            else:
-                ids.append(self.unk)
-                sizes.append(len(raw))
-        return ids, sizes
+            some = np.flatnonzero((np.diff(stops) > 0) if self.remove_extra else (np.diff(bounds) > 0))
+            at = np.repeat(stops[some], len(mark))
+            out, origin = np.insert(out, at, np.tile(np.uint8(32), len(at))), np.insert(origin, at, np.repeat(heads[some], len(mark)))
+            added = np.zeros(len(stops), np.int64)
+            added[some + 1] = len(mark)
+            stops = stops + np.cumsum(added)
+            out[np.repeat(stops[some], len(mark)) + np.tile(np.arange(len(mark)), len(some))] = np.tile(mark, len(some))
+        if self.escape:
+            makes = np.where(out == 32, len(mark), 1)
+            stop = np.append(0, np.cumsum(makes))
+            spaces = stop[:-1][out == 32]
+            out, origin, stops = np.repeat(out, makes), np.repeat(origin, makes), stop[stops]
+            for j, c in enumerate(mark.tolist()):
+                out[spaces + j] = c
+        return out, origin, stops, tails
+
+    def _without_extra(self, out: np.ndarray, origin: np.ndarray, stops: np.ndarray, tails: np.ndarray):
+        """Runs of spaces become one, and spaces at both ends go; with the escape, marks that the text itself ends with go as well."""
+        space = out == 32
+        before = np.append(True, space)[:-1]
+        before[stops[:-1][np.diff(stops) > 0]] = True
+        keep, tails = ~(space & before), tails.copy()
+        for i in np.flatnonzero(np.diff(stops) > 0).tolist():
+            last = stops[i + 1]
+            while last > stops[i]:
+                if space[last - 1]:
+                    last -= 1
+                elif self.escape and last - 3 >= stops[i] and out[last - 3 : last].tobytes() == SPACE:
+                    last -= 3
+                else:
+                    break
+            if last < stops[i + 1]:
+                keep[last : stops[i + 1]] = False
+                tails[i] = origin[last]
+        return out[keep], origin[keep], np.append(0, np.cumsum(keep))[stops], tails
+
+    def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and byte lengths of all words' pieces in a row, and the number of each word's pieces."""
+        data = b"".join(words)
+        points = np.frombuffer(data.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        bounds = np.cumsum([0, *map(len, words)])
+        begins = np.append(0, np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80))[bounds]
+        # A character that is no piece keeps its code point, beyond all ids: it merges with nothing.
+        known = self.of_character[points]
+        ids = np.where(known >= 0, known, len(self.pieces) + points)
+        lengths = np.diff(begins)
+        number, parts = np.zeros(len(words), np.int64), []
+        for length in np.flatnonzero(np.bincount(lengths[(lengths > 0) & (lengths <= 48)])).tolist():
+            which = np.flatnonzero(lengths == length)
+            left, count = self._merge_matrix(ids[begins[which][:, None] + np.arange(length)])
+            number[which] = count
+            parts.append((which, count, left[np.arange(length) < count[:, None]]))
+        for i in np.flatnonzero(lengths > 48).tolist():
+            text = data[bounds[i] : bounds[i + 1]].decode("utf-8", "surrogatepass")
+            own = np.array([self.ids[p] if p in self.ids else len(self.pieces) + ord(p) for p in _merged_long(list(text), self.rank)], np.int64)
+            number[i] = len(own)
+            parts.append((np.array([i]), np.array([len(own)]), own))
+        out = np.empty(int(number.sum()), np.int64)
+        first = np.cumsum(number) - number
+        for which, count, own in parts:
+            out[np.repeat(first[which] - (np.cumsum(count) - count), count) + np.arange(len(own))] = own
+        return self._with_bytes(out, number)
+
+    def _with_bytes(self, ids: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Characters that are no piece become their bytes, or the unknown piece where the model has no bytes."""
+        strange = np.flatnonzero(ids >= len(self.pieces))
+        sizes = self.piece_sizes[np.minimum(ids, len(self.pieces) - 1)]
+        if not len(strange):
+            return ids.astype("<u4"), sizes, number
+        raw = {p: chr(p - len(self.pieces)).encode("utf-8", "surrogatepass") for p in np.unique(ids[strange]).tolist()}
+        put = [raw[p] for p in ids[strange].tolist()]
+        if not self.byte_ids:
+            ids[strange], sizes[strange] = self.unk, [len(x) for x in put]
+            return ids.astype("<u4"), sizes, number
+        makes = np.ones(len(ids), np.int64)
+        makes[strange] = [len(x) for x in put]
+        stop = np.append(0, np.cumsum(makes))
+        number = np.diff(stop[np.append(0, np.cumsum(number))])
+        ids, sizes = np.repeat(ids, makes), np.repeat(sizes, makes)
+        n = makes[strange]
+        at = np.repeat(stop[strange] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        ids[at] = [self.byte_ids[c] for x in put for c in x]
+        # The bytes of one character share its place; the last one ends it.
+        sizes[at] = 0
+        sizes[stop[strange + 1] - 1] = n
+        return ids.astype("<u4"), sizes, number
+
+    def _merge_matrix(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge each row's best-ranked neighbours, leftmost first, until none is a piece: the rows, and how much of them is left."""
+        rows, width = ids.shape
+        ids, count = ids.copy(), np.full(rows, width)
+        if width == 1:
+            return ids, count
+        rank, made = self._pairs(ids[:, :-1], ids[:, 1:])
+        todo = np.arange(rows)
+        place = np.arange(width - 1)
+        while len(todo):
+            best = rank[todo].argmin(axis=1)
+            on = rank[todo, best] < _NONE
+            todo, best = todo[on], best[on]
+            if not len(todo):
+                break
+            count[todo] -= 1
+            new = made[todo, best]
+            # What stands behind the merged pair moves up by one.
+            behind = place >= best[:, None] + 1
+            ids[todo, :-1] = np.where(behind, ids[todo, 1:], ids[todo, :-1])
+            ids[todo, best] = new
+            for x, empty in ((rank, _NONE), (made, 0)):
+                x[todo, :-1] = np.where(behind[:, :-1] | (place[:-1] == best[:, None]), x[todo, 1:], x[todo, :-1])
+                x[todo, -1] = empty
+            for left in (best - 1, best):
+                fits = (left >= 0) & (left + 1 < count[todo])
+                r, at = todo[fits], left[fits]
+                rank[r, at], made[r, at] = self._pairs(ids[r, at], ids[r, at + 1])
+        return ids, count
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = a * _SPREAD + b
+        at = np.searchsorted(self.pair_keys, key)
+        at[at >= len(self.pair_keys)] = 0
+        at = np.where(self.pair_keys[at] == key, at, -1) if len(self.pair_keys) else np.full(key.shape, -1)
+        return self.pair_rank[at], self.pair_id[at]
 
     def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the pieces, and where each begins and ends in the bytes of ``text``."""
-        norm, origin = self.normalize(text)
-        ids, ends = self.encode_normalized(norm)
-        begins = np.concatenate([np.zeros(1, ends.dtype), ends[:-1]])[: len(ends)]
-        return ids, origin[begins], origin[ends]
-
-    def encode_normalized(self, norm: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and ends of the pieces of normalised text."""
-        known = [self.pieces_of(word) for word in (_word_pieces(norm) if self.by_word else [norm] * bool(norm))]
-        ids = np.frombuffer(b"".join([g[0] for g in known]), "<u4")
-        ends = np.cumsum(np.frombuffer(b"".join([g[1] for g in known]), "<u4"), dtype=np.int64)
-        return ids, ends
-
-    def pieces_of(self, word: bytes, remember: int = 200_000) -> tuple[bytes, bytes]:
-        """Ids and byte lengths of a word's pieces, as packed 32-bit integers; remembered in two generations of bounded size."""
-        got = self.young.get(word)
-        if got is None:
-            got = self.old.get(word)
-            if got is None:
-                ids, sizes = self.merge(word)
-                got = array("I", ids).tobytes(), array("I", sizes).tobytes()
-            if len(word) <= 64:
-                if len(self.young) >= remember // 2:
-                    self.old, self.young = self.young, {}
-                self.young[word] = got
-        return got
+        return self.encode_batch(pa.array([text], pa.binary()))[:3]
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Many texts at once: ids, begins and ends of all pieces, and where each text's pieces start and stop.
 
-        Where the model leaves characters as they are, words between single spaces are looked up once for each
-        distinct word, and what they stand for is gathered with NumPy. Other texts are encoded one by one.
+        The normalised texts are cut into words, each distinct word is merged once, and what they stand for is gathered.
         """
-        plain = self.by_word and self.dummy_prefix and self.escape and not self.map.units and not self.remove_extra
-        texts = pc.fill_null(texts, b"")
-        parts = pc.split_pattern(texts, b" ")
-        offsets, words = parts.offsets.to_numpy(), parts.flatten()
-        offsets = offsets - offsets[0]
-        # A text with an empty part has no words, spaces at an end, or several together.
-        odd = np.add.reduceat(np.append(pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False), False).astype(np.int64), offsets[:-1]) > 0
-        odd |= pc.match_substring(texts, SPACE).to_numpy(zero_copy_only=False)
-        if not plain:
-            odd[:] = True
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        bounds = np.append(0, np.cumsum(sizes))
+        data = np.frombuffer(b"".join(pc.fill_null(texts, b"").to_pylist()), np.uint8)
+        norm, origin, stops, tails = self.normalize(data, bounds)
+        cuts = self._word_starts(norm, stops)
+        words = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(np.append(cuts, len(norm)).astype(np.int32)), pa.py_buffer(norm.tobytes())])
         coded = words.dictionary_encode()
-        which, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        used = np.zeros(len(distinct), bool)
-        used[which[~np.repeat(odd, np.diff(offsets))]] = True
-        known = [self.pieces_of(SPACE + w) if u else (b"", b"") for w, u in zip(distinct, used.tolist(), strict=True)]
-        pool = np.frombuffer(b"".join([k[0] for k in known]), "<u4")
-        pool_sizes = np.frombuffer(b"".join([k[1] for k in known]), "<u4").astype(np.int64)
-        number = np.fromiter((len(k[0]) // 4 for k in known), np.int64, len(known))
+        which = coded.indices.to_numpy()
+        pool, pool_sizes, number = self.merged(coded.dictionary.to_pylist())
         n = number[which]
         stop = np.cumsum(n)
-        at = np.repeat((np.cumsum(number) - number)[which] - (stop - n), n) + np.arange(int(stop[-1]) if len(stop) else 0)
-        ids, sizes = pool[at], pool_sizes[at]
-        # A word's first piece holds U+2581: the space before it, or nothing before a text's first word.
-        heads = (stop - n)[n > 0]
-        sizes[heads] -= len(SPACE) - 1
-        firsts = np.append(stop - n, len(ids))[offsets[:-1]]
-        sizes[firsts[~odd]] -= 1
-        bounds = np.append(np.append(stop - n, len(ids))[offsets[:-1]], len(ids))
-        ends = np.cumsum(sizes)
-        ends = ends - np.repeat(np.append(0, ends)[bounds[:-1]], np.diff(bounds))
+        total = int(stop[-1]) if len(stop) else 0
+        at = np.repeat((np.cumsum(number) - number)[which] - (stop - n), n) + np.arange(total)
+        ids, ends = pool[at], np.cumsum(pool_sizes[at])
+        limits = np.append(0, stop)[np.searchsorted(cuts, stops)]
         begins = np.append(0, ends)[:-1]
-        begins[bounds[:-1][np.diff(bounds) > 0]] = 0
-        if not odd.any():
-            return ids, begins, ends, bounds
-        pieces = [[x[lo:hi] for x in (ids, begins, ends)] for lo, hi in itertools.pairwise(bounds.tolist())]
-        for i in np.flatnonzero(odd).tolist():
-            pieces[i] = list(self.encode(texts[i].as_py()))
-        bounds = np.cumsum([0, *(len(x[0]) for x in pieces)])
-        ids, begins, ends = (np.concatenate([x[j] for x in pieces]) for j in range(3))
-        return ids.astype("<u4"), begins, ends, bounds
+        begins, ends = origin[begins], np.append(origin, len(data))[ends]
+        some = np.diff(limits) > 0
+        ends[limits[1:][some] - 1] = tails[some]
+        base = np.repeat(bounds[:-1], np.diff(limits))
+        return ids, begins - base, ends - base, limits
+
+    def _word_starts(self, norm: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Where words start: at each run of U+2581, and at each text."""
+        texts = stops[:-1][np.diff(stops) > 0]
+        if not self.by_word:
+            return texts
+        marks = np.flatnonzero((norm[:-2] == SPACE[0]) & (norm[1:-1] == SPACE[1]) & (norm[2:] == SPACE[2])) if len(norm) > 2 else np.empty(0, np.int64)
+        # A mark inside a run starts no word, unless it starts a text.
+        starts = np.zeros(len(norm), bool)
+        starts[marks[np.append(True, np.diff(marks) != 3)] if len(marks) else marks] = True
+        starts[texts] = True
+        return np.flatnonzero(starts)
 
     def surfaces(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all pieces in a row, and where each piece's end."""
@@ -305,19 +381,35 @@ class Model:
         at = np.repeat(self.surface_starts[ids] - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)
         return self.surface_pool[at], stop
 
-    def decode_batch(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
-        """Texts of many sequences of ids. Those that hold bytes, or begin otherwise than with a word, are decoded one by one."""
+    def decode_batch(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """Texts of many sequences of ids. Those that hold pieces without a surface of their own, begin otherwise than with a word,
+        or whose bytes are no UTF-8, are decoded one by one."""
         data, stop = self.surfaces(ids)
-        stop = np.append(0, stop)
-        raw, out = data.tobytes(), []
-        special = np.append(0, np.cumsum(self.is_byte[ids] | self.is_unknown[ids]))
-        simple = self.dummy_prefix and not self.remove_extra
-        for lo, hi in itertools.pairwise(bounds.tolist()):
-            if simple and hi > lo and special[hi] == special[lo] and self.starts_word[ids[lo]]:
-                out.append(raw[stop[lo] + 1 : stop[hi]].decode("utf-8", "surrogatepass"))
-            else:
-                out.append(self.decode(ids[lo:hi]))
-        return out
+        stop = np.append(0, stop)[bounds]
+        some = np.diff(bounds) > 0
+        special = np.append(0, np.cumsum(self.is_special[ids]))[bounds]
+        simple = some & (np.diff(special) == 0) & self.dummy_prefix & (not self.remove_extra)
+        simple[some] &= self.starts_word[ids[bounds[:-1][some]]]
+        # The dummy prefix goes: the first byte of each simple text.
+        keep = np.ones(len(data), bool)
+        keep[stop[:-1][simple]] = False
+        kept, data = np.append(0, np.cumsum(keep))[stop], data[keep]
+        raw = data.tobytes()
+        try:
+            raw.decode()
+            broken = (np.append(data, 0)[kept[:-1]] & 0xC0) == 0x80
+            simple &= ~(broken | np.append(broken[1:], False))
+        except UnicodeDecodeError:
+            for i in np.flatnonzero(simple).tolist():
+                try:
+                    raw[kept[i] : kept[i + 1]].decode()
+                except UnicodeDecodeError:
+                    simple[i] = False
+        if simple.all():
+            return pa.Array.from_buffers(pa.string(), len(kept) - 1, [None, pa.py_buffer(kept.astype(np.int32)), pa.py_buffer(raw)])
+        cut = kept.tolist()
+        return pa.array([raw[cut[i] : cut[i + 1]] if easy else self.decode(ids[bounds[i] : bounds[i + 1]]).encode("utf-8", "surrogatepass")
+                         for i, easy in enumerate(simple.tolist())], pa.binary()).cast(pa.string())
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, control pieces included."""
@@ -344,26 +436,8 @@ class Model:
         return first.decode() + "".join(_text_of(b"".join(map(surface.__getitem__, group))) for _, group in grouped)
 
 
-def _merged_short(parts: list[str], rank: dict[str, int]) -> list[str]:
-    """Merge the best-ranked neighbours, leftmost first, until none is a piece."""
-    get, none = rank.get, 1 << 60
-    pairs = [get(a + b, none) for a, b in itertools.pairwise(parts)]
-    while pairs:
-        best = min(pairs)
-        if best == none:
-            break
-        i = pairs.index(best)
-        parts[i] += parts.pop(i + 1)
-        del pairs[i]
-        if i < len(pairs):
-            pairs[i] = get(parts[i] + parts[i + 1], none)
-        if i:
-            pairs[i - 1] = get(parts[i - 1] + parts[i], none)
-    return parts
-
-
 def _merged_long(parts: list[str | None], rank: dict[str, int]) -> list[str]:
-    """The same with a heap, for words of any length."""
+    """Merge the best-ranked neighbours, leftmost first, until none is a piece, with a heap: for words of any length."""
     n = len(parts)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap: list[tuple[int, int, int, str]] = []
@@ -389,22 +463,6 @@ def _merged_long(parts: list[str | None], rank: dict[str, int]) -> list[str]:
     return [p for p in parts if p is not None]
 
 
-def _word_pieces(norm: bytes) -> list[bytes]:
-    """Cut before each run of U+2581."""
-    parts = norm.split(SPACE)
-    out, run = [], 0
-    if parts[0]:
-        out.append(parts[0])
-    for part in parts[1:]:
-        run += 1
-        if part:
-            out.append(SPACE * run + part)
-            run = 0
-    if run:
-        out.append(SPACE * run)
-    return out
-
-
 def _text_of(data: bytes) -> str:
     """UTF-8 with one U+FFFD for each byte that doesn't fit."""
     try:
@@ -425,7 +483,7 @@ def load(blob: bytes) -> Model:
     return Model(blob)
 
 
-def _code(blob: bytes, carry: list[str], spans: bool, tokens: bool, bytes_per_batch: int = 3_000_000):
+def _code(blob: bytes, carry: list[str], spans: bool, tokens: bool, bytes_per_batch: int = 1_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(blob)
         for whole in batches:
@@ -433,19 +491,23 @@ def _code(blob: bytes, carry: list[str], spans: bool, tokens: bool, bytes_per_ba
                 yield code(model, batch)
 
     def code(model: Model, batch: pa.RecordBatch) -> pa.RecordBatch:
-        first, last = (np.array([i], "<u4") for i in (model.begin, model.end))
         ids, begins, ends, bounds = model.encode_batch(batch.column("text").cast(pa.binary()))
-        sequences = [np.concatenate([first, ids[lo:hi], last]) for lo, hi in itertools.pairwise(bounds.tolist())]
         lengths = np.diff(bounds)
         covered = np.where(lengths > 0, np.append(ends, 0)[np.maximum(bounds[1:] - 1, 0)], 0)
+        framed = bounds + 2 * np.arange(len(bounds))
+        sequences = np.empty(framed[-1], "<u4")
+        sequences[framed[:-1]], sequences[framed[1:] - 1] = model.begin, model.end
+        sequences[np.arange(len(ids)) + np.repeat(2 * np.arange(len(lengths)) + 1, lengths)] = ids
+        places = np.stack([begins, ends], axis=1).astype("<u4").ravel()
         out = {
             "n_tokens": pa.array(lengths + 2, pa.int64()),
             "n_bytes": pa.array(covered, pa.int64()),
-            "ids_sha256": pa.array([hashlib.sha256(s.tobytes()).hexdigest() for s in sequences], pa.string()),
-            "decoded": pa.array(model.decode_batch(ids, bounds), pa.string()),
+            "ids_sha256": _digests(sequences, framed),
+            "spans_sha256": _digests(places, 2 * bounds),
+            "decoded": model.decode_batch(ids, bounds),
         }
         if tokens:
-            out["ids"] = _lists(np.concatenate([np.empty(0, "<u4"), *sequences]), bounds + 2 * np.arange(len(bounds)))
+            out["ids"] = _lists(sequences, framed)
         if spans:
             out |= {"begins": _lists(begins, bounds), "ends": _lists(ends, bounds)}
         kept = {c: batch.column(c) for c in carry}
@@ -454,6 +516,12 @@ def _code(blob: bytes, carry: list[str], spans: bool, tokens: bool, bytes_per_ba
     return run
 
 
+def _digests(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """SHA-256 of each stretch of 32-bit integers, little-endian."""
+    raw = memoryview(np.ascontiguousarray(values, "<u4")).cast("B")
+    return pa.array([hashlib.sha256(raw[lo:hi]).hexdigest() for lo, hi in itertools.pairwise((4 * bounds).tolist())], pa.string())
+
+
 def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.astype(np.int32), pa.int32()))
 
@@ -477,18 +545,18 @@ def model_bytes(spark: SparkSession, path: str) -> bytes:
 
 
 def encode(docs: DataFrame, model: bytes, text_col: str = "text", carry: list[str] | None = None, spans: bool = True, tokens: bool = True) -> DataFrame:
-    """``carry`` columns (default ``doc_id``), ``n_tokens, n_bytes, ids_sha256, decoded`` and, where asked for, ``ids`` with begin
-    and end ids, and ``begins, ends``: the bytes of the original text that each piece between them stands for. ``n_bytes`` is where
-    the last piece ends."""
+    """``carry`` columns (default ``doc_id``), ``n_tokens, n_bytes, ids_sha256, spans_sha256, decoded`` and, where asked for, ``ids``
+    with begin and end ids, and ``begins, ends``: the bytes of the original text that each piece between them stands for. ``n_bytes``
+    is where the last piece ends; ``spans_sha256`` is the digest of begin and end of each piece in turn."""
     carry = carry or ["doc_id"]
     rows = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text_col).cast("string").alias("text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["n_tokens long", "n_bytes long", "ids_sha256 string", "decoded string"]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["n_tokens long", "n_bytes long", "ids_sha256 string", "spans_sha256 string", "decoded string"]
     fields += ["ids array<int>"] * tokens + ["begins array<int>", "ends array<int>"] * spans
     return rows.mapInArrow(_code(model, carry, spans, tokens), ", ".join(fields))
 
 
 def digests(coded: DataFrame, *carry: str) -> DataFrame:
-    return coded.select(*carry, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "n_bytes")
+    return coded.select(*carry, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "n_bytes", "spans_sha256")
 
 
 def public_model() -> str:

@@ -58,7 +58,7 @@ def test_batches_are_what_single_texts_are(model, library, spark, data_dir):
             lo, hi = bounds[i], bounds[i + 1]
             one = model.encode((text or "").encode())
             assert [x[lo:hi].tolist() for x in (ids, begins, ends)] == [x.tolist() for x in one], text
-            assert decoded[i] == library.decode(one[0].tolist())
+            assert decoded[i].as_py() == library.decode(one[0].tolist())
 
 
 def test_decoding_any_ids(model, library):
@@ -78,14 +78,54 @@ def test_normalisation_through_a_compiled_map(rule, extra, prefix, escape):
     model = object.__new__(S.Model)
     model.map = S.CharacterMap(spec.get(2, b""))
     model.dummy_prefix, model.remove_extra, model.escape = prefix, extra, escape
-    rng = random.Random(5)
+    rng, texts = random.Random(5), []
     letters = "aB  ﬁｱ①Åé가각ガガ㍿ß　\t½…ſ́"
     for _ in range(300):
         text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 14)))
-        norm, origin = model.normalize(text.encode())
+        raw = text.encode()
+        norm, origin, stops, tails = model.normalize(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
         want = library.normalize(text)
-        assert norm.decode() == want, repr(text)
-        assert len(origin) == len(norm) + 1 and all(a <= b for a, b in zip(origin, origin[1:], strict=False))
+        assert norm.tobytes().decode() == want, repr(text)
+        assert stops.tolist() == [0, len(norm)] and len(origin) == len(norm)
+        assert all(a <= b for a, b in zip(origin, [*origin[1:], tails[0]], strict=False))
+        texts.append(raw)
+    bounds = np.cumsum([0, *map(len, texts)])
+    norm, _, stops, _ = model.normalize(np.frombuffer(b"".join(texts), np.uint8), bounds)
+    assert [norm[a:b].tobytes().decode() for a, b in zip(stops, stops[1:], strict=False)] == [library.normalize(t.decode()) for t in texts]
+
+
+def with_map(rule: str, extra: bool) -> bytes:
+    """The public model with another normaliser."""
+    spec = sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=True, remove_extra_whitespaces=extra, escape_whitespaces=True).serialized_normalizer_spec()
+    with open(S.public_model(), "rb") as f:
+        blob = f.read()
+
+    def field(number: int, value: bytes | int) -> bytes:
+        def varint(n: int) -> bytes:
+            return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+        return varint(number << 3 | 2) + varint(len(value)) + value
+
+    return b"".join(field(n, spec if n == 3 else v) for n, v in S._fields(blob))
+
+
+@pytest.mark.parametrize("rule", ["nfkc", "nmt_nfkc_cf"])
+@pytest.mark.parametrize("extra", [True, False])
+def test_spans_through_a_compiled_map(rule, extra, tmp_path, spark, edge_docs):
+    blob = with_map(rule, extra)
+    library, model = sentencepiece.SentencePieceProcessor(model_proto=blob), S.Model(blob)
+    rng = random.Random(7)
+    letters = "aB  ﬁｱ①Åé각ガガ㍿ß　\t½…ſ́x▁👍"
+    for _ in range(600):
+        check(model, library, "".join(rng.choice(letters) for _ in range(rng.randint(0, 16))))
+    (tmp_path / "mapped.model").write_bytes(blob)
+    edge_docs.filter("doc_id IS NOT NULL").write.parquet(f"{tmp_path}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in edge_docs.collect()}
+    for r in S.op4_sentence_pieces(spark, str(tmp_path), str(tmp_path / "mapped.model")).collect():
+        proto = library.encode(texts[r.doc_id], return_type="proto")
+        places = [x for p in proto.pieces for x in (p.begin, p.end)]
+        assert r.n_tokens == len(proto.pieces) + 2
+        assert r.spans_sha256 == hashlib.sha256(np.array(places, "<u4").tobytes()).hexdigest()
 
 
 def test_edge_cases(spark, edge_docs, no_docs, library):
