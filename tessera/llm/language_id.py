@@ -17,7 +17,8 @@ costs steps of its own only. Every batch is bounded by characters, whatever its
 Characters are lower-cased; all that are no letters count as one kind, and a run of them as one.
 
 Defined cases: ``und`` with score 0 where the text is null or has no letter, or where nothing could be
-learned; repeated rows are judged one by one; an empty table gives an empty result.
+learned; repeated rows are judged one by one; an empty table gives an empty result. A row without an id is judged like
+any other, its ``held_out`` is null, and nothing is learned from it.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import materialize, seeded_order, table, unit_of
+from tessera.llm._common import materialize, row_key, scan_of, seeded_order, steps, table, unit_of, without
 
 UNDETERMINED = "und"
 SCHEMA = "lang_pred string, score double, bits double"
@@ -207,7 +208,7 @@ def _predict(sample: tuple, chars_per_batch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(sample) if sample else None
         for batch in batches:
-            texts = batch.column("text")
+            texts = batch.column(batch.num_columns - 1)
             sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)) if len(texts) else np.empty(0)
             cuts = np.unique(np.searchsorted(np.cumsum(sizes), np.arange(chars_per_batch, sizes.sum() + chars_per_batch, chars_per_batch)) + 1)
             last = 0
@@ -215,9 +216,8 @@ def _predict(sample: tuple, chars_per_batch: int):
                 part = batch.slice(last, cut - last)
                 last = cut
                 if len(part):
-                    lang, score, bits = _verdicts(parser, part.column("text").to_pylist())
-                    kept = [part.column(i) for i, n in enumerate(part.schema.names) if n != "text"]
-                    names = [n for n in part.schema.names if n != "text"]
+                    lang, score, bits = _verdicts(parser, part.columns[-1].to_pylist())
+                    kept, names = part.columns[:-1], part.schema.names[:-1]
                     yield pa.RecordBatch.from_arrays(
                         [*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], [*names, "lang_pred", "score", "bits"]
                     )
@@ -243,15 +243,14 @@ def op10_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Documents whose language can be told, with the columns they came with; ``und`` goes.
 
-    Only the keys (id, hash of the text) of what goes are kept; documents themselves never pass through Python. The keys
-    are written first, so that the planner knows their size and broadcasts them only where they are few.
+    Only the keys of what goes are written and joined; documents themselves never come back from Python.
     """
     sample = training_sample(docs.filter(~held_out(id_col)), id_col, text_col, lang_col)
-    key = [F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text")]
-    judged = identify(docs.select(*key, F.col(text_col).alias("text")), sample, carry=["_id", "_text"])
-    gone = materialize(judged.filter(F.col("lang_pred") == UNDETERMINED).select("_id", "_text").distinct(), "und")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_text"))
-    return docs.join(gone, same, "left_anti")
+    scan = scan_of(docs)
+    with steps(docs.sparkSession):
+        judged = identify(scan.select(*row_key(scan), F.col(text_col).alias("text")), sample, carry=["file", "at"])
+        gone = materialize(judged.filter(F.col("lang_pred") == UNDETERMINED).select("file", "at"), "und", lasting=True)
+    return without(scan, gone)
 
 
 QUERIES = {"op10_cross_parsing_language": op10_cross_parsing_language}

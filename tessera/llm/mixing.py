@@ -6,30 +6,32 @@ documents in the order of their finish times serves all sources in proportion to
 moment; the order is cut where the total budget is spent. All documents that finish by time 1 fit the
 budget by construction; what rounding to whole documents leaves over is filled from just beyond it.
 
-Nothing is summed up in one task. Within a source, documents are cut into cells of the uniform hash,
-cell sums give the offsets. The global order is cut into ``slices`` ranges of finish time, whose sums
-(a bounded table) show in which range the budget ends; only that range is sorted. Ends of the order are
-compared as (time, source, epoch, hash, id, size), so the cut is a single bounded row.
+Nothing is summed up in one task. All documents are cut into ranges of (source, hash, text hash, file, place), which has
+no ties; sums of the ranges give the offsets. The global order is cut into ``slices`` ranges of finish time, whose sums
+(a bounded table) show in which range the budget ends; that range is cut again until it is small enough to be sorted.
+Ends of the order are compared as (time, source, epoch, hash, text hash, file, place), so the cut is a single row.
+
+The cut gives each source the last document it serves in each epoch: a table of sources x epochs. By comparing with
+it, ``mixed_documents`` takes documents where they stand; their texts are never shuffled.
 
 Targets: sources in order of code points, null last, weigh 1, 2, 3, 1, ... They share the words of all
 sources; none gets more than ``max_epochs`` times what it has, and the excess is shared by weight among
 the others. That is min(cap, level * weight) for the level at which the targets add up.
 
 Defined cases: null text has no words; a source without words has target 0; documents without words are
-not taken; rows equal in id, source and size share their fate; an empty table gives an empty result.
+not taken; rows that repeat an id, or have none, are served one by one, in order of their texts' hashes; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import materialize, seeded_order, table, text_or_empty, unit_of, word_count
+from tessera.llm._common import WORD_RUN, in_order, materialize, row_key, scan_of, seeded_order, steps, table, text_or_empty, whole_rows, word_count
 
-#: A source's rows are dealt to so many cells at least, so that a hot source is spread on small tables too.
-LEAST_CELLS = 64
+#: The range of finish times in which the budget ends is cut until it holds so many ends.
+MOST_ENDS = 100_000
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
@@ -56,38 +58,34 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_e
     )
 
 
+def _key() -> Column:
+    """A row's place in its source's queue; no two rows share it."""
+    return F.struct("h", "print", "file", "at")
+
+
 def _end(finish: Column, epoch: Column) -> Column:
     return F.struct(
-        finish.alias("finish"), F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("none"),
-        epoch.alias("epoch"), F.col("h").alias("h"), F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.col("size").alias("size"),
+        finish.alias("finish"), F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("none"), epoch.alias("epoch"), _key().alias("key")
     )
 
 
-def fair_queue(
-    sized: DataFrame,
-    weights: tuple[int, ...] = (1, 2, 3),
-    max_epochs: int = 3,
-    seed: int = 11,
-    rows_per_cell: int = 50_000,
-    slices: int = 1024,
-) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies`` for materialised ``doc_id, source, size, ...``."""
+def fair_queue(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 11, slices: int = 1024) -> DataFrame:
+    """``doc_id, source, size, source_size, target, h, print, file, at, copies`` for materialised ``sized_rows``."""
     n, budget = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    cells = max(LEAST_CELLS, math.ceil(n / rows_per_cell))
     targets = source_targets(sized, weights, max_epochs)
-    ordered = sized.withColumn("h", seeded_order(seed, F.col("doc_id"))).withColumn("cell", F.floor(unit_of(F.col("h")) * cells))
-    before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    hashed = sized.withColumn("h", seeded_order(seed, F.col("doc_id")))
+    ordered = in_order(hashed, n, F.asc_nulls_last("source"), "h", "print", "file", "at")
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        ordered.groupBy("source", "cell").agg(F.sum("size").alias("words"))
+        ordered.groupBy("source", "part").agg(F.sum("size").alias("words"))
         .withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
         .join(targets.withColumnRenamed("source", "t"), F.col("source").eqNullSafe(F.col("t")))
-        .select(F.col("source").alias("s"), F.col("cell").alias("c"), "before", "source_size", "target")
+        .select(F.col("source").alias("s"), F.col("part").alias("p"), "before", "source_size", "target")
     )
-    # Peers (rows that agree in all of these) get the same running sum: the frame is by value.
-    running = Window.partitionBy("source", "cell").orderBy("h", "doc_id", "size")
+    running = Window.partitionBy("part", "source").orderBy("local").rowsBetween(Window.unboundedPreceding, 0)
     queued = materialize(
         ordered.withColumn("upto", F.sum("size").over(running))
-        .join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c")))
+        .join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
         .withColumn("served", F.col("before") + F.col("upto"))
         .withColumn(
             "ends",
@@ -99,62 +97,79 @@ def fair_queue(
                 ),
             ).otherwise(F.array().cast("array<double>")),
         )
-        .drop("s", "c", "cell", "before", "upto", "served"),
+        .drop("s", "p", "part", "local", "before", "upto", "served"),
         "queue",
     )
     cut = _cut(queued, budget, slices)
     if cut is None:
         copies: Column = F.lit(0)
     else:
-        last = F.struct(*[F.lit(v).cast(t).alias(k) for (k, v), t in zip(
-            cut.items(), ("double", "string", "boolean", "int", "string", "long", "long"), strict=True)])
+        key = F.struct(*[F.lit(v).cast(t).alias(k) for (k, v), t in zip(cut["key"].asDict().items(), ("string", "long", "long", "long"), strict=True)])
+        last = F.struct(*[F.lit(cut[k]).cast(t).alias(k) for k, t in (("finish", "double"), ("source", "string"), ("none", "boolean"), ("epoch", "int"))], key.alias("key"))
         copies = F.size(F.filter(F.transform("ends", lambda x, e: _end(x, e)), lambda end: end <= last))
-    return queued.withColumn("copies", copies.cast("long")).drop("h", "ends")
+    return queued.withColumn("copies", copies.cast("long")).drop("ends")
 
 
-def _cut(queued: DataFrame, budget: int, slices: int) -> dict | None:
+def _cut(queued: DataFrame, budget: int, slices: int, most: int = MOST_ENDS) -> dict | None:
     """The last end that is taken: one row, however many documents there are."""
-    ends = queued.select("*", F.posexplode("ends").alias("epoch", "finish")).withColumn(
-        "slice", F.floor(F.least("finish", F.lit(2.0)) * (slices // 2))
-    )
-    spent = Window.partitionBy("all").orderBy("slice")
-    sums = (
-        ends.groupBy("slice").agg(F.sum("size").alias("words")).withColumn("all", F.lit(0))
-        .withColumn("upto", F.sum("words").over(spent))
-    )
-    crossing = sums.filter(F.col("upto") >= budget).orderBy("slice").first()
-    if crossing is None:
-        last = ends.agg(F.max(_end(F.col("finish"), F.col("epoch"))).alias("last")).first()["last"]
-        return last and last.asDict()
-    left = budget - (crossing["upto"] - crossing["words"])
-    order = Window.partitionBy("slice").orderBy(_end(F.col("finish"), F.col("epoch")))
-    tail = ends.filter(F.col("slice") == crossing["slice"]).withColumn("upto", F.sum("size").over(order))
-    last = tail.filter(F.col("upto") <= left).agg(F.max(_end(F.col("finish"), F.col("epoch"))).alias("last")).first()["last"]
-    if last is None:
-        last = ends.filter(F.col("slice") < crossing["slice"]).agg(F.max(_end(F.col("finish"), F.col("epoch"))).alias("last")).first()["last"]
-    return last and last.asDict()
+    ends = queued.select("*", F.posexplode("ends").alias("epoch", "finish"))
+    end = _end(F.col("finish"), F.col("epoch"))
 
+    def last_of(some: DataFrame) -> dict | None:
+        last = some.agg(F.max(end).alias("last")).first()["last"]
+        return last and last.asDict()
 
-def sized_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_or_empty(text_col)).alias("size"))
+    # All ends by time 1 fit; the budget runs out soon after it, so later ones need no ranges of their own.
+    inside, low, width, spent = ends, 0.0, 2.0, 0
+    while True:
+        placed = inside.withColumn("slice", F.floor(F.least((F.col("finish") - low) / width, F.lit(1.0)) * slices))
+        sums = placed.groupBy("slice").agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.min("finish").alias("low"), F.max("finish").alias("high"))
+        # At most slices + 1 rows.
+        for crossing in sorted(sums.collect(), key=lambda r: r["slice"]):
+            if spent + crossing["words"] >= budget:
+                break
+            spent += crossing["words"]
+        else:
+            return last_of(inside)
+        inside = placed.filter(F.col("slice") == crossing["slice"])
+        low, width = crossing["low"], crossing["high"] - crossing["low"]
+        if crossing["n"] <= most or width <= 0:
+            break
+    order = Window.partitionBy("slice").orderBy(end)
+    tail = inside.withColumn("upto", F.sum("size").over(order)).filter(F.col("upto") <= budget - spent)
+    return last_of(tail) or last_of(ends.filter(F.col("finish") < low))
+
+
+def sized_rows(scan: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``doc_id, source, size, print, file, at``: words, the text's hash and the row's key."""
+    return scan.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_or_empty(text_col)).alias("size"),
+        F.xxhash64(text_or_empty(text_col)).alias("print"), *row_key(scan),
+    )
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies`` for every document."""
-    return fair_queue(materialize(sized_rows(docs, id_col, text_col, source_col), "sized"), **options)
+    queue = fair_queue(materialize(sized_rows(scan_of(docs), id_col, text_col, source_col), "sized"), **options)
+    return queue.select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11, **options) -> DataFrame:
     """The mixture itself: each document as often as it is taken, with the columns it came with."""
-    whole = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"),
-                                    F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                                    word_count(text_or_empty(text_col)).alias("size")), "mix-docs")
-    taken = fair_queue(whole.select("row", "doc_id", "source", "size"), **options).filter("copies > 0").select("row", "copies")
-    return (
-        whole.select("row", "doc").join(taken, "row")
-        .select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-        .select("doc.*")
+    scan = scan_of(docs)
+    with steps(docs.sparkSession):
+        queue = fair_queue(materialize(sized_rows(scan, id_col, text_col, source_col), "sized"), seed=seed, **options)
+        taken = queue.filter("copies > 0").select("source", _key().alias("key"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+        last = taken.groupBy("source", "copy").agg(F.max("key").alias("last")).groupBy("source").agg(F.collect_list("last").alias("last"))
+        # A row for each source, with as many keys as there are epochs.
+        last = materialize(last.select(F.col("source").alias("s"), "last"), "last", lasting=True)
+    rows = whole_rows(
+        scan, F.col(source_col).cast("string").alias("source"), seeded_order(seed, F.col(id_col)).alias("h"), F.xxhash64(text_or_empty(text_col)).alias("print"),
+        F.rlike(text_or_empty(text_col), F.lit(WORD_RUN)).alias("spoken"),
     )
+    served = rows.filter("spoken").select("doc", "source", _key().alias("key")).join(last, F.col("source").eqNullSafe(F.col("s")))
+    copies = F.size(F.filter("last", lambda x: F.col("key") <= x))
+    return served.withColumn("copies", copies).filter("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 def op8_fair_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

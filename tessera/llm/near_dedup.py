@@ -16,7 +16,8 @@ Texts are lower-cased (A-Z), cut at white space, and become sets of word 5-grams
    need no test, so a large group of near copies costs its size, not its square.
 5. Components again, now with all links.
 
-Rows are written to the shared workspace once, with a row number; signatures and links are keyed by it.
+Signatures are written to the shared workspace with a row number, which links are keyed by, and the row's file and
+place there, by which the few texts that are verified are fetched from the documents themselves.
 
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing; with fewer than
 five words the whole sequence is the one shingle. Rows that repeat a ``doc_id`` are separate nodes. A null
@@ -32,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import materialize, table
+from tessera.llm._common import materialize, row_key, scan_of, steps, table, without
 from tessera.llm.components import components
 
 WORDS = 5
@@ -44,7 +45,7 @@ BANDS, ROWS = 32, 7
 HASHES = 512
 BATCH = 32
 MISS = 1e-5
-BLOCK = 512
+BLOCK = 256
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _IN_WORD = np.array([not (c == 32 or 9 <= c <= 13) for c in range(256)])
@@ -156,7 +157,7 @@ def _sign(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             numbers, digests, sigs, keys = [], [], [], []
-            for text in batch.column("text"):
+            for text in batch.columns[-1]:
                 own = shingles(text.as_py())
                 numbers.append(len(own))
                 if len(own):
@@ -171,9 +172,9 @@ def _sign(bands: int, rows: int):
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32())
             flat = pa.array(np.concatenate([np.empty(0, np.int64), *keys]), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(numbers, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()),
+                [*batch.columns[:-1], pa.array(numbers, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()),
                  pa.ListArray.from_arrays(offsets, flat)],
-                ["row", "n_shingles", "digest", "sig", "keys"],
+                [*batch.schema.names[:-1], "n_shingles", "digest", "sig", "keys"],
             )
 
     return run
@@ -254,36 +255,48 @@ def _compare_blocks(percent: int, miss: float):
     return run
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets are alike."""
+def _verified(pairs: DataFrame, texts: DataFrame, places: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose full sets are alike; ``places`` says in which ``file``, and where in it, a row's text stands."""
     pairs = materialize(pairs, "pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    texts = rows.select("row", "text").join(named, "row", "left_semi")
+    named = materialize(places.join(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "row", "left_semi"), "named")
+    texts = texts.join(named, ["file", "at"]).select("row", "text")
     full = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a").join(
         texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b"
     )
     return materialize(full.select("a", "b", "text_a", "text_b").mapInArrow(_verify(percent), "a long, b long"), "verified")
 
 
-def number_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_whole: bool = False) -> DataFrame:
-    """``row, doc_id, text``, and the whole document as ``doc`` where asked for; each text is written once."""
-    row = F.monotonically_increasing_id().alias("row")
-    if not keep_whole:
-        return materialize(docs.select(row, F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), "rows")
-    whole = materialize(docs.select(row, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "rows")
-    return whole.select("row", F.col(f"doc.`{id_col}`").alias("doc_id"), F.col(f"doc.`{text_col}`").cast("string").alias("text"), "doc")
-
-
 def near_duplicates(
-    rows: DataFrame, percent: int = PERCENT, bands: int = BANDS, band_rows: int = ROWS, miss: float = MISS, block: int = BLOCK
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS, band_rows: int = ROWS,
+    miss: float = MISS, block: int = BLOCK,
 ) -> DataFrame:
-    """``row, doc_id, n_shingles, component_id, first_row`` for numbered rows (``row, doc_id, text``).
+    """``file, at, doc_id, n_shingles, component_id, is_first`` for every row.
 
-    ``component_id`` is the smallest ``doc_id`` of the component; ``first_row`` is a row that has it.
+    ``component_id`` is the smallest ``doc_id`` of the component; one row that has it is its first.
     """
+    scan = scan_of(docs)
+    with steps(docs.sparkSession):
+        groups, first = _grouped(scan, id_col, text_col, percent, bands, band_rows, miss, block)
+    return groups.join(first, "group", "left").withColumn("first", F.coalesce("first", _ahead())).select(
+        "file", "at", "doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("is_first")
+    )
+
+
+def _ahead() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+
+
+def _grouped(
+    scan: DataFrame, id_col: str, text_col: str, percent: int, bands: int, band_rows: int, miss: float, block: int
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with their group, and the first row of each group of several."""
+    texts = scan.select(*row_key(scan), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = texts.schema["doc_id"].dataType.simpleString()
     signed = materialize(
-        rows.select("row", "text").mapInArrow(_sign(bands, band_rows), "row long, n_shingles long, digest binary, sig binary, keys array<long>"), "signed"
+        texts.mapInArrow(_sign(bands, band_rows), f"file long, at long, doc_id {kind}, n_shingles long, digest binary, sig binary, keys array<long>")
+        .withColumn("row", F.monotonically_increasing_id()), "signed"
     )
+    texts, places = texts.drop("doc_id"), signed.select("row", "file", "at")
     # Texts with equal sets are one node, the least row.
     node_of = materialize(signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("node")), "nodes")
     nodes = signed.join(node_of.select(F.col("node").alias("row")), "row", "left_semi")
@@ -303,7 +316,7 @@ def near_duplicates(
         .join(sigs.select(F.col("row").alias("b"), F.col("sig").alias("sig_b")), "b")
         .select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(percent, miss), "a long, b long")
     )
-    links = _verified(star, rows, percent)
+    links = _verified(star, texts, places, percent)
     found = components(links)
 
     # Rest step.
@@ -321,34 +334,33 @@ def near_duplicates(
         .select("key", "i", "j", "block", "band", "row", "comp", "sig", "keys")
     )
     rest = blocked.mapInArrow(_compare_blocks(percent, miss), "a long, b long")
-    more = _verified(rest.distinct(), rows, percent)
+    more = _verified(rest.distinct(), texts, places, percent)
     linked = components(more.union(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
     groups = (
-        rows.select("row", "doc_id").join(signed.select("row", "n_shingles", "digest"), "row")
+        signed.select("file", "at", "row", "doc_id", "n_shingles", "digest")
         .join(node_of, "digest", "left")
         .join(linked.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
         .withColumn("group", F.coalesce("root", "node", "row"))
-        .select("row", "doc_id", "n_shingles", "group")
+        .select("file", "at", "row", "doc_id", "n_shingles", "group")
     )
-    groups = materialize(groups, "groups")
+    groups = materialize(groups, "groups", lasting=True)
     # Groups of several rows only, and written: then a group of any size can be split by the join.
-    ahead = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    first = materialize(groups.groupBy("group").agg(F.min(ahead).alias("first"), F.count("*").alias("n")).filter("n > 1").select("group", "first"), "first")
-    return groups.join(first, "group", "left").withColumn("first", F.coalesce("first", ahead)).select(
-        "row", "doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row")
-    )
+    first = groups.groupBy("group").agg(F.min(_ahead()).alias("first"), F.count("*").alias("n")).filter("n > 1").select("group", "first")
+    return groups, materialize(first, "first", lasting=True)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each component, with the columns it came with."""
-    rows = number_rows(docs, id_col, text_col, keep_whole=True)
-    dropped = materialize(near_duplicates(rows, **options).filter("row <> first_row").select("row"), "dropped")
-    return rows.select("row", "doc").join(dropped, "row", "left_anti").select("doc.*")
+    """One document of each component, with the columns it came with. Only keys of what goes are written and joined."""
+    scan = scan_of(docs)
+    with steps(docs.sparkSession):
+        found = near_duplicates(scan, id_col, text_col, **options)
+        dropped = materialize(found.filter(~F.col("is_first")).select("file", "at"), "dropped", lasting=True)
+    return without(scan, dropped)
 
 
 def op9_bayesian_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(number_rows(table(spark, sf_dir, "documents")))
+    found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 

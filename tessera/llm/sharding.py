@@ -4,10 +4,11 @@ Rows of each source are put into seeded random order and ranked; rank k of n bec
 (2k-1)/2n. Sorted by that fraction, every stretch of the order holds the sources in their proportions
 (to within a row for each source), so cutting it into equal counts gives shards that all match the mixture.
 
-No rank needs all rows of a source, or all rows, in one task. Both orders are split at values that
-are uniform by construction: the seeded hash within a source, the fraction overall. Each cell holds
-about ``rows_per_cell`` rows however large a source is, cells are counted first, and a row's rank is
-the sum of the cells before its own plus its place in it.
+No rank needs all rows of a source, or all rows, in one task. The first order is split into ranges of
+(source, hash, id, CRC, size, row number), which has no ties, so ranges hold about equal numbers of rows however
+large a source is and however often an id repeats or is null; ranges are counted by source, and a row's rank is
+what comes before its range plus its place in it. The second order is split by the fraction, which is uniform by
+construction.
 
 Only id, source, size and CRC travel through the two shuffles, never texts.
 
@@ -23,10 +24,10 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import materialize, seeded_order, table, text_or_empty, unit_of
+from tessera.llm._common import in_order, materialize, seeded_order, table, text_or_empty
 
 OVERHEAD_BYTES = 16
-#: A source's rows are dealt to so many cells at least, so that a hot source is spread on small tables too.
+#: The order by fraction is dealt to so many cells at least.
 LEAST_CELLS = 64
 
 
@@ -40,20 +41,17 @@ def interleave(rows: DataFrame, seed: int = 7, rows_per_cell: int = 50_000) -> D
     """Add ``fraction, pos, total`` to rows of ``doc_id, source, size, crc`` (materialised)."""
     total = rows.count()
     cells = max(LEAST_CELLS, math.ceil(total / rows_per_cell))
-    ordered = rows.withColumn("h", seeded_order(seed, F.col("doc_id"))).withColumn(
-        "cell", F.floor(unit_of(F.col("h")) * cells)
-    )
-    counts = ordered.groupBy("source", "cell").agg(F.count("*").alias("n"))
+    hashed = rows.withColumns({"h": seeded_order(seed, F.col("doc_id")), "row": F.monotonically_increasing_id()})
+    ordered = in_order(hashed, total, F.asc_nulls_last("source"), "h", "doc_id", "crc", "size", "row")
+    counts = ordered.groupBy("source", "part").agg(F.count("*").alias("n"), F.min("local").alias("first"))
     by_source = (
-        _offsets(counts, ["source"], "cell")
+        _offsets(counts, ["source"], "part")
         .withColumn("in_source", F.sum("n").over(Window.partitionBy("source")))
-        .select(F.col("source").alias("s"), F.col("cell").alias("c"), "before", "in_source")
+        .select(F.col("source").alias("s"), F.col("part").alias("p"), "first", "before", "in_source")
     )
-    place = Window.partitionBy("source", "cell").orderBy("h", "doc_id", "crc", "size")
     ranked = (
-        ordered.withColumn("place", F.row_number().over(place))
-        .join(by_source, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c")))
-        .withColumn("rank", F.col("before") + F.col("place"))
+        ordered.join(by_source, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
+        .withColumn("rank", F.col("before") + F.col("local") - F.col("first") + 1)
         .withColumn("fraction", (2 * F.col("rank") - 1).cast("double") / (2 * F.col("in_source")).cast("double"))
         .withColumn("slice", F.floor(F.col("fraction") * cells))
         .select("doc_id", "source", "size", "crc", "rank", "fraction", "slice")

@@ -20,7 +20,7 @@ def shingle_set(text: str | None) -> set:
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
-def brute(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
+def brute(docs: list[tuple[int, str | None]], percent: int = 85) -> dict[int, tuple[int, int]]:
     sets = {d: shingle_set(t) for d, t in docs}
     parent = {d: d for d in sets}
 
@@ -31,7 +31,7 @@ def brute(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
 
     for a, b in combinations(sorted(sets), 2):
         x, y = sets[a], sets[b]
-        if x and y and 100 * len(x & y) >= 85 * len(x | y):
+        if x and y and 100 * len(x & y) >= percent * len(x | y):
             ra, rb = root(a), root(b)
             parent[max(ra, rb)] = min(ra, rb)
     return {d: (len(s), root(d)) for d, s in sets.items()}
@@ -39,7 +39,7 @@ def brute(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
 
 def result(spark, docs, **options) -> dict:
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    return {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(N.number_rows(df), **options).collect()}
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(df, **options).collect()}
 
 
 def test_families_chains_and_strangers(spark):
@@ -69,14 +69,14 @@ def test_hashes_tell_shingles_apart(spark, data_dir):
 
 
 def test_edge_cases(spark, edge_docs, no_docs):
-    rows = N.near_duplicates(N.number_rows(edge_docs)).collect()
+    rows = N.near_duplicates(edge_docs).collect()
     assert len(rows) == len(TEXTS)
     same = {r.doc_id: r.component_id for r in rows if r.doc_id in (5, 6)}
     assert same == {5: 5, 6: 5}
     assert [r.component_id for r in rows if r.doc_id is None] == [5]
     assert [r.n_shingles for r in rows if r.doc_id in (1, 2, 3)] == [0, 0, 0]
     assert all(r.component_id == r.doc_id for r in rows if r.doc_id in (1, 2, 3))
-    assert N.near_duplicates(N.number_rows(no_docs)).count() == 0
+    assert N.near_duplicates(no_docs).count() == 0
     kept = N.drop_near_copies(edge_docs)
     assert kept.columns == edge_docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 7, 8, 9, 10]
 

@@ -94,14 +94,14 @@ def test_targets_stop_at_three_times_and_reshare(spark):
 def test_mixture_spends_the_budget_and_meets_targets(spark):
     rows = [(i, " ".join(["w"] * (5 + i * 7 % 23)), f"s{i % 10 % 7}") for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    mixed = mixing.mix(docs, rows_per_cell=10).collect()
+    mixed = mixing.mix(docs, slices=4).collect()
     total = sum(r.size for r in mixed)
     taken = sum(r.size * r.copies for r in mixed)
     assert total - 30 <= taken <= total and all(0 <= r.copies <= 3 for r in mixed)
     for s in {r.source for r in mixed}:
         own = [r for r in mixed if r.source == s]
         assert abs(sum(r.size * r.copies for r in own) - own[0].target) <= 60
-    again = mixing.mix(docs.repartition(7), rows_per_cell=1000).collect()
+    again = mixing.mix(docs.repartition(7)).collect()
     assert sorted((r.doc_id, r.copies) for r in mixed) == sorted((r.doc_id, r.copies) for r in again)
 
 
