@@ -2,6 +2,9 @@
 
 Every stage is a function of (spark, docs, sf_dir). Its result is written as Parquet to the shared workspace
 and read again as the next stage's ``docs``; the stages before the last return the columns of ``documents``.
+
+Stages decide on keys: a row's file and its place there. They write keys, hashes and signatures, which go when the
+stage has decided, and take documents from where they stand. ``run`` deletes a stage's documents once the next has its own.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import exact_dedup, language_id, mixing, near_dedup, sentence_pieces
-from tessera.llm._common import materialize, table
+from tessera.llm._common import forget, materialize, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        if written is not None:
+            forget(written)
+        written = docs
     return STAGES[-1][1](spark, docs, sf_dir)
