@@ -16,11 +16,12 @@ posteriors, is the final span classifier; its coefficients become a column expre
 once; candidates are written to the shared workspace and everything else works on them.
 
 Base spans that pass their checks always stay. The classifier adds wider candidates that it accepts and
-that overlap no base span; of wider candidates that overlap one another the first by start stays.
+that overlap no base span; of wider candidates that overlap one another the first by start, then end, stays.
 
 Defined cases: null text counts as empty; a document without spans has zero counts, the SHA-256 of the
 empty string and an empty ``spans``; repeated rows are judged one by one; an empty table gives an empty
-result; without candidates the classifier rejects everything.
+result; without candidates the classifier rejects everything. Texts are searched whole; a text may be of any length and hold any
+number of spans, since places, contexts and overlaps take time in proportion to it.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm._common import materialize, table, text_or_empty
-from tessera.llm.spans import add_spans, overlaps, written
+from tessera.llm.spans import add_spans, chunks, clear_of, first_of_overlapping, part, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -94,10 +95,10 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def _votes(kind: str, base: bool, span: Column, text: Column) -> Column:
+def _votes(kind: str, base: bool, span: Column, cut: str) -> Column:
     value = span["value"]
-    before = F.substring(text, F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT_CHARS)))
-    around = F.concat(F.right(before, F.lit(1)), F.lit("\n"), F.substring(text, span["end"] + 1, F.lit(1)))
+    before = part(cut, F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0)), F.least(span["start"], F.lit(CONTEXT_CHARS)))
+    around = F.concat(F.right(before, F.lit(1)), F.lit("\n"), part(cut, span["end"], F.lit(1)))
     if kind == "email":
         known = F.lower(F.regexp_extract(value, r"([A-Za-z]+)$", 1)).isin(*TOP_LEVEL)
     elif kind == "card":
@@ -123,6 +124,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     patterns = {f"base_{k}": (p, {"email": has("@"), "phone": has("+")}.get(k, F.lit(True))) for k, p in BASE.items()}
     patterns |= {f"wide_{k}": (p, {"email": has("at]", "at)"), "ip": has(":")}.get(k, F.lit(True))) for k, p in WIDE.items()}
     spans = add_spans(rows, "text", patterns)
+    spans = spans.withColumn("cut", F.when(F.size(F.concat(*patterns)) > 0, chunks(F.col("text"))))
 
     def tagged(kind: str, base: bool) -> Column:
         return F.transform(
@@ -136,7 +138,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 F.lit(base).alias("base"),
                 (valid(kind, s["value"]) if base else F.lit(False)).alias("ok"),
                 F.least(F.length(s["value"]) / 8, F.lit(3)).cast("int").alias("size"),
-                _votes(kind, base, s, F.col("text")).alias("votes"),
+                _votes(kind, base, s, "cut").alias("votes"),
             ),
         )
 
@@ -235,13 +237,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     patterns = vote_patterns(found)
     _, post = estimate(patterns)
     weights = train(patterns, post)
-    base = F.filter("found", lambda s: s["base"] & s["ok"])
-    scored = found.withColumn("base", base).withColumn(
-        "wide", F.filter("found", lambda s: ~s["base"] & (_score(s, weights) > threshold) & ~overlaps(s, F.col("base")))
+    split = found.select(
+        "doc_id", F.filter("found", lambda s: s["base"] & s["ok"]).alias("base"), F.filter("found", lambda s: ~s["base"] & (_score(s, weights) > threshold)).alias("added")
     )
-    return scored.withColumn(
-        "added", F.filter("wide", lambda s: ~F.exists("wide", lambda o: (o["start"] < s["start"]) & (s["start"] < o["end"])))
-    ).select("doc_id", "base", "added")
+    return first_of_overlapping(clear_of(split, "added", "base"), "added")
 
 
 def op1_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
