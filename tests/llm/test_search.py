@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -91,14 +93,44 @@ def test_hosts_paths_and_rules(spark, data_dir):
     assert U.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
-def test_classifier_on_held_out_urls(spark):
-    rows = [(i, f"https://{p}{n}.example.{t}/fr/{i * 31 % 900}?x=1") for i, (n, p, t) in enumerate((n, p, t) for n in (*U.BLOCKED_NAMES, *U.ALLOWED_NAMES) for p in ("", "news.") for t in ("edu", "info"))]
-    rows += [(10_000 + i, f"https://{n}.example.edu/fr/{i}") for i, n in enumerate(("ththre", "therha", "tionsh", "erthan", "ththst", "thernd"))]
+#: Names that are nowhere in the labelled table; neither are they hosts of the given pages.
+HELD_OUT = {
+    "block": ("porn-videos", "live-sexcams", "adult-dating", "viagra-pills", "online-pills", "casino-bonus", "poker-online", "slots-free", "betting-bonus", "lottery-cash",
+              "loans-payday", "replica-bags", "torrent-files", "ad-network", "pixel-tracker", "spam-mailer", "malware-host", "phish-bank", "xxx-tube", "cheap-viagra"),
+    "allow": ("art-museum", "city-library", "state-university", "kitchen-garden", "weather-maps", "daily-news", "history-club", "railway-museum", "village-school", "rose-gardening",
+              "marine-science", "organic-chemistry", "concert-hall", "mountain-travel", "book-reviews", "youth-theatre", "rowing-club", "stone-bakery", "bird-watch", "census-records"),
+}
+
+
+def test_classifier_on_held_out_names(spark):
+    assert not [n for names in HELD_OUT.values() for n in names if n in (*U.BLOCKED_NAMES, *U.ALLOWED_NAMES)]
+    rows, want = [], {}
+    for verdict, names in HELD_OUT.items():
+        for n in names:
+            for prefix, top in (("", "example.edu"), ("www.", "example.info"), ("news.", "example.edu")):
+                want[len(rows)] = verdict
+                rows.append((len(rows), f"https://{prefix}{n}.{top}/fr/{len(rows) * 31 % 900}?x=1"))
     found = {r.page_id: r.verdict for r in U.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
-    want = {i: "block" if any(n in u for n in U.BLOCKED_NAMES) else "allow" for i, u in rows}
-    assert sum(found[i] == want[i] for i in want) >= 0.95 * len(want)
+    assert sum(found[i] == v for i, v in want.items()) >= 0.85 * len(want)
+
+
+def test_labelled_names_are_not_those_of_the_pages(spark):
+    hosts = {r.host for sf in ("sf0.01", "sf0.1") for r in spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").select(U.host_of(F.col("url")).alias("host")).distinct().collect()}
+    names = {part for h in hosts for part in h.split(".")}
+    assert not [n for n in (*U.BLOCKED_NAMES, *U.ALLOWED_NAMES) if n in names]
+
+
+def test_long_urls(spark):
+    rows = [(i, "http://a.example.edu/" + "ab/c-" * 20_000 * i) for i in range(1, 4)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    began = time.perf_counter()
+    assert [len(r.path) for r in U.judge(df).orderBy("page_id").collect()] == [1 + 100_000 * i for i in range(1, 4)]
+    assert time.perf_counter() - began < 30
 
 
-def test_labelled_names_are_words():
-    hosts = " ".join(url for url, _ in U.labelled_urls())
-    assert not [n for n in ("ththing", "therand", "tionthe", "blethat", "erthion", "thonder", "therein") if n in hosts]
+def test_grams_are_all_of_them(spark):
+    df = spark.createDataFrame([("ab.cd", "/x\ny/é👍z"), ("", ""), ("a", "/")], "host string, path string")
+    for r in df.select("*", U.grams(F.col("host"), F.col("path")).alias("g")).collect():
+        bounded = f"^{r.host}$" if r.host else ""
+        want = {f"h:{bounded[i:i + n]}" for n in (3, 4, 5) for i in range(len(bounded) - n + 1)} | {f"p:{r.path[i:i + n]}" for n in (3, 4, 5) for i in range(len(r.path) - n + 1)}
+        assert want <= set(r.g)
