@@ -10,9 +10,13 @@ inner products in double precision.
 
 Rotations and radius are fitted on a bounded sample (``sample`` vectors, the only thing that goes through the
 driver); the radius is the ``coverage`` quantile of the distances of the neighbours one looks for, at the density
-of the whole table. Every row is indexed. Rows are dealt into blocks of about ``block`` by a hash of their
-number, queries into blocks of ``query_block``, and each pair of blocks is one piece of work of bounded size that
-returns ``k`` rows for each query. A query that found too few within the radius is searched again with no radius.
+of the whole table. Every row is indexed.
+
+A table's buckets are dealt out by the leading bits of the substring, as many as make parts of about ``block`` rows; a part
+that a frequent value makes larger is dealt on by a hash of the row. A row goes to one part of each table, once, however
+many queries there are. A query goes to the parts whose leading bits are near enough to its own, streams past the rows that wait there, probes
+their occupied buckets, and returns its ``k`` best from each; a row that an earlier table's probe reaches is left to that one. A query
+that found too few within the radius is searched again with no radius, in the parts of one table.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose
 number of components isn't the most frequent one, nor rows without an id. Rows that repeat an id are candidates of each other. Equal scores
@@ -21,7 +25,9 @@ go to the smaller id. With fewer than ``k`` candidates all are returned. An empt
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +38,7 @@ from tessera.llm._common import materialize, seeded_order, table
 
 SUB = 16
 RESULT = "query_row long, query_id long, row long, vec_id long, score double"
+_PART = ["t", "prefix", "salt", "slice"]
 
 
 def takes_part(vector: Column) -> Column:
@@ -39,11 +46,16 @@ def takes_part(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
+def _kind(df: DataFrame, vector_col: str) -> str:
+    """Single precision is kept as it is: it takes half the room, and becomes double without loss."""
+    return "array<float>" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+
+
 def number_vectors(df: DataFrame, id_col: str, vector_col: str, query: Column) -> DataFrame:
     """``row, vec_id, vector, is_query`` for the vectors that take part."""
     rows = df.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"),
-        F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(query, F.lit(False)).alias("is_query"),
+        F.col(vector_col).cast(_kind(df, vector_col)).alias("vector"), F.coalesce(query, F.lit(False)).alias("is_query"),
     )
     rows = materialize(rows.filter(F.col("vec_id").isNotNull() & takes_part(F.col("vector"))), "vectors")
     usual = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -101,27 +113,34 @@ def fit(sample: np.ndarray, total: int, length: float, k: int, bits: int, covera
     return coder, int(np.quantile(np.concatenate(seen), coverage, method="higher")) if seen and len(sample) > 1 else bits
 
 
+def reaches(radius: int, tables: int) -> list[int]:
+    """Pigeonhole: how far apart substrings of codes within ``radius`` are at most in one table at least. The first ``spare + 1``
+    tables need ``reach``, the others one less."""
+    if radius >= SUB * tables:
+        return [SUB] * tables
+    reach, spare = divmod(radius, tables)
+    return [reach if j <= spare else reach - 1 for j in range(tables)]
+
+
 class Index:
-    """Substring tables over a block of codes."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.tables = [np.unique(codes[:, j], return_inverse=True) for j in range(codes.shape[1])]
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Places of all codes within ``radius`` of ``code``."""
-        if radius >= SUB * self.codes.shape[1]:
-            return np.arange(len(self.codes))
-        parts = len(self.tables)
-        reach, spare = divmod(radius, parts)
-        hit = np.zeros(len(self.codes), bool)
-        for j, (values, bucket) in enumerate(self.tables):
-            # Pigeonhole: the first `spare + 1` substrings need `reach`, the others one less.
-            most = reach if j <= spare else reach - 1
-            if most >= 0:
-                hit |= (np.bitwise_count(values ^ code[j]) <= most)[bucket]
-        places = np.flatnonzero(hit)
-        return places[hamming(self.codes[places], code) <= radius]
+    """The buckets of one table over a part of the codes."""
+
+    def __init__(self, codes: np.ndarray, table: int, radius: int):
+        self.codes, self.table, self.radius = codes, table, radius
+        self.most = reaches(radius, codes.shape[1])
+        self.values, self.bucket = np.unique(codes[:, table], return_inverse=True)
+
+    def within(self, asked: np.ndarray) -> np.ndarray:
+        """[queries, rows]: codes within the radius that this table's probe reaches and no earlier table's."""
+        reached = np.bitwise_count(self.values ^ asked[:, self.table, None]) <= self.most[self.table]
+        hit = reached[:, self.bucket]
+        distance = np.zeros(hit.shape, np.uint8)
+        for j in range(self.codes.shape[1]):
+            apart = np.bitwise_count(self.codes[:, j] ^ asked[:, j, None])
+            distance += apart
+            if j < self.table:
+                hit &= apart > self.most[j]
+        return hit & (distance <= self.radius)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -129,31 +148,67 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _search(rotation: np.ndarray, length: float, radius: int, k: int):
-    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        out: dict[str, list] = {n: [] for n in ("query_row", "query_id", "row", "vec_id", "score")}
-        if len(rows) and len(asked):
-            coder = Coder(rotation, length)
-            # In order of id, so that a stable sort by score leaves ties with the smaller id first.
-            order = np.lexsort((rows["row"].to_numpy(), rows["vec_id"].to_numpy()))
-            row, vec_id, vectors = rows["row"].to_numpy()[order], rows["vec_id"].to_numpy()[order], _matrix(rows["vector"])[order]
-            index = Index(coder.codes(vectors))
-            queries = _matrix(asked["vector"])
-            for q, code, own, name in zip(queries, coder.codes(queries, query=True), asked["row"].to_pylist(), asked["vec_id"].to_pylist(), strict=True):
-                found = index.within(code, radius)
-                found = found[row[found] != own]
-                scores = (vectors[found] * q).sum(axis=1)
-                if len(found) > 4 * k:
-                    kept = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
-                    found, scores = found[kept], scores[kept]
-                best = np.argsort(-scores, kind="stable")[:k]
-                out["query_row"].append(np.full(len(best), own))
-                out["query_id"].append(np.full(len(best), name))
-                out["row"].append(row[found[best]])
-                out["vec_id"].append(vec_id[found[best]])
-                out["score"].append(scores[best])
-        types = {"score": np.float64}
-        return pa.table({n: pa.array(np.concatenate([np.empty(0, types.get(n, np.int64)), *v])) for n, v in out.items()})
+def _code(coder: Coder):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = _matrix(pa.chunked_array([batch.column("vector")])) if len(batch) else np.empty((0, 0))
+            for name, query in (("code", False), ("asked", True)):
+                codes = coder.codes(vectors, query).astype(np.int32) if len(batch) else np.empty((0, 1), np.int32)
+                offsets = pa.array(np.arange(len(batch) + 1) * codes.shape[1], pa.int32())
+                batch = batch.append_column(name, pa.ListArray.from_arrays(offsets, pa.array(codes.ravel())))
+            yield batch
+
+    return run
+
+
+class _Part:
+    """The rows of one part, in order of id, so that a stable sort by score leaves ties with the smaller id first."""
+
+    def __init__(self, rows: pa.Table, table: int, radius: int):
+        order = np.lexsort((rows["row"].to_numpy(), rows["vec_id"].to_numpy()))
+        self.row, self.vec_id = rows["row"].to_numpy()[order], rows["vec_id"].to_numpy()[order]
+        self.vectors = _matrix(rows["vector"])[order]
+        self.index = Index(_matrix(rows["code"]).astype(np.uint16)[order], table, radius)
+
+    def nearest(self, asked: pa.Table, k: int) -> Iterator[dict[str, np.ndarray]]:
+        queries, own, name = _matrix(asked["vector"]), asked["row"].to_numpy(), asked["vec_id"].to_numpy()
+        within = self.index.within(_matrix(asked["code"]).astype(np.uint16)) & (self.row != own[:, None])
+        rough = np.where(within, queries @ self.vectors.T, -np.inf)
+        for i, (query, scores) in enumerate(zip(queries, rough, strict=True)):
+            # The product by blocks rounds otherwise than sums one by one: what is near the k-th best is summed again.
+            least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else -np.inf
+            found = np.flatnonzero(within[i] & (scores >= least - 1e-9 * np.abs(np.where(np.isfinite(least), least, 0.0)) - 1e-9 * self.scale(query)))
+            exact = (self.vectors[found] * query).sum(axis=1)
+            best = np.argsort(-exact, kind="stable")[:k]
+            yield {"query_row": np.full(len(best), own[i]), "query_id": np.full(len(best), name[i]), "row": self.row[found[best]],
+                   "vec_id": self.vec_id[found[best]], "score": exact[best]}
+
+    def scale(self, query: np.ndarray) -> float:
+        return float(np.abs(query).sum() * np.abs(self.vectors).max())
+
+
+def _search(radius: int, k: int, together: int = 64):
+    """Rows and queries of each part, rows first: rows are gathered, queries stream past them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting, part = None, [], None
+        for batch in batches:
+            if not len(batch):
+                continue
+            key = np.stack([batch.column(c).to_numpy() for c in (*_PART, "kind")])
+            cuts = (np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()
+            for lo, hi in itertools.pairwise([0, *cuts, len(batch)]):
+                place, kind = tuple(key[:-1, lo].tolist()), key[-1, lo]
+                if place != now:
+                    now, waiting, part = place, [], None
+                rows = pa.Table.from_batches([batch.slice(lo, hi - lo)])
+                if kind == 0:
+                    waiting.append(rows)
+                    continue
+                if part is None and waiting:
+                    part, waiting = _Part(pa.concat_tables(waiting), place[0], radius), []
+                for at in range(0, len(rows) if part else 0, together):
+                    found = list(part.nearest(rows.slice(at, together), k))
+                    yield pa.RecordBatch.from_pydict({n: np.concatenate([f[n] for f in found]) for n in found[0]})
 
     return run
 
@@ -168,38 +223,60 @@ def nearest(
     coverage: float = 0.97,
     sample: int = 8_192,
     block: int = 8_192,
-    query_block: int = 4_096,
+    query_block: int = 1 << 20,
 ) -> DataFrame:
-    """``query_id, rank, vec_id, score``: each query row's nearest other rows."""
+    """``query_id, rank, vec_id, score``: each query row's nearest other rows.
+
+    More queries than ``query_block`` are dealt out, for the sake of parallel work; only then does a row go to a part more than once.
+    """
     rows = number_vectors(df, id_col, vector_col, query)
     total, length, asked = rows.agg(
-        F.count("*"), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))), F.count_if("is_query")
+        F.count("*"), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x))), F.count_if("is_query")
     ).first()
     picked = rows.orderBy(seeded_order(5, F.col("row")), "row").limit(sample).select("vector").toArrow()
     if len(picked):
         coder, radius = fit(_matrix(picked["vector"]), total, length, k, bits, coverage)
     else:
         coder, radius = Coder(np.empty((0, 0)), 0.0), bits
-    blocks, query_blocks = max(1, math.ceil(total / block)), max(1, math.ceil(asked / query_block))
-    number = F.xxhash64("row")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    coded = materialize(rows.mapInArrow(_code(coder), f"{kinds}, code array<int>, asked array<int>"), "coded")
+    lead = max(0, min(SUB, math.ceil(math.log2(max(total, 1) / block))))
+    slices = max(1, math.ceil(asked / query_block))
+    prefix = F.shiftright("value", SUB - lead)
+    dealt = F.sequence(F.lit(0), F.lit(slices - 1))
 
     def search(queries: DataFrame, within: int) -> DataFrame:
-        data = rows.withColumn("b", F.pmod(number, F.lit(blocks))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<long>")))
-        ask = queries.withColumn("q", F.pmod(number, F.lit(query_blocks))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-        return (
-            data.select("b", "q", "row", "vec_id", "vector").groupBy("b", "q")
-            .cogroup(ask.select("b", "q", "row", "vec_id", "vector").groupBy("b", "q"))
-            .applyInArrow(_search(coder.rotation, coder.length, within, k), RESULT)
+        most = reaches(within, bits // SUB)
+        tables = len(most) if within < bits else 1
+        placed = coded.select("row", "vec_id", "vector", "code", F.posexplode(F.slice("code", 1, tables)).alias("t", "value")).withColumn("prefix", prefix)
+        # A row for each part: its number of hash parts.
+        parts = materialize(placed.groupBy("t", "prefix").agg(F.ceil(F.count("*") / (2 * block)).cast("int").alias("salts")), "parts")
+        index = placed.join(parts, ["t", "prefix"]).select(
+            "t", "prefix", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int").alias("salt"), F.explode(dealt).alias("slice"), F.lit(0).alias("kind"),
+            "row", "vec_id", "vector", "code")
+        near = F.filter(F.sequence(F.lit(0), F.lit((1 << lead) - 1)), lambda m: F.bit_count(m) <= F.get(F.array(*map(F.lit, most)), F.col("t")))
+        probes = (
+            queries.select("row", "vec_id", "vector", F.col("asked").alias("code"), F.posexplode(F.slice("asked", 1, tables)).alias("t", "value"))
+            .withColumn("own", prefix).select("*", F.explode(near).alias("mask")).withColumn("prefix", F.col("own").bitwiseXOR(F.col("mask")))
+            .join(parts, ["t", "prefix"]).select(
+                "t", "prefix", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.pmod(F.xxhash64("row"), F.lit(slices)).cast("int").alias("slice"),
+                F.lit(1).alias("kind"), "row", "vec_id", "vector", "code")
         )
+        met = index.unionByName(probes).repartition(*_PART).sortWithinPartitions(*_PART, "kind")
+        return met.mapInArrow(_search(within, k), RESULT)
 
-    queries = rows.filter("is_query")
-    found = materialize(search(queries, radius), "nearest")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc("vec_id"), F.asc("row"))
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+    queries = coded.filter("is_query")
+    found = materialize(ranked(search(queries, radius)), "nearest")
     enough = found.groupBy("query_row").agg(F.count("*").alias("n")).filter(F.col("n") >= min(k, max(total - 1, 0))).select("query_row")
     short = materialize(queries.join(enough, F.col("row") == F.col("query_row"), "left_anti"), "short")
     if short.count():
-        found = found.join(enough, "query_row", "left_semi").unionByName(search(short, bits))
-    best = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc("vec_id"), F.asc("row"))
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = found.join(enough, "query_row", "left_semi").unionByName(ranked(search(short, bits)))
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def op5_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:

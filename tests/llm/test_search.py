@@ -5,14 +5,15 @@ from __future__ import annotations
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import multi_index_hashing as A
 from tessera.llm import url_filter as U
 
 
-def test_recall_and_scores(spark):
-    d = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("d", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_recall_and_scores(spark, d):
     rows = spark.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id").collect()
     x, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
     found: dict[int, list] = {}
@@ -28,17 +29,18 @@ def test_recall_and_scores(spark):
         assert [r for r, _, _ in got] == list(range(1, 21))
         assert all(s == scores[ids == v][0] for _, v, s in got)
         assert [(-s, v) for _, v, s in got] == sorted((-s, v) for _, v, s in got)
-    assert hits >= 0.9 * 20 * len(found)
+    assert hits >= 0.95 * 20 * len(found)
 
 
 def test_pigeonhole_probing_is_complete():
     rng = np.random.default_rng(2)
     codes = rng.integers(0, 1 << 16, (3000, 8), dtype=np.uint16)
     codes[:500] = codes[0] ^ (rng.random((500, 8)) < 0.3).astype(np.uint16)
-    index = A.Index(codes)
+    asked = codes[[0, 1, 700]]
     for radius in (0, 3, 7, 8, 15, 40, 60, 128):
-        for i in (0, 1, 700):
-            assert index.within(codes[i], radius).tolist() == np.flatnonzero(A.hamming(codes, codes[i]) <= radius).tolist()
+        times = sum(A.Index(codes, t, radius).within(asked).astype(int) for t in range(8))
+        want = np.array([A.hamming(codes, one) <= radius for one in asked])
+        assert (times == want).all()
 
 
 def test_odd_vectors(spark):
@@ -55,13 +57,24 @@ def test_blocks_do_not_change_results(spark):
     rows = [(i, rng.normal(size=16).tolist()) for i in range(400)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     one = A.nearest(df, F.col("vec_id") % 20 == 0, k=5, coverage=1.0).collect()
-    many = A.nearest(df, F.col("vec_id") % 20 == 0, k=5, coverage=1.0, block=50, query_block=7).collect()
+    many = A.nearest(df, F.col("vec_id") % 20 == 0, k=5, coverage=1.0, block=20, query_block=7).collect()
     x = np.array([r[1] for r in rows])
     scores = x[::20] @ x.T
     hit = sum(1 for r in one if scores[r.query_id // 20, r.vec_id] >= np.sort(np.delete(scores[r.query_id // 20], r.query_id))[-5] - 1e-9)
     assert hit >= 0.9 * len(one) and len(one) == len(many) == 100
 
 
+def test_many_equal_vectors(spark):
+    rng = np.random.default_rng(4)
+    same = [1.0] * 8
+    rows = [(i, same if i % 3 else rng.normal(size=8).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = A.nearest(df, F.col("vec_id") == 1, k=5, block=64).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found] != [] and len(found) == 5
+    scores = sorted(((-float(np.dot(v, same)), i) for i, v in rows if i != 1))[:5]
+    assert [(r.vec_id, round(r.score, 9)) for r in found] == [(i, round(-s, 9)) for s, i in scores]
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     if not url or "://" not in url:
         return "", ""
