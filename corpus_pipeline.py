@@ -39,9 +39,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded texts, a row for each document of the mixture."""
+    """Token counts and digests of ids, spans and decoded texts, a row for each document of the mixture.
+
+    Digests are written here, so that texts go to Python in batches of bounded size.
+    """
     model = sentence_pieces.model_bytes(spark, sentence_pieces.public_model())
-    return sentence_pieces.digests(sentence_pieces.encode(docs, model, spans=False, tokens=False), "doc_id")
+    return materialize(sentence_pieces.digests(sentence_pieces.encode(docs, model, spans=False, tokens=False), "doc_id"), "pieces")
 
 
 STAGES = [
