@@ -14,8 +14,9 @@ of the whole table. Every row is indexed.
 
 A table's buckets are dealt out by the leading bits of the substring, as many as make parts of about ``block`` rows; a part
 that a frequent value makes larger is dealt on by a hash of the row. A row goes to one part of each table, once, however
-many queries there are. A query goes to the parts whose leading bits are near enough to its own, streams past the rows that wait there, probes
-their occupied buckets, and returns its ``k`` best from each; a row that an earlier table's probe reaches is left to that one. A query
+many queries there are. A query goes to the parts whose leading bits are near enough to its own, streams past the rows that wait there and probes
+their occupied buckets; a row that an earlier table's probe reaches is left to that one. The query knows the score of its ``k``-th best
+in the sample: what is retrieved and scores less can't be among its ``k`` best, so a part returns little. A query
 that found too few within the radius is searched again with no radius, in the parts of one table.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose
@@ -131,16 +132,20 @@ class Index:
         self.values, self.bucket = np.unique(codes[:, table], return_inverse=True)
 
     def within(self, asked: np.ndarray) -> np.ndarray:
-        """[queries, rows]: codes within the radius that this table's probe reaches and no earlier table's."""
+        """[queries, rows]: codes within the radius whose buckets this table's probe reaches."""
         reached = np.bitwise_count(self.values ^ asked[:, self.table, None]) <= self.most[self.table]
-        hit = reached[:, self.bucket]
-        distance = np.zeros(hit.shape, np.uint8)
-        for j in range(self.codes.shape[1]):
-            apart = np.bitwise_count(self.codes[:, j] ^ asked[:, j, None])
-            distance += apart
-            if j < self.table:
-                hit &= apart > self.most[j]
-        return hit & (distance <= self.radius)
+        whole, one = (x.view(np.uint64) if x.shape[1] % 4 == 0 else x for x in (np.ascontiguousarray(self.codes), np.ascontiguousarray(asked)))
+        distance = np.zeros((len(asked), len(self.codes)), np.uint16)
+        for j in range(whole.shape[1]):
+            distance += np.bitwise_count(whole[:, j] ^ one[:, j, None])
+        return reached[:, self.bucket] & (distance <= self.radius)
+
+    def first(self, asked: np.ndarray, query: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which of the pairs (query, place) no earlier table's probe reaches."""
+        alone = np.ones(len(place), bool)
+        for j in range(self.table):
+            alone &= np.bitwise_count(self.codes[place, j] ^ asked[query, j]) > self.most[j]
+        return alone
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -148,15 +153,22 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _code(coder: Coder):
+def _code(coder: Coder, sample_rows: np.ndarray, sample: np.ndarray, k: int):
+    """Add both codes of each vector, and for queries the score of the ``k``-th best vector of the sample."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = _matrix(pa.chunked_array([batch.column("vector")])) if len(batch) else np.empty((0, 0))
+            least = np.full(len(batch), -np.inf)
+            asking = np.flatnonzero(batch.column("is_query").to_numpy(zero_copy_only=False))
+            if len(asking) and len(sample) > k:
+                scores = vectors[asking] @ sample.T
+                scores[sample_rows == batch.column("row").to_numpy()[asking, None]] = -np.inf
+                least[asking] = np.partition(scores, len(sample) - k, axis=1)[:, len(sample) - k]
             for name, query in (("code", False), ("asked", True)):
                 codes = coder.codes(vectors, query).astype(np.int32) if len(batch) else np.empty((0, 1), np.int32)
                 offsets = pa.array(np.arange(len(batch) + 1) * codes.shape[1], pa.int32())
                 batch = batch.append_column(name, pa.ListArray.from_arrays(offsets, pa.array(codes.ravel())))
-            yield batch
+            yield batch.append_column("least", pa.array(least, pa.float64()))
 
     return run
 
@@ -168,26 +180,30 @@ class _Part:
         order = np.lexsort((rows["row"].to_numpy(), rows["vec_id"].to_numpy()))
         self.row, self.vec_id = rows["row"].to_numpy()[order], rows["vec_id"].to_numpy()[order]
         self.vectors = _matrix(rows["vector"])[order]
+        self.rough, self.largest = self.vectors.T.astype(np.float32), float(np.abs(self.vectors).max())
         self.index = Index(_matrix(rows["code"]).astype(np.uint16)[order], table, radius)
 
-    def nearest(self, asked: pa.Table, k: int) -> Iterator[dict[str, np.ndarray]]:
+    def nearest(self, asked: pa.Table, k: int) -> dict[str, np.ndarray]:
         queries, own, name = _matrix(asked["vector"]), asked["row"].to_numpy(), asked["vec_id"].to_numpy()
-        within = self.index.within(_matrix(asked["code"]).astype(np.uint16)) & (self.row != own[:, None])
-        rough = np.where(within, queries @ self.vectors.T, -np.inf)
-        for i, (query, scores) in enumerate(zip(queries, rough, strict=True)):
-            # The product by blocks rounds otherwise than sums one by one: what is near the k-th best is summed again.
-            least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else -np.inf
-            found = np.flatnonzero(within[i] & (scores >= least - 1e-9 * np.abs(np.where(np.isfinite(least), least, 0.0)) - 1e-9 * self.scale(query)))
-            exact = (self.vectors[found] * query).sum(axis=1)
-            best = np.argsort(-exact, kind="stable")[:k]
-            yield {"query_row": np.full(len(best), own[i]), "query_id": np.full(len(best), name[i]), "row": self.row[found[best]],
-                   "vec_id": self.vec_id[found[best]], "score": exact[best]}
-
-    def scale(self, query: np.ndarray) -> float:
-        return float(np.abs(query).sum() * np.abs(self.vectors).max())
-
-
-def _search(radius: int, k: int, together: int = 64):
+        codes = _matrix(asked["code"]).astype(np.uint16)
+        # Single precision tells what is far below the least score that counts; the rest is summed in double precision.
+        slack = 1e-5 * self.largest * np.abs(queries).sum(axis=1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            fair = ~(queries.astype(np.float32) @ self.rough < (asked["least"].to_numpy() - slack)[:, None])
+        query, place = np.nonzero(self.index.within(codes) & fair)
+        keep = (self.row[place] != own[query]) & self.index.first(codes, query, place)
+        query, place = query[keep], place[keep]
+        score = np.concatenate([np.empty(0), *[(self.vectors[place[at : at + 65_536]] * queries[query[at : at + 65_536]]).sum(axis=1) for at in range(0, len(place), 65_536)]])
+        # Of each query, the k best: sorted by score, then id, and numbered.
+        order = np.lexsort((place, -score, query))
+        query, place, score = query[order], place[order], score[order]
+        starts = np.searchsorted(query, np.arange(len(queries)))
+        best = np.arange(len(query)) - starts[query] < k
+        query, place, score = query[best], place[best], score[best]
+        return {"query_row": own[query], "query_id": name[query], "row": self.row[place], "vec_id": self.vec_id[place], "score": score}
+
+
+def _search(radius: int, k: int, together: int = 128):
     """Rows and queries of each part, rows first: rows are gathered, queries stream past them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, waiting, part = None, [], None
@@ -207,8 +223,7 @@ def _search(radius: int, k: int, together: int = 64):
                 if part is None and waiting:
                     part, waiting = _Part(pa.concat_tables(waiting), place[0], radius), []
                 for at in range(0, len(rows) if part else 0, together):
-                    found = list(part.nearest(rows.slice(at, together), k))
-                    yield pa.RecordBatch.from_pydict({n: np.concatenate([f[n] for f in found]) for n in found[0]})
+                    yield pa.RecordBatch.from_pydict(part.nearest(rows.slice(at, together), k))
 
     return run
 
@@ -233,13 +248,14 @@ def nearest(
     total, length, asked = rows.agg(
         F.count("*"), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x))), F.count_if("is_query")
     ).first()
-    picked = rows.orderBy(seeded_order(5, F.col("row")), "row").limit(sample).select("vector").toArrow()
+    picked = rows.orderBy(seeded_order(5, F.col("row")), "row").limit(sample).select("row", "vector").toArrow()
     if len(picked):
         coder, radius = fit(_matrix(picked["vector"]), total, length, k, bits, coverage)
     else:
         coder, radius = Coder(np.empty((0, 0)), 0.0), bits
+    known = (picked["row"].to_numpy(), _matrix(picked["vector"])) if len(picked) else (np.empty(0, np.int64), np.empty((0, 0)))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    coded = materialize(rows.mapInArrow(_code(coder), f"{kinds}, code array<int>, asked array<int>"), "coded")
+    coded = materialize(rows.mapInArrow(_code(coder, *known, k), f"{kinds}, code array<int>, asked array<int>, least double"), "coded")
     lead = max(0, min(SUB, math.ceil(math.log2(max(total, 1) / block))))
     slices = max(1, math.ceil(asked / query_block))
     prefix = F.shiftright("value", SUB - lead)
@@ -248,19 +264,19 @@ def nearest(
     def search(queries: DataFrame, within: int) -> DataFrame:
         most = reaches(within, bits // SUB)
         tables = len(most) if within < bits else 1
-        placed = coded.select("row", "vec_id", "vector", "code", F.posexplode(F.slice("code", 1, tables)).alias("t", "value")).withColumn("prefix", prefix)
+        placed = coded.select("row", "vec_id", "vector", "code", "least", F.posexplode(F.slice("code", 1, tables)).alias("t", "value")).withColumn("prefix", prefix)
         # A row for each part: its number of hash parts.
         parts = materialize(placed.groupBy("t", "prefix").agg(F.ceil(F.count("*") / (2 * block)).cast("int").alias("salts")), "parts")
         index = placed.join(parts, ["t", "prefix"]).select(
             "t", "prefix", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int").alias("salt"), F.explode(dealt).alias("slice"), F.lit(0).alias("kind"),
-            "row", "vec_id", "vector", "code")
+            "row", "vec_id", "vector", "code", "least")
         near = F.filter(F.sequence(F.lit(0), F.lit((1 << lead) - 1)), lambda m: F.bit_count(m) <= F.get(F.array(*map(F.lit, most)), F.col("t")))
         probes = (
-            queries.select("row", "vec_id", "vector", F.col("asked").alias("code"), F.posexplode(F.slice("asked", 1, tables)).alias("t", "value"))
+            queries.select("row", "vec_id", "vector", "least", F.col("asked").alias("code"), F.posexplode(F.slice("asked", 1, tables)).alias("t", "value"))
             .withColumn("own", prefix).select("*", F.explode(near).alias("mask")).withColumn("prefix", F.col("own").bitwiseXOR(F.col("mask")))
             .join(parts, ["t", "prefix"]).select(
                 "t", "prefix", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.pmod(F.xxhash64("row"), F.lit(slices)).cast("int").alias("slice"),
-                F.lit(1).alias("kind"), "row", "vec_id", "vector", "code")
+                F.lit(1).alias("kind"), "row", "vec_id", "vector", "code", "least")
         )
         met = index.unionByName(probes).repartition(*_PART).sortWithinPartitions(*_PART, "kind")
         return met.mapInArrow(_search(within, k), RESULT)
