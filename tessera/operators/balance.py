@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.labels import BUILDING_KEYS, DAMAGE_KEYS
-from tessera.operators.ordering import greedy_balance_order, hash_rank, imbalance, with_prefix_sum
+from tessera.operators.lineage import settled
+from tessera.operators.ordering import greedy_balance_order, hash_rank, imbalance, with_group_position, with_prefix_sum
 from tessera.operators.split import pick
 from tessera.operators.stats import split_by_presence
 
@@ -25,6 +26,7 @@ def slice_scores(ordered: DataFrame, n: int, betas: list[float], include_last: b
     raw = sums.select("start", sum((F.col(f"`{c}`") for c in all_labels), F.lit(0)).alias("f1"), imbalance(*[F.col(f"`{c}`") for c in labels]).alias("f2"))
     if not include_last:
         raw = raw.filter(F.col("start") < ordered.agg(F.max("pos")).first()[0] - n + 1)
+    raw = settled(raw)
     ends_of = raw.agg(F.min("f1").alias("l1"), F.max("f1").alias("h1"), F.min("f2").alias("l2"), F.max("f2").alias("h2"))
     scaled = raw.join(F.broadcast(ends_of)).select(
         "start", F.coalesce(F.try_divide(F.col("f1") - F.col("l1"), F.col("h1") - F.col("l1")), F.lit(0.0)).alias("g1"),
@@ -54,8 +56,7 @@ def balanced_sample(counts: DataFrame, total: int, beta: float = 0.7, seed: int
         raise ValueError(f"fewer than {n} tiles have damage classes")
     chosen = ordered.filter(F.col("pos").between(start["start"], start["start"] + n - 1)).select("dis_id", "tile_id")
     shares = chosen.groupBy("dis_id").agg(F.bround(F.count("*") * F.lit(n_empty) / n).cast("int").alias("wanted"))
-    by = Window.partitionBy("dis_id")
-    pool = empty.select("dis_id", "tile_id", F.count("*").over(by).alias("size"), (F.row_number().over(by.orderBy("tile_id")) - 1).cast("long").alias("at"))
+    pool = with_group_position(empty.select("dis_id", "tile_id"), ["dis_id"], "tile_id", name="at")
     draws = shares.filter("wanted > 0").select("dis_id", F.explode(F.sequence(F.lit(1), F.col("wanted"))).alias("draw"))
     sizes = pool.groupBy("dis_id").agg(F.max("size").alias("size"))
     drawn = draws.join(sizes, "dis_id").withColumn("at", pick(seed, F.col("size"), "dis_id", "draw")).join(pool.drop("size"), ["dis_id", "at"])
@@ -75,11 +76,11 @@ def replacement_plan(buildings: DataFrame, minority: str, seed: int = 0) -> Data
     hosts = buildings.filter(classes & (F.col("label") != minority)).withColumns({
         "rate": rate, "n": F.count("*").over(Window.partitionBy("dis_id", "tile_id")), "at": F.row_number().over(order)})
     replaced = hosts.filter(F.col("at") <= F.bround(F.col("n") * F.col("rate")))
-    donors = buildings.filter(F.col("label") == minority).select(
-        "dis_id", F.col("obj").alias("donor"), (F.row_number().over(Window.partitionBy("dis_id").orderBy("obj")) - 1).cast("long").alias("donor_at"))
-    sizes = donors.groupBy("dis_id").agg(F.count("*").alias("donors"))
+    donors = with_group_position(
+        buildings.filter(F.col("label") == minority).select("dis_id", F.col("obj").alias("donor"), "tile_id"), ["dis_id"], "donor", "tile_id", name="donor_at", size="donors")
+    sizes = donors.groupBy("dis_id").agg(F.max("donors").alias("donors"))
     return (
-        replaced.join(sizes, "dis_id").withColumn("donor_at", pick(seed, F.col("donors"), F.lit("donor"), "obj")).join(donors, ["dis_id", "donor_at"])
+        replaced.join(sizes, "dis_id").withColumn("donor_at", pick(seed, F.col("donors"), F.lit("donor"), "obj")).join(donors.select("dis_id", "donor_at", "donor"), ["dis_id", "donor_at"])
         .select("dis_id", "tile_id", "obj", "label", "rate", "donor")
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -36,6 +38,25 @@ def with_position(df: DataFrame, *order: Column | str, name: str = "pos") -> Dat
     )
 
 
+def with_group_position(df: DataFrame, group: list[str], *order: Column | str, name: str = "pos", size: str = "size") -> DataFrame:
+    """Number the rows of each group from 0 in the given order, which leaves no ties, and add the group's size.
+
+    Rows are range partitioned by group and order together, so a group that holds most of the rows is spread over as many tasks.
+    """
+    placed = settled(df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    every = Window.partitionBy(*[f"_g{i}" for i in range(len(group))])
+    earlier = every.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each partition and group in it.
+    runs = (
+        placed.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p")).agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"))
+        .withColumns({"_before": F.coalesce(F.sum("_rows").over(earlier), F.lit(0)), size: F.sum("_rows").over(every)}).drop("_rows")
+    )
+    same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
+    joined = placed.join(runs, [F.col("_part") == F.col("_p"), *same])
+    return joined.withColumn(name, F.col("_before") + F.col("_at") - F.col("_first")).drop("_at", "_part", "_p", "_first", "_before", *[f"_g{i}" for i in range(len(group))])
+
+
 def with_prefix_sum(df: DataFrame, position: str, columns: list[str], block: int = 65_536, group: list[str] | None = None) -> DataFrame:
     """Add ``<column>_upto`` (sum of all rows up to and including this one, by position) for each column, in each ``group``."""
     group = group or []
@@ -68,37 +89,50 @@ def greedy_balance_order(
     """Order tiles so that each next one leaves the running class totals least imbalanced; adds ``pos`` from 0.
 
     Only count vectors matter, so the choice is made among distinct vectors with their multiplicities, in one
-    task per group: far fewer rows than tiles, and none of their payload. Equal choices go to the smaller vector,
+    task per group: far fewer rows than tiles, and none of their payload. That task holds the distinct vectors and hands out
+    choices a piece at a time; tiles are joined to them afterwards. Equal choices go to the smaller vector,
     then to the smaller ``keys``. ``group`` gives each group an order of its own, in parallel; ``max_picks`` stops
     each order early, where only its beginning is used.
     """
     group = group or []
     counted = tiles.withColumns({c: F.col(c).cast("long") for c in classes})
-    numbered = counted.withColumn("_nth", F.row_number().over(Window.partitionBy(*group, *classes).orderBy(*keys)))
+    numbered = with_group_position(counted, [*group, *classes], *keys, name="_nth", size="_copies")
     signatures = counted.groupBy(*group, *classes).agg(F.count("*").alias("_copies"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in signatures.drop("_copies").schema.fields]
-    choose = _chooser(group, classes, max_picks)
-    together = signatures.groupBy(*group) if group else signatures.withColumn("_all", F.lit(0)).groupBy("_all")
-    order = together.applyInPandas(choose, ", ".join([*fields, "_nth int", "pos long"]))
-    return numbered.join(order, [*group, *classes, "_nth"]).drop("_nth")
+    together = signatures.repartition(*group) if group else signatures.coalesce(1)
+    order = together.sortWithinPartitions(*group, *classes).mapInPandas(_chooser(group, classes, max_picks), ", ".join([*fields, "_nth long", "pos long"]))
+    return numbered.drop("_copies").join(order, [*group, *classes, "_nth"]).drop("_nth")
 
 
-def _chooser(group: list[str], classes: list[str], max_picks: int | None):
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(classes, ignore_index=True)
+def _chooser(group: list[str], classes: list[str], max_picks: int | None, piece: int = 10_000):
+    def choices(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         counts, left = rows[classes].to_numpy("int64"), rows["_copies"].to_numpy("int64").copy()
         taken, total = left * 0, counts[:0].sum(axis=0)
-        picks = int(min(left.sum(), max_picks or left.sum()))
-        chosen, nth = [], []
-        for _ in range(picks):
+        picks, chosen, nth = int(min(left.sum(), max_picks or left.sum())), [], []
+        for at in range(picks):
             after = counts + total
             cost = len(classes) * (after * after).sum(axis=1) - after.sum(axis=1) ** 2
             best = int(np.where(left > 0, cost, np.iinfo("int64").max).argmin())
             total = total + counts[best]
             left[best] -= 1
-            taken[best] += 1
             chosen.append(best)
             nth.append(taken[best])
-        return rows.iloc[chosen][[*group, *classes]].assign(_nth=nth, pos=range(picks))
-
-    return choose
+            taken[best] += 1
+            if len(chosen) == piece or at == picks - 1:
+                yield rows.iloc[chosen][[*group, *classes]].assign(_nth=nth, pos=range(at + 1 - len(chosen), at + 1))
+                chosen, nth = [], []
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for part in parts:
+            held = part if held is None else pd.concat([held, part], ignore_index=True)
+            if group and len(held):
+                # Sorted by group: all but the last group are complete.
+                last = (held[group] == held[group].iloc[-1]).all(axis=1)
+                for _, rows in held[~last].groupby(group, sort=False):
+                    yield from choices(rows.reset_index(drop=True))
+                held = held[last].reset_index(drop=True)
+        if held is not None and len(held):
+            yield from choices(held)
+
+    return run

@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.labels import copy_id
-from tessera.operators.ordering import hash_rank
+from tessera.operators.lineage import settled
+from tessera.operators.ordering import hash_rank, with_group_position
 
 #: Rarest damage first: a tile belongs to the first class it has.
 STRATA = ("destroyed", "major-damage", "minor-damage", "no-damage")
 
 
 def _cells(df: DataFrame, seed: int, keys: tuple[str, ...], rows_per_cell: int) -> tuple[DataFrame, int]:
+    df = settled(df)
     total = df.count()
     cells = max(1, -(-total // rows_per_cell))
     h = df.withColumn("_h", hash_rank(seed, *keys))
@@ -22,7 +24,8 @@ def _cells(df: DataFrame, seed: int, keys: tuple[str, ...], rows_per_cell: int)
 def hash_position(df: DataFrame, seed: int, *keys: str, rows_per_cell: int = 1_000_000) -> tuple[DataFrame, int]:
     """Add ``pos``, each row's place in hash order, and return the number of rows.
 
-    Hashes are uniform, so ranges of them hold about equal numbers; ranges are counted and rows ranked within.
+    Hashes are uniform, so ranges of them hold about equal numbers; ranges are counted and rows ranked within. Rows are settled
+    first, since they are read three times.
     """
     cells, total = _cells(df, seed, keys, rows_per_cell)
     earlier = Window.partitionBy(F.lit(0)).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -66,9 +69,8 @@ def split_stratified(counts: DataFrame, props: dict[str, float], seed: int = 0,
     ``counts`` has ``dis_id, tile_id`` and a column for each label. Each split takes the floor of its share of what
     is left in the stratum.
     """
-    by = Window.partitionBy("dis_id", "stratum")
-    placed = counts.withColumn("stratum", stratum(labels)).withColumns({
-        "_n": F.count("*").over(by).cast("long"), "_at": F.row_number().over(by.orderBy(hash_rank(seed, "dis_id", "tile_id"), "tile_id")) - 1})
+    marked = counts.withColumns({"stratum": stratum(labels), "_h": hash_rank(seed, "dis_id", "tile_id")})
+    placed = with_group_position(marked, ["dis_id", "stratum"], "_h", "tile_id", name="_place", size="_n").drop("_h")
     names = list(props)
     cut, left, share, out = F.lit(0).cast("long"), F.col("_n"), 1.0, F.lit(names[-1])
     cuts = []
@@ -77,8 +79,8 @@ def split_stratified(counts: DataFrame, props: dict[str, float], seed: int = 0,
         cuts.append((name, cut, cut + size))
         cut, left, share = cut + size, left - size, share - props[name]
     for name, start, end in reversed(cuts):
-        out = F.when((F.col("_at") >= start) & (F.col("_at") < end), name).otherwise(out)
-    return placed.withColumn("split", F.when(F.col("stratum").isNull(), names[-1]).otherwise(out)).drop("_n", "_at")
+        out = F.when((F.col("_place") >= start) & (F.col("_place") < end), name).otherwise(out)
+    return placed.withColumn("split", F.when(F.col("stratum").isNull(), names[-1]).otherwise(out)).drop("_n", "_place")
 
 
 def assign_folds(df: DataFrame, k: int, *keys: str, seed: int = 0) -> DataFrame:

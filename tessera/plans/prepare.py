@@ -101,31 +101,37 @@ def composite(hosts: DataFrame, plan: DataFrame, donors: DataFrame) -> DataFrame
 
     ``hosts`` and ``donors`` are rasters keyed by ``raster_id``; ``plan`` has, for each paste, ``raster_id`` of the host, ``donor_id``,
     the donor's box ``dx1, dy1, dx2, dy2``, the host's box ``x1, y1, x2, y2``, ``angle`` and ``seq``. Cut-outs are scaled to the host's box,
-    turned, and show where any channel is above 0. Pastes of one raster meet in one task; rasters are bounded.
+    turned, and show where any channel is above 0. A raster's pastes travel with it; they are as bounded as it is.
     """
-    cut = plan.join(donors.select(F.col("raster_id").alias("donor_id"), F.col("height").alias("dh"), F.col("width").alias("dw"), F.col("channels").alias("dc"), F.col("data").alias("donor")), "donor_id")
-
-    def run(host: pd.DataFrame, pastes: pd.DataFrame) -> pd.DataFrame:
-        host = host.copy()
-        for i in host.index:
-            row = host.loc[i]
-            out = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], row["channels"]).copy()
-            for p in pastes.sort_values("seq").itertuples(index=False):
-                piece = np.frombuffer(p.donor, np.uint8).reshape(p.dh, p.dw, p.dc)[p.dy1 : p.dy2, p.dx1 : p.dx2]
-                h, w = p.y2 - p.y1, p.x2 - p.x1
-                y, x = np.mgrid[0:h, 0:w].astype(float)
-                t = np.deg2rad(p.angle)
-                ry, rx = y - (h - 1) / 2, x - (w - 1) / 2
-                sy = np.floor((np.cos(t) * ry - np.sin(t) * rx + h / 2) * piece.shape[0] / max(h, 1)).astype(int)
-                sx = np.floor((np.sin(t) * ry + np.cos(t) * rx + w / 2) * piece.shape[1] / max(w, 1)).astype(int)
-                inside = (sy >= 0) & (sy < piece.shape[0]) & (sx >= 0) & (sx < piece.shape[1])
-                turned = piece[np.clip(sy, 0, piece.shape[0] - 1), np.clip(sx, 0, piece.shape[1] - 1)]
-                shows = inside & (turned > 0).any(axis=2)
-                ty, tx = np.clip(np.arange(p.y1, p.y2), 0, row["height"] - 1), np.clip(np.arange(p.x1, p.x2), 0, row["width"] - 1)
-                area = out[np.ix_(ty, tx)]
-                area[shows] = turned[shows]
-                out[np.ix_(ty, tx)] = area
-            host.at[i, "data"] = out.tobytes()
-        return host
-
-    return hosts.groupBy("raster_id").cogroup(cut.groupBy("raster_id")).applyInPandas(run, hosts.schema)
+    fields = ("seq", "dx1", "dy1", "dx2", "dy2", "x1", "y1", "x2", "y2", "angle")
+    cut = plan.withColumnRenamed("raster_id", "host_id").join(
+        donors.select(F.col("raster_id").alias("donor_id"), F.col("height").alias("dh"), F.col("width").alias("dw"), F.col("channels").alias("dc"), F.col("data").alias("donor")), "donor_id")
+    pastes = cut.groupBy("host_id").agg(F.sort_array(F.collect_list(F.struct(*fields, "dh", "dw", "dc", "donor"))).alias("pastes"))
+    joined, columns = hosts.join(pastes, F.col("raster_id") == F.col("host_id"), "left").drop("host_id"), list(hosts.columns)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            data = [row.data if row.pastes is None else _pasted(row) for row in part.itertuples(index=False)]
+            yield part[columns].assign(data=data)
+
+    return joined.mapInPandas(run, hosts.schema)
+
+
+def _pasted(row) -> bytes:
+    out = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.channels).copy()
+    for p in row.pastes:
+        piece = np.frombuffer(p["donor"], np.uint8).reshape(p["dh"], p["dw"], p["dc"])[p["dy1"] : p["dy2"], p["dx1"] : p["dx2"]]
+        h, w = p["y2"] - p["y1"], p["x2"] - p["x1"]
+        y, x = np.mgrid[0:h, 0:w].astype(float)
+        t = np.deg2rad(p["angle"])
+        ry, rx = y - (h - 1) / 2, x - (w - 1) / 2
+        sy = np.floor((np.cos(t) * ry - np.sin(t) * rx + h / 2) * piece.shape[0] / max(h, 1)).astype(int)
+        sx = np.floor((np.sin(t) * ry + np.cos(t) * rx + w / 2) * piece.shape[1] / max(w, 1)).astype(int)
+        inside = (sy >= 0) & (sy < piece.shape[0]) & (sx >= 0) & (sx < piece.shape[1])
+        turned = piece[np.clip(sy, 0, piece.shape[0] - 1), np.clip(sx, 0, piece.shape[1] - 1)]
+        shows = inside & (turned > 0).any(axis=2)
+        ty, tx = np.clip(np.arange(p["y1"], p["y2"]), 0, row.height - 1), np.clip(np.arange(p["x1"], p["x2"]), 0, row.width - 1)
+        area = out[np.ix_(ty, tx)]
+        area[shows] = turned[shows]
+        out[np.ix_(ty, tx)] = area
+    return out.tobytes()

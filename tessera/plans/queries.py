@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +19,13 @@ from tessera.operators import raster as R
 from tessera.operators import selection as C
 from tessera.operators import split as X
 from tessera.operators import stats as T
+from tessera.operators.lineage import shared_folder
 from tessera.operators.ordering import greedy_balance_order, sample_n
 from tessera.plans import evaluate as E
 from tessera.plans import prepare as P
 from tessera.sources import catalog as K
 from tessera.sources import labels as J
+from tessera.sources import tables as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -479,6 +482,24 @@ def greedy_order(spark, d):
     return greedy_balance_order(counts(spark, d), ["tile_id"], list(L.DAMAGE_KEYS), ["dis_id"]).select("dis_id", "tile_id", "pos")
 
 
+BEGINNING = 24
+VECTOR = ", ".join(f'"{k}"' for k in L.DAMAGE_KEYS)
+
+
+@query(f"""WITH RECURSIVE {COUNTS}, t AS (SELECT dis_id, tile_id, [{VECTOR}] AS v, row_number() OVER (PARTITION BY dis_id, {VECTOR} ORDER BY tile_id) AS nth FROM cnt),
+    g AS (SELECT dis_id, list(v ORDER BY v) AS vs, list(n ORDER BY v) AS ns FROM (SELECT dis_id, v, count(*) AS n FROM t GROUP BY ALL) GROUP BY dis_id),
+    st AS (SELECT dis_id, vs, ns, [0, 0, 0, 0]::BIGINT[] AS total, CAST(-1 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS best FROM g
+           UNION ALL SELECT dis_id, vs, list_transform(ns, lambda n, i: CASE WHEN i = hit THEN n - 1 ELSE n END), list_transform(total, lambda x, i: x + vs[hit][i]), pos + 1, hit
+           FROM (SELECT *, list_position(cost, list_min(cost)) AS hit FROM
+                (SELECT *, list_transform(vs, lambda v, i: CASE WHEN ns[i] > 0 THEN 4 * list_sum(list_transform(v, lambda x, j: (x + total[j]) * (x + total[j]))) - list_sum(list_transform(v, lambda x, j: x + total[j])) * list_sum(list_transform(v, lambda x, j: x + total[j])) END) AS cost
+                 FROM st WHERE pos < {BEGINNING - 1} AND list_sum(ns) > 0))),
+    p AS (SELECT dis_id, vs[best] AS v, pos, row_number() OVER (PARTITION BY dis_id, best ORDER BY pos) AS nth FROM st WHERE pos >= 0)
+    SELECT p.dis_id, t.tile_id, p.pos FROM p JOIN t ON t.dis_id = p.dis_id AND t.v = p.v AND t.nth = p.nth""")
+def greedy_beginning(spark, d):
+    """The first picks of each disaster's greedy order: an order that stops where its user has enough."""
+    return greedy_balance_order(counts(spark, d), ["tile_id"], list(L.DAMAGE_KEYS), ["dis_id"], BEGINNING).select("dis_id", "tile_id", "pos")
+
+
 @query()
 def balanced_sample(spark, d):
     """The best slice of the greedy order and empty tiles; tests hold it against the definition."""
@@ -516,8 +537,8 @@ def replacement_plan(spark, d):
 @query(f"""WITH {COUNTS}, t AS (SELECT dis_id, sum(destroyed) AS de, greatest(sum("no-damage"), sum("minor-damage"), sum("major-damage"), sum(destroyed)) AS top FROM cnt GROUP BY dis_id),
     df AS (SELECT dis_id, CAST(top - de AS BIGINT) AS deficit FROM t WHERE top > de),
     ho AS (SELECT dis_id, tile_id, destroyed AS own, "no-damage" + "minor-damage" + "major-damage" AS others,
-                  row_number() OVER (PARTITION BY dis_id ORDER BY {_hash(0, 'dis_id', 'tile_id')}, tile_id) AS r FROM cnt WHERE "no-damage" + "minor-damage" + "major-damage" > 0),
-    ca AS (SELECT dis_id, tile_id, own, others, deficit, CAST(unnest(range(1, least(deficit, 10000) + 1)) AS INT) AS clone FROM (SELECT * FROM ho WHERE r = 1) JOIN df USING (dis_id)),
+                  row_number() OVER (PARTITION BY dis_id ORDER BY {_hash(0, 'dis_id', 'tile_id')}, tile_id) AS r FROM cnt WHERE destroyed > 0),
+    ca AS (SELECT dis_id, tile_id, own, others, deficit, CAST(unnest(range(1, deficit + 1)) AS INT) AS clone FROM (SELECT * FROM ho WHERE r = 1) JOIN df USING (dis_id)),
     ga AS (SELECT dis_id, tile_id, clone, deficit, own + CAST(round_even(others * (CAST(5 + {_pick(0, '5', "'clone'", 'dis_id', 'clone')} AS DOUBLE) / 10), 0) AS BIGINT) AS gain FROM ca),
     su AS (SELECT *, CAST(coalesce(sum(gain) OVER (PARTITION BY dis_id ORDER BY clone ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS gained FROM ga)
     SELECT dis_id, clone, gain, gained, deficit, tile_id FROM su WHERE gained < deficit""")
@@ -592,6 +613,63 @@ def label_features(spark, d):
     return J.buildings_only(J.parse_labels(files, "json", "tile_id")).select("tile_id", "wkt", "subtype", "uid")
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(ORACLES["split_random"])
+def splits_on_file(spark, d):
+    """Written by split, and read again."""
+    path = _folder(spark, "splits")
+    W.write_splits(split_random(spark, d), path)
+    return W.read_splits(spark, path).select("dis_id", "tile_id", F.col("split").cast("string").alias("split"))
+
+
+@query(f"""WITH {CATALOG}, p AS (SELECT dis_id, tile_id, lpad(CAST(unnest(range(16)) AS VARCHAR), 3, '0') AS patch_id FROM (SELECT DISTINCT dis_id, tile_id FROM ca))
+    SELECT dis_id, tile_id, patch_id, CASE WHEN patch_id < '012' THEN 'train' ELSE 'val' END AS split FROM p""")
+def patches_on_file(spark, d):
+    """Written by split and disaster; ids of patches and tiles come back with their zeros."""
+    path = _folder(spark, "patches")
+    rows = patch_manifest(spark, d).select(F.when(F.col("patch_id") < "012", "train").otherwise("val").alias("split"), "dis_id", "tile_id", "patch_id")
+    W.write_patches(rows, path)
+    return spark.read.schema("tile_id string, patch_id string, split string, dis_id string").parquet(path)
+
+
+@query(f"""WITH {EPOCH_PX}, l AS (SELECT epoch, class, unnest(['precision', 'recall', 'f1', 'accuracy']) AS metric, unnest([round(p, 6), round(r, 6), round(f, 6), round(a, 6)]) AS value FROM f)
+    SELECT 'val' AS split, 'pixel' AS level, CAST(epoch AS INT) AS epoch, class, metric, CASE WHEN epoch = 3 THEN value + 1 ELSE value END AS value FROM l""")
+def metrics_on_file(spark, d):
+    """Written by epoch; epoch 3 is written again with other values, which replaces it and nothing else."""
+    path = _folder(spark, "metrics")
+    rows = C.long_metrics(_epoch_metrics(spark, d), "pixel", ["epoch"]).withColumn("split", F.lit("val"))
+    W.write_metrics(rows, path)
+    W.write_metrics(rows.filter("epoch = 3").withColumn("value", F.col("value") + 1), path)
+    return spark.read.parquet(path).select(F.col("split").cast("string"), F.col("level").cast("string"), F.col("epoch").cast("int"), "class", "metric", "value")
+
+
+LOSSES = f"""WITH {EP}, s AS (SELECT conf, fold, epoch, round(sum(val * n) / sum(n), 6) AS loss FROM ep GROUP BY ALL) SELECT conf, fold, epoch, loss FROM s"""
+
+
+def _loss_files(spark, d, header: bool):
+    """A CSV file for each configuration and fold, as a search leaves them behind; read again with one glob."""
+    root = _folder(spark, "search")
+    rows = rounded(_loss(spark, d), "loss").select("conf", "fold", "epoch", "loss").persist()
+    for r in rows.select("conf", "fold").distinct().collect():  # the configurations of a search
+        rows.filter((F.col("conf") == r.conf) & (F.col("fold") == r.fold)).select("epoch", "loss").coalesce(1).write.option("header", header).csv(
+            f"{root}/config-{r.conf}/{r.conf}-fold_{r.fold}/metrics/csv/loss.csv")
+    rows.unpersist()
+    return W.read_metrics(spark, root, "loss.csv", W.LOSS_SCHEMA, header).select("conf", "fold", F.col("epoch").cast("int").alias("epoch"), "loss")
+
+
+@query(LOSSES)
+def loss_files(spark, d):
+    return _loss_files(spark, d, True)
+
+
+@query(LOSSES)
+def loss_files_without_header(spark, d):
+    return _loss_files(spark, d, False)
+
+
 # ---------------------------------------------------------------- geometry, masks, objects
 
 
@@ -811,3 +889,59 @@ def batch_inference(spark, d):
         return predict
 
     return M.confusion_counts(E.score(V.scores(spark, d), make_model, "gt int, pred int"))
+
+
+# ---------------------------------------------------------------- rasters, preparation, search
+
+
+def _flat_rasters(spark, d):
+    """A raster of 16 x 16 for each part, all of one value."""
+    return spark.read.parquet(f"{d}/part.parquet").selectExpr(
+        "p_partkey AS raster_id", "16 AS height", "CASE WHEN p_partkey % 9 = 0 THEN 8 ELSE 16 END AS other", "16 AS width", "1 AS channels",
+        "cast(repeat(chr(1 + p_size), 256) AS binary) AS data")
+
+
+@query("SELECT p_partkey - p_partkey % 20 AS tile_id, count(DISTINCT CASE WHEN p_partkey % 9 = 0 THEN 8 ELSE 16 END) AS shapes FROM part GROUP BY 1 HAVING count(DISTINCT CASE WHEN p_partkey % 9 = 0 THEN 8 ELSE 16 END) > 1")
+def mismatched_shapes(spark, d):
+    rasters = _flat_rasters(spark, d).selectExpr("raster_id - raster_id % 20 AS tile_id", "other AS height", "width")
+    return T.shape_violations(rasters)
+
+
+@query("""WITH r AS (SELECT p_partkey AS k, 1 + p_size AS v, 1 + p_partkey % 5 AS w, 1 + p_partkey % 7 AS h FROM part),
+    p AS (SELECT r.k, r.v, o.v AS o, CASE WHEN o.k IS NULL THEN 0 ELSE r.w * r.h END AS a FROM r LEFT JOIN r o ON o.k = r.k + 1),
+    n AS (SELECT k, v AS value, 256 - a AS n FROM p UNION ALL SELECT k, o, a FROM p WHERE a > 0)
+    SELECT k AS raster_id, CAST(value AS INT) AS value, CAST(sum(n) AS BIGINT) AS pixels FROM n GROUP BY 1, 2""")
+def pasted_rasters(spark, d):
+    """Each raster gets a cut-out of the next one; counted by value."""
+    rasters = _flat_rasters(spark, d).drop("other")
+    box = {"dx1": "0", "dy1": "0", "dx2": "w", "dy2": "h", "x1": "x", "y1": "y", "x2": "x + w", "y2": "y + h"}
+    sized = rasters.selectExpr("raster_id", "1 + raster_id % 5 AS w", "1 + raster_id % 7 AS h", "raster_id % 8 AS x", "raster_id % 6 AS y")
+    plan = sized.selectExpr("raster_id", "raster_id + 1 AS donor_id", *[f"cast({e} AS int) AS {k}" for k, e in box.items()], "0.0D AS angle", "1 AS seq")
+    pasted = P.composite(rasters, plan, rasters)
+    values = pasted.select("raster_id", F.explode(F.regexp_extract_all(F.hex("data"), F.lit("[0-9A-F]{2}"), F.lit(0))).alias("b"))
+    return values.groupBy("raster_id", F.conv("b", 16, 10).cast("int").alias("value")).agg(F.count("*").alias("pixels"))
+
+
+@query(f"""WITH {MASKS}, s AS ({ORACLES["split_stratified"]}), c AS (SELECT label, count(*) AS n FROM gm GROUP BY label)
+    SELECT 'splits' AS part, dis_id AS key, split AS name, count(*) AS n FROM s GROUP BY 2, 3
+    UNION ALL SELECT 'patches', CAST(tile_id AS VARCHAR), lpad(CAST(CAST((y // 16) * 4 + x // 16 AS INT) AS VARCHAR), 3, '0'), count(*) FROM gm GROUP BY 2, 3
+    UNION ALL SELECT 'weights', 'dmg', CAST(label AS VARCHAR), CAST(round(round((SELECT sum(n) FROM c) / CAST(n AS DOUBLE), 2) * 100) AS BIGINT) FROM c""")
+def preparation(spark, d):
+    """Counts, splits, patches and weights of one preparation."""
+    out = P.prepare(V.buildings(spark, d), _masks(spark, d)[0], {"train": 0.8, "val": 0.1, "test": 0.1}, 64, 64)
+    row = lambda part, key, name, n: [F.lit(part).alias("part"), key.cast("string").alias("key"), name.cast("string").alias("name"), n.cast("long").alias("n")]
+    splits = out["splits"].groupBy("dis_id", "split").agg(F.count("*").alias("n"))
+    patches = out["patches"].groupBy("tile_id", "patch_id").agg(F.sum(F.col("x1") - F.col("x0")).alias("n"))
+    weights = out["weights"].filter("head = 'dmg' AND weight > 0").select("class", F.round(F.col("weight") * 100).alias("n"))
+    return splits.select(*row("splits", F.col("dis_id"), F.col("split"), F.col("n"))).unionByName(
+        patches.select(*row("patches", F.col("tile_id"), F.col("patch_id"), F.col("n")))).unionByName(weights.select(*row("weights", F.lit("dmg"), F.col("class"), F.col("n"))))
+
+
+@query()
+def parameter_search(spark, d):
+    """A cross-validated search over regularisation; fitted models have no form in SQL."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    rows = V.scores(spark, d).select("px_id", F.col("gt").cast("double").alias("label"), array_to_vector("logits").alias("features"))
+    return E.grid_search(rows, lambda p: LogisticRegression(maxIter=10, **p), [{"regParam": 0.0}, {"regParam": 0.1}], 2, ["px_id"])

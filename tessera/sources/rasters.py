@@ -13,12 +13,21 @@ from tessera.sources.labels import file_key
 
 
 def read_rasters(spark: SparkSession, path: str) -> DataFrame:
-    """``dis_id, tile_id, phase, height, width, channels, data``; colour bytes are in the order B, G, R."""
-    rows = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    """``dis_id, tile_id, phase, height, width, channels, data``; colour bytes are in the order B, G, R. See ``raster_rejects``."""
+    rows = _images(spark, path).filter("height > 0")
     dis, tile, phase = file_key(F.col("origin"))
     return rows.select(dis.alias("dis_id"), tile.alias("tile_id"), phase.alias("phase"), "height", "width", F.col("nChannels").alias("channels"), "data")
 
 
+def raster_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """``path`` of the files that hold no image that can be read."""
+    return _images(spark, path).filter("height IS NULL OR height <= 0").select(F.col("origin").alias("path"))
+
+
+def _images(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
+
+
 def channel_partials(rasters: DataFrame, *keys: str) -> DataFrame:
     """``keys, channel, n, s, q``: count, sum and sum of squares of each raster's channels, for ``combine_partials``."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rasters.select(*keys).schema.fields)

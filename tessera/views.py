@@ -43,13 +43,14 @@ EPOCHS = (
     "event_id",
 )
 EPOCHS_SQL = f"SELECT {', '.join(EPOCHS)} FROM events"
+#: Twenty polygons to a tile, so that tiles grow in number with the table; their places are mixed up.
 POLYGONS = (
-    "p_partkey % 100 AS tile_id",
+    "p_partkey - p_partkey % 20 AS tile_id",
     "p_partkey AS obj",
-    "CAST((p_partkey * 37) % 56 AS INT) AS x0",
-    "CAST((p_partkey * 53) % 56 AS INT) AS y0",
-    "CAST((p_partkey * 37) % 56 + 1 + p_size % 8 AS INT) AS x1",
-    "CAST((p_partkey * 53) % 56 + 1 + (p_size * 3) % 8 AS INT) AS y1",
+    "CAST((p_partkey * 7919) % 10007 % 56 AS INT) AS x0",
+    "CAST((p_partkey * 6007) % 9973 % 56 AS INT) AS y0",
+    "CAST((p_partkey * 7919) % 10007 % 56 + 1 + p_size % 8 AS INT) AS x1",
+    "CAST((p_partkey * 6007) % 9973 % 56 + 1 + (p_size * 3) % 8 AS INT) AS y1",
     "CASE p_type WHEN 'PROMO' THEN 4 WHEN 'LARGE' THEN 3 WHEN 'SMALL' THEN 2 WHEN 'ECONOMY' THEN 5 ELSE 1 END AS label",
 )
 POLYGONS_SQL = f"SELECT {', '.join(POLYGONS)} FROM part"

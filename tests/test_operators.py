@@ -18,7 +18,7 @@ from tessera.operators import objects as O
 from tessera.operators import raster as R
 from tessera.operators import split as X
 from tessera.operators import stats as T
-from tessera.operators.ordering import with_position, with_prefix_sum
+from tessera.operators.ordering import greedy_balance_order, with_group_position, with_position, with_prefix_sum
 from tessera.plans import evaluate as E
 from tessera.plans import prepare as P
 from tessera.sources import catalog, labels, rasters, tables
@@ -67,6 +67,29 @@ def test_positions_and_prefix_sums(spark):
     assert [r.v_upto for r in rows] == np.cumsum(values).tolist()
 
 
+def test_positions_in_hot_groups(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 10 < 8, "hot").when(F.col("id") % 10 == 8, "small").alias("g"), ((F.col("id") * 7919) % 3001).alias("v"))
+    rows = with_group_position(df, ["g"], "v")
+    for name, n in (("hot", 2400), ("small", 300), (None, 300)):
+        own = sorted((r.pos, r.v, r["size"]) for r in rows.collect() if r.g == name)
+        assert [p for p, _, _ in own] == list(range(n)) and [v for _, v, _ in own] == sorted(v for _, v, _ in own) and {s for _, _, s in own} == {n}
+
+
+def test_strata_of_one_disaster(spark):
+    # Nine tenths of all tiles are one stratum of one disaster.
+    tiles = spark.range(2000).select(F.lit("d").alias("dis_id"), F.col("id").alias("tile_id"), *[(F.col("id") % 10 == 0).cast("long").alias(c) if c == "destroyed" else F.lit(1 if c == "no-damage" else 0).alias(c) for c in X.STRATA])
+    found = X.split_stratified(tiles, {"train": 0.8, "val": 0.1, "test": 0.1}).groupBy("stratum", "split").count().collect()
+    assert {(r.stratum, r.split): r["count"] for r in found} == {
+        ("destroyed", "train"): 160, ("destroyed", "val"): 20, ("destroyed", "test"): 20, ("no-damage", "train"): 1440, ("no-damage", "val"): 180, ("no-damage", "test"): 180}
+
+
+def test_greedy_order_can_stop_early(spark):
+    tiles = spark.range(400).select(F.col("id").alias("tile_id"), *[(F.col("id") * k % 5).alias(c) for k, c in zip((3, 7, 11, 13), "abcd", strict=True)])
+    whole = {r.tile_id: r.pos for r in greedy_balance_order(tiles, ["tile_id"], list("abcd")).collect()}
+    first = {r.tile_id: r.pos for r in greedy_balance_order(tiles, ["tile_id"], list("abcd"), max_picks=25).collect()}
+    assert sorted(whole.values()) == list(range(400)) and first == {t: p for t, p in whole.items() if p < 25}
+
+
 def test_a_counter_of_16_bits_wraps(spark):
     runs = spark.createDataFrame([(1, 0, 0, 1, 0)], "tile_id int, y int, x0 int, x1 int, label int")
     assert T.pixel_counts(runs, 1024 * 1024).first().n_0 == 1 << 20
@@ -178,7 +201,9 @@ def test_rasters(spark, tmp_path):
     image, mask = rng.integers(0, 256, (8, 6, 3), dtype=np.uint8), rng.integers(0, 3, (8, 6, 1), dtype=np.uint8)
     png(tmp_path / "flood_1_pre_disaster.png", image)
     png(tmp_path / "flood_1_post_disaster.png", mask)
+    (tmp_path / "flood_2_pre_disaster.png").write_bytes(b"no image")
     rows = rasters.read_rasters(spark, str(tmp_path))
+    assert rows.count() == 2 and [r.path.rsplit("/", 1)[1] for r in rasters.raster_rejects(spark, str(tmp_path)).collect()] == ["flood_2_pre_disaster.png"]
     stats = {r.channel: r for r in rasters.combine_partials(rasters.channel_partials(rows.filter("phase = 'pre'"), "dis_id", "tile_id"), "dis_id", "tile_id").collect()}
     for i, name in enumerate("RGB"):
         assert abs(stats[name]["mean"] - (image[:, :, i] / 255).mean()) < 1e-12 and abs(stats[name].stdv - (image[:, :, i] / 255).std()) < 1e-9
