@@ -43,7 +43,13 @@ BLOCKED_NAMES = (
 ALLOWED_NAMES = (
     "orchard", "kitchen", "library", "university", "recipes", "gardening", "weather", "news-daily", "science", "history", "museum", "cityhall",
     "football-club", "travelguide", "handwork", "astronomy", "chemistry", "bookshop", "railway", "theatre", "pottery", "concert", "geology", "village",
-    "harbour", "school-choir", "hospital", "farm-shop", "bakery", "parish-news", "court-records", "open-source", "wind-energy",
+    "harbour", "school-choir", "hospital", "farm-shop", "bakery", "parish-news", "court-records", "open-source", "wind-energy", "northern-lights",
+    "thermal-baths", "mathematics", "health-clinic", "education", "fire-station", "tradition", "athletics", "anthropology", "brothers-band", "leather-craft",
+    "feather-river", "wheat-harvest", "fiction-club", "translation", "restaurant", "architecture", "engineering", "parliament", "winter-sports", "literature",
+    "publishing", "conference", "laboratory", "observatory", "forestry", "insurance", "accounting", "carpenters", "photography", "orchestra", "veterinary",
+    "fisheries", "electronics", "furniture", "statistics", "broadcast", "cathedral", "shipyard", "marathon", "printing-house", "transport", "water-supply",
+    "genealogy", "philosophy", "linguistics", "psychology", "meteorology", "reference-desk", "horticulture", "archive", "almanac", "daily-bulletin",
+    "community", "council", "volunteers", "consulting", "studio", "holiday-homes",
 )
 
 
@@ -52,7 +58,7 @@ def labelled_urls() -> list[tuple[str, float]]:
     rows = []
     for label, names in ((1.0, BLOCKED_NAMES), (0.0, ALLOWED_NAMES)):
         for i, name in enumerate(names):
-            for j, (prefix, top) in enumerate((("", "example.com"), ("www.", "example.org"), ("blog.", "example.net"), ("m.", "example.com"))):
+            for j, (prefix, top) in enumerate((("", "example.com"), ("www.", "example.org"), ("blog.", "example.net"), ("m.", "example.com"), ("news.", "example.org"), ("shop.", "example.net"))):
                 path = (f"/en/{100 + 7 * i}", f"/fr/{i}.html", f"/es/{3 * i}/", f"/de/{11 * i}")[(i + j) % 4]
                 rows.append((f"https://{prefix}{name}.{top}{path}", label))
     return rows
@@ -95,9 +101,12 @@ def _featured(df: DataFrame, buckets: int) -> DataFrame:
 
 def train(spark: SparkSession, labelled: list[tuple[str, float]], buckets: int) -> LogisticRegressionModel:
     rows = spark.createDataFrame(labelled, "url string, label double").coalesce(1)
-    split = rows.select("label", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    # Both labels count alike, however many URLs each has.
+    blocked = sum(y for _, y in labelled)
+    weight = F.when(F.col("label") > 0, 0.5 / max(blocked, 1)).otherwise(0.5 / max(len(labelled) - blocked, 1)) * len(labelled)
+    split = rows.select("label", weight.alias("weight"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     # A little ridge keeps n-grams of paths, which say nothing here, near zero.
-    return LogisticRegression(regParam=0.01, maxIter=40).fit(_featured(split, buckets))
+    return LogisticRegression(regParam=0.01, maxIter=40, weightCol="weight").fit(_featured(split, buckets))
 
 
 def judge(
