@@ -19,7 +19,7 @@ from tessera.operators import raster as R
 from tessera.operators import selection as C
 from tessera.operators import split as X
 from tessera.operators import stats as T
-from tessera.operators.lineage import shared_folder
+from tessera.operators.lineage import settled, shared_folder
 from tessera.operators.ordering import greedy_balance_order, sample_n
 from tessera.plans import evaluate as E
 from tessera.plans import prepare as P
@@ -763,7 +763,7 @@ OBJ_CONF = MATCHES + f""", oc AS (SELECT class, m AS true_pos, p - m AS false_po
 
 
 def _components(spark, d):
-    return [R.connected_components(m, side=64) for m in _masks(spark, d)]
+    return [settled(R.connected_components(m, side=64)) for m in _masks(spark, d)]
 
 
 @query(f"""WITH {OBJECTS} SELECT o.tile_id, o.obj, o.label, o.area, b.x1, b.y1, b.x2, b.y2 FROM gmo o JOIN (SELECT tile_id, obj, CAST(min(x) AS INT) AS x1, CAST(min(y) AS INT) AS y1, CAST(max(x) + 1 AS INT) AS x2,
