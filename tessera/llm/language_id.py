@@ -186,7 +186,7 @@ _BITS = 29
 _PHRASE = 1 << _BITS
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _parser(sample: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(dict(sample))
 
@@ -221,6 +221,7 @@ def _predict(sample: tuple, chars_per_batch: int):
                     yield pa.RecordBatch.from_arrays(
                         [*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], [*names, "lang_pred", "score", "bits"]
                     )
+        pa.default_memory_pool().release_unused()
 
     return run
 

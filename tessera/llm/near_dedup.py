@@ -176,6 +176,7 @@ def _sign(bands: int, rows: int):
                  pa.ListArray.from_arrays(offsets, flat)],
                 [*batch.schema.names[:-1], "n_shingles", "digest", "sig", "keys"],
             )
+        pa.default_memory_pool().release_unused()
 
     return run
 

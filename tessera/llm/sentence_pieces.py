@@ -478,17 +478,18 @@ def _one_for_each(e: UnicodeError):
 codecs.register_error("one_for_each", _one_for_each)
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def load(blob: bytes) -> Model:
     return Model(blob)
 
 
-def _code(blob: bytes, carry: list[str], spans: bool, tokens: bool, bytes_per_batch: int = 1_000_000):
+def _code(blob: bytes, carry: list[str], spans: bool, tokens: bool, bytes_per_batch: int = 500_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(blob)
         for whole in batches:
             for batch in _bounded(whole, "text", bytes_per_batch):
                 yield code(model, batch)
+        pa.default_memory_pool().release_unused()
 
     def code(model: Model, batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, begins, ends, bounds = model.encode_batch(batch.column("text").cast(pa.binary()))
