@@ -118,3 +118,52 @@ def balance_step(counts: DataFrame, minority: str, seed: int = 0, block: int = 4
     rate = (5 + pick(seed, F.lit(5), F.lit("clone"), "dis_id", "clone")).cast("double") / 10
     gains = candidates.select("dis_id", "clone", (F.col("own") + F.bround(F.col("others") * rate).cast("long")).alias("gain"))
     return clones_needed(deficit, gains, block).join(host.select("dis_id", "host.tile_id"), "dis_id")
+
+
+def balance_plan(buildings: DataFrame, seed: int = 0, block: int = 4096) -> DataFrame:
+    """Clones that bring every class of every disaster up to the disaster's largest, the smallest class first.
+
+    ``buildings`` has ``dis_id, tile_id, obj, label``. A class has one host, a tile that holds it; each clone of the host keeps its buildings of the class,
+    replaces others at the clone's rate, and keeps the rest. So clones for one class add to others as well, and what they add is carried to the classes that
+    follow: one step for each of the at most four places in a disaster's order, over tables of clones and totals only.
+
+    ``dis_id, place, label, clone, tile_id, replaced, gain, gained, deficit``: ``gained`` is what earlier clones for the class have added to it.
+    """
+    known = buildings.filter(F.col("label").isin(*DAMAGE_KEYS))
+    by_tile = settled(known.groupBy("dis_id", "tile_id", "label").agg(F.count("*").alias("n")))
+    # At most four rows for each disaster.
+    every = Window.partitionBy("dis_id")
+    ranked = by_tile.groupBy("dis_id", "label").agg(
+        F.sum("n").alias("total"), F.min(F.struct(hash_rank(seed, "dis_id", "label", "tile_id").alias("h"), F.col("tile_id"), F.col("n").alias("own"))).alias("host"))
+    ranked = settled(ranked.withColumns({"place": F.row_number().over(every.orderBy("total", "label")), "target": F.max("total").over(every)}))
+    carried, steps = ranked.select("dis_id", "label", F.lit(0).cast("long").alias("more")), []
+    for place in range(1, len(DAMAGE_KEYS) + 1):
+        now = ranked.filter(F.col("place") == place).join(carried, ["dis_id", "label"]).select(
+            "dis_id", "label", "host.tile_id", "host.own", (F.col("target") - F.col("total") - F.col("more")).alias("deficit")).filter("deficit > 0")
+        rest = settled(known.join(now.select("dis_id", "tile_id", F.col("label").alias("minority")), ["dis_id", "tile_id"]).filter("label <> minority").select(
+            "dis_id", "minority", "obj", F.col("label").alias("other")))
+        step = settled(_clones(now, rest, place, seed, block))
+        order = Window.partitionBy("dis_id", "clone").orderBy(hash_rank(seed, "clone", "obj"), "obj")
+        kept = step.join(rest, "dis_id").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") > F.col("replaced")).groupBy(
+            "dis_id", F.col("other").alias("label")).agg(F.count("*").alias("more"))
+        added = step.groupBy("dis_id", "label").agg(F.sum("gain").alias("more"))
+        carried = settled(carried.unionByName(kept).unionByName(added).groupBy("dis_id", "label").agg(F.sum("more").alias("more")))
+        steps.append(step)
+    out = steps[0]
+    for step in steps[1:]:
+        out = out.unionByName(step)
+    return out
+
+
+def _clones(now: DataFrame, rest: DataFrame, place: int, seed: int, block: int) -> DataFrame:
+    """The clones of each disaster's class ``now``, until its deficit is met."""
+    others = rest.groupBy("dis_id").agg(F.count("*").alias("others"))
+    least = F.col("own") + F.bround(F.col("others") * F.lit(0.5)).cast("long")
+    sized = now.join(others, "dis_id", "left").withColumn("others", F.coalesce("others", F.lit(0))).withColumn("most", F.ceil(F.col("deficit") / least))
+    blocks = sized.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("most") - 1) / block)))).repartition("dis_id", "block")
+    candidates = blocks.select("dis_id", "label", "tile_id", "own", "others", "deficit", F.explode(F.sequence(
+        (F.col("block") * block + 1).cast("int"), F.least((F.col("block") + 1) * block, F.col("most")).cast("int"))).alias("clone"))
+    rate = (5 + pick(seed, F.lit(5), F.lit("clone"), "dis_id", "label", "clone")).cast("double") / 10
+    gains = candidates.withColumn("replaced", F.bround(F.col("others") * rate).cast("long")).withColumn("gain", F.col("own") + F.col("replaced"))
+    return with_prefix_sum(gains, "clone", ["gain"], block, group=["dis_id"]).withColumn("gained", F.col("gain_upto") - F.col("gain")).filter("gained < deficit").select(
+        "dis_id", F.lit(place).alias("place"), "label", "clone", "tile_id", "replaced", "gain", "gained", "deficit")

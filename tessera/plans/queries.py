@@ -546,6 +546,30 @@ def balance_clones(spark, d):
     return B.balance_step(counts(spark, d), "destroyed")
 
 
+def _balance_sql(i: int) -> str:
+    return f""", n{i} AS MATERIALIZED (SELECT r.dis_id, r.label, r.tile_id, r.own, CAST(r.target - r.total - c.more AS BIGINT) AS deficit FROM rk r JOIN c{i - 1} c ON c.dis_id = r.dis_id AND c.label = r.label
+        WHERE place = {i} AND r.target - r.total - c.more > 0),
+    x{i} AS MATERIALIZED (SELECT n.dis_id, k.obj, k.label FROM n{i} n JOIN kn k ON k.dis_id = n.dis_id AND k.tile_id = n.tile_id AND k.label <> n.label),
+    a{i} AS (SELECT n.*, coalesce(o.n, 0) AS others, CAST(unnest(range(1, deficit + 1)) AS INT) AS clone FROM n{i} n LEFT JOIN (SELECT dis_id, count(*) AS n FROM x{i} GROUP BY dis_id) o ON o.dis_id = n.dis_id),
+    g{i} AS (SELECT *, CAST(round_even(others * (CAST(5 + {_pick(0, '5', "'clone'", 'dis_id', 'label', 'clone')} AS DOUBLE) / 10), 0) AS BIGINT) AS replaced FROM a{i}),
+    s{i} AS (SELECT *, own + replaced AS gain, CAST(coalesce(sum(own + replaced) OVER (PARTITION BY dis_id ORDER BY clone ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS gained FROM g{i}),
+    t{i} AS MATERIALIZED (SELECT dis_id, {i} AS place, label, clone, tile_id, replaced, gain, gained, deficit FROM s{i} WHERE gained < deficit),
+    k{i} AS (SELECT t.dis_id, x.label, t.replaced, row_number() OVER (PARTITION BY t.dis_id, t.clone ORDER BY {_hash(0, 't.clone', 'x.obj')}, x.obj) AS nth FROM t{i} t JOIN x{i} x ON x.dis_id = t.dis_id),
+    c{i} AS MATERIALIZED (SELECT dis_id, label, CAST(sum(more) AS BIGINT) AS more FROM (SELECT * FROM c{i - 1} UNION ALL SELECT dis_id, label, count(*) FROM k{i} WHERE nth > replaced GROUP BY 1, 2
+        UNION ALL SELECT dis_id, label, sum(gain) FROM t{i} GROUP BY 1, 2) GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {BO}, kn AS MATERIALIZED (SELECT * FROM bd WHERE label IN ('no-damage', 'minor-damage', 'major-damage', 'destroyed')),
+    bt AS (SELECT dis_id, tile_id, label, count(*) AS n FROM kn GROUP BY ALL),
+    ra AS (SELECT dis_id, label, CAST(sum(n) AS BIGINT) AS total, arg_min(struct_pack(tile_id, own := n), {_hash(0, 'dis_id', 'label', 'tile_id')}) AS host FROM bt GROUP BY dis_id, label),
+    rk AS MATERIALIZED (SELECT dis_id, label, total, host.tile_id AS tile_id, host.own AS own, row_number() OVER (PARTITION BY dis_id ORDER BY total, label) AS place, max(total) OVER (PARTITION BY dis_id) AS target FROM ra),
+    c0 AS (SELECT dis_id, label, CAST(0 AS BIGINT) AS more FROM rk){"".join(map(_balance_sql, range(1, 5)))}
+    {" UNION ALL ".join(f"SELECT * FROM t{i}" for i in range(1, 5))}""")
+def balance_classes(spark, d):
+    """All classes of all disasters, the smallest first, with totals carried on."""
+    return B.balance_plan(_objects(spark, d))
+
+
 # ---------------------------------------------------------------- sources
 
 NAMES = """nm AS (SELECT concat(replace(s_name, '#', '-'), '_', lpad(CAST(s_suppkey AS VARCHAR), 8, '0'), '_', ph, '_', kd) AS path, s_suppkey AS k, ph, kd FROM supplier,

@@ -58,3 +58,28 @@ def test_query_is_the_definition(spark, data_dir):
     tiles = [(r.dis_id, r.tile_id, *(r[c] for c in CLASSES)) for r in Q.counts(spark, data_dir).collect()]
     rows = Q.QUERIES["balance_clones"](spark, data_dir).collect()
     assert sorted((r.dis_id, r.clone, r.gain, r.gained, r.deficit, r.tile_id) for r in rows) == clones(tiles, "destroyed")
+
+
+def test_classes_are_balanced_in_turn(spark):
+    sizes = {"a": (700, 90, 40, 3), "b": (5, 5, 5, 5), "c": (12_000, 1, 0, 20)}
+    rows = [(d, i % 7 if c else i % 50, i * 4 + c, CLASSES[c]) for d, ns in sizes.items() for c, n in enumerate(ns) for i in range(n)]
+    buildings = spark.createDataFrame(rows, "dis_id string, tile_id long, obj long, label string")
+    plan = B.balance_plan(buildings, block=500).collect()
+    at = {}
+    for d, t, o, c in rows:
+        at.setdefault((d, t), []).append((o, c))
+    for d, ns in sizes.items():
+        totals, target = dict(zip(CLASSES, ns, strict=True)), max(ns)
+        for place, label in enumerate(sorted((c for c in CLASSES if totals[c]), key=lambda c: (dict(zip(CLASSES, ns, strict=True))[c], c)), 1):
+            clones = sorted((r for r in plan if r.dis_id == d and r.label == label), key=lambda r: r.clone)
+            assert (not clones) == (totals[label] >= target) and all(r.place == place for r in clones)
+            for i, r in enumerate(clones, 1):
+                host = at[d, r.tile_id]
+                others = sorted((digest(i, o), o, c) for o, c in host if c != label)
+                rate = (5 + int(digest("clone", d, label, i)[:8], 16) % 5) / 10
+                assert (r.clone, r.replaced, r.gain) == (i, round(len(others) * rate), sum(c == label for _, c in host) + r.replaced)
+                assert totals[label] < target
+                totals[label] += r.gain
+                for _, _, c in others[r.replaced :]:
+                    totals[c] += 1
+            assert totals[label] >= target
