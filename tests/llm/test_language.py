@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import random
+import zlib
+
+from pyspark.sql import functions as F
 
 from tessera.llm import language_id as L
 from tests.llm.conftest import TEXTS
@@ -54,6 +57,16 @@ def test_edge_cases(spark, edge_docs, no_docs):
     assert L.keep_identified(no_docs).count() == 0
 
 
+def test_query_of_odd_rows(spark, edge_docs, tmp_path):
+    edge_docs.withColumns({"lang_pred": F.lit("x"), "held_out": F.lit(1), "score": F.lit(2), "file": F.lit(3)}).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = L.op10_cross_parsing_language(spark, str(tmp_path)).collect()
+    assert len(rows) == len(TEXTS)
+    for r in rows:
+        text = next(t for d, t, *_ in TEXTS if d == r.doc_id)
+        assert r.held_out == (None if r.doc_id is None else zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        assert (r.lang_pred == "und") == (not any(map(str.isalpha, text or "")))
+
+
 def test_batches_do_not_change_results(spark, edge_docs):
     sample = L.training_sample(edge_docs)
     assert sorted(L.identify(edge_docs, sample, chars_per_batch=1).collect(), key=str) == sorted(L.identify(edge_docs, sample).collect(), key=str)

@@ -52,7 +52,8 @@ def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [2.0, 0.5]), (7, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [1.0, 2.0, 3.0]), (None, [3.0, 3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = A.nearest(df, F.col("vec_id") % 20 == 0).orderBy("rank").collect()
+    clashing = df.withColumns({n: F.lit(i) for i, n in enumerate(("row", "vector", "is_query", "code", "asked", "least", "t", "kind", "rank"))})
+    got = A.nearest(clashing, F.col("vec_id") % 20 == 0).orderBy("rank").collect()
     assert [(r.query_id, r.vec_id, r.score) for r in got] == [(0, 6, 2.0), (0, 7, 1.0), (0, 7, 1.0)]
     assert A.nearest(df.filter("1 = 0"), F.col("vec_id") % 20 == 0).count() == 0
 
