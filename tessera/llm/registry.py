@@ -9,13 +9,16 @@ from tessera.llm import (
     multi_index_hashing,
     near_dedup,
     pii,
+    prefix_trie,
+    quality,
     secrets,
     sentence_pieces,
     sharding,
+    structure_repair,
     url_filter,
 )
 
-_MODULES = (pii, secrets, sharding, sentence_pieces, multi_index_hashing, exact_dedup, url_filter, mixing, near_dedup, language_id)
+_MODULES = (pii, secrets, sharding, sentence_pieces, multi_index_hashing, exact_dedup, url_filter, mixing, near_dedup, language_id, prefix_trie, structure_repair, quality)
 
 
 def queries() -> dict:
