@@ -97,15 +97,15 @@ def clones_needed(totals: DataFrame, gains: DataFrame, block: int = 4096) -> Dat
 
 
 def balance_step(counts: DataFrame, minority: str, seed: int = 0, block: int = 4096) -> DataFrame:
-    """The clones that bring ``minority`` up to the largest class, by disaster: host tile, rate, gain.
+    """The clones that bring ``minority`` up to the largest class (un-classified buildings are one), by disaster: host tile, rate, gain.
 
     The host is one tile, drawn by hash among those that hold the class; each clone gains the host's own buildings of
     the class and those replaced at the clone's rate. A disaster without a building of the class has no host. Candidates
     are made and summed ``block`` at a time, so that those of one disaster are spread over tasks.
     """
-    others = sum((F.col(f"`{k}`") for k in DAMAGE_KEYS if k != minority), F.lit(0))
-    totals = counts.groupBy("dis_id").agg(*[F.sum(f"`{k}`").alias(k) for k in DAMAGE_KEYS])
-    deficit = totals.select("dis_id", (F.greatest(*[F.col(f"`{k}`") for k in DAMAGE_KEYS]) - F.col(f"`{minority}`")).alias("deficit")).filter("deficit > 0")
+    others = sum((F.col(f"`{k}`") for k in BUILDING_KEYS if k != minority), F.lit(0))
+    totals = counts.groupBy("dis_id").agg(*[F.sum(f"`{k}`").alias(k) for k in BUILDING_KEYS])
+    deficit = totals.select("dis_id", (F.greatest(*[F.col(f"`{k}`") for k in BUILDING_KEYS]) - F.col(f"`{minority}`")).alias("deficit")).filter("deficit > 0")
     host = counts.filter(F.col(f"`{minority}`") > 0).groupBy("dis_id").agg(
         F.min(F.struct(hash_rank(seed, "dis_id", "tile_id").alias("h"), F.col("tile_id"), F.col(f"`{minority}`").alias("own"), others.alias("others"))).alias("host"))
     # At the least rate a clone gains own + bround(others / 2), which is one building at least: so many clones always reach the deficit.
@@ -120,22 +120,28 @@ def balance_step(counts: DataFrame, minority: str, seed: int = 0, block: int = 4
     return clones_needed(deficit, gains, block).join(host.select("dis_id", "host.tile_id"), "dis_id")
 
 
-def balance_plan(buildings: DataFrame, seed: int = 0, block: int = 4096) -> DataFrame:
-    """Clones that bring every class of every disaster up to the disaster's largest, the smallest class first.
+def balance_plan(buildings: DataFrame, seed: int = 0, block: int = 4096, tiles: DataFrame | None = None) -> DataFrame:
+    """Clones that bring every damage class of every disaster up to the disaster's largest class, the smallest first.
 
-    ``buildings`` has ``dis_id, tile_id, obj, label``. A class has one host, a tile that holds it; each clone of the host keeps its buildings of the class,
+    ``buildings`` has ``dis_id, tile_id, obj, label``. The largest class may be the un-classified buildings or, where ``tiles`` (``dis_id, tile_id``) is given, the tiles
+    without a building; neither is brought up itself, and un-classified buildings of a host are replaced like others. A class has one host, a tile that holds it; each clone of the host keeps its buildings of the class,
     replaces others at the clone's rate, and keeps the rest. So clones for one class add to others as well, and what they add is carried to the classes that
     follow: one step for each of the at most four places in a disaster's order, over tables of clones and totals only.
 
     ``dis_id, place, label, clone, tile_id, replaced, gain, gained, deficit``: ``gained`` is what earlier clones for the class have added to it.
     """
-    known = buildings.filter(F.col("label").isin(*DAMAGE_KEYS))
+    known = buildings.filter(F.col("label").isin(*BUILDING_KEYS))
     by_tile = settled(known.groupBy("dis_id", "tile_id", "label").agg(F.count("*").alias("n")))
-    # At most four rows for each disaster.
+    # At most five rows for each disaster.
     every = Window.partitionBy("dis_id")
-    ranked = by_tile.groupBy("dis_id", "label").agg(
+    totals = by_tile.groupBy("dis_id", "label").agg(
         F.sum("n").alias("total"), F.min(F.struct(hash_rank(seed, "dis_id", "label", "tile_id").alias("h"), F.col("tile_id"), F.col("n").alias("own"))).alias("host"))
-    ranked = settled(ranked.withColumns({"place": F.row_number().over(every.orderBy("total", "label")), "target": F.max("total").over(every)}))
+    totals = totals.withColumn("target", F.max("total").over(every))
+    if tiles is not None:
+        built = buildings.select("dis_id", "tile_id").distinct()
+        empty = tiles.select("dis_id", "tile_id").distinct().join(built, ["dis_id", "tile_id"], "left_anti").groupBy("dis_id").agg(F.count("*").alias("empty"))
+        totals = totals.join(empty, "dis_id", "left").withColumn("target", F.greatest("target", F.coalesce("empty", F.lit(0)))).drop("empty")
+    ranked = settled(totals.filter(F.col("label").isin(*DAMAGE_KEYS)).withColumn("place", F.row_number().over(every.orderBy("total", "label"))))
     carried, steps = ranked.select("dis_id", "label", F.lit(0).cast("long").alias("more")), []
     for place in range(1, len(DAMAGE_KEYS) + 1):
         now = ranked.filter(F.col("place") == place).join(carried, ["dis_id", "label"]).select(
@@ -144,7 +150,10 @@ def balance_plan(buildings: DataFrame, seed: int = 0, block: int = 4096) -> Data
             "dis_id", "minority", "obj", F.col("label").alias("other")))
         step = settled(_clones(now, rest, place, seed, block))
         order = Window.partitionBy("dis_id", "clone").orderBy(hash_rank(seed, "clone", "obj"), "obj")
-        kept = step.join(rest, "dis_id").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") > F.col("replaced")).groupBy(
+        # A host's buildings meet the clones block by block, so a disaster with many clones is many keys.
+        blocks = step.withColumn("block", F.floor(F.col("clone") / block))
+        spread = rest.join(blocks.select("dis_id", "block").distinct(), "dis_id")
+        kept = blocks.join(spread, ["dis_id", "block"]).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") > F.col("replaced")).groupBy(
             "dis_id", F.col("other").alias("label")).agg(F.count("*").alias("more"))
         added = step.groupBy("dis_id", "label").agg(F.sum("gain").alias("more"))
         carried = settled(carried.unionByName(kept).unionByName(added).groupBy("dis_id", "label").agg(F.sum("more").alias("more")))

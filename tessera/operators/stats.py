@@ -16,20 +16,35 @@ def count_by_class(buildings: DataFrame, catalog: DataFrame | None = None, keys=
     return counts
 
 
-def pixel_counts(runs: DataFrame, area: int, compat_uint16: bool = False, keys=("tile_id",), labels=range(6)) -> DataFrame:
-    """Pixels by tile and class from runs; what no run covers is background. ``compat_uint16`` wraps as 16-bit counters do."""
+def pixel_counts(runs: DataFrame, area: int, compat_uint16: bool = False, keys=("tile_id",), labels=range(6), tiles: DataFrame | None = None) -> DataFrame:
+    """Pixels by tile and class from runs; what no run covers is background. ``compat_uint16`` wraps as 16-bit counters do.
+
+    Runs are added up as they are, without a row for each pixel. With ``tiles``, a table of ``keys``, all its tiles are counted, once each: those without a
+    run are background, and runs of other tiles don't count.
+    """
     width = F.col("x1") - F.col("x0")
-    out = runs.groupBy(*keys).agg(
-        (F.lit(area) - F.sum(F.when(F.col("label") > 0, width).otherwise(0))).cast("long").alias(f"n_{0}"),
-        *[F.sum(F.when(F.col("label") == c, width).otherwise(0)).cast("long").alias(f"n_{c}") for c in labels if c],
-    )
+    out = runs.groupBy(*keys).agg(*[F.sum(F.when(F.col("label") == c, width).otherwise(0)).cast("long").alias(f"n_{c}") for c in labels if c])
+    if tiles is not None:
+        out = tiles.select(*keys).distinct().join(out, list(keys), "left").fillna(0, [f"n_{c}" for c in labels if c])
+    covered = sum((F.col(f"n_{c}") for c in labels if c), F.lit(0))
+    out = out.select(*keys, (F.lit(area) - covered).cast("long").alias("n_0"), *[f"n_{c}" for c in labels if c])
     return out.withColumns({f"n_{c}": F.pmod(F.col(f"n_{c}"), F.lit(65536)) for c in labels}) if compat_uint16 else out
 
 
 def class_weights(pixels: DataFrame, label: str = "gt", digits: int | None = 2) -> DataFrame:
     """``head, class, weight``: total / count by class for damage (0 where there is none), background against buildings for segmentation."""
     counts = pixels.groupBy(F.col(label).alias("class")).agg(F.count("*").alias("n"))
-    one = counts.agg(F.sum("n").alias("total"), *[F.coalesce(F.sum(F.when(F.col("class") == c, F.col("n"))), F.lit(0)).alias(f"c{c}") for c in range(5)])
+    return _weights(counts.agg(F.sum("n").alias("total"), *[F.coalesce(F.sum(F.when(F.col("class") == c, F.col("n"))), F.lit(0)).alias(f"c{c}") for c in range(5)]), digits)
+
+
+def weights_of_counts(counts: DataFrame, digits: int | None = 2, labels=range(6)) -> DataFrame:
+    """The same from counts by tile (``n_0`` to ``n_5``): un-classified pixels are in the total, and have no weight."""
+    sums = {c: F.coalesce(F.sum(f"n_{c}"), F.lit(0)).cast("long") for c in labels}
+    return _weights(counts.agg(*[v.alias(f"c{c}") for c, v in sums.items()]).withColumn("total", sum((F.col(f"c{c}") for c in labels), F.lit(0))), digits)
+
+
+def _weights(one: DataFrame, digits: int | None) -> DataFrame:
+    """From one row of ``total`` and ``c0`` to ``c4``."""
     built = sum((F.col(f"c{c}") for c in range(1, 5)), F.lit(0))
     rounded = lambda w: F.round(w, digits) if digits is not None else w
     rows = [F.struct(F.lit("dmg").alias("head"), F.lit(c).alias("class"),

@@ -1,4 +1,4 @@
-"""From labels to training data: counts, splits, statistics, patches, weights; and plans of augmentation."""
+"""From labels to training data: the stages of a preparation, and augmentation of rasters."""
 
 from __future__ import annotations
 
@@ -9,17 +9,86 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.raster import slice_tiles
-from tessera.operators.split import pick, split_stratified
-from tessera.operators.stats import class_weights, count_by_class
+from tessera.functions.labels import label_key
+from tessera.operators.balance import balance_plan, balanced_sample
+from tessera.operators.lineage import shared_folder
+from tessera.operators.raster import rasterize, slice_tiles
+from tessera.operators.split import param_grid, pick, sample_with_replacement, split_random, split_stratified
+from tessera.operators.stats import channel_stats, count_by_class, pixel_counts, weights_of_counts
+from tessera.plans.stages import Plan, Stage
 
+TILE = ["dis_id", "tile_id"]
 
-def prepare(buildings: DataFrame, masks: DataFrame, props: dict[str, float], width: int, height: int, n: int = 4, seed: int = 0) -> dict[str, DataFrame]:
-    """Lazily chained: ``counts``, ``splits``, ``patches`` and ``weights``."""
-    counts = count_by_class(buildings)
-    splits = split_stratified(counts, props, seed).select("split", "dis_id", "tile_id")
-    pixels = masks.select(F.col("label").alias("gt"), F.explode(F.sequence(F.lit(1), F.col("x1") - F.col("x0"))))
-    return {"counts": counts, "splits": splits, "patches": slice_tiles(masks, n, width, height), "weights": class_weights(pixels)}
+
+def _buildings(polygons: DataFrame) -> DataFrame:
+    return polygons.select(*TILE, "obj", label_key(F.col("label")).alias("label"))
+
+
+def _splits(t: dict[str, DataFrame], p: dict) -> DataFrame:
+    """Every tile once, split by strata; or a balanced sample, whose repeated tiles are copies, split at random."""
+    if p["strategy"] == "stratified":
+        return split_stratified(t["counts"], p["props"], p["seed"]).select("split", *TILE, F.lit(0).alias("draw"))
+    chosen = balanced_sample(t["counts"], p["total"], p["beta"], p["seed"]).select(*TILE, "draw")
+    return split_random(chosen, p["props"], *TILE, "draw", seed=p["seed"]).select("split", *TILE, "draw")
+
+
+def _clones(t: dict[str, DataFrame], p: dict) -> DataFrame:
+    train = t["splits"].filter("split = 'train'").select(*TILE).distinct()
+    return balance_plan(_buildings(t["polygons"]).join(train, TILE, "left_semi"), p["seed"], tiles=train)
+
+
+def _augmented(t: dict[str, DataFrame], p: dict) -> DataFrame:
+    """Copies of train tiles, each with parameters of its own."""
+    train = t["splits"].filter("split = 'train'").select(*TILE).distinct()
+    drawn = sample_with_replacement(train, p["n"], *TILE, seed=p["seed"]).select(*TILE, "copy")
+    return augmentation_params(drawn, *TILE, "copy", seed=p["seed"]).withColumn("aug_id", F.concat(F.col("copy"), F.lit("a"), F.col("tile_id")))
+
+
+def _manifest(t: dict[str, DataFrame], p: dict) -> DataFrame:
+    """Every patch of every tile of a split, with its pixels of buildings."""
+    ids = [str(i).zfill(3) for i in range(p["n"] * p["n"])]
+    built = t["patches"].groupBy(*TILE, "patch_id").agg(F.sum(F.col("x1") - F.col("x0")).cast("long").alias("pixels"))
+    spine = t["splits"].select("split", *TILE, "draw", F.explode(F.array(*map(F.lit, ids))).alias("patch_id"))
+    return spine.join(built, [*TILE, "patch_id"], "left").fillna(0, ["pixels"])
+
+
+def _weights(t: dict[str, DataFrame], p: dict) -> DataFrame:
+    """Pixels of all tiles of all splits, copies as often as they are drawn; background from the tile's area."""
+    counted = pixel_counts(t["masks"], p["width"] * p["height"], keys=TILE, tiles=t["splits"])
+    return weights_of_counts(counted.join(t["splits"].select(*TILE), TILE))
+
+
+def _configs(t: dict[str, DataFrame], p: dict) -> DataFrame:
+    """The grid of parameters, each with the weights of both heads."""
+    grid = param_grid(t["weights"].sparkSession, p["grid"], p["defaults"])
+    of = lambda head, n: F.array(*[F.max(F.when((F.col("head") == head) & (F.col("class") == c), F.col("weight"))) for c in range(n)])
+    return grid.crossJoin(t["weights"].agg(of("dmg", 5).alias("weights_dmg"), of("seg", 2).alias("weights_seg")))  # one row
+
+
+def preparation_stages(params: dict) -> list[Stage]:
+    """``params`` holds ``width, height, n`` (patches a side), ``props``, ``strategy`` (``stratified``, or ``sample`` with ``total`` and ``beta``), ``augment`` (copies),
+    ``grid, defaults, seed``. Each stage is keyed by those it reads."""
+    of = lambda *names: {k: params[k] for k in names}
+    size = of("width", "height")
+    chosen = of("strategy", "props", "seed") | (of("total", "beta") if params["strategy"] == "sample" else {})
+    return [
+        Stage("counts", ("polygons", "tiles"), lambda t, p: count_by_class(_buildings(t["polygons"]), t["tiles"])),
+        Stage("masks", ("polygons",), lambda t, p: rasterize(t["polygons"], keys=TILE, **p), size),
+        Stage("splits", ("counts",), _splits, chosen),
+        Stage("clones", ("splits", "polygons"), _clones, of("seed")),
+        Stage("augmented", ("splits",), _augmented, {"n": params["augment"], "seed": params["seed"]}),
+        Stage("statistics", ("channels",), lambda t, p: channel_stats(t["channels"])),
+        Stage("patches", ("masks",), lambda t, p: slice_tiles(t["masks"], p["n"], p["width"], p["height"], TILE), size | of("n")),
+        Stage("manifest", ("splits", "patches"), _manifest, of("n")),
+        Stage("weights", ("splits", "masks"), _weights, size),
+        Stage("configs", ("weights",), _configs, of("grid", "defaults")),
+    ]
+
+
+def preparation(tiles: DataFrame, polygons: DataFrame, channels: DataFrame, params: dict, folder: str | None = None) -> Plan:
+    """The plan of a whole preparation over ``tiles`` (``dis_id, tile_id``), ``polygons`` (``dis_id, tile_id, obj, label, rings``) and ``channels`` (``tile_id, phase, channel, v``)."""
+    spark = tiles.sparkSession
+    return Plan(spark, folder or f"{shared_folder(spark)}/preparation", {"tiles": tiles, "polygons": polygons, "channels": channels}, preparation_stages(params))
 
 
 def _unit(seed: int, name: str, *keys: str) -> Column:
@@ -94,44 +163,3 @@ def _turned(colours: np.ndarray, hue: float) -> np.ndarray:
     across = np.array([[0, -k[2], k[1]], [k[2], 0, -k[0]], [-k[1], k[0], 0]])
     turn = np.cos(t) * np.eye(3) + np.sin(t) * across + (1 - np.cos(t)) * np.outer(k, k)
     return colours @ turn.T
-
-
-def composite(hosts: DataFrame, plan: DataFrame, donors: DataFrame) -> DataFrame:
-    """Paste donor cut-outs into host rasters.
-
-    ``hosts`` and ``donors`` are rasters keyed by ``raster_id``; ``plan`` has, for each paste, ``raster_id`` of the host, ``donor_id``,
-    the donor's box ``dx1, dy1, dx2, dy2``, the host's box ``x1, y1, x2, y2``, ``angle`` and ``seq``. Cut-outs are scaled to the host's box,
-    turned, and show where any channel is above 0. A raster's pastes travel with it; they are as bounded as it is.
-    """
-    fields = ("seq", "dx1", "dy1", "dx2", "dy2", "x1", "y1", "x2", "y2", "angle")
-    cut = plan.withColumnRenamed("raster_id", "host_id").join(
-        donors.select(F.col("raster_id").alias("donor_id"), F.col("height").alias("dh"), F.col("width").alias("dw"), F.col("channels").alias("dc"), F.col("data").alias("donor")), "donor_id")
-    pastes = cut.groupBy("host_id").agg(F.sort_array(F.collect_list(F.struct(*fields, "dh", "dw", "dc", "donor"))).alias("pastes"))
-    joined, columns = hosts.join(pastes, F.col("raster_id") == F.col("host_id"), "left").drop("host_id"), list(hosts.columns)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            data = [row.data if row.pastes is None else _pasted(row) for row in part.itertuples(index=False)]
-            yield part[columns].assign(data=data)
-
-    return joined.mapInPandas(run, hosts.schema)
-
-
-def _pasted(row) -> bytes:
-    out = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.channels).copy()
-    for p in row.pastes:
-        piece = np.frombuffer(p["donor"], np.uint8).reshape(p["dh"], p["dw"], p["dc"])[p["dy1"] : p["dy2"], p["dx1"] : p["dx2"]]
-        h, w = p["y2"] - p["y1"], p["x2"] - p["x1"]
-        y, x = np.mgrid[0:h, 0:w].astype(float)
-        t = np.deg2rad(p["angle"])
-        ry, rx = y - (h - 1) / 2, x - (w - 1) / 2
-        sy = np.floor((np.cos(t) * ry - np.sin(t) * rx + h / 2) * piece.shape[0] / max(h, 1)).astype(int)
-        sx = np.floor((np.sin(t) * ry + np.cos(t) * rx + w / 2) * piece.shape[1] / max(w, 1)).astype(int)
-        inside = (sy >= 0) & (sy < piece.shape[0]) & (sx >= 0) & (sx < piece.shape[1])
-        turned = piece[np.clip(sy, 0, piece.shape[0] - 1), np.clip(sx, 0, piece.shape[1] - 1)]
-        shows = inside & (turned > 0).any(axis=2)
-        ty, tx = np.clip(np.arange(p["y1"], p["y2"]), 0, row.height - 1), np.clip(np.arange(p["x1"], p["x2"]), 0, row.width - 1)
-        area = out[np.ix_(ty, tx)]
-        area[shows] = turned[shows]
-        out[np.ix_(ty, tx)] = area
-    return out.tobytes()

@@ -534,9 +534,9 @@ def replacement_plan(spark, d):
     return B.replacement_plan(_objects(spark, d), "destroyed")
 
 
-@query(f"""WITH {COUNTS}, t AS (SELECT dis_id, sum(destroyed) AS de, greatest(sum("no-damage"), sum("minor-damage"), sum("major-damage"), sum(destroyed)) AS top FROM cnt GROUP BY dis_id),
+@query(f"""WITH {COUNTS}, t AS (SELECT dis_id, sum(destroyed) AS de, greatest(sum("no-damage"), sum("minor-damage"), sum("major-damage"), sum(destroyed), sum("un-classified")) AS top FROM cnt GROUP BY dis_id),
     df AS (SELECT dis_id, CAST(top - de AS BIGINT) AS deficit FROM t WHERE top > de),
-    ho AS (SELECT dis_id, tile_id, destroyed AS own, "no-damage" + "minor-damage" + "major-damage" AS others,
+    ho AS (SELECT dis_id, tile_id, destroyed AS own, "no-damage" + "minor-damage" + "major-damage" + "un-classified" AS others,
                   row_number() OVER (PARTITION BY dis_id ORDER BY {_hash(0, 'dis_id', 'tile_id')}, tile_id) AS r FROM cnt WHERE destroyed > 0),
     ca AS (SELECT dis_id, tile_id, own, others, deficit, CAST(unnest(range(1, deficit + 1)) AS INT) AS clone FROM (SELECT * FROM ho WHERE r = 1) JOIN df USING (dis_id)),
     ga AS (SELECT dis_id, tile_id, clone, deficit, own + CAST(round_even(others * (CAST(5 + {_pick(0, '5', "'clone'", 'dis_id', 'clone')} AS DOUBLE) / 10), 0) AS BIGINT) AS gain FROM ca),
@@ -559,12 +559,16 @@ def _balance_sql(i: int) -> str:
         UNION ALL SELECT dis_id, label, sum(gain) FROM t{i} GROUP BY 1, 2) GROUP BY 1, 2)"""
 
 
-@query(f"""WITH {BO}, kn AS MATERIALIZED (SELECT * FROM bd WHERE label IN ('no-damage', 'minor-damage', 'major-damage', 'destroyed')),
+BALANCE = f"""kn AS MATERIALIZED (SELECT * FROM bd WHERE label IN ('no-damage', 'minor-damage', 'major-damage', 'destroyed', 'un-classified')),
     bt AS (SELECT dis_id, tile_id, label, count(*) AS n FROM kn GROUP BY ALL),
     ra AS (SELECT dis_id, label, CAST(sum(n) AS BIGINT) AS total, arg_min(struct_pack(tile_id, own := n), {_hash(0, 'dis_id', 'label', 'tile_id')}) AS host FROM bt GROUP BY dis_id, label),
-    rk AS MATERIALIZED (SELECT dis_id, label, total, host.tile_id AS tile_id, host.own AS own, row_number() OVER (PARTITION BY dis_id ORDER BY total, label) AS place, max(total) OVER (PARTITION BY dis_id) AS target FROM ra),
-    c0 AS (SELECT dis_id, label, CAST(0 AS BIGINT) AS more FROM rk){"".join(map(_balance_sql, range(1, 5)))}
-    {" UNION ALL ".join(f"SELECT * FROM t{i}" for i in range(1, 5))}""")
+    rt AS (SELECT *, greatest(max(total) OVER (PARTITION BY dis_id), coalesce((SELECT n FROM em WHERE em.dis_id = ra.dis_id), 0)) AS target FROM ra),
+    rk AS MATERIALIZED (SELECT dis_id, label, total, host.tile_id AS tile_id, host.own AS own, row_number() OVER (PARTITION BY dis_id ORDER BY total, label) AS place, target FROM rt WHERE label <> 'un-classified'),
+    c0 AS (SELECT dis_id, label, CAST(0 AS BIGINT) AS more FROM rk){"".join(map(_balance_sql, range(1, 5)))}"""
+CLONES = " UNION ALL ".join(f"SELECT * FROM t{i}" for i in range(1, 5))
+
+
+@query(f"WITH {BO}, em AS (SELECT NULL AS dis_id, 0 AS n WHERE false), {BALANCE} {CLONES}")
 def balance_classes(spark, d):
     """All classes of all disasters, the smallest first, with totals carried on."""
     return B.balance_plan(_objects(spark, d))
@@ -742,9 +746,25 @@ def rasterized_polygons(spark, d):
     return R.rasterize(polys, width=64, height=64).select("tile_id", "y", "x0", "x1", "label")
 
 
-@query(f"""WITH {MASKS} SELECT tile_id, 4096 - sum(CASE WHEN label > 0 THEN 1 ELSE 0 END)::BIGINT AS n_0, {", ".join(f"count(*) FILTER (label = {c}) AS n_{c}" for c in range(1, 6))} FROM gm GROUP BY tile_id""")
+AREA_COUNTS = f"""pc AS (SELECT t.tile_id, 4096 - count(label) AS n_0, {", ".join(f"count(*) FILTER (label = {c}) AS n_{c}" for c in range(1, 6))}
+    FROM ({V.TILES_SQL}) t LEFT JOIN gm ON gm.tile_id = t.tile_id GROUP BY t.tile_id)"""
+
+
+@query(f"WITH {MASKS}, {AREA_COUNTS} SELECT * FROM pc")
 def mask_pixel_counts(spark, d):
-    return T.pixel_counts(_masks(spark, d)[0], 64 * 64)
+    """All tiles of the catalog, those without a building too."""
+    return T.pixel_counts(_masks(spark, d)[0], 64 * 64, tiles=V.tiles(spark, d))
+
+
+WEIGHTS = f"""sm AS (SELECT {", ".join(f"CAST(sum(n_{c}) AS DOUBLE) AS c{c}" for c in range(6))} FROM pc), w AS (SELECT 'dmg' AS head, unnest(range(5))::INT AS class,
+    unnest([{", ".join(f"CASE WHEN c{c} > 0 THEN round((c0 + c1 + c2 + c3 + c4 + c5) / c{c}, 2) ELSE 0 END" for c in range(5))}]) AS weight FROM sm
+    UNION ALL SELECT 'seg', unnest([0, 1]), unnest([round((c0 + c1 + c2 + c3 + c4) / nullif(c0, 0), 2), round((c0 + c1 + c2 + c3 + c4) / nullif(c1 + c2 + c3 + c4, 0), 2)]) FROM sm)"""
+
+
+@query(f"WITH {MASKS}, {AREA_COUNTS}, {WEIGHTS} SELECT head, class, weight FROM w")
+def mask_class_weights(spark, d):
+    """Weights of both heads from runs, with the background of all tiles."""
+    return T.weights_of_counts(T.pixel_counts(_masks(spark, d)[0], 64 * 64, tiles=V.tiles(spark, d)))
 
 
 @query(f"""WITH {MASKS} SELECT tile_id, lpad(CAST(CAST((y // 16) * 4 + x // 16 AS INT) AS VARCHAR), 3, '0') AS patch_id, count(*) AS pixels, CAST(sum((y % 16) * 16 + x % 16) AS BIGINT) AS places FROM gm GROUP BY 1, 2""")
@@ -946,19 +966,60 @@ def pasted_rasters(spark, d):
     return values.groupBy("raster_id", F.conv("b", 16, 10).cast("int").alias("value")).agg(F.count("*").alias("pixels"))
 
 
-@query(f"""WITH {MASKS}, s AS ({ORACLES["split_stratified"]}), c AS (SELECT label, count(*) AS n FROM gm GROUP BY label)
-    SELECT 'splits' AS part, dis_id AS key, split AS name, count(*) AS n FROM s GROUP BY 2, 3
-    UNION ALL SELECT 'patches', CAST(tile_id AS VARCHAR), lpad(CAST(CAST((y // 16) * 4 + x // 16 AS INT) AS VARCHAR), 3, '0'), count(*) FROM gm GROUP BY 2, 3
-    UNION ALL SELECT 'weights', 'dmg', CAST(label AS VARCHAR), CAST(round(round((SELECT sum(n) FROM c) / CAST(n AS DOUBLE), 2) * 100) AS BIGINT) FROM c""")
+PREPARED = {
+    "width": 64, "height": 64, "n": 4, "props": {"train": 0.8, "val": 0.1, "test": 0.1}, "strategy": "stratified", "augment": 50, "seed": 0,
+    "grid": {"lr": [1e-2, 1e-3], "batch_size": [16, 32]}, "defaults": {"epochs": 50},
+}
+PREP_BLD = f"pb AS (SELECT {V.DISASTER} AS dis_id, tile_id, obj, {V.LABEL_KEY} AS label FROM poly), pt AS (SELECT {V.DISASTER} AS dis_id, tile_id FROM ({V.TILES_SQL}))"
+PREP_COUNTS = "cnt AS (SELECT pt.dis_id, pt.tile_id, " + ", ".join(f"count(*) FILTER (label = '{k}') AS \"{k}\"" for k in L.BUILDING_KEYS) + " FROM pt LEFT JOIN pb ON pb.tile_id = pt.tile_id GROUP BY 1, 2)"
+PREP_SPLITS = f"sp AS MATERIALIZED (SELECT split, dis_id, tile_id FROM ({ORACLES['split_stratified'].replace(COUNTS, PREP_COUNTS)}))"
+
+
+@query(f"""WITH {MASKS}, {PREP_BLD}, {PREP_COUNTS}, {PREP_SPLITS}, tr AS (SELECT dis_id, tile_id FROM sp WHERE split = 'train'), {AREA_COUNTS}, {WEIGHTS},
+    em AS (SELECT dis_id, count(*) AS n FROM tr WHERE tile_id NOT IN (SELECT tile_id FROM pb) GROUP BY dis_id),
+    cl AS (WITH bd AS (SELECT pb.* FROM pb JOIN tr USING (tile_id)), {BALANCE} {CLONES}),
+    po AS (SELECT dis_id, tile_id, row_number() OVER (ORDER BY {_hash(0, 'dis_id', 'tile_id')}, dis_id, tile_id) - 1 AS pos FROM tr),
+    dr AS (SELECT draw, {_pick(0, '(SELECT count(*) FROM tr)', "'draw'", 'draw')} AS pos FROM (SELECT unnest(range(50)) AS draw)),
+    pp AS (SELECT tile_id, lpad(CAST(CAST((y // 16) * 4 + x // 16 AS INT) AS VARCHAR), 3, '0') AS patch_id, count(*) AS pixels FROM gm GROUP BY 1, 2),
+    mf AS (SELECT split, pixels FROM (SELECT *, lpad(CAST(unnest(range(16)) AS VARCHAR), 3, '0') AS patch_id FROM sp) LEFT JOIN pp USING (tile_id, patch_id)),
+    ch AS ({V.CHANNELS_SQL}), st AS (SELECT tile_id, phase, channel, avg(v / 255e0) AS m FROM ch GROUP BY ALL)
+    SELECT 'counts' AS stage, dis_id AS key, name, CAST(sum(v) AS BIGINT) AS n FROM (UNPIVOT cnt ON {QUOTED} INTO NAME name VALUE v) GROUP BY 2, 3
+    UNION ALL SELECT 'masks', {V.DISASTER}, CAST(label AS VARCHAR), count(*) FROM gm GROUP BY 2, 3
+    UNION ALL SELECT 'splits', dis_id, split, count(*) FROM sp GROUP BY 2, 3
+    UNION ALL SELECT 'clones', dis_id, label, CAST(sum(gain * 1000 + clone) AS BIGINT) FROM cl GROUP BY 2, 3
+    UNION ALL SELECT 'augmented', dis_id, CAST(tile_id AS VARCHAR), count(*) FROM dr JOIN po USING (pos) GROUP BY 2, 3
+    UNION ALL SELECT 'statistics', phase, channel, CAST(sum(CAST(round(m * 1e4) AS BIGINT)) AS BIGINT) FROM st GROUP BY 2, 3
+    UNION ALL SELECT 'patches', CAST(tile_id AS VARCHAR), patch_id, pixels FROM pp
+    UNION ALL SELECT 'manifest', split, CASE WHEN pixels > 0 THEN 'built' ELSE 'empty' END, CAST(count(*) * 100000 + coalesce(sum(pixels), 0) AS BIGINT) FROM mf GROUP BY 2, 3
+    UNION ALL SELECT 'weights', head, CAST(class AS VARCHAR), CAST(round(weight * 100) AS BIGINT) FROM w
+    UNION ALL SELECT 'configs', CAST(j * 2 + i AS VARCHAR), CAST(bs AS VARCHAR), CAST(round(1 / lr) AS BIGINT) * 1000 + (SELECT CAST(round(sum(weight) * 100) AS BIGINT) FROM w)
+        FROM (SELECT unnest([0, 1]) AS i, unnest([1e-2, 1e-3]) AS lr), (SELECT unnest([0, 1]) AS j, unnest([16, 32]) AS bs)""")
 def preparation(spark, d):
-    """Counts, splits, patches and weights of one preparation."""
-    out = P.prepare(V.buildings(spark, d), _masks(spark, d)[0], {"train": 0.8, "val": 0.1, "test": 0.1}, 64, 64)
-    row = lambda part, key, name, n: [F.lit(part).alias("part"), key.cast("string").alias("key"), name.cast("string").alias("name"), n.cast("long").alias("n")]
-    splits = out["splits"].groupBy("dis_id", "split").agg(F.count("*").alias("n"))
-    patches = out["patches"].groupBy("tile_id", "patch_id").agg(F.sum(F.col("x1") - F.col("x0")).alias("n"))
-    weights = out["weights"].filter("head = 'dmg' AND weight > 0").select("class", F.round(F.col("weight") * 100).alias("n"))
-    return splits.select(*row("splits", F.col("dis_id"), F.col("split"), F.col("n"))).unionByName(
-        patches.select(*row("patches", F.col("tile_id"), F.col("patch_id"), F.col("n")))).unionByName(weights.select(*row("weights", F.lit("dmg"), F.col("class"), F.col("n"))))
+    """All stages of a preparation, a few rows from each."""
+    polys = V.with_wkt(V.polygons(spark, d)).selectExpr(f"{V.DISASTER} AS dis_id", "tile_id", "obj", "label", "wkt").withColumn("rings", G.wkt_rings(F.col("wkt"))).drop("wkt")
+    tiles = V.tiles(spark, d).selectExpr(f"{V.DISASTER} AS dis_id", "tile_id")
+    out = P.preparation(tiles, polys, V.channels(spark, d), PREPARED).run()
+    both = sum((F.element_at(w, c) for w, n in (("weights_dmg", 5), ("weights_seg", 2)) for c in range(1, n + 1)), F.lit(0.0))
+    width = F.col("x1") - F.col("x0")
+    built = F.when(F.col("pixels") > 0, "built").otherwise("empty")
+    counted = out["counts"].select("dis_id", F.inline(F.array(*[F.struct(F.lit(k).alias("label"), F.col(f"`{k}`").alias("v")) for k in L.BUILDING_KEYS])))
+    rows = {
+        "counts": counted.groupBy("dis_id", "label").agg(F.sum("v")),
+        "masks": out["masks"].groupBy("dis_id", "label").agg(F.sum(width)),
+        "splits": out["splits"].groupBy("dis_id", "split").agg(F.count("*")),
+        "clones": out["clones"].groupBy("dis_id", "label").agg(F.sum(F.col("gain") * 1000 + F.col("clone"))),
+        "augmented": out["augmented"].groupBy("dis_id", "tile_id").agg(F.count("*")),
+        "statistics": out["statistics"].groupBy("phase", "channel").agg(F.sum(F.round(F.col("mean") * 10000).cast("long"))),
+        "patches": out["patches"].groupBy("tile_id", "patch_id").agg(F.sum(width)),
+        "manifest": out["manifest"].groupBy("split", built.alias("b")).agg(F.count("*") * 100000 + F.sum("pixels")),
+        "weights": out["weights"].select("head", "class", F.round(F.col("weight") * 100)),
+        "configs": out["configs"].select("conf_id", "batch_size", F.round(1 / F.col("lr")) * 1000 + F.round(both * 100)),
+    }
+    found = None
+    for stage, df in rows.items():
+        one = df.toDF("key", "name", "n").select(F.lit(stage).alias("stage"), F.col("key").cast("string"), F.col("name").cast("string"), F.col("n").cast("long"))
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 @query()

@@ -54,6 +54,12 @@ POLYGONS = (
     "CASE p_type WHEN 'PROMO' THEN 4 WHEN 'LARGE' THEN 3 WHEN 'SMALL' THEN 2 WHEN 'ECONOMY' THEN 5 ELSE 1 END AS label",
 )
 POLYGONS_SQL = f"SELECT {', '.join(POLYGONS)} FROM part"
+#: The catalog of tiles: every other one has no building.
+TILES = ("p_partkey - p_partkey % 10 AS tile_id",)
+TILES_SQL = f"SELECT DISTINCT {TILES[0]} FROM part"
+#: Disasters of tiles, and the buildings of a preparation with the keys of their labels.
+DISASTER = "concat('d', CAST((tile_id - tile_id % 20) / 20 % 5 AS INT))"
+LABEL_KEY = "CASE label WHEN 1 THEN 'no-damage' WHEN 2 THEN 'minor-damage' WHEN 3 THEN 'major-damage' WHEN 4 THEN 'destroyed' ELSE 'un-classified' END"
 #: What a network might have predicted: some objects missed, some shifted by a pixel, some labelled otherwise.
 PREDICTED = (
     "tile_id",
@@ -102,6 +108,10 @@ def epochs(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "events").selectExpr(*EPOCHS)
 
 
+def tiles(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "part").selectExpr(*TILES).distinct()
+
+
 def polygons(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "part").selectExpr(*POLYGONS)
 
