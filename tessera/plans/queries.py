@@ -21,6 +21,7 @@ from tessera.operators import split as X
 from tessera.operators import stats as T
 from tessera.operators.lineage import settled, shared_folder
 from tessera.operators.ordering import greedy_balance_order, sample_n
+from tessera.plans import cutmix as U
 from tessera.plans import evaluate as E
 from tessera.plans import prepare as P
 from tessera.sources import catalog as K
@@ -951,19 +952,59 @@ def mismatched_shapes(spark, d):
     return T.shape_violations(rasters)
 
 
-@query("""WITH r AS (SELECT p_partkey AS k, 1 + p_size AS v, 1 + p_partkey % 5 AS w, 1 + p_partkey % 7 AS h FROM part),
-    p AS (SELECT r.k, r.v, o.v AS o, CASE WHEN o.k IS NULL THEN 0 ELSE r.w * r.h END AS a FROM r LEFT JOIN r o ON o.k = r.k + 1),
-    n AS (SELECT k, v AS value, 256 - a AS n FROM p UNION ALL SELECT k, o, a FROM p WHERE a > 0)
-    SELECT k AS raster_id, CAST(value AS INT) AS value, CAST(sum(n) AS BIGINT) AS pixels FROM n GROUP BY 1, 2""")
+IMAGE = 16
+#: Rasters of a part: an image of three channels whose values are all above 0, and a mask with one label.
+VALUE = "1 + (k * 7 + y * 16 + x + 31 * c) % 250"
+
+
+def _rasters(spark, d):
+    k, size = F.col("raster_id"), IMAGE * IMAGE
+    bytes_of = lambda n, value: F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lpad(F.hex(value(i).cast("long")), 2, "0")), ""))
+    image = bytes_of(3 * size, lambda i: 1 + (k * 7 + F.floor(i / 3) + 31 * (i % 3)) % 250)
+    mask = bytes_of(size, lambda i: 1 + k % 4)
+    kinds = F.inline(F.array(F.struct(F.lit("image").alias("kind"), F.lit(3).alias("channels"), image.alias("data")), F.struct(F.lit("mask").alias("kind"), F.lit(1).alias("channels"), mask.alias("data"))))
+    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("raster_id"), F.lit(IMAGE).alias("height"), F.lit(IMAGE).alias("width")).select("*", kinds)
+
+
+#: A donor is a triangle at the corner of its raster; two pastes a raster, at places that may hang over any edge, by quarter turns.
+CUT = "1 + k % 3 AS ax, 1 + k % 4 AS ay, 4 + k % 3 + k % 7 AS ex, 4 + k % 4 + k % 5 AS ey"
+PLACE = "k AS raster_id, s AS seq, k + s AS donor, (k * 5 + s * 9) % 22 - 4 AS x, (k * 3 + s * 7) % 22 - 4 AS y, 2 + (k + s) % 7 AS width, 2 + (k * 3 + s) % 6 AS height, (k + s) % 4 AS turn"
+
+
+@query(f"""WITH r AS (SELECT p_partkey AS k FROM part), cu AS (SELECT k AS donor, {CUT} FROM r), pl AS (SELECT {PLACE} FROM r, (SELECT unnest([1, 2]) AS s)),
+    px AS (SELECT k, kind, channels, i // 16 AS y, i % 16 AS x FROM r, (SELECT unnest(range(256)) AS i), (SELECT unnest(['image', 'mask']) AS kind, unnest([3, 1]) AS channels)),
+    lo AS (SELECT p.raster_id AS k, p.seq, p.donor, q.y, q.x, 2 * (q.y - p.y) - p.height + 1 AS v, 2 * (q.x - p.x) - p.width + 1 AS u, p.width, p.height, p.turn, cu.* EXCLUDE (donor)
+        FROM pl p JOIN cu ON cu.donor = p.donor JOIN (SELECT k, y, x FROM px WHERE kind = 'mask') q ON q.k = p.raster_id AND q.y >= p.y AND q.y < p.y + p.height AND q.x >= p.x AND q.x < p.x + p.width),
+    tu AS (SELECT *, CAST(floor((CASE turn WHEN 0 THEN v WHEN 1 THEN -u WHEN 2 THEN -v ELSE u END + height) / 2e0) AS BIGINT) AS sy,
+        CAST(floor((CASE turn WHEN 0 THEN u WHEN 1 THEN v WHEN 2 THEN -u ELSE -v END + width) / 2e0) AS BIGINT) AS sx FROM lo),
+    tr AS (SELECT donor, y, min(x) AS x0, max(x) + 1 AS x1 FROM (SELECT donor, y, unnest(range(ax, CAST(ceil(ex + (y + 0.5e0 - ay) * (ax - ex) / (ey - ay) - 0.5e0) AS BIGINT))) AS x
+        FROM (SELECT *, unnest(range(ay, ey)) AS y FROM cu)) GROUP BY donor, y),
+    bo AS (SELECT donor, min(x0) AS l0, min(y) AS t0, max(x1) - min(x0) AS pw, max(y) + 1 - min(y) AS ph FROM tr GROUP BY donor),
+    so AS (SELECT tu.k, tu.seq, tu.donor, tu.y, tu.x, t0 + (2 * sy + 1) * ph // (2 * height) AS dy, bo.l0 + (2 * sx + 1) * pw // (2 * width) AS dx FROM tu JOIN bo ON bo.donor = tu.donor
+        WHERE sy >= 0 AND sy < height AND sx >= 0 AND sx < width),
+    sh AS (SELECT k, y, x, arg_max(struct_pack(k := so.donor, y := dy, x := dx), seq) AS o FROM so JOIN tr ON tr.donor = so.donor AND tr.y = dy AND dx >= tr.x0 AND dx < tr.x1 GROUP BY k, so.y, x),
+    fi AS (SELECT px.k AS raster, px.kind, px.channels, px.y * 16 + px.x AS place, coalesce(o.k, px.k) AS k, coalesce(o.y, px.y) AS y, coalesce(o.x, px.x) AS x FROM px LEFT JOIN sh ON sh.k = px.k AND sh.y = px.y AND sh.x = px.x),
+    va AS (SELECT raster, kind, c, place, CASE kind WHEN 'mask' THEN 1 + k % 4 ELSE {VALUE} END AS value FROM (SELECT *, unnest(range(channels)) AS c FROM fi))
+    SELECT raster AS raster_id, kind, CAST(c AS INT) AS channel, CAST(sum(value) AS BIGINT) AS total, CAST(sum(value * (place + 1)) AS BIGINT) AS places FROM va GROUP BY ALL""".replace("GROUP BY k, so.y, x", "GROUP BY so.k, so.y, so.x").replace("SELECT k, y, x, arg_max", "SELECT so.k AS k, so.y AS y, so.x AS x, arg_max"))
 def pasted_rasters(spark, d):
-    """Each raster gets a cut-out of the next one; counted by value."""
-    rasters = _flat_rasters(spark, d).drop("other")
-    box = {"dx1": "0", "dy1": "0", "dx2": "w", "dy2": "h", "x1": "x", "y1": "y", "x2": "x + w", "y2": "y + h"}
-    sized = rasters.selectExpr("raster_id", "1 + raster_id % 5 AS w", "1 + raster_id % 7 AS h", "raster_id % 8 AS x", "raster_id % 6 AS y")
-    plan = sized.selectExpr("raster_id", "raster_id + 1 AS donor_id", *[f"cast({e} AS int) AS {k}" for k, e in box.items()], "0.0D AS angle", "1 AS seq")
-    pasted = P.composite(rasters, plan, rasters)
-    values = pasted.select("raster_id", F.explode(F.regexp_extract_all(F.hex("data"), F.lit("[0-9A-F]{2}"), F.lit(0))).alias("b"))
-    return values.groupBy("raster_id", F.conv("b", 16, 10).cast("int").alias("value")).agg(F.count("*").alias("pixels"))
+    """Two triangles on each raster, image and mask alike; sums and sums by place of every channel."""
+    rasters = _rasters(spark, d)
+    parts = rasters.filter("kind = 'mask'").select(F.col("raster_id").alias("k"))
+    corners = parts.selectExpr("k", *CUT.split(", "))
+    point = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    ring = F.array(point("ax", "ay"), point("ex", "ay"), point("ax", "ey"), point("ax", "ay"))
+    pieces = U.cut_outs(rasters, corners.select(F.col("k").alias("raster_id"), F.col("k").alias("donor"), F.array(ring).alias("rings")))
+    placed = parts.withColumn("s", F.explode(F.array(F.lit(1), F.lit(2)))).selectExpr(*_columns(PLACE)).selectExpr(
+        "raster_id", "seq", "cast(donor AS string) AS donor", *[f"cast({c} AS int) AS {c}" for c in ("x", "y", "width", "height")], "turn * 90.0D AS angle")
+    out = U.composite(rasters, placed, pieces)
+    values = out.select("raster_id", "kind", "channels", F.posexplode(F.regexp_extract_all(F.hex("data"), F.lit("[0-9A-F]{2}"), F.lit(0))).alias("at", "b"))
+    value = F.conv("b", 16, 10).cast("long")
+    return values.groupBy("raster_id", "kind", (F.col("at") % F.col("channels")).alias("channel")).agg(
+        F.sum(value).alias("total"), F.sum(value * (F.expr("at div channels") + 1)).alias("places"))
+
+
+def _columns(listed: str) -> list[str]:
+    return [c.strip() for c in listed.split(", ")]
 
 
 PREPARED = {
