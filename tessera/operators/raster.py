@@ -6,10 +6,16 @@ to one may meet in one task; tiles are not, so everything is keyed by tile.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import settled
+
 RUN = ("y", "x0", "x1", "label")
 
 
@@ -92,45 +98,127 @@ def merge_patches(patches: DataFrame, n: int = 4, width: int = 1024, height: int
 def connected_components(runs: DataFrame, keys=("tile_id",), side: int = 1024) -> DataFrame:
     """Add ``obj`` to runs: the 4-connected component, named by its first pixel (y * side + x). Labels don't part components.
 
-    Connectivity is a property of one tile, whose runs are bounded by its size: one shuffle by tile, then a union of
-    touching runs, row by row.
+    Connectivity is a property of one tile, whose runs are bounded by its size: one shuffle by tile, then tiles stream past, many in a batch, each
+    whole. ``mosaic_components`` finds the same objects over tiles that touch.
     """
-    solid = coalesce_runs(runs.select(*keys, "y", "x0", "x1", F.lit(1).alias("label")), keys).drop("label")
-    fields = solid.select(*keys, "y", "x0", "x1").schema.fields
+    keys = list(keys)
+    fields = runs.select(*keys, "y", "x0", "x1", "label").schema.fields
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "obj long"])
-    named = solid.groupBy(*keys).applyInPandas(_components(side), schema)
-    inside = named.withColumnRenamed("x0", "_a").withColumnRenamed("x1", "_b")
-    # A labelled run lies within one solid run of its row.
-    return runs.join(inside, [*keys, "y"]).filter((F.col("x0") >= F.col("_a")) & (F.col("x1") <= F.col("_b"))).drop("_a", "_b")
-
-
-def _components(side: int):
-    def run(tile: pd.DataFrame) -> pd.DataFrame:
-        tile = tile.sort_values(["y", "x0"], ignore_index=True)
-        y, x0, x1 = (tile[c].tolist() for c in ("y", "x0", "x1"))
-        parent = list(range(len(y)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        above = 0
-        for i in range(len(y)):
-            # Runs are in order, so the first run of the row above that can touch only moves on.
-            while above < i and (y[above] < y[i] - 1 or (y[above] == y[i] - 1 and x1[above] <= x0[i])):
-                above += 1
-            j = above
-            while j < i and y[j] == y[i] - 1 and x0[j] < x1[i]:
-                a, b = root(i), root(j)
-                parent[max(a, b)] = min(a, b)
-                j += 1
-        return tile.assign(obj=[y[root(i)] * side + x0[root(i)] for i in range(len(y))])
+    names = [*keys, "y", "x0", "x1", "label"]
+    return runs.select(*names).repartition(*keys).sortWithinPartitions(*keys, "y", "x0").mapInArrow(_components(keys, side), schema)
+
+
+def _components(keys: list[str], side: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
+            first = _tile_starts(table, keys)
+            cut = int(first[-1])  # the last tile may go on in the next batch
+            if cut:
+                yield from _named(table.slice(0, cut), first[:-1], side)
+            kept = table.slice(cut)
+        if kept is not None and kept.num_rows:
+            yield from _named(kept, _tile_starts(kept, keys), side)
 
     return run
 
 
+def _tile_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Rows at which a tile begins."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        values = table.column(k).combine_chunks()
+        new[1:] |= pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _named(table: pa.Table, first: np.ndarray, side: int) -> Iterator[pa.RecordBatch]:
+    tile = np.zeros(table.num_rows, np.int64)
+    tile[first[1:]] = 1
+    y, x0, x1 = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "x0", "x1"))
+    root = component_roots(np.cumsum(tile), y, x0, x1)
+    obj = pa.chunked_array([pa.array(y[root] * side + x0[root], pa.int64())])
+    yield from table.append_column("obj", obj).combine_chunks().to_batches()
+
+
+def component_roots(tile: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
+    """The first run of each run's component; runs are in order of tile, row and column.
+
+    All runs at once: neighbours are found by binary search, the smallest number spreads along them, and numbers jump to their number's number, until nothing changes.
+    """
+    wide, tall = int(x1.max(initial=0)) + 2, int(y.max(initial=0)) + 3
+    row = (tile * tall + y) * wide
+    n = np.arange(len(y))
+    beside = np.flatnonzero((row[1:] == row[:-1]) & (x1[:-1] == x0[1:]))  # touching runs of one row
+    low, high = np.searchsorted(row + x1, row + wide + x0, "right"), np.searchsorted(row + x0, row + wide + x1, "left")
+    count = np.maximum(high - low, 0)
+    a = np.repeat(n, count)
+    b = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    a, b = np.concatenate([a, beside]), np.concatenate([b, beside + 1])
+    root = n
+    while len(a):
+        least = root.copy()
+        ra, rb = root[a], root[b]
+        np.minimum.at(least, ra, rb)
+        np.minimum.at(least, rb, ra)
+        least = np.minimum(least, least[root])
+        while (jumped := least[least] != least).any():
+            least[jumped] = least[least[jumped]]
+        if (least == root).all():
+            break
+        root = least
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return root
+
+
+def mosaic_components(runs: DataFrame, keys=(), side: int = 1024) -> DataFrame:
+    """Components over a mosaic: ``runs`` has ``keys, col, row, y, x0, x1, label``, where (col, row) is a tile's place in its mosaic of tiles ``side`` wide and high.
+
+    A building that crosses a border is one object. ``obj`` is the first pixel (y, x) of the component in the mosaic, as ``y * 2**31 + x``. A mosaic isn't bounded,
+    so nothing meets by tile: runs are nodes, touching runs are edges of a table, and the smallest name spreads: each node takes the smallest name among its name's neighbours',
+    and names jump to their name's name. A chain of n runs takes some log n rounds, each two joins by run; it ends when nothing changes.
+    """
+    keys = list(keys)
+    placed = runs.select("*", (F.col("row") * side + F.col("y")).cast("long").alias("_y"), (F.col("col") * side + F.col("x0")).cast("long").alias("_a"), (F.col("col") * side + F.col("x1")).cast("long").alias("_b"))
+    name = F.col("_y") * (1 << 31) + F.col("_a")
+    nodes = settled(placed.select(*keys, name.alias("id"), "_y", "_a", "_b"))
+    below = nodes.select(*keys, F.col("id").alias("other"), (F.col("_y") - 1).alias("_y"), F.col("_a").alias("c"), F.col("_b").alias("d"))
+    # Within one row of a mosaic runs are joined by stretches of columns, so a wide row isn't one key.
+    cell = lambda df, a, b: df.withColumn("_c", F.explode(F.sequence(F.floor(F.col(a) / side), F.floor((F.col(b) - 1) / side))))
+    down = cell(nodes, "_a", "_b").join(cell(below, "c", "d"), [*keys, "_y", "_c"]).filter("_a < d AND c < _b").select(*keys, "id", "other")
+    right = nodes.join(nodes.select(*keys, F.col("id").alias("other"), "_y", F.col("_a").alias("_b")), [*keys, "_y", "_b"]).select(*keys, "id", "other")
+    edges = down.unionByName(right).distinct()
+    edges = settled(edges.unionByName(edges.select(*keys, F.col("other").alias("id"), F.col("id").alias("other"))))
+    found = spread(edges, nodes.select(*keys, "id"), keys)[0]
+    return placed.withColumn("id", name).join(found, [*keys, "id"]).drop("_y", "_a", "_b", "id").withColumnRenamed("name", "obj")
+
+
+def spread(edges: DataFrame, nodes: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """``keys, id, name``: the smallest id that edges (``keys, id, other``, both ways) lead to; and the rounds it took. Only edges between different names go on to the next."""
+    names = nodes.select(*keys, "id", F.col("id").alias("name"))
+    links = edges.select(*keys, F.col("id").alias("a"), F.col("other").alias("b"))  # between names
+    rounds = 0
+    while True:
+        # The smallest neighbour of each name; a name never takes a larger one, so following them ends at a root.
+        hook = settled(links.groupBy(*keys, "a").agg(F.min("b").alias("to")).filter("to < a"))
+        if hook.isEmpty():
+            break
+        while True:  # names of names: the way to each root is halved
+            far = hook.select(*keys, F.col("a").alias("to"), F.col("to").alias("next"))
+            jumped = settled(hook.join(far, [*keys, "to"], "left").select(*keys, "a", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
+            hook = jumped.drop("moved")
+            if jumped.filter("moved").isEmpty():
+                break
+        at = lambda df, column: df.join(hook.select(*keys, F.col("a").alias(column), "to"), [*keys, column], "left").withColumn(column, F.coalesce("to", column)).drop("to")
+        names = settled(at(names, "name"))
+        links = settled(at(at(links, "a"), "b").filter("a <> b").distinct())
+        rounds += 1
+    return names, rounds
+
+
 def pixel_pairs(gt: DataFrame, pd_: DataFrame, area: int, tiles: DataFrame, keys=("tile_id",)) -> DataFrame:
     """``keys, gt, pred, n``: pixels by true and predicted label, from runs; background counts as what is left of the tile."""
     row = [*keys, "y"]

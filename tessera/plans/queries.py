@@ -25,8 +25,11 @@ from tessera.plans import cutmix as U
 from tessera.plans import evaluate as E
 from tessera.plans import prepare as P
 from tessera.sources import catalog as K
+from tessera.sources import files as D
 from tessera.sources import labels as J
+from tessera.sources import rasters as I
 from tessera.sources import tables as W
+from tessera.streaming.confusion import confusion_now, read_pixel_stream, upsert_confusion
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -808,20 +811,48 @@ OBJ_CONF = MATCHES + f""", oc AS (SELECT class, m AS true_pos, p - m AS false_po
 
 
 def _components(spark, d):
+    """Both masks' components, settled since overlaps and tables read them."""
     return [settled(R.connected_components(m, side=64)) for m in _masks(spark, d)]
 
 
+def _true_objects(spark, d):
+    return O.object_table(R.connected_components(_masks(spark, d)[0], side=64))
+
+
 @query(f"""WITH {OBJECTS} SELECT o.tile_id, o.obj, o.label, o.area, b.x1, b.y1, b.x2, b.y2 FROM gmo o JOIN (SELECT tile_id, obj, CAST(min(x) AS INT) AS x1, CAST(min(y) AS INT) AS y1, CAST(max(x) + 1 AS INT) AS x2,
     CAST(max(y) + 1 AS INT) AS y2 FROM gmc GROUP BY 1, 2) b ON b.tile_id = o.tile_id AND b.obj = o.obj""")
 def true_objects(spark, d):
-    return O.object_table(_components(spark, d)[0])
+    return _true_objects(spark, d)
 
 
 @query(f"""WITH {OBJECTS}, t AS (SELECT DISTINCT tile_id FROM gmo) SELECT t.tile_id, class AS level, count(o.obj) AS n,
     CASE class WHEN 1 THEN 'no-damage' WHEN 2 THEN 'minor-damage' WHEN 3 THEN 'major-damage' ELSE 'destroyed' END AS key
     FROM t, {SPINE} LEFT JOIN gmo o ON o.tile_id = t.tile_id AND o.label = class GROUP BY 1, 2""")
 def objects_by_level(spark, d):
-    return T.level_counts(O.object_table(_components(spark, d)[0]))
+    return T.level_counts(_true_objects(spark, d))
+
+
+#: Tiles in mosaics of 2 x 2, with the borders that buildings stand on: a tile's polygons are shifted to the left by a part of its width, over the border.
+MOSAIC = "(tile_id - tile_id % 80) AS mosaic, (tile_id - tile_id % 20) / 20 % 2 AS c, (tile_id - tile_id % 40) / 40 % 2 AS r"
+SHIFT = 20
+
+
+@query(f"""WITH RECURSIVE {MASKS}, mx AS (SELECT tile_id - tile_id % 80 AS tile_id, (tile_id // 40 % 2) * 64 + y AS y, ((tile_id // 20 % 2) * 64 + x + 128 - {SHIFT}) % 128 AS x, label FROM gm),
+    ed AS (SELECT a.tile_id, a.y, a.x, a.y * 128 + a.x AS i, b.y * 128 + b.x AS j FROM mx a JOIN mx b ON a.tile_id = b.tile_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1),
+    re AS (SELECT tile_id, y * 128 + x AS i, y * 128 + x AS c FROM mx UNION SELECT e.tile_id, e.j, re.c FROM re JOIN ed e ON e.tile_id = re.tile_id AND e.i = re.i AND re.c < e.j),
+    co AS (SELECT tile_id, i, min(c) AS c FROM re GROUP BY tile_id, i)
+    SELECT CAST(tile_id AS BIGINT) AS mosaic, CAST(c // 128 * 2147483648 + c % 128 AS BIGINT) AS obj, count(*) AS area, CAST(sum(label) AS BIGINT) AS labels,
+        count(DISTINCT (mx.y // 64) * 2 + mx.x // 64) AS tiles FROM co JOIN mx USING (tile_id) WHERE mx.y * 128 + mx.x = i GROUP BY tile_id, c""")
+def mosaic_objects(spark, d):
+    """Objects over the borders of tiles, four tiles to a mosaic; how many tiles each stands on."""
+    runs = _masks(spark, d)[0].selectExpr("tile_id", *_columns(MOSAIC), "y", "x0", "x1", "label")
+    # Runs of the shifted mosaic: cut where they pass a border, on either side.
+    moved = runs.selectExpr("CAST(mosaic AS BIGINT) AS mosaic", "CAST(r AS INT) AS row", "y", f"CAST(c * 64 + x0 + 128 - {SHIFT} AS INT) AS a", f"CAST(c * 64 + x1 + 128 - {SHIFT} AS INT) AS b", "label")
+    cut = moved.withColumn("k", F.explode(F.sequence(F.expr("a div 64"), F.expr("(b - 1) div 64")))).selectExpr(
+        "mosaic", "k % 2 AS col", "row", "y", "CAST(greatest(a, k * 64) - k * 64 AS INT) AS x0", "CAST(least(b, k * 64 + 64) - k * 64 AS INT) AS x1", "label")
+    found = R.mosaic_components(cut, ["mosaic"], 64)
+    width = F.col("x1") - F.col("x0")
+    return found.groupBy("mosaic", "obj").agg(F.sum(width).cast("long").alias("area"), F.sum(width * F.col("label")).cast("long").alias("labels"), F.count_distinct("row", "col").alias("tiles"))
 
 
 @query(f"WITH {PAIRS} SELECT tile_id, gid, pid, inter, round(iou, 6) AS iou, glabel, plabel FROM pa")
@@ -997,10 +1028,7 @@ def pasted_rasters(spark, d):
     placed = parts.withColumn("s", F.explode(F.array(F.lit(1), F.lit(2)))).selectExpr(*_columns(PLACE)).selectExpr(
         "raster_id", "seq", "cast(donor AS string) AS donor", *[f"cast({c} AS int) AS {c}" for c in ("x", "y", "width", "height")], "turn * 90.0D AS angle")
     out = U.composite(rasters, placed, pieces)
-    values = out.select("raster_id", "kind", "channels", F.posexplode(F.regexp_extract_all(F.hex("data"), F.lit("[0-9A-F]{2}"), F.lit(0))).alias("at", "b"))
-    value = F.conv("b", 16, 10).cast("long")
-    return values.groupBy("raster_id", "kind", (F.col("at") % F.col("channels")).alias("channel")).agg(
-        F.sum(value).alias("total"), F.sum(value * (F.expr("at div channels") + 1)).alias("places"))
+    return _channel_sums(out)
 
 
 def _columns(listed: str) -> list[str]:
@@ -1063,11 +1091,126 @@ def preparation(spark, d):
     return found
 
 
-@query()
+FOLDS = f"""fo AS (SELECT *, CAST(ntile(3) OVER (ORDER BY {_hash(0, 'px_id')}, px_id) - 1 AS INT) AS fold FROM sc)"""
+SCALES = (0.0, 0.5, 1.0)
+
+
+@query(f"""WITH {SC}, {FOLDS}, fs AS (SELECT unnest(range(3))::INT AS fold), wt AS (SELECT fs.fold, gt, round(sum(count(*)) OVER (PARTITION BY fs.fold) / CAST(count(*) AS DOUBLE), 2) AS weight FROM fs JOIN fo ON fo.fold <> fs.fold GROUP BY fs.fold, gt),
+    me AS (SELECT wt.fold, [{", ".join(f"sum(logits[{i}] * weight) / sum(weight)" for i in range(1, 6))}] AS mean FROM wt JOIN fo ON fo.fold <> wt.fold AND fo.gt = wt.gt GROUP BY wt.fold),
+    pr AS (SELECT conf, fo.fold, gt, list_transform(logits, lambda x, i: x - scale * mean[i]) AS v FROM fo JOIN me ON me.fold = fo.fold, (SELECT unnest(range({len(SCALES)}))::INT AS conf, unnest({list(SCALES)}) AS scale)),
+    px AS (SELECT conf, fold, gt, CAST(list_position(v, list_max(v)) - 1 AS INT) AS pred FROM pr),
+    o AS (SELECT conf, fold, class, sum(CASE WHEN gt = class AND pred = class THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN pred = class THEN 1 ELSE 0 END) AS p, sum(CASE WHEN gt = class THEN 1 ELSE 0 END) AS g
+        FROM px, (SELECT unnest(range(5)) AS class) GROUP BY ALL),
+    f AS (SELECT conf, fold, CASE WHEN p = 0 THEN 0e0 ELSE tp / p END AS pr, CASE WHEN g = 0 THEN 0e0 ELSE tp / g END AS re FROM o),
+    h AS (SELECT conf, fold, count(*) / sum(1 / (CASE WHEN pr + re = 0 THEN 0e0 ELSE 2 * pr * re / (pr + re) END + 1e-10)) AS hf1 FROM f GROUP BY conf, fold)
+    SELECT conf, fold, round(hf1, 6) AS hf1, conf = (SELECT conf FROM h ORDER BY hf1 DESC, conf, fold LIMIT 1) AS chosen FROM h""")
 def parameter_search(spark, d):
-    """A cross-validated search over regularisation; fitted models have no form in SQL."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+    """A cross-validated search, weighted by class, that chooses its configuration."""
+    rows = V.scores(spark, d).select("px_id", F.col("gt").alias("label"), "logits")
+    found = E.grid_search(rows, lambda p, classes: E.CentredLogits(classes, **p), [{"scale": x} for x in SCALES], 3, ["px_id"])
+    return rounded(found, "hf1")
+
+
+@query(f"WITH {PX} SELECT gt, pred, count(*) AS n FROM px GROUP BY 1, 2")
+def streamed_confusion(spark, d):
+    """Pixels as a stream of files: it stops after the first half of them and is started again."""
+    root = _folder(spark, "stream")
+    pixels = V.pixels(spark, d).withColumn("half", F.pmod(F.xxhash64("tile_id"), F.lit(2)))
+    for half in (0, 1):
+        pixels.filter(F.col("half") == half).drop("half").repartition(3).write.mode("append").parquet(f"{root}/pixels")
+        stream = read_pixel_stream(spark, f"{root}/pixels", "tile_id long, gt int, pred int", 1)
+        upsert_confusion(stream, f"{root}/counts", f"{root}/checkpoint").awaitTermination()
+    return confusion_now(spark, f"{root}/counts")
+
+
+# ---------------------------------------------------------------- files and pixels of rasters
+
+BROKEN = "tile_id % 140 = 0"
+
+
+def _file_name(kind: str):
+    return F.concat(F.expr(V.DISASTER), F.lit("_"), F.lpad(F.col("tile_id").cast("string"), 8, "0"), F.lit(kind))
+
+
+@query(f"""WITH {MASKS} SELECT 'run' AS kind, tile_id, y, x0, x1, label FROM ({RUNS}) WHERE NOT {BROKEN}
+    UNION ALL SELECT 'reject', tile_id, NULL, NULL, NULL, NULL FROM ({V.TILES_SQL}) WHERE {BROKEN}""")
+def mask_files(spark, d):
+    """Masks of all tiles written as pictures by the executors, some of them cut short; read by the image source, and turned into runs again."""
+    folder = _folder(spark, "masks")
+    rasters = D.masks_of_runs(_masks(spark, d)[0], V.tiles(spark, d), 64, 64, "tile_id")
+    pictures = D.as_png(rasters, _file_name("_post_disaster_target.png"))
+    tile = F.split("name", "_")[1].cast("long")
+    cut = F.when(F.expr(BROKEN.replace("tile_id", "tile")), F.expr("substring(content, 1, 40)")).otherwise(F.col("content"))
+    D.write_files(pictures.withColumn("tile", tile).withColumn("content", cut), folder)
+    runs = I.mask_runs(I.read_rasters(spark, folder), "tile_id").select(F.lit("run").alias("kind"), F.col("tile_id").cast("long").alias("tile_id"), "y", "x0", "x1", "label")
+    none = [F.lit(None).cast("int").alias(c) for c in ("y", "x0", "x1", "label")]
+    lost = I.raster_rejects(spark, folder).select(F.lit("reject").alias("kind"), J.file_key(F.col("path"))[1].cast("long").alias("tile_id"), *none)
+    return runs.unionByName(lost)
+
+
+@query(f"""WITH {POLY}, f AS (SELECT tile_id, CAST(obj AS VARCHAR) AS uid, {V.LABEL_KEY} AS subtype FROM poly) SELECT 'feature' AS kind, tile_id, uid, subtype FROM f WHERE NOT {BROKEN}
+    UNION ALL SELECT DISTINCT 'reject', tile_id, NULL, NULL FROM f WHERE {BROKEN}""")
+def label_files(spark, d):
+    """Label files of both phases written by the executors, some cut short; only those of one phase are read."""
+    folder = _folder(spark, "labels")
+    feature = F.struct(F.col("wkt"), F.struct(F.lit("building").alias("feature_type"), F.expr(f"CASE WHEN phase = 'post' THEN {V.LABEL_KEY} END").alias("subtype"), F.col("obj").cast("string").alias("uid")).alias("properties"))
+    polys = V.with_wkt(V.polygons(spark, d)).withColumn("phase", F.explode(F.array(F.lit("pre"), F.lit("post"))))
+    files = polys.groupBy("tile_id", "phase").agg(F.to_json(F.struct(F.struct(F.collect_list(feature).alias("xy")).alias("features"))).alias("json"))
+    cut = F.when(F.expr(BROKEN), F.expr("left(json, length(json) - 30)")).otherwise(F.col("json"))
+    D.write_files(files.select(F.concat(_file_name("_"), "phase", F.lit("_disaster.json")).alias("name"), cut.alias("content")), folder)
+    good = J.buildings_only(J.read_labels(spark, folder, "post")).select(F.lit("feature").alias("kind"), F.col("tile_id").cast("long").alias("tile_id"), "uid", "subtype")
+    lost = J.label_rejects(spark, folder, "post").select(F.lit("reject").alias("kind"), J.file_key(F.col("path"))[1].cast("long").alias("tile_id"), *[F.lit(None).cast("string").alias(c) for c in ("uid", "subtype")])
+    return good.unionByName(lost)
+
+
+PIXELS = "px AS (SELECT p_partkey AS k, i // 16 AS y, i % 16 AS x, c FROM part, (SELECT unnest(range(256)) AS i), (SELECT unnest(range(3)) AS c))"
+
+
+@query(f"""WITH {PIXELS}, v AS (SELECT k, c, ({VALUE}) / 255e0 AS v FROM px) SELECT k AS raster_id, CASE c WHEN 0 THEN 'B' WHEN 1 THEN 'G' ELSE 'R' END AS channel, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS stdv FROM v GROUP BY k, c""")
+def raster_statistics(spark, d):
+    """Mean and deviation of every channel of every image, from whole-number partials of its bytes."""
+    images = _rasters(spark, d).filter("kind = 'image'")
+    return rounded(I.combine_partials(I.channel_partials(images, "raster_id"), "raster_id"), "mean", "stdv")
+
+
+#: Augmentations that have an exact form: flips, shifts by whole pixels, quarter turns.
+MOVES = "k % 2 = 0 AS flip_x, k % 3 = 0 AS flip_y, k % 7 - 3 AS dx, k % 5 - 2 AS dy, k % 4 AS turn"
+
+
+@query(f"""WITH r AS (SELECT p_partkey AS k FROM part), mo AS (SELECT k, {MOVES} FROM r),
+    px AS (SELECT k, i // 16 AS oy, i % 16 AS ox, mo.* EXCLUDE (k) FROM mo, (SELECT unnest(range(256)) AS i)),
+    ce AS (SELECT *, 2 * (CASE WHEN flip_y THEN 15 - oy ELSE oy END) - 15 - 2 * dy AS v, 2 * (CASE WHEN flip_x THEN 15 - ox ELSE ox END) - 15 - 2 * dx AS u FROM px),
+    so AS (SELECT k, oy, ox, (CASE turn WHEN 0 THEN v WHEN 1 THEN -u WHEN 2 THEN -v ELSE u END + 15) // 2 AS y, (CASE turn WHEN 0 THEN u WHEN 1 THEN v WHEN 2 THEN -u ELSE -v END + 15) // 2 AS x FROM ce),
+    va AS (SELECT k, oy, ox, kind, c, CASE WHEN y < 0 OR y > 15 OR x < 0 OR x > 15 THEN 0 WHEN kind = 'mask' THEN 1 + k % 4 ELSE {VALUE} END AS value
+        FROM so, (SELECT unnest(['image', 'image', 'image', 'mask']) AS kind, unnest([0, 1, 2, 0]) AS c))
+    SELECT k AS raster_id, kind, CAST(c AS INT) AS channel, CAST(sum(value) AS BIGINT) AS total, CAST(sum(value * (oy * 16 + ox + 1)) AS BIGINT) AS places FROM va GROUP BY ALL""")
+def moved_rasters(spark, d):
+    """Images and masks moved by one set of parameters each; masks hold no label that they didn't have."""
+    rasters = _rasters(spark, d)
+    still = {"pad": "0", "angle": "turn * 90.0D", "shift_x": "dx / 16.0D", "shift_y": "dy / 16.0D", "scale": "1.0D", "flip_x": "flip_x", "flip_y": "flip_y"}
+    params = rasters.filter("kind = 'mask'").selectExpr("raster_id AS k").selectExpr("k", *_columns(MOVES)).selectExpr("k AS raster_id", *[f"{e} AS {n}" for n, e in still.items()])
+    return _channel_sums(P.augment_geometry(rasters, params, "raster_id"))
+
+
+def _channel_sums(rasters):
+    values = rasters.select("raster_id", "kind", "channels", F.posexplode(F.regexp_extract_all(F.hex("data"), F.lit("[0-9A-F]{2}"), F.lit(0))).alias("at", "b"))
+    value = F.conv("b", 16, 10).cast("long")
+    return values.groupBy("raster_id", "kind", (F.col("at") % F.col("channels")).alias("channel")).agg(
+        F.sum(value).alias("total"), F.sum(value * (F.expr("at div channels") + 1)).alias("places"))
+
+
+FLAT = "(k * 37 + 11) % 256 AS r, (k * 53 + 7) % 256 AS g, (k * 71 + 3) % 256 AS b"
+UK = lambda name: f"CAST({_pick(0, '1000001', repr(name), 'k')} AS DOUBLE) / 1000000"
+
 
-    rows = V.scores(spark, d).select("px_id", F.col("gt").cast("double").alias("label"), array_to_vector("logits").alias("features"))
-    return E.grid_search(rows, lambda p: LogisticRegression(maxIter=10, **p), [{"regParam": 0.0}, {"regParam": 0.1}], 2, ["px_id"])
+@query(f"""WITH p AS (SELECT k, r, g, b, {UK('saturation')} * 0.8e0 + 0.6e0 AS sat, {UK('contrast')} * 0.5e0 + 0.75e0 AS con, {UK('brightness')} * 0.5e0 + 0.75e0 AS bri FROM (SELECT k, {FLAT} FROM (SELECT p_partkey AS k FROM part))),
+    m AS (SELECT *, (r * bri + g * bri + b * bri) / 3 AS m FROM p), v AS (SELECT k, m, sat, con, unnest([0, 1, 2]) AS channel, unnest([r, g, b]) * bri AS v FROM m)
+    SELECT k AS raster_id, channel, CAST(256 * greatest(0, least(255, round_even(m + ((v - m) * con + m - m) * sat, 0))) AS BIGINT) AS total FROM v""")
+def coloured_rasters(spark, d):
+    """Brightness, contrast, saturation and hue, in this order, on pictures of one colour; hue stays, since it has no short form in SQL."""
+    three = F.hex(F.col("r").cast("long")), F.hex(F.col("g").cast("long")), F.hex(F.col("b").cast("long"))
+    flat = spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey AS k").selectExpr("k", *_columns(FLAT)).select(
+        F.col("k").alias("raster_id"), F.lit("image").alias("kind"), F.lit(16).alias("height"), F.lit(16).alias("width"), F.lit(3).alias("channels"),
+        F.unhex(F.repeat(F.concat(*[F.lpad(h, 2, "0") for h in three]), 256)).alias("data"))
+    params = P.augmentation_params(flat.select("raster_id"), "raster_id").withColumn("hue", F.lit(0.0))
+    return _channel_sums(P.augment_color(flat, params, "raster_id")).select("raster_id", "channel", "total")

@@ -21,12 +21,23 @@ def explode_features(labels: DataFrame, *keys: str) -> DataFrame:
     return labels.select(*keys, F.explode("features.xy").alias("f")).select(*keys, "f.wkt", "f.properties.feature_type", "f.properties.subtype", "f.properties.uid")
 
 
-def read_labels(spark: SparkSession, path: str, phase: str | None = None) -> DataFrame:
-    """``dis_id, tile_id, phase, wkt, feature_type, subtype, uid`` of all label files under ``path``; ``phase`` reads only its files."""
+def _files(spark: SparkSession, path: str, phase: str | None) -> DataFrame:
+    """One row a file; ``broken`` holds what isn't whole JSON of the right shape. Names of other phases are never opened."""
     glob = f"*_{phase}_disaster.json" if phase else "*_disaster.json"
-    raw = spark.read.schema(LABEL_SCHEMA).option("multiLine", True).option("pathGlobFilter", glob).json(path)
+    reader = spark.read.schema(f"{LABEL_SCHEMA}, broken string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken")
+    raw = reader.option("pathGlobFilter", glob).json(path)
     dis, tile, when = file_key(F.col("_metadata.file_path"))
-    return explode_features(raw.select("features", dis.alias("dis_id"), tile.alias("tile_id"), when.alias("phase")), "dis_id", "tile_id", "phase")
+    return raw.select("features", "broken", dis.alias("dis_id"), tile.alias("tile_id"), when.alias("phase"), F.col("_metadata.file_path").alias("path"))
+
+
+def read_labels(spark: SparkSession, path: str, phase: str | None = None) -> DataFrame:
+    """``dis_id, tile_id, phase, wkt, feature_type, subtype, uid`` of all label files under ``path``; ``phase`` reads only its files. See ``label_rejects``."""
+    return explode_features(_files(spark, path, phase).filter("broken IS NULL"), "dis_id", "tile_id", "phase")
+
+
+def label_rejects(spark: SparkSession, path: str, phase: str | None = None) -> DataFrame:
+    """``path`` of label files that can't be read: cut short, no JSON, or without features."""
+    return _files(spark, path, phase).filter("broken IS NOT NULL OR features.xy IS NULL").select("path")
 
 
 def parse_labels(rows: DataFrame, column: str, *keys: str) -> DataFrame:
