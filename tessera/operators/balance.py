@@ -103,9 +103,10 @@ def balance_step(counts: DataFrame, minority: str, seed: int = 0, block: int = 4
     the class and those replaced at the clone's rate. A disaster without a building of the class has no host. Candidates
     are made and summed ``block`` at a time, so that those of one disaster are spread over tasks.
     """
-    others = sum((F.col(f"`{k}`") for k in BUILDING_KEYS if k != minority), F.lit(0))
-    totals = counts.groupBy("dis_id").agg(*[F.sum(f"`{k}`").alias(k) for k in BUILDING_KEYS])
-    deficit = totals.select("dis_id", (F.greatest(*[F.col(f"`{k}`") for k in BUILDING_KEYS]) - F.col(f"`{minority}`")).alias("deficit")).filter("deficit > 0")
+    classes = [k for k in BUILDING_KEYS if k in counts.columns]
+    others = sum((F.col(f"`{k}`") for k in classes if k != minority), F.lit(0))
+    totals = counts.groupBy("dis_id").agg(*[F.sum(f"`{k}`").alias(k) for k in classes])
+    deficit = totals.select("dis_id", (F.greatest(*[F.col(f"`{k}`") for k in classes]) - F.col(f"`{minority}`")).alias("deficit")).filter("deficit > 0")
     host = counts.filter(F.col(f"`{minority}`") > 0).groupBy("dis_id").agg(
         F.min(F.struct(hash_rank(seed, "dis_id", "tile_id").alias("h"), F.col("tile_id"), F.col(f"`{minority}`").alias("own"), others.alias("others"))).alias("host"))
     # At the least rate a clone gains own + bround(others / 2), which is one building at least: so many clones always reach the deficit.

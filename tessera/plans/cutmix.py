@@ -23,7 +23,7 @@ def placements(pairs: DataFrame) -> DataFrame:
     """Where and how each donor goes: ``raster_id, seq, donor, x, y, width, height, angle``.
 
     ``pairs`` has ``raster_id, seq, donor, donor_ring, host_ring``. A donor is scaled to the box of the building that it covers and turned from its own
-    direction into that one's; the box starts at the whole part of its corner.
+    direction into that one's, to a thousandth of a degree, so that what needs no turn gets none; the box starts at the whole part of its corner.
     """
     box = lambda ring, f: F.struct(*[
         f(end(F.transform(ring, lambda v: v[axis]))).cast("int").alias(name)
@@ -31,7 +31,7 @@ def placements(pairs: DataFrame) -> DataFrame:
     d, h = F.col("donor_ring"), F.col("host_ring")
     size = scale_to_box(box(d, F.bround), box(h, F.bround))
     turn = rotation_angle(orientation_vector(d, box(d, F.bround)), orientation_vector(h, box(h, F.bround)))
-    return pairs.withColumns({"_s": size, "_b": box(h, lambda c: c), "angle": F.coalesce(turn, F.lit(0.0))}).select(
+    return pairs.withColumns({"_s": size, "_b": box(h, lambda c: c), "angle": F.round(F.coalesce(turn, F.lit(0.0)), 3)}).select(
         "raster_id", "seq", F.col("donor").cast("string").alias("donor"), F.col("_b.x1").alias("x"), F.col("_b.y1").alias("y"), "_s.width", "_s.height", "angle")
 
 

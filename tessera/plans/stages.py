@@ -17,6 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: What a session numbers anew each time it makes the same plan: columns, variables of lambdas, objects.
+_NUMBERS = re.compile(r"(_\d+)?#\d+L?|@[0-9a-f]+|(?<=lambda )\w+")
+
+
 @dataclasses.dataclass(frozen=True)
 class Stage:
     """``run(tables, params)``, where ``tables`` holds the results of the stages and inputs named in ``reads``. Another meaning of a stage needs another ``version``."""
@@ -31,7 +35,7 @@ class Stage:
 def fingerprint(df: DataFrame) -> str:
     """What a table is made from: its plan, and path, size and time of every file it reads. A table without files is hashed row by row."""
     spark, files = df.sparkSession, df.inputFiles()
-    plan = re.sub(r"#\d+L?", "", df._jdf.queryExecution().analyzed().toString())
+    plan = _NUMBERS.sub("", df._jdf.queryExecution().analyzed().toString())
     if not files:
         n, low, high = df.select(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns]).alias("h")).agg(
             F.count("*"), F.sum(F.col("h").bitwiseAND(0xFFFFFFFF)), F.sum(F.shiftrightunsigned("h", 32))).first()

@@ -10,6 +10,7 @@ from tessera.operators import balance as B
 from tessera.plans import queries as Q
 
 CLASSES = ("no-damage", "minor-damage", "major-damage", "destroyed")
+EVERY = (*CLASSES, "un-classified")
 
 
 def digest(*parts) -> str:
@@ -21,7 +22,7 @@ def clones(tiles: list[tuple], minority: str) -> list[tuple]:
     out, at = [], 2 + CLASSES.index(minority)
     for dis in sorted({t[0] for t in tiles}):
         own_tiles = [t for t in tiles if t[0] == dis]
-        totals = [sum(t[2 + i] for t in own_tiles) for i in range(4)]
+        totals = [sum(t[2 + i] for t in own_tiles) for i in range(len(own_tiles[0]) - 2)]
         deficit, gained, clone = max(totals) - totals[at - 2], 0, 0
         holders = [t for t in own_tiles if t[at] > 0]
         if not holders:
@@ -55,22 +56,25 @@ def test_every_deficit_is_reached(spark, options):
 
 
 def test_query_is_the_definition(spark, data_dir):
-    tiles = [(r.dis_id, r.tile_id, *(r[c] for c in CLASSES)) for r in Q.counts(spark, data_dir).collect()]
+    tiles = [(r.dis_id, r.tile_id, *(r[c] for c in EVERY)) for r in Q.counts(spark, data_dir).collect()]
     rows = Q.QUERIES["balance_clones"](spark, data_dir).collect()
     assert sorted((r.dis_id, r.clone, r.gain, r.gained, r.deficit, r.tile_id) for r in rows) == clones(tiles, "destroyed")
 
 
 def test_classes_are_balanced_in_turn(spark):
-    sizes = {"a": (700, 90, 40, 3), "b": (5, 5, 5, 5), "c": (12_000, 1, 0, 20)}
-    rows = [(d, i % 7 if c else i % 50, i * 4 + c, CLASSES[c]) for d, ns in sizes.items() for c, n in enumerate(ns) for i in range(n)]
+    sizes = {"a": (700, 90, 40, 3, 0), "b": (5, 5, 5, 5, 2), "c": (12_000, 1, 0, 20, 3), "d": (9, 4, 2, 1, 60), "e": (9, 4, 2, 1, 5)}
+    rows = [(d, i % 7 if c else i % 50, i * 5 + c, EVERY[c]) for d, ns in sizes.items() for c, n in enumerate(ns) for i in range(n)]
     buildings = spark.createDataFrame(rows, "dis_id string, tile_id long, obj long, label string")
-    plan = B.balance_plan(buildings, block=500).collect()
+    empty = {"e": 80}
+    tiles = buildings.select("dis_id", "tile_id").unionByName(spark.createDataFrame([("e", 1000 + i) for i in range(empty["e"])], "dis_id string, tile_id long"))
+    plan = B.balance_plan(buildings, block=500, tiles=tiles).collect()
     at = {}
     for d, t, o, c in rows:
         at.setdefault((d, t), []).append((o, c))
     for d, ns in sizes.items():
-        totals, target = dict(zip(CLASSES, ns, strict=True)), max(ns)
-        for place, label in enumerate(sorted((c for c in CLASSES if totals[c]), key=lambda c: (dict(zip(CLASSES, ns, strict=True))[c], c)), 1):
+        first = dict(zip(EVERY, ns, strict=True))
+        totals, target = dict(first), max(*ns, empty.get(d, 0))
+        for place, label in enumerate(sorted((c for c in CLASSES if totals[c]), key=lambda c: (first[c], c)), 1):
             clones = sorted((r for r in plan if r.dis_id == d and r.label == label), key=lambda r: r.clone)
             assert (not clones) == (totals[label] >= target) and all(r.place == place for r in clones)
             for i, r in enumerate(clones, 1):
@@ -83,3 +87,4 @@ def test_classes_are_balanced_in_turn(spark):
                 for _, _, c in others[r.replaced :]:
                     totals[c] += 1
             assert totals[label] >= target
+    assert not any(r.label == "un-classified" for r in plan)

@@ -214,7 +214,7 @@ def test_rasters(spark, tmp_path):
     assert (grid == mask[:, :, 0]).all()
 
 
-def test_augmentation_and_pasting(spark):
+def test_augmentation(spark):
     grid = np.arange(64, dtype=np.uint8).reshape(8, 8, 1) % 5
     rows = spark.createDataFrame([("t", 8, 8, 1, bytearray(grid.tobytes()))], "raster_id string, height int, width int, channels int, data binary")
     still = dict(pad=0, angle=0.0, shift_x=0.0, shift_y=0.0, scale=1.0, flip_x=True, flip_y=False)
@@ -223,10 +223,6 @@ def test_augmentation_and_pasting(spark):
     assert (np.frombuffer(turned.data, np.uint8).reshape(8, 8) == grid[:, ::-1, 0]).all()
     colours = P.augment_color(rows, P.augmentation_params(rows, "raster_id"), "raster_id").first()
     assert bytes(colours.data) == grid.tobytes()
-    plan = spark.createDataFrame([("t", "d", 0, 0, 2, 2, 4, 4, 6, 6, 0.0, 1)], "raster_id string, donor_id string, dx1 int, dy1 int, dx2 int, dy2 int, x1 int, y1 int, x2 int, y2 int, angle double, seq int")
-    donor = rows.select(F.lit("d").alias("raster_id"), "height", "width", "channels", F.lit(bytearray([9] * 64)).alias("data"))
-    out = np.frombuffer(P.composite(rows, plan, donor).first().data, np.uint8).reshape(8, 8)
-    assert (out[4:6, 4:6] == 9).all() and (np.delete(out.ravel(), [36, 37, 44, 45]) == np.delete(grid.ravel(), [36, 37, 44, 45])).all()
 
 
 def test_metric_files(spark, tmp_path):
@@ -250,17 +246,15 @@ def test_writing_again_replaces_an_epoch(spark, tmp_path):
     assert tables.read_splits(spark, str(tmp_path / "splits")).first().tile_id == "007"
 
 
-def test_prepare_and_search(spark, data_dir):
-    masks = R.rectangle_runs(views.polygons(spark, data_dir)).select("tile_id", "y", "x0", "x1", "label")
-    out = P.prepare(views.buildings(spark, data_dir), R.overlay(R.rectangle_runs(views.polygons(spark, data_dir))), {"train": 0.8, "val": 0.1, "test": 0.1}, 64, 64)
-    assert out["splits"].count() == out["counts"].count() and out["weights"].count() == 7 and out["patches"].count() > 0 and masks.count() > 0
+def test_search_with_an_estimator_of_spark(spark):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
     df = spark.range(120).select("id", (F.col("id") % 2).cast("double").alias("label"), (F.col("id") % 2 * 3.0).alias("x"))
     df = VectorAssembler(inputCols=["x"], outputCol="features").transform(df)
-    found = E.grid_search(df, lambda p: LogisticRegression(**p), [{"maxIter": 5}], 2, ["id"]).collect()
-    assert [(r.conf, r.fold) for r in found] == [(0, 0), (0, 1)] and all(r.hf1 > 0.99 for r in found)
+    found = E.grid_search(df, lambda p, classes: LogisticRegression(weightCol="weight", **p), [{"maxIter": 5}, {"maxIter": 1, "threshold": 1.0}], 2, ["id"]).collect()
+    assert sorted((r.conf, r.fold, r.chosen) for r in found) == [(0, 0, True), (0, 1, True), (1, 0, False), (1, 1, False)]
+    assert all((r.hf1 > 0.99) == r.chosen for r in found)
 
 
 def test_confusion_of_a_stream(spark, data_dir, tmp_path):
