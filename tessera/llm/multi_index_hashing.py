@@ -17,7 +17,8 @@ that a frequent value makes larger is dealt on by a hash of the row. A row goes
 many queries there are. A query goes to the parts whose leading bits are near enough to its own, streams past the rows that wait there and probes
 their occupied buckets; a row that an earlier table's probe reaches is left to that one. The query knows the score of its ``k``-th best
 in the sample: what is retrieved and scores less can't be among its ``k`` best, so a part returns little. A query
-that found too few within the radius is searched again with no radius, in the parts of one table.
+that found too few looks within a radius wider by each of ``STEPS`` bits in turn, and only after the last one with no radius, in the parts of one table;
+``radius`` in the result says which one answered.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose
 number of components isn't the most frequent one, nor rows without an id. Rows that repeat an id are candidates of each other. Equal scores
@@ -38,6 +39,7 @@ from pyspark.sql import functions as F
 from tessera.llm._common import materialize, seeded_order, table
 
 SUB = 16
+STEPS = (0, 4, 12, 28)
 RESULT = "query_row long, query_id long, row long, vec_id long, score double"
 _PART = ["t", "prefix", "salt", "slice"]
 
@@ -240,7 +242,7 @@ def nearest(
     block: int = 8_192,
     query_block: int = 1 << 20,
 ) -> DataFrame:
-    """``query_id, rank, vec_id, score``: each query row's nearest other rows.
+    """``query_id, rank, vec_id, score, radius``: each query row's nearest other rows, and the Hamming radius within which they were looked for.
 
     More queries than ``query_block`` are dealt out, for the sake of parallel work; only then does a row go to a part more than once.
     """
@@ -286,13 +288,17 @@ def nearest(
     def ranked(found: DataFrame) -> DataFrame:
         return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
-    queries = coded.filter("is_query")
-    found = materialize(ranked(search(queries, radius)), "nearest")
-    enough = found.groupBy("query_row").agg(F.count("*").alias("n")).filter(F.col("n") >= min(k, max(total - 1, 0))).select("query_row")
-    short = materialize(queries.join(enough, F.col("row") == F.col("query_row"), "left_anti"), "short")
-    if short.count():
-        found = found.join(enough, "query_row", "left_semi").unionByName(ranked(search(short, bits)))
-    return found.select("query_id", "rank", "vec_id", "score")
+    # Queries that find too few look further, a step at a time; only where no step is enough do they look at every row.
+    wanted, found, left = min(k, max(total - 1, 0)), None, coded.filter("is_query")
+    for within in [*(r for r in (radius + step for step in STEPS) if r < bits), bits]:
+        near = materialize(ranked(search(left, within)).withColumn("radius", F.lit(within)), "nearest")
+        enough = near.groupBy("query_row").agg(F.count("*").alias("n")).filter(F.col("n") >= wanted).select("query_row")
+        done = near if within == bits else near.join(enough, "query_row", "left_semi")
+        found = done if found is None else found.unionByName(done)
+        left = materialize(left.join(enough, F.col("row") == F.col("query_row"), "left_anti"), "short")
+        if left.isEmpty():
+            break
+    return found.select("query_id", "rank", "vec_id", "score", "radius")
 
 
 def op5_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,8 @@ place there, by which the few texts that are verified are fetched from the docum
 
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing; with fewer than
 five words the whole sequence is the one shingle. Rows that repeat a ``doc_id`` are separate nodes. A null
-``doc_id`` is never smallest where another is there. An empty table gives an empty result.
+``doc_id`` is never smallest where another is there. Very long texts are read in stretches; a text takes its distinct shingles (8 bytes each), twice over while they are
+sorted, beside its bytes. An empty table gives an empty result. Columns beside id and text never matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import materialize, row_key, scan_of, steps, table, without
 from tessera.llm.components import components
+from tessera.llm.words import ODD, mix, text_bytes, words
 
 WORDS = 5
 PERCENT = 85
@@ -47,50 +49,33 @@ BATCH = 32
 MISS = 1e-5
 BLOCK = 256
 
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_IN_WORD = np.array([not (c == 32 or 9 <= c <= 13) for c in range(256)])
-_ODD = np.uint64(0x9E3779B97F4A7C15)
 _WEIGHTS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, (n - 1).bit_length())
-    return _power_tables(size)
-
-
-@functools.lru_cache(maxsize=2)
-def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
-    def table_of(base: int) -> np.ndarray:
-        factors = np.full(size, base, np.uint64)
-        factors[0] = 1
-        with np.errstate(over="ignore"):
-            return np.multiply.accumulate(factors)
-
-    return table_of(int(_ODD)), table_of(pow(int(_ODD), -1, 1 << 64))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def shingles(raw: np.ndarray) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of the shingles of a text's bytes, which are read in stretches: the last words of one are the first of the next."""
+    found, last = [], np.empty(0, np.uint64)
+    with np.errstate(over="ignore"):
+        for own, _, _ in words(raw):
+            hashes = np.concatenate([last, own])
+            n = len(hashes) - WORDS + 1
+            if n < 1:
+                last = hashes
+                continue
+            found.append(_joined(hashes, n, WORDS))
+            if len(found) > 64:
+                found = [np.unique(np.concatenate(found))]
+            last = hashes[n:]
+        if not found and len(last):
+            found.append(_joined(last, 1, len(last)))
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").translate(_LOWER), np.uint8)
-    edges = np.diff(_IN_WORD[raw].astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    power, inverse = _powers(len(raw))
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], dtype=np.uint64)])
-        words = _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _ODD)
-        n = max(1, len(words) - WORDS + 1)
-        whole = np.full(n, min(len(words), WORDS), np.uint64)
-        for i in range(min(len(words), WORDS)):
-            whole = _mix(whole + words[i : i + n] * _WEIGHTS[i])
-    return np.unique(whole)
+def _joined(hashes: np.ndarray, n: int, width: int) -> np.ndarray:
+    whole = np.full(n, width, np.uint64)
+    for i in range(width):
+        whole = mix(whole + hashes[i : i + n] * _WEIGHTS[i])
+    return whole
 
 
 @functools.lru_cache(maxsize=4)
@@ -112,10 +97,10 @@ def signature(hashes: np.ndarray, k: int) -> np.ndarray:
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A 64-bit key for each band; the band's number is part of it."""
     parts = sig.reshape(bands, rows).astype(np.uint64)
-    key = np.arange(1, bands + 1, dtype=np.uint64) * _ODD
+    key = np.arange(1, bands + 1, dtype=np.uint64) * ODD
     with np.errstate(over="ignore"):
         for r in range(rows):
-            key = _mix(key ^ (parts[:, r] * _WEIGHTS[r % len(_WEIGHTS)] + np.uint64(r)))
+            key = mix(key ^ (parts[:, r] * _WEIGHTS[r % len(_WEIGHTS)] + np.uint64(r)))
     return key.view(np.int64)
 
 
@@ -158,7 +143,7 @@ def _sign(bands: int, rows: int):
         for batch in batches:
             numbers, digests, sigs, keys = [], [], [], []
             for text in batch.columns[-1]:
-                own = shingles(text.as_py())
+                own = shingles(text_bytes(text))
                 numbers.append(len(own))
                 if len(own):
                     minima = signature(own, max(HASHES, bands * rows))
@@ -203,7 +188,7 @@ def _verify(percent: int):
             if row not in memo:
                 if len(memo) >= 64:
                     memo.pop(next(iter(memo)))
-                memo[row] = shingles(text.as_py())
+                memo[row] = shingles(text_bytes(text))
             return memo[row]
 
         for batch in batches:

@@ -10,11 +10,12 @@ import numpy as np
 
 from tessera.llm import near_dedup as N
 from tessera.llm.components import components
+from tessera.llm.words import _LOWER, of_text
 from tests.llm.conftest import TEXTS
 
 
 def shingle_set(text: str | None) -> set:
-    words = (text or "").encode().translate(N._LOWER).split()
+    words = (text or "").encode().translate(bytes(_LOWER)).split()
     if len(words) < 5:
         return {tuple(words)} if words else set()
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
@@ -65,7 +66,7 @@ def test_families_chains_and_strangers(spark):
 
 def test_hashes_tell_shingles_apart(spark, data_dir):
     for r in spark.read.parquet(f"{data_dir}/documents.parquet").limit(60).collect():
-        assert len(N.shingles(r.text)) == len(shingle_set(r.text))
+        assert len(N.shingles(of_text(r.text))) == len(shingle_set(r.text))
 
 
 def test_edge_cases(spark, edge_docs, no_docs):
@@ -113,3 +114,16 @@ def test_components_of_random_graphs(spark):
         parent[max(ra, rb)] = min(ra, rb)
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in parent if root(x) != x}
+
+
+def test_a_text_of_50_mb():
+    """Shingles of a long text are those of its parts, and take a bounded multiple of its distinct shingles."""
+    import tracemalloc
+
+    text = " ".join(f"w{i % 99_991}x{i % 7}" for i in range(5_700_000))[:50_000_000]
+    raw = of_text(text)
+    tracemalloc.start()
+    found = N.shingles(raw)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(raw) == 50_000_000 and 690_000 < len(found) < 710_000 and peak < 500_000_000
