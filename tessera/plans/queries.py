@@ -750,6 +750,22 @@ def rasterized_polygons(spark, d):
     return R.rasterize(polys, width=64, height=64).select("tile_id", "y", "x0", "x1", "label")
 
 
+#: A pixel is inside where an odd number of edges crosses its centre's line at or before the centre.
+COURTS = f"""edge AS (SELECT obj, unnest([{", ".join(
+        f"{{'xa': {a}, 'ya': {b}, 'xb': {c}, 'yb': {e}}}" for r in V.COURT for (a, b), (c, e) in zip(r, (*r[1:], r[0]), strict=True))}], recursive := true) FROM poly),
+    near AS (SELECT tile_id, obj, label, y, unnest(range(x0, least(x1 + 6, 64))) AS x FROM (SELECT *, unnest(range(y0, least(y1 + 7, 64))) AS y FROM poly)),
+    inside AS (SELECT tile_id, n.obj, label, y, x FROM near n JOIN edge e ON n.obj = e.obj AND (ya <= y + 0.5) <> (yb <= y + 0.5)
+        AND xa + (CAST(y + 0.5 AS DOUBLE) - ya) * (xb - xa) / (yb - ya) <= x + 0.5 GROUP BY ALL HAVING count(*) % 2 = 1),
+    cm AS (SELECT * FROM (SELECT tile_id, y, x, arg_max(label, obj) AS label FROM inside GROUP BY ALL) WHERE label <> 5)"""
+
+
+@query(f"WITH {POLY}, {COURTS} {RUNS.replace('FROM gm)', 'FROM cm)')}")
+def rasterized_courts(spark, d):
+    """Slanted polygons with holes, cut off at the edges of their tiles."""
+    polys = V.with_court_wkt(V.polygons(spark, d)).withColumn("rings", G.wkt_rings(F.col("wkt")))
+    return R.rasterize(polys, width=64, height=64).select("tile_id", "y", "x0", "x1", "label")
+
+
 AREA_COUNTS = f"""pc AS (SELECT t.tile_id, 4096 - count(label) AS n_0, {", ".join(f"count(*) FILTER (label = {c}) AS n_{c}" for c in range(1, 6))}
     FROM ({V.TILES_SQL}) t LEFT JOIN gm ON gm.tile_id = t.tile_id GROUP BY t.tile_id)"""
 

@@ -72,6 +72,11 @@ PREDICTED = (
 )
 PREDICTED_SQL = f"SELECT {', '.join(PREDICTED)} FROM ({POLYGONS_SQL}) v WHERE obj % 11 <> 0"
 WKT = "concat('POLYGON ((', x0, ' ', y0, ', ', x1, ' ', y0, ', ', x1, ' ', y1, ', ', x0, ' ', y1, ', ', x0, ' ', y0, '))') AS wkt"
+#: Courts: a slanted outline around a triangular hole. Some hang over the edge of their tile.
+COURT = (
+    (("x0", "y0"), ("x1 + 5", "y0 + 1"), ("x1 + 3", "y1 + 6"), ("x0 + 1", "y1 + 4")),
+    (("x0 + 2", "y0 + 2"), ("x1 + 2", "y0 + 3"), ("x0 + 3", "y1 + 3")),
+)
 TILE_SIDE = 64
 
 
@@ -122,3 +127,8 @@ def predicted_polygons(spark: SparkSession, d: str) -> DataFrame:
 
 def with_wkt(polys: DataFrame) -> DataFrame:
     return polys.selectExpr("*", WKT)
+
+
+def with_court_wkt(polys: DataFrame) -> DataFrame:
+    ring = lambda r: ", ', ', ".join(f"{x}, ' ', {y}" for x, y in (*r, r[0]))
+    return polys.selectExpr("*", f"concat('POLYGON ((', {", '), (', ".join(map(ring, COURT))}, '))') AS wkt")
