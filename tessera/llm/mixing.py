@@ -20,7 +20,7 @@ the others. That is min(cap, level * weight) for the level at which the targets
 
 Defined cases: null text has no words; a source without words has target 0; documents without words are
 not taken; rows that repeat an id, or have none, are served one by one, in order of their texts' hashes; an empty table
-gives an empty result.
+gives an empty result. A very long text is counted and hashed where it stands, whole. Columns beside id, text and source never matter, whatever their names.
 """
 
 from __future__ import annotations

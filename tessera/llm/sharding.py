@@ -14,7 +14,8 @@ Only id, source, size and CRC travel through the two shuffles, never texts.
 
 Defined cases: null text has no bytes (size 16, CRC 0); null sources are a source of their own, after
 all others; rows with one ``doc_id`` are told apart by their CRC and size, and rows that agree in all
-of these are interchangeable. Fewer rows than shards leave shards empty. No rows give no rows.
+of these are interchangeable. Fewer rows than shards leave shards empty. No rows give no rows. Of a very long text only its size
+and CRC are taken. Columns beside id, text and source never matter, whatever their names.
 """
 
 from __future__ import annotations
