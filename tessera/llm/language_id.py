@@ -18,7 +18,8 @@ Characters are lower-cased; all that are no letters count as one kind, and a run
 
 Defined cases: ``und`` with score 0 where the text is null or has no letter, or where nothing could be
 learned; repeated rows are judged one by one; an empty table gives an empty result. A row without an id is judged like
-any other, its ``held_out`` is null, and nothing is learned from it.
+any other, its ``held_out`` is null, and nothing is learned from it. A very long text is read whole, its phrases one
+after another, about 11 s a MB. Columns beside id, text and language never matter, whatever their names.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ Each row is coded by itself in Arrow batches: nothing is shuffled, and a worker
 model (half a megabyte) is read once by the driver and rides in the function.
 
 Defined cases: null text counts as empty, which has begin and end ids only and no spans; texts are coded
-whole, whatever their length; repeated rows are coded alike; an empty table gives an empty result.
+whole, whatever their length; repeated rows are coded alike; an empty table gives an empty result. One very long text
+takes about 50 bytes of Python memory for each of its bytes. Columns beside those asked for never matter, whatever their names.
 """
 
 from __future__ import annotations
