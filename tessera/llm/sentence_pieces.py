@@ -19,7 +19,10 @@ model (half a megabyte) is read once by the driver and rides in the function.
 
 Defined cases: null text counts as empty, which has begin and end ids only and no spans; texts are coded
 whole, whatever their length; repeated rows are coded alike; an empty table gives an empty result. One very long text
-takes about 50 bytes of Python memory for each of its bytes. Columns beside those asked for never matter, whatever their names.
+is coded in stretches, cut between two characters that stand together in no piece, so that no merge crosses a cut (white space
+after a word is such a place), and takes about three bytes of Python memory for each of its bytes. That needs a model whose map is
+empty and which keeps all white space, as the public one does; with others, and within a run of characters that pieces could join
+all along, it takes about 50. Columns beside those asked for never matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ import codecs
 import functools
 import hashlib
 import heapq
+import io
 import itertools
 import re
 from array import array
@@ -158,6 +162,9 @@ class Model:
         self.begin, self.end = named.get(b"<s>"), named.get(b"</s>")
         mark = SPACE.decode()
         self.by_word = not any(mark in p.lstrip(mark) for p in self.rank)
+        #: Characters that stand together in a piece, and whether a text can be coded in stretches cut between others.
+        self.joined = {pair for p in self.rank for pair in itertools.pairwise(p)}
+        self.by_stretch = not len(self.map.units) and self.escape and self.dummy_prefix and not self.remove_extra and mark in self.ids
         surface = [b"" if t == CONTROL else self.unk_surface if t == UNKNOWN else bytes([int(_BYTE_PIECE.fullmatch(p)[1], 16)]) if t == BYTE
                    else p.replace(SPACE, b" ") for p, t in zip(self.pieces, self.types, strict=True)]
         self.surface = surface
@@ -184,9 +191,9 @@ class Model:
         self.pair_rank, self.pair_id = (np.array([found[k][j] for k in self.pair_keys.tolist()] + [_NONE], np.int32) for j in range(2))
         self.piece_sizes = np.array(self.sizes, np.int64)
 
-    def normalize(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def normalize(self, data: np.ndarray, bounds: np.ndarray, begins: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Many texts, cut from ``data`` at ``bounds``: their normalised bytes, the byte of ``data`` that each stems from, the
-        bounds of the texts among them, and where in ``data`` what is left of each text ends."""
+        bounds of the texts among them, and where in ``data`` what is left of each text ends. The dummy prefix is for texts that ``begin`` there."""
         starts, widths, values = self.map.longest(data, np.repeat(bounds[1:], np.diff(bounds)))
         # Each byte makes one byte; the first byte of a match makes all that replaces it, and its others none.
         makes = np.ones(len(data), np.int64)
@@ -207,7 +214,7 @@ class Model:
             heads = heads[np.searchsorted(heads, bounds[:-1])]
             out, origin, stops, tails = self._without_extra(out, origin, stops, tails)
         mark = np.frombuffer(SPACE if self.escape else b" ", np.uint8)
-        if self.dummy_prefix:
+        if self.dummy_prefix and begins:
             some = np.flatnonzero((np.diff(stops) > 0) if self.remove_extra else (np.diff(bounds) > 0))
             at = np.repeat(stops[some], len(mark))
             out, origin = np.insert(out, at, np.tile(np.uint8(32), len(at))), np.insert(origin, at, np.repeat(heads[some], len(mark)))
@@ -336,7 +343,27 @@ class Model:
         """Ids of the pieces, and where each begins and ends in the bytes of ``text``."""
         return self.encode_batch(pa.array([text], pa.binary()))[:3]
 
-    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def stretches(self, text: bytes, size: int) -> Iterator[bytes]:
+        """``text`` in stretches of about ``size`` bytes, cut where no merge crosses."""
+        at = 0
+        while at < len(text):
+            cut = at + size
+            while cut < len(text) and self._may_join(text, cut):
+                cut += 1
+            yield text[at:cut]
+            at = cut
+
+    def _may_join(self, text: bytes, cut: int) -> bool:
+        """Whether a merge could cross ``cut``, or a character does."""
+        if text[cut] & 0xC0 == 0x80:
+            return True
+        before = cut - 1
+        while text[before] & 0xC0 == 0x80 and before > cut - 4:
+            before -= 1
+        pair = text[before : cut + 4].decode("utf-8", "ignore")[:2].replace(" ", SPACE.decode())
+        return len(pair) < 2 or tuple(pair) in self.joined
+
+    def encode_batch(self, texts: pa.Array, begins: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Many texts at once: ids, begins and ends of all pieces, and where each text's pieces start and stop.
 
         The normalised texts are cut into words, each distinct word is merged once, and what they stand for is gathered.
@@ -344,7 +371,7 @@ class Model:
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         bounds = np.append(0, np.cumsum(sizes))
         data = np.frombuffer(b"".join(pc.fill_null(texts, b"").to_pylist()), np.uint8)
-        norm, origin, stops, tails = self.normalize(data, bounds)
+        norm, origin, stops, tails = self.normalize(data, bounds, begins)
         cuts = self._word_starts(norm, stops)
         words = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(np.append(cuts, len(norm)).astype(np.int32)), pa.py_buffer(norm.tobytes())])
         coded = words.dictionary_encode()
@@ -489,7 +516,8 @@ def _code(blob: bytes, carry: list[str], spans: bool, tokens: bool, bytes_per_ba
         model = load(blob)
         for whole in batches:
             for batch in _bounded(whole, "text", bytes_per_batch):
-                yield code(model, batch)
+                long = len(batch) == 1 and model.by_stretch and (batch.column("text")[0].as_buffer() or b"").size > bytes_per_batch
+                yield code_long(model, batch) if long else code(model, batch)
         pa.default_memory_pool().release_unused()
 
     def code(model: Model, batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -515,6 +543,41 @@ def _code(blob: bytes, carry: list[str], spans: bool, tokens: bool, bytes_per_ba
         kept = {c: batch.column(c) for c in carry}
         return pa.RecordBatch.from_arrays([*kept.values(), *out.values()], [*kept, *out])
 
+    def code_long(model: Model, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """One text, a stretch at a time."""
+        ends_at = [np.array([x], "<u4") for x in (model.begin, model.end)]
+        n_tokens, n_bytes, sequence, places = 2, 0, hashlib.sha256(ends_at[0]), hashlib.sha256()
+        decoded, lists = io.BytesIO(), ([ends_at[0]], [], [])
+        mark = np.array([model.ids[SPACE.decode()]], "<u4")
+        for part in model.stretches(batch.column("text")[0].as_buffer().to_pybytes(), bytes_per_batch):
+            ids, begins, ends, _ = model.encode_batch(pa.array([part], pa.binary()), begins=not n_bytes)
+            sequence.update(np.ascontiguousarray(ids, "<u4"))
+            begins, ends = begins + n_bytes, ends + n_bytes
+            places.update(np.stack([begins, ends], axis=1).astype("<u4").ravel())
+            # The first piece of a later stretch begins no text: a mark that goes instead of the dummy prefix stands before it.
+            shown = np.append(mark, ids) if n_bytes else ids
+            decoded.write(model.decode_batch(shown, np.array([0, len(shown)]))[0].as_buffer())
+            for kept, new, asked in zip(lists, (ids, begins, ends), (tokens, spans, spans), strict=True):
+                if asked:
+                    kept.append(new)
+            n_tokens, n_bytes = n_tokens + len(ids), n_bytes + len(part)
+        sequence.update(ends_at[1])
+        lists[0].append(ends_at[1])
+        text = pa.py_buffer(decoded.getbuffer())
+        out = {
+            "n_tokens": pa.array([n_tokens], pa.int64()),
+            "n_bytes": pa.array([n_bytes], pa.int64()),
+            "ids_sha256": pa.array([sequence.hexdigest()], pa.string()),
+            "spans_sha256": pa.array([places.hexdigest()], pa.string()),
+            "decoded": pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, text.size], np.int32)), text]),
+        }
+        for name, kept, asked in zip(("ids", "begins", "ends"), lists, (tokens, spans, spans), strict=True):
+            if asked:
+                values = np.concatenate(kept)
+                out[name] = _lists(values, np.array([0, len(values)]))
+        taken = {c: batch.column(c) for c in carry}
+        return pa.RecordBatch.from_arrays([*taken.values(), *out.values()], [*taken, *out])
+
     return run
 
 
@@ -531,8 +594,8 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
 def _bounded(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about ``most`` bytes of text; a longer text comes alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
-    group = (np.cumsum(sizes) - sizes) // most
-    cuts = np.flatnonzero(np.diff(group)) + 1
+    group, long = (np.cumsum(sizes) - sizes) // most, sizes > most
+    cuts = np.flatnonzero((np.diff(group) != 0) | long[1:] | long[:-1]) + 1
     for lo, hi in itertools.pairwise([0, *cuts.tolist(), len(batch)]):
         if hi > lo:
             yield batch.slice(lo, hi - lo)
