@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.llm import language_id as L
@@ -33,6 +35,35 @@ def test_phrases_are_longest_matches():
         assert row.tolist() == [longest_first(norm(text), norm(sample[x])) for x in parser.langs]
 
 
+def test_stretches_are_one_reading():
+    rng = random.Random(6)
+    parser = L.Parser({x: "".join(rng.choice(f"ab {x}") for _ in range(60)) for x in "cde"})
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 200))) for letters in ("abcdez 1", "ab", "abc") for _ in range(100)]
+    # Periodic texts may never fall into step.
+    coded = [parser.encode(t) for t in [*texts, "ab" * 150, "a" * 300, "z" * 100, "abc" * 90, ""]]
+    want = parser.phrases(coded, stretch=10**6)
+    for stretch in (1, 2, 3, 7, 50):
+        assert (parser.phrases(coded, stretch) == want).all()
+
+
+def test_symbols_of_pieces_are_those_of_the_whole():
+    text = "Σας ΑΣ. 12 -- ÀB́c\u0130 " * 40
+    for chars in (1, 2, 7, 100):
+        assert np.concatenate(list(L._symbols(text, chars))).tolist() == L.symbols(text).tolist()
+    assert "".join(map(chr, L.symbols("ΑΣ. 12 --b"))) == "ας b"
+    assert not len(L.symbols(""))
+
+
+def test_a_very_long_text_takes_bounded_memory():
+    parser = L.Parser({"x": "the cat sat on the mat ", "y": "die katze lag auf der matte "})
+    text = "the cat and the rat, " * 480_000  # 10 MB
+    tracemalloc.start()
+    assert L._verdicts(parser, [text])[0] == ["x"]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(text)
+
+
 def test_held_out_accuracy(spark):
     rows = L.op10_cross_parsing_language(spark, "/root/testdata/sf0.01").collect()
     docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}

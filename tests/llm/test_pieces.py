@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,38 @@ def test_batches_are_what_single_texts_are(model, library, spark, data_dir):
             assert decoded[i].as_py() == library.decode(one[0].tolist())
 
 
+def coded(rows: pa.RecordBatch, size: int) -> list[dict]:
+    with open(S.public_model(), "rb") as f:
+        run = S._code(f.read(), ["doc_id"], True, True, size)
+    return [r for batch in run(iter([rows])) for r in batch.to_pylist()]
+
+
+def test_stretches_are_what_whole_texts_are(library):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abé 日\n▁👍 xyz  the of in") for _ in range(rng.randint(1, 120))) for _ in range(60)]
+    texts += ["a" * 90, " " * 40, "▁" * 40, "x " * 60, "日" * 50, None, ""]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    want = coded(rows, 10**9)
+    assert [r["ids"] for r in want] == [[1, *library.encode(t or ""), 2] for t in texts]
+    for size in (1, 5, 33):
+        assert coded(rows, size) == want
+
+
+def test_a_very_long_text_takes_bounded_memory(library):
+    text = "Some words, and others — in a row: 日本 👍. " * 200_000  # 10 MB
+    rows = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])
+    with open(S.public_model(), "rb") as f:
+        run = S._code(f.read(), ["doc_id"], False, False)
+    tracemalloc.start()
+    (batch,) = run(iter([rows]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(text.encode())
+    ids = [1, *library.encode(text), 2]
+    assert batch.column("ids_sha256")[0].as_py() == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    assert batch.column("decoded")[0].as_py() == text
+
+
 def test_decoding_any_ids(model, library):
     rng = random.Random(3)
     for _ in range(3000):
