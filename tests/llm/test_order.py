@@ -55,6 +55,17 @@ def test_exact_copies(edge_docs, no_docs):
     assert exact_dedup.exact_dedup(no_docs).count() == 0
 
 
+def test_exact_copies_with_repeated_and_null_ids(spark, tmp_path, same_rows):
+    """The query agrees with its SQL where rows share text and id, and where ids are null."""
+    rows = [(1, "a b"), (1, "a  b"), (1, "c"), (2, "a\tb"), (2, "c"), (3, None), (3, ""), (None, "a b"), (None, "d"), (None, "d")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = f"read_parquet('{tmp_path}/documents.parquet/*.parquet')"
+    for name, query in exact_dedup.QUERIES.items():
+        found = query(spark, str(tmp_path))
+        same_rows(found, exact_dedup.ORACLES[name].replace("FROM documents", f"FROM {docs}"))
+        assert [r.kept for r in found.collect() if r.doc_id == 1] == [True] * 3
+
+
 def test_kept_documents_keep_their_columns(edge_docs):
     kept = exact_dedup.drop_exact_copies(edge_docs)
     assert kept.columns == edge_docs.columns
