@@ -24,14 +24,14 @@ def overlap_pairs(gt_runs: DataFrame, pd_runs: DataFrame, keys=("tile_id",)) ->
     a = gt_runs.select(*row, F.col("obj").alias("gid"), F.col("x0").alias("a0"), F.col("x1").alias("a1"))
     b = pd_runs.select(*row, F.col("obj").alias("pid"), F.col("x0").alias("b0"), F.col("x1").alias("b1"))
     shared = F.least("a1", "b1") - F.greatest("a0", "b0")
-    return a.join(b, row).filter((F.col("a0") < F.col("b1")) & (F.col("b0") < F.col("a1"))).groupBy(*keys, "gid", "pid").agg(F.sum(shared).cast("long").alias("inter"))
+    return a.join(b.hint("merge"), row).filter((F.col("a0") < F.col("b1")) & (F.col("b0") < F.col("a1"))).groupBy(*keys, "gid", "pid").agg(F.sum(shared).cast("long").alias("inter"))
 
 
 def object_iou(gt_runs: DataFrame, pd_runs: DataFrame, keys=("tile_id",)) -> DataFrame:
     """Overlapping pairs with ``iou`` and both labels."""
     g = object_table(gt_runs, keys).select(*keys, F.col("obj").alias("gid"), F.col("label").alias("glabel"), F.col("area").alias("garea"))
     p = object_table(pd_runs, keys).select(*keys, F.col("obj").alias("pid"), F.col("label").alias("plabel"), F.col("area").alias("parea"))
-    joined = overlap_pairs(gt_runs, pd_runs, keys).join(g, [*keys, "gid"]).join(p, [*keys, "pid"])
+    joined = overlap_pairs(gt_runs, pd_runs, keys).join(g.hint("merge"), [*keys, "gid"]).join(p.hint("merge"), [*keys, "pid"])
     iou = F.col("inter") / (F.col("garea") + F.col("parea") - F.col("inter"))
     return joined.select(*keys, "gid", "pid", "inter", iou.alias("iou"), "glabel", "plabel")
 
@@ -54,7 +54,7 @@ def match_objects(pairs: DataFrame, threshold: float = 0.5, keys=("tile_id",)) -
 
 def unmatched(objects: DataFrame, matches: DataFrame, side: str, keys=("tile_id",)) -> DataFrame:
     """Objects without a match: ``side`` is ``gid`` (undetected) or ``pid`` (ghosts)."""
-    return objects.select(*keys, F.col("obj").alias(side), "label").join(matches.select(*keys, side), [*keys, side], "left_anti")
+    return objects.select(*keys, F.col("obj").alias(side), "label").join(matches.select(*keys, side).hint("merge"), [*keys, side], "left_anti")
 
 
 def object_confusion(gt: DataFrame, predicted: DataFrame, matches: DataFrame, keys=(), labels=range(1, 5)) -> DataFrame:

@@ -1,7 +1,9 @@
 """Masks as runs (tile, y, x0, x1, label): rasterising, overlaying, slicing, merging, components.
 
 A run is a stretch of one row of a tile, x1 exclusive; background has no runs. A tile is bounded, so what belongs
-to one may meet in one task; tiles are not, so everything is keyed by tile.
+to one may meet in one task; tiles are not, so everything is keyed by tile. Polygons are dealt by tile before they become runs,
+so runs are made where they are needed and shuffled no more. Joins of runs are merge joins by hint: the planner takes a table for as small as the
+one it was exploded from, and would send all runs through the driver.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ def scanlines(polygons: DataFrame, rings: str = "rings", keys=("tile_id",), widt
     ys = F.flatten(F.transform(F.col(rings), lambda ring: F.transform(ring, lambda v: v["y"])))
     first = F.greatest(F.floor(F.array_min(ys)), F.lit(0)).cast("int")
     last = F.least(F.ceil(F.array_max(ys)), F.lit(height)).cast("int") - 1
-    rows = polygons.select(*keys, "obj", "label", edges.alias("edges"), F.explode(F.when(first <= last, F.sequence(first, last))).alias("y"))
+    rows = polygons.repartition(*keys).select(*keys, "obj", "label", edges.alias("edges"), F.explode(F.when(first <= last, F.sequence(first, last))).alias("y"))
     line = F.col("y") + 0.5
     crossing = F.transform(
         F.filter("edges", lambda e: ((e["ya"] <= line) & (e["yb"] > line)) | ((e["yb"] <= line) & (e["ya"] > line))),
@@ -47,14 +49,20 @@ def scanlines(polygons: DataFrame, rings: str = "rings", keys=("tile_id",), widt
 def overlay(runs: DataFrame, keys=("tile_id",), order: str = "obj") -> DataFrame:
     """Runs without overlap: where several cover a pixel, the one greatest by ``order`` shows. Touching equals are joined.
 
-    Rows are cut at all starts and ends of runs; each piece takes its top cover. A row's runs number at most its width.
+    Rows are cut at all starts and ends of runs; each piece takes its top cover, and neighbours of one label are joined. A row's runs number at most its width,
+    so they meet as an array; rows of runs that are dealt by tile already are not shuffled.
     """
-    row = [*keys, "y"]
-    ends = runs.select(*row, F.explode(F.array("x0", "x1")).alias("a")).distinct()
-    pieces = ends.withColumn("b", F.lead("a").over(Window.partitionBy(*row).orderBy("a"))).filter(F.col("b").isNotNull())
-    covered = pieces.join(runs, row).filter((F.col("x0") <= F.col("a")) & (F.col("x1") >= F.col("b")))
-    shown = covered.groupBy(*row, "a", "b").agg(F.max_by("label", order).alias("label"))
-    return coalesce_runs(shown.select(*row, F.col("a").alias("x0"), F.col("b").alias("x1"), "label"), keys)
+    found = runs.groupBy(*keys, "y").agg(F.collect_list(F.struct(F.col(order).alias("order"), "label", "x0", "x1")).alias("found"))
+    ends = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda r: F.array(r["x0"], r["x1"])))))
+    cover = lambda a: F.array_max(F.filter("found", lambda r: (r["x0"] <= a) & (r["x1"] > a)))
+    tops = F.transform(F.transform(F.slice("cut", F.lit(1), F.size("cut") - 1), cover), lambda t: F.when(t.isNotNull(), F.struct(t["label"].alias("label"))))
+    # A run starts and ends where the label beside it is another one.
+    other = lambda top, i: top.isNotNull() & ~F.get("top", i).eqNullSafe(top)
+    starts = F.transform("top", lambda top, i: F.when(other(top, i - 1), F.struct(F.get("cut", i).alias("x0"), top["label"].alias("label"))))
+    stops = F.transform("top", lambda top, i: F.when(other(top, i + 1), F.get("cut", i + 1)))
+    cut = found.withColumn("cut", ends).withColumn("top", tops)
+    shown = cut.select(*keys, "y", F.inline(F.arrays_zip(F.array_compact(starts).alias("a"), F.array_compact(stops).alias("x1"))))
+    return shown.select(*keys, "y", "a.x0", "x1", "a.label")
 
 
 def coalesce_runs(runs: DataFrame, keys=("tile_id",)) -> DataFrame:
@@ -73,7 +81,7 @@ def rasterize(polygons: DataFrame, rings: str = "rings", keys=("tile_id",), widt
 
 def rectangle_runs(boxes: DataFrame, keys=("tile_id",)) -> DataFrame:
     """Runs of axis-parallel boxes, one for each row; quicker than scanlines where polygons are boxes."""
-    return boxes.select(*keys, "obj", "label", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y"), "x0", "x1")
+    return boxes.repartition(*keys).select(*keys, "obj", "label", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y"), "x0", "x1")
 
 
 def slice_tiles(runs: DataFrame, n: int = 4, width: int = 1024, height: int = 1024, keys=("tile_id",)) -> DataFrame:
@@ -225,13 +233,13 @@ def pixel_pairs(gt: DataFrame, pd_: DataFrame, area: int, tiles: DataFrame, keys
     a = gt.select(*row, F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("label").alias("gt"))
     b = pd_.select(*row, F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("label").alias("pred"))
     width = F.least("a1", "b1") - F.greatest("a0", "b0")
-    both = a.join(b, row).filter((F.col("a0") < F.col("b1")) & (F.col("b0") < F.col("a1"))).groupBy(*keys, "gt", "pred").agg(F.sum(width).cast("long").alias("n"))
+    both = a.join(b.hint("merge"), row).filter((F.col("a0") < F.col("b1")) & (F.col("b0") < F.col("a1"))).groupBy(*keys, "gt", "pred").agg(F.sum(width).cast("long").alias("n"))
     in_gt = a.groupBy(*keys, "gt").agg(F.sum(F.col("a1") - F.col("a0")).cast("long").alias("n"))
     in_pd = b.groupBy(*keys, "pred").agg(F.sum(F.col("b1") - F.col("b0")).cast("long").alias("n"))
     zero = lambda name: F.lit(0).alias(name)
     only_gt = in_gt.select(*keys, "gt", zero("pred"), "n").unionByName(both.select(*keys, "gt", zero("pred"), (-F.col("n")).alias("n")))
     only_pd = in_pd.select(*keys, zero("gt"), "pred", "n").unionByName(both.select(*keys, zero("gt"), "pred", (-F.col("n")).alias("n")))
     seen = both.unionByName(only_gt).unionByName(only_pd).groupBy(*keys, "gt", "pred").agg(F.sum("n").alias("n"))
-    rest = tiles.select(*keys).distinct().join(seen.groupBy(*keys).agg(F.sum("n").alias("_seen")), list(keys), "left").select(
+    rest = tiles.select(*keys).distinct().join(seen.groupBy(*keys).agg(F.sum("n").alias("_seen")).hint("merge"), list(keys), "left").select(
         *keys, zero("gt"), zero("pred"), (F.lit(area) - F.coalesce("_seen", F.lit(0))).cast("long").alias("n"))
     return seen.unionByName(rest).filter("n > 0")
