@@ -25,3 +25,10 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
+
+
+def parts_for(df: DataFrame, rows_per_part: int = 500_000) -> int:
+    """How many parts the rows of ``df``, a table as it is read, are dealt into, so that a task's share doesn't grow with the table. Counting such a table reads no columns."""
+    total = df.count()
+    usual = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (rows_per_part // 10)))
+    return max(1, usual, -(-total // rows_per_part))

@@ -99,22 +99,26 @@ def greedy_balance_order(
     numbered = with_group_position(counted, [*group, *classes], *keys, name="_nth", size="_copies")
     signatures = counted.groupBy(*group, *classes).agg(F.count("*").alias("_copies"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in signatures.drop("_copies").schema.fields]
-    together = signatures.repartition(*group) if group else signatures.coalesce(1)
+    # By number, or groups of few vectors would be put together into one task.
+    together = signatures.repartition(int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group) if group else signatures.coalesce(1)
     order = together.sortWithinPartitions(*group, *classes).mapInPandas(_chooser(group, classes, max_picks), ", ".join([*fields, "_nth long", "pos long"]))
-    return numbered.drop("_copies").join(order, [*group, *classes, "_nth"]).drop("_nth")
+    # The order has a row for each tile, though it comes from few vectors: by merging, or the planner would broadcast it.
+    return numbered.drop("_copies").join(order.hint("merge"), [*group, *classes, "_nth"]).drop("_nth")
 
 
 def _chooser(group: list[str], classes: list[str], max_picks: int | None, piece: int = 10_000):
     def choices(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         counts, left = rows[classes].to_numpy("int64"), rows["_copies"].to_numpy("int64").copy()
-        taken, total = left * 0, counts[:0].sum(axis=0)
+        taken, sums, scaled = left * 0, counts.sum(axis=1), counts * len(classes)
+        # The imbalance after each choice, less that of the totals so far, which is the same for all: a pick adds its products with the vectors.
+        cost = (scaled * counts).sum(axis=1) - sums * sums
         picks, chosen, nth = int(min(left.sum(), max_picks or left.sum())), [], []
         for at in range(picks):
-            after = counts + total
-            cost = len(classes) * (after * after).sum(axis=1) - after.sum(axis=1) ** 2
-            best = int(np.where(left > 0, cost, np.iinfo("int64").max).argmin())
-            total = total + counts[best]
+            best = int(cost.argmin())
+            cost += 2 * (scaled @ counts[best] - sums * sums[best])
             left[best] -= 1
+            if not left[best]:
+                cost[best] = 1 << 62  # used up; what later picks add is far less
             chosen.append(best)
             nth.append(taken[best])
             taken[best] += 1

@@ -62,8 +62,12 @@ def channel_stats(channels: DataFrame, keys=("tile_id", "phase", "channel"), ddo
 
 def split_by_presence(counts: DataFrame, labels=DAMAGE_KEYS) -> tuple[DataFrame, DataFrame]:
     """Tiles with buildings of the damage classes, and tiles without."""
-    total = sum((F.col(f"`{k}`") for k in labels), F.lit(0))
-    return counts.filter(total > 0), counts.filter(total == 0)
+    return counts.filter(presence(labels) == "damaged"), counts.filter(presence(labels) == "empty")
+
+
+def presence(labels=DAMAGE_KEYS) -> Column:
+    """``damaged`` for tiles with buildings of the damage classes, ``empty`` for the others."""
+    return F.when(sum((F.col(f"`{k}`") for k in labels), F.lit(0)) > 0, "damaged").otherwise("empty")
 
 
 def class_totals(buildings: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import parts_for
+
 PIXELS = (
     "l_orderkey AS tile_id",
     "CAST(l_quantity AS INT) % 5 AS gt",
@@ -88,14 +90,25 @@ def pixels(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "lineitem").selectExpr(*PIXELS)
 
 
-def buildings(spark: SparkSession, d: str) -> DataFrame:
-    lines = _table(spark, d, "lineitem").selectExpr("l_orderkey", f"{LABEL_OF_QUANTITY} AS label")
+def tile_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels dealt by tile, for what is counted by tile: as many parts as there are rows for, and no other shuffle after."""
+    px = pixels(spark, d)
+    return px.repartition(parts_for(px), "tile_id")
+
+
+def lines_of_tiles(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """``dis_id, tile_id`` and ``columns`` of each line, dealt by tile. Customers grow with the orders, so nothing is broadcast."""
+    lines = _table(spark, d, "lineitem").selectExpr("l_orderkey", *columns)
     orders = _table(spark, d, "orders").select("o_orderkey", "o_custkey")
     customers = _table(spark, d, "customer").select("c_custkey", "c_mktsegment")
-    return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .select(F.col("c_mktsegment").alias("dis_id"), F.col("o_orderkey").alias("tile_id"), "label")
-    )
+    parts = parts_for(lines)
+    placed = orders.join(customers.hint("merge"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_mktsegment").alias("dis_id")).repartition(parts, "o_orderkey")
+    joined = lines.repartition(parts, "l_orderkey").join(placed.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.withColumnRenamed("o_orderkey", "tile_id").drop("l_orderkey")
+
+
+def buildings(spark: SparkSession, d: str) -> DataFrame:
+    return lines_of_tiles(spark, d, f"{LABEL_OF_QUANTITY} AS label").select("dis_id", "tile_id", "label")
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
