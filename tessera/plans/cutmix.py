@@ -46,7 +46,7 @@ def cut_outs(donors: DataFrame, polygons: DataFrame) -> DataFrame:
     shapes = lines.groupBy("raster_id", "obj").agg(F.collect_list(F.array("y", "x0", "x1")).alias("runs")).groupBy("raster_id").agg(
         F.collect_list(F.struct("obj", "runs")).alias("shapes"))
 
-    return kinds.join(shapes, "raster_id").select("kind", "height", "width", "channels", "data", "shapes").mapInArrow(_cut, PIECE)
+    return kinds.join(shapes.hint("merge"), "raster_id").select("kind", "height", "width", "channels", "data", "shapes").mapInArrow(_cut, PIECE)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +86,7 @@ def composite(hosts: DataFrame, placed: DataFrame, pieces: DataFrame) -> DataFra
 
     Pieces are joined to places by donor, without hosts. Then a host and its pieces stream past, the host first: a task holds one raster at a time.
     """
-    pastes = placed.join(pieces.withColumnsRenamed({"height": "ph", "width": "pw", "channels": "pc"}), "donor")
+    pastes = placed.join(pieces.withColumnsRenamed({"height": "ph", "width": "pw", "channels": "pc"}).hint("merge"), "donor")
     first = hosts.select("raster_id", "kind", F.lit(None).cast("long").alias("seq"), F.struct(*[F.col(f"`{c}`") for c in hosts.columns]).alias("host"), F.lit(None).cast(f"struct<{_PASTE}>").alias("paste"))
     then = pastes.select("raster_id", "kind", F.col("seq").cast("long").alias("seq"), F.lit(None).cast(first.schema["host"].dataType).alias("host"), F.struct(*[c.split()[0] for c in _PASTE.split(", ")]).alias("paste"))
     together = first.unionByName(then).repartition("raster_id", "kind").sortWithinPartitions("raster_id", "kind", "seq")

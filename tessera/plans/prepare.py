@@ -121,7 +121,7 @@ def _source_grid(row, height: int, width: int) -> tuple[np.ndarray, np.ndarray,
 
 def augment_geometry(rasters: DataFrame, params: DataFrame, *keys: str) -> DataFrame:
     """Rasters (``keys, kind, height, width, channels, data``) moved by their tile's parameters; nearest pixel, so masks keep their labels."""
-    joined, columns = rasters.join(params, list(keys)), list(rasters.columns)
+    joined, columns = rasters.join(params.hint("merge"), list(keys)), list(rasters.columns)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -137,7 +137,7 @@ def augment_geometry(rasters: DataFrame, params: DataFrame, *keys: str) -> DataF
 
 def augment_color(rasters: DataFrame, params: DataFrame, *keys: str) -> DataFrame:
     """Brightness, contrast and saturation of images by their tile's parameters; masks pass unchanged."""
-    joined, columns = rasters.join(params, list(keys)), list(rasters.columns)
+    joined, columns = rasters.join(params.hint("merge"), list(keys)), list(rasters.columns)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

@@ -85,8 +85,7 @@ def label_codes(spark, d):
 @query(f"""WITH {COUNTS} SELECT dis_id, CASE WHEN "no-damage" + "minor-damage" + "major-damage" + "destroyed" > 0 THEN 'damaged' ELSE 'empty' END AS kind,
     count(*) AS tiles FROM cnt GROUP BY 1, 2""")
 def damaged_and_empty(spark, d):
-    damaged, empty = T.split_by_presence(counts(spark, d))
-    return damaged.select("dis_id", F.lit("damaged").alias("kind")).unionByName(empty.select("dis_id", F.lit("empty").alias("kind"))).groupBy("dis_id", "kind").agg(F.count("*").alias("tiles"))
+    return counts(spark, d).groupBy("dis_id", T.presence().alias("kind")).agg(F.count("*").alias("tiles"))
 
 
 @query(f"""WITH {BLD} SELECT dis_id, label, count(*) AS n, CAST(grouping(dis_id, label) AS INT) AS level FROM bld WHERE label IS NOT NULL
@@ -156,7 +155,7 @@ def confusion_one_vs_rest(spark, d):
 
 @query(f"WITH {PX} {OVR.format(k='tile_id, ')}")
 def confusion_by_tile(spark, d):
-    return M.confusion_ovr(V.pixels(spark, d), ["tile_id"])
+    return M.confusion_ovr(V.tile_pixels(spark, d), ["tile_id"])
 
 
 @query(f"""WITH {PX} SELECT gt, {", ".join(f"CAST(count(*) FILTER (pred = {c}) AS BIGINT) AS p{c}" for c in range(5))}, count(*) AS total FROM px GROUP BY ROLLUP (gt)""")
@@ -166,7 +165,7 @@ def confusion_multiclass(spark, d):
 
 @query(f"WITH {PX} {OVR.format(k='')}")
 def confusion_summed(spark, d):
-    return M.sum_confusion(M.confusion_ovr(V.pixels(spark, d), ["tile_id"]))
+    return M.sum_confusion(M.confusion_ovr(V.tile_pixels(spark, d), ["tile_id"]))
 
 
 @query(f"""WITH {PX}, o AS ({OVR.format(k='')}), {METRICS}
@@ -179,7 +178,7 @@ def pixel_metrics(spark, d):
 @query(f"""WITH {PX}, o AS ({OVR.format(k='tile_id, ')}), {METRICS}
     SELECT tile_id, class, round(f, 6) AS f1, round(count(*) OVER w / sum(1 / (f + 1e-10)) OVER w, 6) AS f1_harmonic_mean FROM f WINDOW w AS (PARTITION BY tile_id)""")
 def pixel_metrics_by_tile(spark, d):
-    found = M.eval_metrics(M.confusion_ovr(V.pixels(spark, d), ["tile_id"]), ["tile_id"])
+    found = M.eval_metrics(M.confusion_ovr(V.tile_pixels(spark, d), ["tile_id"]), ["tile_id"])
     return rounded(found.select("tile_id", "class", "f1", "f1_harmonic_mean"), "f1", "f1_harmonic_mean")
 
 
@@ -517,10 +516,8 @@ BO = f"""bo AS (SELECT c_mktsegment AS dis_id, o_orderkey AS tile_id, l_partkey
 
 
 def _objects(spark, d):
-    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
-    rows = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(read("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return rows.selectExpr("c_mktsegment AS dis_id", "o_orderkey AS tile_id", "l_partkey * 1000000 + l_suppkey * 1000 + l_linenumber AS obj", f"{V.LABEL_OF_QUANTITY} AS label").groupBy(
-        "dis_id", "tile_id", "obj").agg(F.min("label").alias("label"))
+    rows = V.lines_of_tiles(spark, d, "l_partkey * 1000000 + l_suppkey * 1000 + l_linenumber AS obj", f"{V.LABEL_OF_QUANTITY} AS label")
+    return rows.groupBy("dis_id", "tile_id", "obj").agg(F.min("label").alias("label"))
 
 
 def _pick(seed: int, n: str, *parts: str) -> str:
@@ -660,7 +657,7 @@ def splits_on_file(spark, d):
 @query(f"""WITH {CATALOG}, p AS (SELECT dis_id, tile_id, lpad(CAST(unnest(range(16)) AS VARCHAR), 3, '0') AS patch_id FROM (SELECT DISTINCT dis_id, tile_id FROM ca))
     SELECT dis_id, tile_id, patch_id, CASE WHEN patch_id < '012' THEN 'train' ELSE 'val' END AS split FROM p""")
 def patches_on_file(spark, d):
-    """Written by split and disaster; ids of patches and tiles come back with their zeros."""
+    """Written by split, disasters side by side; ids of patches and tiles come back with their zeros."""
     path = _folder(spark, "patches")
     rows = patch_manifest(spark, d).select(F.when(F.col("patch_id") < "012", "train").otherwise("val").alias("split"), "dis_id", "tile_id", "patch_id")
     W.write_patches(rows, path)
@@ -1006,9 +1003,10 @@ VALUE = "1 + (k * 7 + y * 16 + x + 31 * c) % 250"
 
 def _rasters(spark, d):
     k, size = F.col("raster_id"), IMAGE * IMAGE
-    bytes_of = lambda n, value: F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lpad(F.hex(value(i).cast("long")), 2, "0")), ""))
-    image = bytes_of(3 * size, lambda i: 1 + (k * 7 + F.floor(i / 3) + 31 * (i % 3)) % 250)
-    mask = bytes_of(size, lambda i: 1 + k % 4)
+    # Values go round by 250, so every image is a stretch of one strip of pixels, and every mask one of four labels.
+    strip = bytes(1 + (at + 31 * c) % 250 for at in range(250 + size) for c in range(3))
+    image = F.substring(F.lit(strip), (3 * ((k * 7) % 250) + 1).cast("int"), F.lit(3 * size))
+    mask = F.substring(F.lit(bytes(1 + label for label in range(4) for _ in range(size))), ((k % 4) * size + 1).cast("int"), F.lit(size))
     kinds = F.inline(F.array(F.struct(F.lit("image").alias("kind"), F.lit(3).alias("channels"), image.alias("data")), F.struct(F.lit("mask").alias("kind"), F.lit(1).alias("channels"), mask.alias("data"))))
     return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("raster_id"), F.lit(IMAGE).alias("height"), F.lit(IMAGE).alias("width")).select("*", kinds)
 
@@ -1158,10 +1156,9 @@ def mask_files(spark, d):
     tile = F.split("name", "_")[1].cast("long")
     cut = F.when(F.expr(BROKEN.replace("tile_id", "tile")), F.expr("substring(content, 1, 40)")).otherwise(F.col("content"))
     D.write_files(pictures.withColumn("tile", tile).withColumn("content", cut), folder)
-    runs = I.mask_runs(I.read_rasters(spark, folder), "tile_id").select(F.lit("run").alias("kind"), F.col("tile_id").cast("long").alias("tile_id"), "y", "x0", "x1", "label")
-    none = [F.lit(None).cast("int").alias(c) for c in ("y", "x0", "x1", "label")]
-    lost = I.raster_rejects(spark, folder).select(F.lit("reject").alias("kind"), J.file_key(F.col("path"))[1].cast("long").alias("tile_id"), *none)
-    return runs.unionByName(lost)
+    found = I.read_mask_runs(spark, folder)
+    run = F.col("y") >= 0
+    return found.select(F.when(run, "run").otherwise("reject").alias("kind"), J.file_key(F.col("path"))[1].cast("long").alias("tile_id"), *[F.when(run, F.col(c)).alias(c) for c in ("y", "x0", "x1", "label")])
 
 
 @query(f"""WITH {POLY}, f AS (SELECT tile_id, CAST(obj AS VARCHAR) AS uid, {V.LABEL_KEY} AS subtype FROM poly) SELECT 'feature' AS kind, tile_id, uid, subtype FROM f WHERE NOT {BROKEN}
@@ -1209,10 +1206,8 @@ def moved_rasters(spark, d):
 
 
 def _channel_sums(rasters):
-    values = rasters.select("raster_id", "kind", "channels", F.posexplode(F.regexp_extract_all(F.hex("data"), F.lit("[0-9A-F]{2}"), F.lit(0))).alias("at", "b"))
-    value = F.conv("b", 16, 10).cast("long")
-    return values.groupBy("raster_id", "kind", (F.col("at") % F.col("channels")).alias("channel")).agg(
-        F.sum(value).alias("total"), F.sum(value * (F.expr("at div channels") + 1)).alias("places"))
+    """Sums and sums by place of every channel, taken raster by raster where the bytes are."""
+    return I.placed_sums(rasters, "raster_id", "kind").groupBy("raster_id", "kind", "channel").agg(F.sum("total").alias("total"), F.sum("places").alias("places"))
 
 
 FLAT = "(k * 37 + 11) % 256 AS r, (k * 53 + 7) % 256 AS g, (k * 71 + 3) % 256 AS b"
