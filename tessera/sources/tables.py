@@ -18,8 +18,11 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_patches(patches: DataFrame, path: str) -> None:
-    """Patches by split and disaster; ids keep their leading zeros as strings."""
-    patches.write.mode("overwrite").partitionBy("split", "dis_id").parquet(path)
+    """Patches by split, in each the disasters in order, so that files hold ranges of them and a reader of one skips the others; ids keep their leading zeros as strings.
+
+    A folder for each disaster would be as many files as there are disasters, moved one by one when they are committed.
+    """
+    patches.repartitionByRange("split", "dis_id", "tile_id").sortWithinPartitions("split", "dis_id", "tile_id").write.mode("overwrite").partitionBy("split").parquet(path)
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
