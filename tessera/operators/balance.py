@@ -113,7 +113,7 @@ def balance_step(counts: DataFrame, minority: str, seed: int = 0, block: int = 4
     least = F.col("own") + F.bround(F.col("others") * F.lit(0.5)).cast("long")
     needed = host.join(deficit, "dis_id").select("dis_id", F.col("host.own").alias("own"), F.col("host.others").alias("others"), "deficit").withColumn(
         "most", F.ceil(F.col("deficit") / least))
-    blocks = needed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("most") - 1) / block)))).repartition("dis_id", "block")
+    blocks = needed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("most") - 1) / block)))).repartition(_parts(totals), "dis_id", "block")
     candidates = blocks.select("dis_id", "own", "others", F.explode(F.sequence(
         (F.col("block") * block + 1).cast("int"), F.least((F.col("block") + 1) * block, F.col("most")).cast("int"))).alias("clone"))
     rate = (5 + pick(seed, F.lit(5), F.lit("clone"), "dis_id", "clone")).cast("double") / 10
@@ -165,12 +165,17 @@ def balance_plan(buildings: DataFrame, seed: int = 0, block: int = 4096, tiles:
     return out
 
 
+def _parts(df: DataFrame) -> int:
+    """Parts for blocks of clones, by number: blocks are small, so parts sized by them would be put together before their clones are made."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _clones(now: DataFrame, rest: DataFrame, place: int, seed: int, block: int) -> DataFrame:
     """The clones of each disaster's class ``now``, until its deficit is met."""
     others = rest.groupBy("dis_id").agg(F.count("*").alias("others"))
     least = F.col("own") + F.bround(F.col("others") * F.lit(0.5)).cast("long")
     sized = now.join(others, "dis_id", "left").withColumn("others", F.coalesce("others", F.lit(0))).withColumn("most", F.ceil(F.col("deficit") / least))
-    blocks = sized.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("most") - 1) / block)))).repartition("dis_id", "block")
+    blocks = sized.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("most") - 1) / block)))).repartition(_parts(now), "dis_id", "block")
     candidates = blocks.select("dis_id", "label", "tile_id", "own", "others", "deficit", F.explode(F.sequence(
         (F.col("block") * block + 1).cast("int"), F.least((F.col("block") + 1) * block, F.col("most")).cast("int"))).alias("clone"))
     rate = (5 + pick(seed, F.lit(5), F.lit("clone"), "dis_id", "label", "clone")).cast("double") / 10
