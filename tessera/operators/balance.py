@@ -76,11 +76,13 @@ def replacement_plan(buildings: DataFrame, minority: str, seed: int = 0) -> Data
     hosts = buildings.filter(classes & (F.col("label") != minority)).withColumns({
         "rate": rate, "n": F.count("*").over(Window.partitionBy("dis_id", "tile_id")), "at": F.row_number().over(order)})
     replaced = hosts.filter(F.col("at") <= F.bround(F.col("n") * F.col("rate")))
-    donors = with_group_position(
-        buildings.filter(F.col("label") == minority).select("dis_id", F.col("obj").alias("donor"), "tile_id"), ["dis_id"], "donor", "tile_id", name="donor_at", size="donors")
-    sizes = donors.groupBy("dis_id").agg(F.max("donors").alias("donors"))
+    # Placing sorts by a sample first: kept, so that the buildings are made once for both.
+    donors = settled(buildings.filter(F.col("label") == minority).select("dis_id", F.col("obj").alias("donor"), "tile_id"))
+    placed = with_group_position(donors, ["dis_id"], "donor", "tile_id", name="donor_at").select("dis_id", "donor_at", "donor")
+    # One row for each disaster: a shuffle by disaster would put all its replaced buildings into one part.
+    sizes = F.broadcast(donors.groupBy("dis_id").agg(F.count("*").alias("donors")))
     return (
-        replaced.join(sizes, "dis_id").withColumn("donor_at", pick(seed, F.col("donors"), F.lit("donor"), "obj")).join(donors.select("dis_id", "donor_at", "donor"), ["dis_id", "donor_at"])
+        replaced.join(sizes, "dis_id").withColumn("donor_at", pick(seed, F.col("donors"), F.lit("donor"), "obj")).join(placed, ["dis_id", "donor_at"])
         .select("dis_id", "tile_id", "obj", "label", "rate", "donor")
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,3 +91,10 @@ def test_sums_of_rasters_of_several_shapes(spark):
 
 def test_mask_files_are_read_once(spark, data_dir):
     assert plan(Q.QUERIES["mask_files"](spark, data_dir)).lower().count("scan image") == 1
+
+
+def test_replaced_buildings_are_not_dealt_by_disaster(spark, data_dir):
+    """Only sums of donors, a row for each disaster, move by disaster alone."""
+    lines = plan(Q.QUERIES["replacement_plan"](spark, data_dir)).splitlines()
+    moved = [below for line, below in zip(lines, lines[1:]) if re.search(r"hashpartitioning\(dis_id#\d+, \d+\)", line)]
+    assert moved and all("HashAggregate" in below and "partial_" in below for below in moved)
