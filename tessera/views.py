@@ -101,7 +101,8 @@ def lines_of_tiles(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     lines = _table(spark, d, "lineitem").selectExpr("l_orderkey", *columns)
     orders = _table(spark, d, "orders").select("o_orderkey", "o_custkey")
     customers = _table(spark, d, "customer").select("c_custkey", "c_mktsegment")
-    parts = parts_for(lines)
+    parts, by_customer = parts_for(lines), parts_for(orders)
+    orders, customers = orders.repartition(by_customer, "o_custkey"), customers.repartition(by_customer, "c_custkey")
     placed = orders.join(customers.hint("merge"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_mktsegment").alias("dis_id")).repartition(parts, "o_orderkey")
     joined = lines.repartition(parts, "l_orderkey").join(placed.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.withColumnRenamed("o_orderkey", "tile_id").drop("l_orderkey")

@@ -8,6 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import views as V
 from tessera.operators import balance as B
 from tessera.operators import raster as R
 from tessera.operators.lineage import parts_for
@@ -98,3 +99,10 @@ def test_replaced_buildings_are_not_dealt_by_disaster(spark, data_dir):
     lines = plan(Q.QUERIES["replacement_plan"](spark, data_dir)).splitlines()
     moved = [below for line, below in zip(lines, lines[1:]) if re.search(r"hashpartitioning\(dis_id#\d+, \d+\)", line)]
     assert moved and all("HashAggregate" in below and "partial_" in below for below in moved)
+
+
+def test_orders_are_dealt_by_customer(spark, data_dir, monkeypatch):
+    """In parts by number, which aren't put together into fewer as tables grow."""
+    monkeypatch.setattr(V, "parts_for", lambda df: 7)
+    lines = [line for line in plan(V.lines_of_tiles(spark, data_dir, "l_quantity")).splitlines() if "Exchange" in line]
+    assert len(lines) == 4 and all(", 7), REPARTITION_BY_NUM" in line for line in lines)
