@@ -106,3 +106,13 @@ def test_orders_are_dealt_by_customer(spark, data_dir, monkeypatch):
     monkeypatch.setattr(V, "parts_for", lambda df: 7)
     lines = [line for line in plan(V.lines_of_tiles(spark, data_dir, "l_quantity")).splitlines() if "Exchange" in line]
     assert len(lines) == 4 and all(", 7), REPARTITION_BY_NUM" in line for line in lines)
+
+
+@pytest.mark.parametrize("name", ["confusion_by_tile", "confusion_summed", "pixel_metrics_by_tile"])
+def test_shares_of_counts_by_tile_are_bounded(name, spark, data_dir, monkeypatch):
+    """Rows are dealt by tile into as many parts as there are rows for, before anything is counted; no task counts more than its part."""
+    rows = V.pixels(spark, data_dir).count()
+    monkeypatch.setattr(V, "parts_for", lambda df: parts_for(df, rows // 20))
+    lines = [line for line in plan(Q.QUERIES[name](spark, data_dir)).splitlines() if "HashAggregate" in line or "Exchange" in line]
+    dealt = [i for i, line in enumerate(lines) if re.search(r"hashpartitioning\(tile_id#\d+L, 2[01]\), REPARTITION_BY_NUM", line)]
+    assert dealt == [len(lines) - 1] and sum("hashpartitioning(tile_id" in line for line in lines) == 1
