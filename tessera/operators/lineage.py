@@ -32,3 +32,13 @@ def parts_for(df: DataFrame, rows_per_part: int = 500_000) -> int:
     total = df.count()
     usual = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (rows_per_part // 10)))
     return max(1, usual, -(-total // rows_per_part))
+
+
+def dealt(df: DataFrame, parts: int, key: str) -> DataFrame:
+    """``df`` in ``parts`` parts by ``key``. Up to ``spark.shuffle.sort.bypassMergeThreshold`` parts (200), a task writes rows straight to files; for more it would
+    hold all rows of its split, so rows go into that many parts first, and a task deals on no more than one of those."""
+    direct = int(df.sparkSession.conf.get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    if parts > direct:
+        # By another name, or Spark takes both steps for one.
+        df = df.withColumnRenamed(key, f"_{key}").repartition(direct, f"_{key}").withColumnRenamed(f"_{key}", key)
+    return df.repartition(parts, key)

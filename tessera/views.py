@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.lineage import parts_for
+from tessera.operators.lineage import dealt, parts_for
 
 PIXELS = (
     "l_orderkey AS tile_id",
@@ -91,9 +91,9 @@ def pixels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tile_pixels(spark: SparkSession, d: str) -> DataFrame:
-    """Pixels dealt by tile, for what is counted by tile: as many parts as there are rows for, and no other shuffle after."""
+    """Pixels dealt by tile, for what is counted by tile: as many parts as there are rows for, and no shuffle after that."""
     px = pixels(spark, d)
-    return px.repartition(parts_for(px), "tile_id")
+    return dealt(px, parts_for(px), "tile_id")
 
 
 def lines_of_tiles(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -102,9 +102,9 @@ def lines_of_tiles(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     orders = _table(spark, d, "orders").select("o_orderkey", "o_custkey")
     customers = _table(spark, d, "customer").select("c_custkey", "c_mktsegment")
     parts, by_customer = parts_for(lines), parts_for(orders)
-    orders, customers = orders.repartition(by_customer, "o_custkey"), customers.repartition(by_customer, "c_custkey")
+    orders, customers = dealt(orders, by_customer, "o_custkey"), dealt(customers, by_customer, "c_custkey")
     placed = orders.join(customers.hint("merge"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_mktsegment").alias("dis_id")).repartition(parts, "o_orderkey")
-    joined = lines.repartition(parts, "l_orderkey").join(placed.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+    joined = dealt(lines, parts, "l_orderkey").join(placed.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.withColumnRenamed("o_orderkey", "tile_id").drop("l_orderkey")
 
 

@@ -116,3 +116,20 @@ def test_shares_of_counts_by_tile_are_bounded(name, spark, data_dir, monkeypatch
     lines = [line for line in plan(Q.QUERIES[name](spark, data_dir)).splitlines() if "HashAggregate" in line or "Exchange" in line]
     dealt = [i for i, line in enumerate(lines) if re.search(r"hashpartitioning\(tile_id#\d+L, 2[01]\), REPARTITION_BY_NUM", line)]
     assert dealt == [len(lines) - 1] and sum("hashpartitioning(tile_id" in line for line in lines) == 1
+
+
+@pytest.mark.parametrize("name", ["confusion_by_tile", "confusion_summed", "pixel_metrics_by_tile", "damaged_and_empty"])
+def test_rows_for_many_parts_are_dealt_in_two_steps(name, spark, data_dir, monkeypatch):
+    """No task deals a whole split into so many parts that it has to hold the rows; every row arrives once."""
+    def rows(found):
+        return sorted(map(tuple, found.collect()), key=repr)
+
+    monkeypatch.setattr(V, "parts_for", lambda df: 6)
+    want = rows(Q.QUERIES[name](spark, data_dir))
+    monkeypatch.setattr(V, "parts_for", lambda df: 203)
+    found = Q.QUERIES[name](spark, data_dir)
+    lines = [line for line in plan(found).splitlines() if "REPARTITION_BY_NUM" in line or "Scan" in line]
+    above = [line for line, below in zip(lines, lines[1:]) if "Scan" in below]
+    assert above and all(", 200), REPARTITION_BY_NUM" in line for line in above)
+    assert sum(", 203), REPARTITION_BY_NUM" in line for line in lines) == len(above) + (name == "damaged_and_empty")
+    assert rows(found) == want
