@@ -187,21 +187,23 @@ def mosaic_components(runs: DataFrame, keys=(), side: int = 1024) -> DataFrame:
 
     A building that crosses a border is one object. ``obj`` is the first pixel (y, x) of the component in the mosaic, as ``y * 2**31 + x``. A mosaic isn't bounded,
     so nothing meets by tile: runs are nodes, touching runs are edges of a table, and the smallest name spreads: each node takes the smallest name among its name's neighbours',
-    and names jump to their name's name. A chain of n runs takes some log n rounds, each two joins by run; it ends when nothing changes.
+    and names jump to their name's name. A chain of n runs takes some log n rounds, each two joins by run; it ends when nothing changes. All joins merge: either side
+    may hold a row for each run.
     """
     keys = list(keys)
     placed = runs.select("*", (F.col("row") * side + F.col("y")).cast("long").alias("_y"), (F.col("col") * side + F.col("x0")).cast("long").alias("_a"), (F.col("col") * side + F.col("x1")).cast("long").alias("_b"))
     name = F.col("_y") * (1 << 31) + F.col("_a")
-    nodes = settled(placed.select(*keys, name.alias("id"), "_y", "_a", "_b"))
+    placed = settled(placed.withColumn("id", name))
+    nodes = placed.select(*keys, "id", "_y", "_a", "_b")
     below = nodes.select(*keys, F.col("id").alias("other"), (F.col("_y") - 1).alias("_y"), F.col("_a").alias("c"), F.col("_b").alias("d"))
     # Within one row of a mosaic runs are joined by stretches of columns, so a wide row isn't one key.
     cell = lambda df, a, b: df.withColumn("_c", F.explode(F.sequence(F.floor(F.col(a) / side), F.floor((F.col(b) - 1) / side))))
-    down = cell(nodes, "_a", "_b").join(cell(below, "c", "d"), [*keys, "_y", "_c"]).filter("_a < d AND c < _b").select(*keys, "id", "other")
-    right = nodes.join(nodes.select(*keys, F.col("id").alias("other"), "_y", F.col("_a").alias("_b")), [*keys, "_y", "_b"]).select(*keys, "id", "other")
+    down = cell(nodes, "_a", "_b").join(cell(below, "c", "d").hint("merge"), [*keys, "_y", "_c"]).filter("_a < d AND c < _b").select(*keys, "id", "other")
+    right = nodes.join(nodes.select(*keys, F.col("id").alias("other"), "_y", F.col("_a").alias("_b")).hint("merge"), [*keys, "_y", "_b"]).select(*keys, "id", "other")
     edges = down.unionByName(right).distinct()
     edges = settled(edges.unionByName(edges.select(*keys, F.col("other").alias("id"), F.col("id").alias("other"))))
     found = spread(edges, nodes.select(*keys, "id"), keys)[0]
-    return placed.withColumn("id", name).join(found, [*keys, "id"]).drop("_y", "_a", "_b", "id").withColumnRenamed("name", "obj")
+    return placed.join(found.hint("merge"), [*keys, "id"]).drop("_y", "_a", "_b", "id").withColumnRenamed("name", "obj")
 
 
 def spread(edges: DataFrame, nodes: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
@@ -216,11 +218,11 @@ def spread(edges: DataFrame, nodes: DataFrame, keys: list[str]) -> tuple[DataFra
             break
         while True:  # names of names: the way to each root is halved
             far = hook.select(*keys, F.col("a").alias("to"), F.col("to").alias("next"))
-            jumped = settled(hook.join(far, [*keys, "to"], "left").select(*keys, "a", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
+            jumped = settled(hook.join(far.hint("merge"), [*keys, "to"], "left").select(*keys, "a", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
             hook = jumped.drop("moved")
             if jumped.filter("moved").isEmpty():
                 break
-        at = lambda df, column: df.join(hook.select(*keys, F.col("a").alias(column), "to"), [*keys, column], "left").withColumn(column, F.coalesce("to", column)).drop("to")
+        at = lambda df, column: df.join(hook.select(*keys, F.col("a").alias(column), "to").hint("merge"), [*keys, column], "left").withColumn(column, F.coalesce("to", column)).drop("to")
         names = settled(at(names, "name"))
         links = settled(at(at(links, "a"), "b").filter("a <> b").distinct())
         rounds += 1

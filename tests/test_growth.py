@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera import views as V
 from tessera.operators import balance as B
 from tessera.operators import raster as R
-from tessera.operators.lineage import parts_for
+from tessera.operators.lineage import parts_for, settled
 from tessera.plans import queries as Q
 from tessera.sources import rasters as I
 from tessera.sources import tables as W
@@ -133,3 +133,11 @@ def test_rows_for_many_parts_are_dealt_in_two_steps(name, spark, data_dir, monke
     assert above and all(", 200), REPARTITION_BY_NUM" in line for line in above)
     assert sum(", 203), REPARTITION_BY_NUM" in line for line in lines) == len(above) + (name == "damaged_and_empty")
     assert rows(found) == want
+
+
+def test_runs_of_mosaics_are_merged_in_every_round(spark, data_dir, monkeypatch):
+    """Each step is written before the next, so the plan of each is looked at, not that of the last alone."""
+    plans = []
+    monkeypatch.setattr(R, "settled", lambda df: plans.append(plan(df)) or settled(df))
+    plans.append(plan(Q.QUERIES["mosaic_objects"](spark, data_dir)))
+    assert len(plans) > 5 and sum("SortMergeJoin" in p for p in plans) >= 4 and not any("BroadcastHashJoin" in p for p in plans)
