@@ -87,15 +87,12 @@ def replacement_plan(buildings: DataFrame, minority: str, seed: int = 0) -> Data
     )
 
 
-def clones_needed(totals: DataFrame, gains: DataFrame, block: int = 4096) -> DataFrame:
-    """Clones to add until a class reaches its disaster's largest: candidate clones whose earlier gains fall short.
+def clones_needed(gains: DataFrame, block: int = 4096) -> DataFrame:
+    """Clones to add until a class reaches its disaster's largest: candidate clones whose earlier gains, ``gained``, fall short.
 
-    ``totals`` has ``dis_id, deficit``; ``gains`` has ``dis_id, clone, gain``, clone numbering candidates from 1.
+    ``gains`` has ``dis_id, clone, gain, deficit`` and whatever else a clone carries, clone numbering candidates from 1. Clones carry what their disaster has, so they join nothing for it.
     """
-    return (
-        with_prefix_sum(gains, "clone", ["gain"], block, group=["dis_id"]).withColumn("gained", F.col("gain_upto") - F.col("gain"))
-        .join(totals, "dis_id").filter(F.col("gained") < F.col("deficit")).select("dis_id", "clone", "gain", "gained", "deficit")
-    )
+    return with_prefix_sum(gains, "clone", ["gain"], block, group=["dis_id"]).withColumn("gained", F.col("gain_upto") - F.col("gain")).drop("gain_upto").filter("gained < deficit")
 
 
 def balance_step(counts: DataFrame, minority: str, seed: int = 0, block: int = 4096) -> DataFrame:
@@ -107,20 +104,17 @@ def balance_step(counts: DataFrame, minority: str, seed: int = 0, block: int = 4
     """
     classes = [k for k in BUILDING_KEYS if k in counts.columns]
     others = sum((F.col(f"`{k}`") for k in classes if k != minority), F.lit(0))
-    totals = counts.groupBy("dis_id").agg(*[F.sum(f"`{k}`").alias(k) for k in classes])
-    deficit = totals.select("dis_id", (F.greatest(*[F.col(f"`{k}`") for k in classes]) - F.col(f"`{minority}`")).alias("deficit")).filter("deficit > 0")
-    host = counts.filter(F.col(f"`{minority}`") > 0).groupBy("dis_id").agg(
-        F.min(F.struct(hash_rank(seed, "dis_id", "tile_id").alias("h"), F.col("tile_id"), F.col(f"`{minority}`").alias("own"), others.alias("others"))).alias("host"))
+    host = F.struct(hash_rank(seed, "dis_id", "tile_id").alias("h"), F.col("tile_id"), F.col(f"`{minority}`").alias("own"), others.alias("others"))
+    # One row for each disaster, kept: candidates are made from it twice.
+    totals = settled(counts.groupBy("dis_id").agg(*[F.sum(f"`{k}`").alias(k) for k in classes], F.min(F.when(F.col(f"`{minority}`") > 0, host)).alias("host")).select(
+        "dis_id", "host.tile_id", "host.own", "host.others", (F.greatest(*[F.col(f"`{k}`") for k in classes]) - F.col(f"`{minority}`")).alias("deficit")))
     # At the least rate a clone gains own + bround(others / 2), which is one building at least: so many clones always reach the deficit.
     least = F.col("own") + F.bround(F.col("others") * F.lit(0.5)).cast("long")
-    needed = host.join(deficit, "dis_id").select("dis_id", F.col("host.own").alias("own"), F.col("host.others").alias("others"), "deficit").withColumn(
-        "most", F.ceil(F.col("deficit") / least))
-    blocks = needed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("most") - 1) / block)))).repartition(_parts(totals), "dis_id", "block")
-    candidates = blocks.select("dis_id", "own", "others", F.explode(F.sequence(
-        (F.col("block") * block + 1).cast("int"), F.least((F.col("block") + 1) * block, F.col("most")).cast("int"))).alias("clone"))
+    needed = totals.filter("deficit > 0 AND own IS NOT NULL").withColumn("most", F.ceil(F.col("deficit") / least))
+    candidates = _candidates(needed, block)
     rate = (5 + pick(seed, F.lit(5), F.lit("clone"), "dis_id", "clone")).cast("double") / 10
-    gains = candidates.select("dis_id", "clone", (F.col("own") + F.bround(F.col("others") * rate).cast("long")).alias("gain"))
-    return clones_needed(deficit, gains, block).join(host.select("dis_id", "host.tile_id"), "dis_id")
+    gains = candidates.withColumn("gain", F.col("own") + F.bround(F.col("others") * rate).cast("long"))
+    return clones_needed(gains, block).select("dis_id", "clone", "gain", "gained", "deficit", "tile_id")
 
 
 def balance_plan(buildings: DataFrame, seed: int = 0, block: int = 4096, tiles: DataFrame | None = None) -> DataFrame:
@@ -134,7 +128,7 @@ def balance_plan(buildings: DataFrame, seed: int = 0, block: int = 4096, tiles:
     ``dis_id, place, label, clone, tile_id, replaced, gain, gained, deficit``: ``gained`` is what earlier clones for the class have added to it.
     """
     known = buildings.filter(F.col("label").isin(*BUILDING_KEYS))
-    by_tile = settled(known.groupBy("dis_id", "tile_id", "label").agg(F.count("*").alias("n")))
+    by_tile = known.groupBy("dis_id", "tile_id", "label").agg(F.count("*").alias("n"))
     # At most five rows for each disaster.
     every = Window.partitionBy("dis_id")
     totals = by_tile.groupBy("dis_id", "label").agg(
@@ -145,18 +139,20 @@ def balance_plan(buildings: DataFrame, seed: int = 0, block: int = 4096, tiles:
         empty = tiles.select("dis_id", "tile_id").distinct().join(built, ["dis_id", "tile_id"], "left_anti").groupBy("dis_id").agg(F.count("*").alias("empty"))
         totals = totals.join(empty, "dis_id", "left").withColumn("target", F.greatest("target", F.coalesce("empty", F.lit(0)))).drop("empty")
     ranked = settled(totals.filter(F.col("label").isin(*DAMAGE_KEYS)).withColumn("place", F.row_number().over(every.orderBy("total", "label"))))
+    # The buildings of all hosts at once, at most four tiles in a disaster, or each place would make all buildings again.
+    hosts = F.broadcast(ranked.select("dis_id", "host.tile_id", F.col("label").alias("minority")))
+    others = settled(known.join(hosts, ["dis_id", "tile_id"]).filter("label <> minority").select("dis_id", "minority", "obj", F.col("label").alias("other")))
     carried, steps = ranked.select("dis_id", "label", F.lit(0).cast("long").alias("more")), []
     for place in range(1, len(DAMAGE_KEYS) + 1):
         now = ranked.filter(F.col("place") == place).join(carried, ["dis_id", "label"]).select(
             "dis_id", "label", "host.tile_id", "host.own", (F.col("target") - F.col("total") - F.col("more")).alias("deficit")).filter("deficit > 0")
-        rest = settled(known.join(now.select("dis_id", "tile_id", F.col("label").alias("minority")), ["dis_id", "tile_id"]).filter("label <> minority").select(
-            "dis_id", "minority", "obj", F.col("label").alias("other")))
+        rest = settled(others.join(now.select("dis_id", F.col("label").alias("minority")), ["dis_id", "minority"]))
         step = settled(_clones(now, rest, place, seed, block))
-        order = Window.partitionBy("dis_id", "clone").orderBy(hash_rank(seed, "clone", "obj"), "obj")
+        order = Window.partitionBy("dis_id", "block", "clone").orderBy(hash_rank(seed, "clone", "obj"), "obj")
         # A host's buildings meet the clones block by block, so a disaster with many clones is many keys.
         blocks = step.withColumn("block", F.floor(F.col("clone") / block))
         spread = rest.join(blocks.select("dis_id", "block").distinct(), "dis_id")
-        kept = blocks.join(spread, ["dis_id", "block"]).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") > F.col("replaced")).groupBy(
+        kept = blocks.join(spread.hint("merge"), ["dis_id", "block"]).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") > F.col("replaced")).groupBy(
             "dis_id", F.col("other").alias("label")).agg(F.count("*").alias("more"))
         added = step.groupBy("dis_id", "label").agg(F.sum("gain").alias("more"))
         carried = settled(carried.unionByName(kept).unionByName(added).groupBy("dis_id", "label").agg(F.sum("more").alias("more")))
@@ -172,15 +168,17 @@ def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _candidates(needed: DataFrame, block: int) -> DataFrame:
+    """``needed`` with ``clone``, from 1 to its ``most``: dealt in blocks, so that those of one disaster are made in many tasks."""
+    blocks = needed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("most") - 1) / block)))).repartition(_parts(needed), "dis_id", "block")
+    return blocks.withColumn("clone", F.explode(F.sequence((F.col("block") * block + 1).cast("int"), F.least((F.col("block") + 1) * block, F.col("most")).cast("int")))).drop("block", "most")
+
+
 def _clones(now: DataFrame, rest: DataFrame, place: int, seed: int, block: int) -> DataFrame:
     """The clones of each disaster's class ``now``, until its deficit is met."""
     others = rest.groupBy("dis_id").agg(F.count("*").alias("others"))
     least = F.col("own") + F.bround(F.col("others") * F.lit(0.5)).cast("long")
     sized = now.join(others, "dis_id", "left").withColumn("others", F.coalesce("others", F.lit(0))).withColumn("most", F.ceil(F.col("deficit") / least))
-    blocks = sized.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("most") - 1) / block)))).repartition(_parts(now), "dis_id", "block")
-    candidates = blocks.select("dis_id", "label", "tile_id", "own", "others", "deficit", F.explode(F.sequence(
-        (F.col("block") * block + 1).cast("int"), F.least((F.col("block") + 1) * block, F.col("most")).cast("int"))).alias("clone"))
     rate = (5 + pick(seed, F.lit(5), F.lit("clone"), "dis_id", "label", "clone")).cast("double") / 10
-    gains = candidates.withColumn("replaced", F.bround(F.col("others") * rate).cast("long")).withColumn("gain", F.col("own") + F.col("replaced"))
-    return with_prefix_sum(gains, "clone", ["gain"], block, group=["dis_id"]).withColumn("gained", F.col("gain_upto") - F.col("gain")).filter("gained < deficit").select(
-        "dis_id", F.lit(place).alias("place"), "label", "clone", "tile_id", "replaced", "gain", "gained", "deficit")
+    gains = _candidates(sized, block).withColumn("replaced", F.bround(F.col("others") * rate).cast("long")).withColumn("gain", F.col("own") + F.col("replaced"))
+    return clones_needed(gains, block).select("dis_id", F.lit(place).alias("place"), "label", "clone", "tile_id", "replaced", "gain", "gained", "deficit")

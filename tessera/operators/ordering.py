@@ -65,8 +65,9 @@ def with_prefix_sum(df: DataFrame, position: str, columns: list[str], block: int
     sums = blocks.groupBy(*group, "_block").agg(*[F.sum(c).alias(c) for c in columns])
     offsets = sums.select(*group, "_block", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in columns])
     inside = Window.partitionBy(*group, "_block").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    # By merging: rows may be exploded ones, which the planner would broadcast. The window needs them by block anyway.
     return (
-        blocks.join(offsets, [*group, "_block"])
+        blocks.join(offsets.hint("merge"), [*group, "_block"])
         .withColumns({f"{c}_upto": F.col(f"_{c}") + F.sum(c).over(inside) for c in columns})
         .drop("_block", *[f"_{c}" for c in columns])
     )

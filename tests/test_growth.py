@@ -141,3 +141,28 @@ def test_runs_of_mosaics_are_merged_in_every_round(spark, data_dir, monkeypatch)
     monkeypatch.setattr(R, "settled", lambda df: plans.append(plan(df)) or settled(df))
     plans.append(plan(Q.QUERIES["mosaic_objects"](spark, data_dir)))
     assert len(plans) > 5 and sum("SortMergeJoin" in p for p in plans) >= 4 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def sent_through_the_driver(text):
+    """The lines of a plan below each broadcast."""
+    found, above = [], []
+    for line in text.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        above = [d for d in above if d < depth]
+        if above:
+            found.append(line)
+        if "BroadcastExchange" in line:
+            above.append(depth)
+    return found
+
+
+@pytest.mark.parametrize("name", ["balance_clones", "balance_classes"])
+def test_clones_are_not_broadcast(name, spark, data_dir, monkeypatch):
+    """Clones are made from a row for each disaster, so the planner takes them for few."""
+    plans = []
+    monkeypatch.setattr(B, "settled", lambda df: plans.append(plan(df)) or settled(df))
+    plans.append(plan(Q.QUERIES[name](spark, data_dir)))
+    assert any("clone#" in p for p in plans) and not [line for p in plans for line in sent_through_the_driver(p) if "clone#" in line]
+    # Lines are read once for the totals, and once more for the buildings of the hosts.
+    assert sum(len(re.findall(r"Scan parquet \[l_orderkey", p)) for p in plans) == (1 if name == "balance_clones" else 2)
+    assert name == "balance_classes" or "BroadcastHashJoin" not in plans[-1]
