@@ -16,13 +16,16 @@ def slice_scores(ordered: DataFrame, n: int, betas: list[float], include_last: b
     """``beta, start, score`` of every stretch of ``n`` rows by ``pos``: 100 (1 - beta) f1 - 100 beta f2.
 
     f1 is the stretch's number of buildings, f2 the imbalance of its damage classes, both scaled to [0, 1] over all
-    stretches. Sums of stretches are differences of prefix sums, found by one join on the position.
+    stretches. Positions go on from 0 without gaps. Sums of stretches are differences of running sums within a block of positions, which also holds the ``n`` - 1 rows after it.
     """
-    columns = sorted({*labels, *all_labels})
-    upto = with_prefix_sum(ordered.select("pos", *[f"`{c}`" for c in columns]), "pos", columns)
-    ends = upto.select((F.col("pos") - (n - 1)).alias("start"), *[F.col(f"`{c}_upto`").alias(f"e{i}") for i, c in enumerate(columns)])
-    starts = upto.select(F.col("pos").alias("start"), *[(F.col(f"`{c}_upto`") - F.col(f"`{c}`")).alias(f"s{i}") for i, c in enumerate(columns)])
-    sums = starts.join(ends, "start").select("start", *[(F.col(f"e{i}") - F.col(f"s{i}")).alias(c) for i, c in enumerate(columns)])
+    columns, block = sorted({*labels, *all_labels}), max(65_536, n)
+    home = F.floor(F.col("pos") / block)
+    blocks = ordered.select("pos", *[f"`{c}`" for c in columns]).withColumn(
+        "_block", F.explode(F.array_distinct(F.array(home, F.floor((F.col("pos") - (n - 1)) / block))))).filter("_block >= 0")
+    order = Window.partitionBy("_block").orderBy("pos")
+    upto = blocks.withColumns({f"{c}_upto": F.sum(f"`{c}`").over(order.rowsBetween(Window.unboundedPreceding, 0)) for c in columns})
+    ends = upto.withColumns({f"{c}_end": F.lead(f"`{c}_upto`", n - 1).over(order) for c in columns}).filter((F.col("_block") == home) & F.col(f"`{columns[0]}_end`").isNotNull())
+    sums = ends.select(F.col("pos").alias("start"), *[(F.col(f"`{c}_end`") - F.col(f"`{c}_upto`") + F.col(f"`{c}`")).alias(c) for c in columns])
     raw = sums.select("start", sum((F.col(f"`{c}`") for c in all_labels), F.lit(0)).alias("f1"), imbalance(*[F.col(f"`{c}`") for c in labels]).alias("f2"))
     if not include_last:
         raw = raw.filter(F.col("start") < ordered.agg(F.max("pos")).first()[0] - n + 1)
@@ -54,7 +57,7 @@ def balanced_sample(counts: DataFrame, total: int, beta: float = 0.7, seed: int
     start = best_slices(ordered, n, [beta]).first()
     if start is None:
         raise ValueError(f"fewer than {n} tiles have damage classes")
-    chosen = ordered.filter(F.col("pos").between(start["start"], start["start"] + n - 1)).select("dis_id", "tile_id")
+    chosen = settled(ordered.filter(F.col("pos").between(start["start"], start["start"] + n - 1)).select("dis_id", "tile_id"))
     shares = chosen.groupBy("dis_id").agg(F.bround(F.count("*") * F.lit(n_empty) / n).cast("int").alias("wanted"))
     pool = with_group_position(empty.select("dis_id", "tile_id"), ["dis_id"], "tile_id", name="at")
     draws = shares.filter("wanted > 0").select("dis_id", F.explode(F.sequence(F.lit(1), F.col("wanted"))).alias("draw"))

@@ -90,42 +90,42 @@ def greedy_balance_order(
     """Order tiles so that each next one leaves the running class totals least imbalanced; adds ``pos`` from 0.
 
     Only count vectors matter, so the choice is made among distinct vectors with their multiplicities, in one
-    task per group: far fewer rows than tiles, and none of their payload. That task holds the distinct vectors and hands out
-    choices a piece at a time; tiles are joined to them afterwards. Equal choices go to the smaller vector,
+    task per group: far fewer rows than tiles, and none of their payload. That task holds the distinct vectors, takes choices that repeat in one
+    step (``_stretches``) and hands out such stretches; tiles are made of them and joined to them in many tasks. Equal choices go to the smaller vector,
     then to the smaller ``keys``. ``group`` gives each group an order of its own, in parallel; ``max_picks`` stops
     each order early, where only its beginning is used.
     """
     group = group or []
     counted = tiles.withColumns({c: F.col(c).cast("long") for c in classes})
     numbered = with_group_position(counted, [*group, *classes], *keys, name="_nth", size="_copies")
-    signatures = counted.groupBy(*group, *classes).agg(F.count("*").alias("_copies"))
+    # The first tile of each vector stands for it, so that tiles aren't counted again.
+    signatures = numbered.filter("_nth = 0").select(*group, *[f"`{c}`" for c in classes], "_copies")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in signatures.drop("_copies").schema.fields]
-    # By number, or groups of few vectors would be put together into one task.
-    together = signatures.repartition(int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group) if group else signatures.coalesce(1)
-    order = together.sortWithinPartitions(*group, *classes).mapInPandas(_chooser(group, classes, max_picks), ", ".join([*fields, "_nth long", "pos long"]))
+    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # By number, or groups of few vectors would be put together into one task. A shuffle even into one part: the vectors are found in many tasks.
+    together = signatures.repartition(parts, *group) if group else signatures.repartition(1)
+    found = [*fields, "_nth long", "pos long", "_each long", "_length long", "_times long"]
+    stretches = settled(together.sortWithinPartitions(*group, *classes).mapInPandas(_chooser(group, classes, max_picks), ", ".join(found)))
+    again = stretches.repartition(parts).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)))
+    order = again.select(*group, *[f"`{c}`" for c in classes], (F.col("_nth") + F.col("_i") * F.col("_each")).alias("_nth"), (F.col("pos") + F.col("_i") * F.col("_length")).alias("pos"))
     # The order has a row for each tile, though it comes from few vectors: by merging, or the planner would broadcast it.
     return numbered.drop("_copies").join(order.hint("merge"), [*group, *classes, "_nth"]).drop("_nth")
 
 
-def _chooser(group: list[str], classes: list[str], max_picks: int | None, piece: int = 10_000):
+def _chooser(group: list[str], classes: list[str], max_picks: int | None, piece: int = 65_536):
+    """Rows of a stretch: the place of a vector's copy (``_nth``) and of its pick (``pos``), and how far both go on each of ``_times`` times."""
     def choices(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        counts, left = rows[classes].to_numpy("int64"), rows["_copies"].to_numpy("int64").copy()
-        taken, sums, scaled = left * 0, counts.sum(axis=1), counts * len(classes)
-        # The imbalance after each choice, less that of the totals so far, which is the same for all: a pick adds its products with the vectors.
-        cost = (scaled * counts).sum(axis=1) - sums * sums
-        picks, chosen, nth = int(min(left.sum(), max_picks or left.sum())), [], []
-        for at in range(picks):
-            best = int(cost.argmin())
-            cost += 2 * (scaled @ counts[best] - sums * sums[best])
-            left[best] -= 1
-            if not left[best]:
-                cost[best] = 1 << 62  # used up; what later picks add is far less
-            chosen.append(best)
-            nth.append(taken[best])
-            taken[best] += 1
-            if len(chosen) == piece or at == picks - 1:
-                yield rows.iloc[chosen][[*group, *classes]].assign(_nth=nth, pos=range(at + 1 - len(chosen), at + 1))
-                chosen, nth = [], []
+        counts, copies = rows[classes].to_numpy("int64"), rows["_copies"].to_numpy("int64")
+        taken, at = copies * 0, 0
+        for chosen, times in _stretches(counts, copies, int(min(copies.sum(), max_picks or copies.sum()))):
+            used, order = np.bincount(chosen, minlength=len(counts)), np.argsort(chosen, kind="stable")
+            before = np.empty_like(order)  # earlier uses of the same vector in the stretch
+            before[order] = np.arange(len(order)) - np.repeat(np.cumsum(used) - used, used)
+            for done in range(0, times, piece):
+                yield rows.iloc[chosen][[*group, *classes]].assign(
+                    _nth=taken[chosen] + before + done * used[chosen], pos=at + np.arange(len(chosen)) + done * len(chosen),
+                    _each=used[chosen], _length=len(chosen), _times=min(piece, times - done))
+            taken, at = taken + times * used, at + times * len(chosen)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -141,3 +141,74 @@ def _chooser(group: list[str], classes: list[str], max_picks: int | None, piece:
             yield from choices(held)
 
     return run
+
+
+def _stretches(counts: np.ndarray, copies: np.ndarray, picks: int, first: int = 512, most: int = 16_384) -> Iterator[tuple[np.ndarray, int]]:
+    """The first ``picks`` choices among vectors, as stretches (vectors, times): a stretch is picked so many times in a row.
+
+    Choices soon repeat, as picks undo what earlier ones left out of balance, until a vector is used up. Single steps are taken for a while; where the last ones are two turns of one
+    stretch, all turns that are sure to follow are taken at once.
+    """
+    left, sums, scaled = copies.copy(), counts.sum(axis=1), counts * counts.shape[1]
+    # The imbalance after each choice, less that of the totals so far, which is the same for all: a pick adds its products with the vectors.
+    cost = (scaled * counts).sum(axis=1) - sums * sums
+    added = lambda best: 2 * (scaled @ counts[best] - sums * sums[best])
+    if len(counts) <= 2000:  # 32 MB at most
+        added = (2 * (scaled @ counts.T - np.outer(sums, sums))).__getitem__
+    at, size, recent = 0, first, []
+    while at < picks:
+        chosen = []
+        for _ in range(min(size, picks - at)):
+            best = int(cost.argmin())
+            cost += added(best)
+            left[best] -= 1
+            if not left[best]:
+                cost[best] = 1 << 62  # used up; what later picks add is far less
+            chosen.append(best)
+        yield np.array(chosen), 1
+        at += len(chosen)
+        recent = (recent + chosen)[-2 * most :]
+        length = _period(recent)
+        turn = np.array(recent[len(recent) - length :], dtype=int)
+        times = _turns(turn, counts, left, cost, added, (picks - at) // length) if length else 0
+        if times:
+            cost += times * sum(added(best) for best in turn)
+            left -= times * np.bincount(turn, minlength=len(left))
+            cost[left == 0] = 1 << 62
+            yield turn, times
+            at += times * length
+            recent = []
+        size = first if times * length > size else min(2 * size, most)
+
+
+def _period(chosen: list[int]) -> int:
+    """The length of what the longest end of ``chosen`` that repeats something consists of; 0 if none does. By the borders of the reversed list."""
+    back, border, k, length = chosen[::-1], [0] * len(chosen), 0, 0
+    for i in range(1, len(back)):
+        while k and back[i] != back[k]:
+            k = border[k - 1]
+        k += back[i] == back[k]
+        border[i] = k
+        if i + 1 >= 2 * (i + 1 - k):
+            length = i + 1 - k
+    return length
+
+
+def _turns(turn: np.ndarray, counts: np.ndarray, left: np.ndarray, cost: np.ndarray, added, most: int) -> int:
+    """How many times ``turn`` follows from here. Each turn changes costs by the same whole numbers, so for each of its picks the lead over every other vector falls or grows in a
+    straight line, and the turn in which it is lost follows by division; nor can a vector be picked more often than there are copies."""
+    used = np.bincount(turn, minlength=len(left))
+    times = min(most, int((left[used > 0] // used[used > 0]).min()))
+    drift, now, there = sum(added(best) for best in turn), cost.copy(), left > 0
+    for best in turn:
+        if times <= 0:
+            return 0
+        # Equal costs go to the smaller vector.
+        lead = (now - now[best] - (np.arange(len(left)) < best))[there]
+        if (lead < 0).any():
+            return 0
+        falls = (drift - drift[best])[there]
+        if (falls < 0).any():
+            times = min(times, 1 + int((lead[falls < 0] // -falls[falls < 0]).min()))
+        now += added(best)
+    return times

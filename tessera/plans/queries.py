@@ -506,7 +506,7 @@ def greedy_beginning(spark, d):
 @query()
 def balanced_sample(spark, d):
     """The best slice of the greedy order and empty tiles; tests hold it against the definition."""
-    every = counts(spark, d)
+    every = settled(counts(spark, d))
     return B.balanced_sample(every, 500)
 
 

@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from tessera import views
 from tessera.functions import geometry as G
+from tessera.operators import balance as slices
 from tessera.operators import metrics as M
 from tessera.operators import objects as O
 from tessera.operators import raster as R
 from tessera.operators import split as X
 from tessera.operators import stats as T
-from tessera.operators.ordering import greedy_balance_order, with_group_position, with_position, with_prefix_sum
+from tessera.operators.ordering import _stretches, greedy_balance_order, with_group_position, with_position, with_prefix_sum
 from tessera.plans import evaluate as E
 from tessera.plans import prepare as P
 from tessera.sources import catalog, labels, rasters, tables
@@ -263,3 +264,61 @@ def test_confusion_of_a_stream(spark, data_dir, tmp_path):
     q = start_confusion(read_pixel_stream(spark, str(tmp_path / "px"), "tile_id long, gt int, pred int", 1), "seen", str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert sorted(spark.table("seen").collect()) == sorted(M.confusion_counts(px).collect())
+
+
+def plain_choices(counts, copies, picks):
+    """One vector at a time: the one that leaves the totals least imbalanced, the smaller one where equal."""
+    left, totals, out = list(copies), [0] * len(counts[0]), []
+    for _ in range(picks):
+        def cost(i):
+            after = [t + int(c) for t, c in zip(totals, counts[i], strict=True)]
+            return len(after) * sum(a * a for a in after) - sum(after) ** 2, i
+
+        best = min((i for i, n in enumerate(left) if n), key=cost)
+        left[best] -= 1
+        totals = [t + int(c) for t, c in zip(totals, counts[best], strict=True)]
+        out.append(best)
+    return out
+
+
+def test_choices_that_repeat_are_taken_at_once():
+    rng, turns = np.random.default_rng(5), 0
+    for _ in range(60):
+        counts = np.unique(rng.integers(0, rng.integers(2, 7), (rng.integers(1, 12), rng.integers(1, 5))), axis=0)
+        copies = rng.integers(1, rng.choice([3, 40, 300]), len(counts))
+        picks = int(copies.sum()) - int(rng.integers(0, 3)) * (len(counts) > 3)
+        found = list(_stretches(counts, copies, picks, first=int(rng.choice([1, 4, 16])), most=64))
+        assert [int(b) for chosen, times in found for _ in range(times) for b in chosen] == plain_choices(counts, copies, picks)
+        turns += sum(times > 1 for _, times in found)
+    assert turns > 60
+    # Forty million picks of vectors that balance each other and of some that don't.
+    counts, copies = np.array([[0, 1], [1, 0], [1, 1], [2, 0], [5, 0]]), np.array([10_000_003, 9_999_999, 10_000_000, 5_000_000, 5_000_000])
+    found = list(_stretches(counts, copies, int(copies.sum())))
+    assert sum(len(chosen) for chosen, _ in found) < 100_000 and sum(len(chosen) * times for chosen, times in found) == copies.sum()
+
+
+def test_the_greedy_order_is_made_of_few_rows_in_many_tasks(spark):
+    tiles = spark.range(60_000).select(F.concat(F.lit("g"), F.col("id") % 2).alias("g"), F.col("id").alias("tile_id"), (F.col("id") % 3).alias("a"), (F.col("id") % 5).alias("b"))
+    order = greedy_balance_order(tiles, ["tile_id"], ["a", "b"], ["g"])
+    lines = order._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("Generate explode" in line and "_times" in line for line in lines)
+    rows = order.select("g", "a", "b", "tile_id", "pos").collect()
+    for g in ("g0", "g1"):
+        own = sorted((r for r in rows if r.g == g), key=lambda r: r.pos)
+        assert [r.pos for r in own] == list(range(30_000)) and len({r.tile_id for r in own}) == 30_000
+        counts, copies = np.unique([(r.a, r.b) for r in own], axis=0, return_counts=True)
+        want = [tuple(counts[b]) for b in plain_choices(counts, copies, 3000)]
+        assert [(r.a, r.b) for r in own[:3000]] == want
+
+
+def test_stretches_over_the_ends_of_blocks(spark):
+    """Every stretch of rows once, wherever a block ends."""
+    size = 65_536
+    rows = spark.range(size + 900).select(F.col("id").alias("pos"), *[(F.col("id") * (i + 3) % (7 + i)).alias(c) for i, c in enumerate(slices.BUILDING_KEYS)])
+    for n in (1, 2, 400, 65_900):
+        found = {r.start: r.score for r in slices.slice_scores(rows, n, [0.0]).collect()}
+        totals = np.array([[p * (i + 3) % (7 + i) for i in range(5)] for p in range(size + 900)]).sum(axis=1)
+        upto = np.concatenate([[0], np.cumsum(totals)])
+        sums = upto[n:] - upto[:-n]
+        want = 100 * (sums - sums.min()) / max(sums.max() - sums.min(), 1)
+        assert sorted(found) == list(range(len(sums))) and np.allclose([found[i] for i in range(len(sums))], want)
